@@ -1,0 +1,130 @@
+"""Interpolated modified Kneser-Ney models over folded characters.
+
+Characters are folded to a small alphabet of ``size`` symbols, symbol 0 being a boundary, so
+an n-gram of order ``order`` is a number below ``size ** order``: counts, tables and what is
+broadcast have a size that the alphabet bounds, whatever the corpus.
+
+Counts are gathered from every training text in parallel, summed by Spark in shards of
+(language, n-gram), and made into a table of log-probabilities in one task per language.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Characters that are handled at once; a longer text is handled alone.
+CHUNK = 3_000_000
+
+
+class Alphabet:
+    """Code points to symbols: ``table`` for the basic plane, ``beyond`` for the rest."""
+
+    def __init__(self, size: int, table: np.ndarray, beyond: int):
+        self.size, self.table, self.beyond = size, table, beyond
+
+    def symbols(self, text: str) -> np.ndarray:
+        cp = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+        if len(cp) and cp.max() > 0xFFFF:
+            return np.where(cp > 0xFFFF, np.uint8(self.beyond), self.table[np.minimum(cp, 0xFFFF)])
+        return self.table[cp]
+
+
+def grams(texts: list[str], alphabet: Alphabet, order: int):
+    """Yield (first text, n-gram numbers, starts of texts, lengths) for chunks of ``texts``.
+
+    Each text is preceded by order - 1 boundaries; the n-gram at its i-th place ends at its
+    i-th character. Empty texts have length 0 and no start.
+    """
+    pad = "\x00" * (order - 1)
+    at = 0
+    while at < len(texts):
+        upto, n = at, 0
+        while upto < len(texts) and (upto == at or n + len(texts[upto]) <= CHUNK):
+            n += len(texts[upto])
+            upto += 1
+        some = texts[at:upto]
+        s = alphabet.symbols("".join([pad + t for t in some])).astype(np.int32)
+        code = s.copy()
+        for k in range(1, order):
+            code[k:] += s[:-k] * (alphabet.size**k)
+        lengths = np.array([len(t) for t in some])
+        starts = np.cumsum(lengths + order - 1) - lengths
+        yield at, code, starts, lengths
+        at = upto
+
+
+def count_grams(train: DataFrame, alphabet: Alphabet, order: int) -> DataFrame:
+    """``train(lang, text)`` to (lang, gram, n); the language ``''`` pools all of them."""
+    size = alphabet.size**order
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if text:
+                    by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                for _, code, _, _ in grams(texts, alphabet, order):
+                    code = code[code % alphabet.size != 0]
+                    if lang not in total:
+                        total[lang] = np.zeros(size, np.int64)
+                    total[lang] += np.bincount(code, minlength=size)
+        for lang, n in total.items():
+            seen = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())],
+                names=["lang", "gram", "n"],
+            )
+
+    own = train.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint")
+    summed = own.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return summed
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """Discounts for counts of 0, 1, 2 and 3 or more."""
+    n = [float((counts == k).sum()) for k in range(1, 5)]
+    if min(n) == 0:
+        return np.array([0.0, 0.5, 0.75, 0.9])
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+    return np.array(d)
+
+
+def log_probabilities(counts: np.ndarray, size: int, order: int) -> np.ndarray:
+    """ln P(last symbol | symbols before it) for every n-gram number, from raw counts."""
+    levels = [counts.astype(float)]
+    for k in range(order - 1, 0, -1):
+        levels.append((levels[-1].reshape(size, size**k) > 0).sum(0).astype(float))
+    p = np.full(size, 1.0 / (size - 1))
+    p[0] = 0.0
+    for k, c in enumerate(reversed(levels), 1):
+        c = c.reshape(-1, size)
+        d = discounts(c[c > 0])
+        kind = np.minimum(c, 3).astype(np.int8)
+        total = c.sum(1, keepdims=True)
+        freed = d[kind].sum(1, keepdims=True)
+        lower = np.tile(p.reshape(-1, size), (size, 1)) if k > 1 else p.reshape(1, size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.where(total > 0, ((c - d[kind]) + freed * lower) / total, lower)
+        p = p.reshape(-1)
+    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
+
+
+def train_tables(counts: DataFrame, alphabet: Alphabet, order: int, sparse: bool = False) -> dict[str, np.ndarray]:
+    """Language to log-probabilities of all n-grams. Each language is fitted in a task of its
+    own, from at most ``size ** order`` counts; a table's size has the same bound."""
+    size = alphabet.size
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        dense = np.zeros(size**order)
+        dense[pdf["gram"].to_numpy()] = pdf["n"].to_numpy()
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "logp": [log_probabilities(dense, size, order).tobytes()]})
+
+    rows = counts.groupBy("lang").applyInPandas(fit, "lang string, logp binary").collect()
+    return {r["lang"]: np.frombuffer(r["logp"], np.float32) for r in sorted(rows, key=lambda r: r["lang"])}

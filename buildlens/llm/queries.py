@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from buildlens.llm.bpe_automaton import encode_digests
+from buildlens.llm.html_main_text import extract_main_text
+from buildlens.llm.langid import identify_languages
 from buildlens.llm.pii import pseudonymise
+from buildlens.llm.quality import quality_scores
 from buildlens.llm.secret_scan import scan_secrets
 from buildlens.llm.shared import fresh_path
 from buildlens.llm.token_counts import token_counts
@@ -24,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own for each call, so that every call encodes all distinct texts
     return token_counts(
@@ -39,14 +50,21 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op1_html_main_text": op1_html_main_text,
+    "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
+    "op7_language": op7_language,
     "op9_bpe": op9_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
