@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from buildlens.llm.bpe_automaton import encode_digests
+from buildlens.llm.decontaminate import find_leaks
 from buildlens.llm.html_main_text import extract_main_text
 from buildlens.llm.langid import identify_languages
 from buildlens.llm.pii import pseudonymise
@@ -54,6 +55,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,
+    "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
