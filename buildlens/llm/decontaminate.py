@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.shared import map_arrow, whole, written
+from buildlens.llm.shared import map_arrow, picked_rows, whole, written
 from buildlens.llm.shingles import SPACE_OR_MARK, mix, shingle_hashes, whole_hash, words
 
 K = 5
@@ -235,6 +235,6 @@ def _items(shared) -> Items:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; all columns stay. Rows that share a
-    doc_id, null included, go together if one of them holds an item."""
+    doc_id go together if one of them holds an item; a row with a null doc_id stays."""
     leaked = written(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti")
+    return picked_rows(docs, leaked, "left_anti")

@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from buildlens.llm.bpe_automaton import encode_digests
 from buildlens.llm.decontaminate import find_leaks
 from buildlens.llm.html_main_text import extract_main_text
+from buildlens.llm.jaccard_join import jaccard_components
 from buildlens.llm.langid import identify_languages
 from buildlens.llm.pii import pseudonymise
 from buildlens.llm.quality import quality_scores
 from buildlens.llm.secret_scan import scan_secrets
 from buildlens.llm.shared import fresh_path
 from buildlens.llm.token_counts import token_counts
+from buildlens.llm.vector_graph import near_vectors
 
 #: Key of the pseudonyms in the registered query; a deployment sets its own.
 PII_KEY = "buildlens-demonstration-key"
@@ -32,6 +34,10 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,8 +69,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
@@ -72,5 +83,6 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
+    "op10_vector_graph": op10_vector_graph,
 }
 ORACLE_SQL: dict[str, str] = {}

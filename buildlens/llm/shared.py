@@ -42,6 +42,17 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+#: Ids up to this number (8 bytes each) are broadcast to pick rows; beyond it both sides are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def picked_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` with (``left_anti``: without) a doc_id in ``ids``."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", how)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` where ``fn`` takes and returns one ``RecordBatch``; empty batches are skipped."""
 
