@@ -222,7 +222,8 @@ def audit_staging(spark, d):
     return graph.audit_staging(view(spark, d, "phased"), view(spark, d, "refs"))
 
 
-@query("SELECT l_orderkey AS id, l_partkey % 5 AS item, l_linenumber - 1 AS pos, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_linenumber) > 1 AS duplicate FROM lineitem")
+@query("""WITH x AS (SELECT l_orderkey AS id, l_partkey % 5 AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 5) - 1 AS pos FROM lineitem)
+  SELECT id, item, cast(pos AS int) AS pos, row_number() OVER (PARTITION BY id, item ORDER BY pos) > 1 AS duplicate FROM x""")
 def first_occurrence(spark, d):
     lists = view(spark, d, "SELECT l_orderkey AS id, array_sort(collect_list(struct(l_linenumber, l_partkey % 5 AS item))) AS x FROM lineitem GROUP BY l_orderkey")
     return identity.first_occurrence(lists.select("id", F.col("x.item").alias("items"))).select("id", "item", "pos", "duplicate")
@@ -412,15 +413,15 @@ def pin_plan(spark, d):
 
 @query("""WITH RECURSIVE walk AS (SELECT p_partkey AS path_id, 0 AS depth FROM part WHERE p_partkey % 97 = 0 AND p_partkey % 5 <> 0
   UNION SELECT r.reference, w.depth + 1 FROM walk w JOIN refs r ON r.referrer = w.path_id WHERE r.reference % 5 <> 0 AND r.reference <> r.referrer)
-  SELECT path_id, min(depth) AS depth FROM walk GROUP BY path_id""".replace("WITH RECURSIVE", "WITH"))
+  SELECT path_id, min(depth) AS depth FROM walk GROUP BY path_id""")
 def closure(spark, d):
     seeds = view(spark, d, "SELECT p_partkey AS path_id FROM part WHERE p_partkey % 97 = 0")
     known = view(spark, d, "SELECT p_partkey AS path_id FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT cast(0 AS bigint) FROM region WHERE r_regionkey = 0")
     return graph.closure(seeds, view(spark, d, "refs"), known)
 
 
-@query("""WITH own AS (SELECT referrer, reference FROM refs WHERE referrer <> reference AND reference > 0),
-  walk AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey = 1 UNION SELECT o.referrer, w.level + 1 FROM walk w JOIN own o ON o.reference = w.node)
+@query("""WITH RECURSIVE own AS (SELECT referrer, reference FROM refs WHERE referrer <> reference),
+  walk AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey = 0 UNION SELECT o.referrer, w.level + 1 FROM walk w JOIN own o ON o.reference = w.node)
   SELECT node, max(level) AS level FROM walk GROUP BY node""")
 def topo_levels(spark, d):
     return graph.topo_levels(view(spark, d, "SELECT p_partkey AS node FROM part"), view(spark, d, "refs"))
@@ -529,7 +530,7 @@ def slow_subscribers(spark, d):
     return ev.slow_subscribers(view(spark, d, _READS), 5)
 
 
-@query(f"""WITH m AS (SELECT *, count_if(kind = 'metadata') OVER p AS path_meta, count_if(kind = 'metadata') OVER b AS meta, count_if(kind = 'path_end') OVER b AS ends, count_if(kind = 'result') OVER b AS results,
+@query(f"""WITH m AS (SELECT *, count(*) FILTER (kind = 'metadata') OVER p AS path_meta, count(*) FILTER (kind = 'metadata') OVER b AS meta, count(*) FILTER (kind = 'path_end') OVER b AS ends, count(*) FILTER (kind = 'result') OVER b AS results,
   last_value(CASE WHEN kind = 'metadata' THEN path_id END IGNORE NULLS) OVER b AS open_path FROM staged
   WINDOW b AS (PARTITION BY build_id ORDER BY seq {_BEFORE}), p AS (PARTITION BY build_id, path_id ORDER BY seq {_BEFORE}))
   SELECT build_id, seq, kind = 'chunk' AND path_meta = 0 AS chunk_before_metadata, kind = 'chunk' AND open_path IS NOT NULL AND open_path <> path_id AS interleaved, kind IN ('metadata', 'chunk') AND NOT requested AS unrequested,

@@ -78,7 +78,9 @@ def with_views(sql: str) -> str:
     views = [v for v in _used(sql) if v in VIEWS]
     if not views:
         return sql
-    return "WITH " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views) + ("\n, " + sql[5:] if sql.startswith("WITH ") else f"\n{sql}")
+    head = "WITH RECURSIVE " if sql.startswith("WITH RECURSIVE ") else "WITH "
+    own = sql.removeprefix(head)
+    return head + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views) + (f",\n{own}" if own != sql else f"\n{sql}")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
