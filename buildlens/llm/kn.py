@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that are handled at once; a longer text is handled alone.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 
 
 class Alphabet:
@@ -116,7 +116,7 @@ def log_probabilities(counts: np.ndarray, size: int, order: int) -> np.ndarray:
     return np.log(np.maximum(p, 1e-12)).astype(np.float32)
 
 
-def train_tables(counts: DataFrame, alphabet: Alphabet, order: int, sparse: bool = False) -> dict[str, np.ndarray]:
+def train_tables(counts: DataFrame, alphabet: Alphabet, order: int, kind: type = np.float32) -> dict[str, np.ndarray]:
     """Language to log-probabilities of all n-grams. Each language is fitted in a task of its
     own, from at most ``size ** order`` counts; a table's size has the same bound."""
     size = alphabet.size
@@ -124,7 +124,7 @@ def train_tables(counts: DataFrame, alphabet: Alphabet, order: int, sparse: bool
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         dense = np.zeros(size**order)
         dense[pdf["gram"].to_numpy()] = pdf["n"].to_numpy()
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "logp": [log_probabilities(dense, size, order).tobytes()]})
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "logp": [log_probabilities(dense, size, order).astype(kind).tobytes()]})
 
     rows = counts.groupBy("lang").applyInPandas(fit, "lang string, logp binary").collect()
-    return {r["lang"]: np.frombuffer(r["logp"], np.float32) for r in sorted(rows, key=lambda r: r["lang"])}
+    return {r["lang"]: np.frombuffer(r["logp"], kind) for r in sorted(rows, key=lambda r: r["lang"])}
