@@ -37,35 +37,44 @@ def v4_key(ip: Column) -> Column:
     return F.when(ip.rlike(V4), F.lpad(F.lower(F.hex(n)), 8, "0"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated, and written into the plan, once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _groups(side: Column) -> Column:
-    """Hexadecimal digits of colon-separated groups, a dotted tail included."""
-    tail = F.regexp_extract(side, r"([0-9.]+\.[0-9]+)\z", 1)
-    dotted = F.length(tail) > 0
-    hexed = v4_key(tail)
-    plain = F.when(
-        dotted,
-        F.concat(
-            F.substring(side, F.lit(1), F.length(side) - F.length(tail)), F.substring(hexed, 1, 4), F.lit(":"), F.substring(hexed, 5, 4)
-        ),
-    ).otherwise(side)
-    return F.when(side == "", F.lit("")).otherwise(
-        F.array_join(F.transform(F.split(plain, ":"), lambda g: F.lpad(g, 4, "0")), "")
-    )
+    """Hexadecimal digits of colon-separated groups."""
+    return F.when(side == "", F.lit("")).otherwise(F.array_join(F.transform(F.split(side, ":"), lambda g: F.lpad(g, 4, "0")), ""))
 
 
 def v6_key(ip: Column) -> Column:
     """Key of a version 6 address, else null."""
-    low = F.lower(ip)
-    halves = F.split(low, "::", -1)
-    left, right = _groups(halves[0]), _groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    short = low.contains("::")
-    digits = F.length(left) + F.length(right)
-    zeros = F.repeat(F.lit("0"), (F.lit(32) - digits).cast("int"))
-    key = F.when(short & (digits <= 28), F.concat(left, zeros, right)).when(~short & (digits == 32), left)
-    shape = low.rlike(r"\A([0-9a-f]{1,4}|:(?=:|[0-9a-f]))(:{1,2}[0-9a-f]{1,4})*(::|(:{1,2}[0-9]+\.[0-9.]+))?\z") | low.rlike(
-        r"\A::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*(:[0-9]+\.[0-9.]+)?|[0-9]+\.[0-9.]+)?\z"
-    )
-    return F.when(shape & (F.size(halves) <= 2) & (F.length(key) == 32) & key.rlike(r"\A[0-9a-f]{32}\z"), key)
+
+    def undotted(low: Column) -> Column:
+        """A dotted tail as two groups; one that is no version 4 address spoils the whole."""
+        tail = F.regexp_extract(low, r"([0-9.]*\.[0-9.]*)\z", 1)
+        return _let(
+            tail,
+            lambda t: F.when(t == "", low).otherwise(
+                _let(v4_key(t), lambda k: F.concat(F.left(low, F.length(low) - F.length(t)), F.left(k, F.lit(4)), F.lit(":"), F.right(k, F.lit(4))))
+            ),
+        )
+
+    def joined(text: Column) -> Column:
+        def whole(x: Column) -> Column:
+            digits = F.length(x["a"]) + F.length(x["b"])
+            zeros = F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(32) - digits).cast("int"))
+            return F.when(text.contains("::") & (digits <= 28), F.concat(x["a"], zeros, x["b"])).when(
+                ~text.contains("::") & (digits == 32), x["a"]
+            )
+
+        halves = F.split(text, "::", -1)
+        return _let(
+            F.struct(_groups(halves[0]).alias("a"), _groups(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).alias("b")), whole
+        )
+
+    shape = r"\A(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?(::(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?)?\z"
+    return _let(undotted(F.lower(ip)), lambda t: F.when(t.rlike(shape), joined(t)))
 
 
 def address_key(ip: Column) -> Column:

@@ -64,8 +64,8 @@ def decide_flows(flows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """JOIN-7: ``flows(flow_id, proto, ip, port, ...)`` with rule_idx and action of the first
     rule that fits, null and the default where none does.
 
-    Few rules are broadcast and tested one by one. Many are joined by prefix: one equi-join
-    for each prefix length in use, so no flow meets a rule of another network.
+    Few rules are broadcast and tested one by one. Many are joined by prefix: each flow
+    stands for every prefix length in use, so it meets no rule of another network.
     """
     key = canonical_key(address_key(F.col("ip")))
     keyed = flows.withColumn("ip_key", key)
@@ -83,12 +83,12 @@ def decide_flows(flows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
         hits = keyed.join(
             general, fits & ((F.col("kind") == "any") | ((F.col("kind") == "private") & is_private(F.col("ip_key"))))
         )
-        lengths = [x["n"] for x in r.where("kind = 'cidr'").select(F.floor(F.col("bits") / 4).alias("n")).distinct().collect()]
-        for n in lengths:
-            some = r.where((F.col("kind") == "cidr") & (F.floor(F.col("bits") / 4) == n)).withColumn("head", F.left("lo", F.lit(n)))
-            with_head = keyed.withColumn("head", F.left("ip_key", F.lit(n)))
-            part = with_head.join(some, "head").where(fits & in_network(F.col("ip_key"), F.col("lo"), F.col("hi")))
-            hits = hits.unionByName(part.drop("head"))
+        head = F.floor(F.col("bits") / 4).cast("int")
+        some = r.where("kind = 'cidr'").withColumn("n", head).withColumn("head", F.left("lo", head))
+        lengths = sorted(x["n"] for x in some.select("n").distinct().collect())
+        with_head = keyed.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))) if lengths else keyed.withColumn("n", F.lit(-1))
+        near = with_head.withColumn("head", F.left("ip_key", F.col("n"))).join(some, ["n", "head"])
+        hits = hits.unionByName(near.where(fits & in_network(F.col("ip_key"), F.col("lo"), F.col("hi"))).drop("n", "head"))
     first = hits.groupBy("flow_id").agg(F.min(F.struct("rule_idx", "r_action")).alias("hit"))
     return flows.join(first, "flow_id", "left").select(
         flows["*"], F.col("hit.rule_idx").alias("rule_idx"), F.coalesce("hit.r_action", F.lit(default)).alias("action")
