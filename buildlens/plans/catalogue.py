@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.functions import scalars as fn
 from buildlens.operators import events as ev
 from buildlens.operators import graph, identity, matching, metrics, policy, staging, validate
-from buildlens.plans.views import view, with_views
+from buildlens.plans.views import VIEWS, view, with_views
 from buildlens.sources import readers, sinks
-from buildlens.streaming import twins
+from buildlens.streaming import streams, twins
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -704,3 +706,33 @@ _LOGS = "SELECT worker_id AS build_id, ts, bytes FROM messages WHERE kind = 'log
 @query(f"WITH l AS ({_LOGS}) SELECT build_id, cast(sum(bytes) AS bigint) AS bytes, min(ts) AS first_ts, max(ts) AS last_ts FROM l GROUP BY build_id")
 def live_log_bytes(spark, d):
     return twins.live_log_bytes(view(spark, d, _LOGS))
+
+
+# ----------------------------------------------------------------- streams
+
+
+def events_stream(spark: SparkSession, d: str) -> DataFrame:
+    """``events`` as a stream of its files, in the columns of the view ``messages``."""
+    path = f"{d}/events.parquet"
+    # a pattern, since a stream takes a single file for no folder
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path + "*")
+    return raw.selectExpr(*_projection(VIEWS["messages"]))
+
+
+def _projection(sql: str) -> list[str]:
+    """The select list of a view over one table."""
+    return [c.strip() for c in re.split(r",(?![^(]*\))", sql[sql.index("SELECT") + 6 : sql.rindex("FROM")])]
+
+
+_KINDS = "CASE kind WHEN 'heartbeat' THEN 'submitted' WHEN 'log' THEN 'dispatched' WHEN 'request_job' THEN 'declined' WHEN 'result_ok' THEN 'succeeded' ELSE 'failed' END"
+
+
+@query(f"WITH m AS (SELECT {_KINDS} AS counter, seq % 10 = 0 AS duplicate FROM messages) SELECT counter, count(*) AS n FROM m WHERE NOT (counter = 'submitted' AND duplicate) GROUP BY counter")
+def live_counters_stream(spark, d):
+    return streams.drained(streams.live_counters(events_stream(spark, d).selectExpr(f"{_KINDS} AS kind", "seq % 10 = 0 AS duplicate")))
+
+
+@query(f"WITH l AS ({_LOGS}) SELECT build_id, cast(sum(bytes) AS bigint) AS bytes, min(ts) AS first_ts, max(ts) AS last_ts FROM l GROUP BY build_id")
+def live_log_bytes_stream(spark, d):
+    logs = events_stream(spark, d).where("kind = 'log'").selectExpr("worker_id AS build_id", "ts", "bytes")
+    return streams.drained(streams.live_log_bytes(logs))
