@@ -26,11 +26,18 @@ def compile_policy(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     Typed: rule_idx, action, proto, kind (any, private, cidr), lo, hi (keys), bits, ports.
     Rejected rows keep their columns and get ``reason``.
     """
-    proto, dst = F.coalesce("proto", F.lit("any")), F.coalesce("dst", F.lit("any"))
-    ip = address_key(F.substring_index(dst, "/", 1))
-    bits = F.length(ip) * 4
-    given = F.substring_index(dst, "/", -1)
-    prefix = F.when(~dst.contains("/"), bits).when(given.rlike(r"\A\+?[0-9]{1,3}\z"), given.cast("int"))
+    # long expressions become columns first, so that the plan holds each of them once
+    given = F.substring_index("_dst", "/", -1)
+    staged = (
+        df.withColumn("_proto", F.coalesce("proto", F.lit("any")))
+        .withColumn("_dst", F.coalesce("dst", F.lit("any")))
+        .withColumn("_ip", address_key(F.substring_index("_dst", "/", 1)))
+        .withColumn("_bits", F.length("_ip") * 4)
+        .withColumn(
+            "_prefix", F.when(~F.col("_dst").contains("/"), F.col("_bits")).when(given.rlike(r"\A\+?[0-9]{1,3}\z"), given.cast("int"))
+        )
+    )
+    proto, dst, ip, bits, prefix = (F.col(c) for c in ("_proto", "_dst", "_ip", "_bits", "_prefix"))
     kind = F.when(dst.isin("any", "private"), dst).otherwise("cidr")
     one = r"\s*\+?0*[0-9]{1,5}\s*"
     ports = F.coalesce("ports", F.array().cast("array<string>"))
@@ -46,7 +53,7 @@ def compile_policy(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when((kind == "cidr") & ~F.coalesce(prefix <= bits, F.lit(False)), "bad prefix length")
         .when(~F.coalesce(good_port, F.lit(False)), "bad port range")
     )
-    judged = df.withColumn("reason", reason)
+    judged = staged.withColumn("reason", reason)
     rules = judged.where("reason is null").select(
         F.col("rule_idx").cast("int").alias("rule_idx"),
         "action",
@@ -57,7 +64,7 @@ def compile_policy(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(kind == "cidr", prefix).alias("bits"),
         typed.cast(RANGE).alias("port_ranges"),
     )
-    return rules, judged.where("reason is not null")
+    return rules, judged.where("reason is not null").select(*df.columns, "reason")
 
 
 def decide_flows(flows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
@@ -67,8 +74,7 @@ def decide_flows(flows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     Few rules are broadcast and tested one by one. Many are joined by prefix: each flow
     stands for every prefix length in use, so it meets no rule of another network.
     """
-    key = canonical_key(address_key(F.col("ip")))
-    keyed = flows.withColumn("ip_key", key)
+    keyed = flows.withColumn("_address", address_key(F.col("ip"))).withColumn("ip_key", canonical_key(F.col("_address"))).drop("_address")
     fits = protocol_fits(F.col("r_proto"), F.col("proto")) & in_ports(F.col("port"), F.col("port_ranges"))
     r = rules.withColumnRenamed("proto", "r_proto").withColumnRenamed("action", "r_action")
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
@@ -97,4 +103,5 @@ def decide_flows(flows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
 
 def ip_scope(flows: DataFrame) -> DataFrame:
     """``flows`` with ``private``: whether the destination is not a public address."""
-    return flows.withColumn("private", is_private(canonical_key(address_key(F.col("ip")))))
+    staged = flows.withColumn("_address", address_key(F.col("ip"))).withColumn("_key", canonical_key(F.col("_address")))
+    return staged.withColumn("private", is_private(F.col("_key"))).drop("_address", "_key")
