@@ -9,15 +9,16 @@ a Jaccard distance, which is a metric, of 0.2 or less.
    with fewer tokens in such a prefix that any other document has there too link with
    nothing. The same is then done exactly, on the whole sets of the remaining classes: fewer
    than ceil(0.8 n) shared tokens, and the class links with nothing.
-3. Pivots. A min-hash of its set deals a class to the region of a pivot, the region's first
-   class; the nearest of a class's pivots is its Voronoi region. Distances to pivots give the
+3. Pivots. A min-hash of its set deals a class to the region of a pivot, the region's most
+   central class; the nearest of a class's pivots is its Voronoi region. Distances to pivots give the
    first links and, later, the triangle-inequality windows.
 4. Boundaries. Rarest tokens first, linked classes share a token in a prefix of
    n - ceil(0.8 n) + 1. Classes that meet in such a token but lie in different components so
-   far are replicated to that token's region and joined there, unless their sizes or their
-   distances to a common pivot (a window of twice 0.1 on either side) rule the link out.
-   Regions recurse: each round compares 1, 2, 4, ... further pivots of a region with all
-   other members, until it lies in one component or all its classes have been pivots.
+   far are replicated to that token's region and joined there, unless their sizes, the
+   tokens left after that one, or their distances to a common pivot (the window of 0.2 on
+   either side) rule the link out. Regions recurse: each round compares the next 1, 8, 64, ...
+   most central classes of a region, its new pivots, with all other members, until it lies
+   in one component or all its classes have been pivots.
 
 Every link between different components is found, so the components are exact; links inside
 a component are left uncounted once it is connected. No step lists all pairs of a group of
@@ -40,6 +41,10 @@ from buildlens.llm.shingles import mix, shingle_sets
 PERCENT = 80
 #: Of n tokens, n // EXTRA more than the shortest prefix, and as many that must be shared.
 EXTRA = 10
+#: Pairs up to this number (16 bytes each) are broadcast to pick the sets they need.
+BROADCAST_PAIRS = 500_000
+#: Each round has so many times the pivots of the one before.
+GROWTH = 8
 #: Regions of pivots per class.
 SKETCHES = 2
 
@@ -127,7 +132,9 @@ def not_isolated(prints: DataFrame) -> DataFrame:
 
 
 def boundary_tokens(sets: DataFrame) -> DataFrame:
-    """token, node, n: the prefixes, rarest tokens first, of nodes with enough shared tokens."""
+    """token, node, n, pos, central: the prefixes, rarest tokens first, of nodes with enough
+    shared tokens. ``pos`` is a token's place among all tokens of its node, ``central`` how
+    many nodes have a token of it on average: an original is more central than its copies."""
     entries = sets.select("node", "n", F.explode("tokens").alias("token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     marked = entries.join(shared, "token")
@@ -135,14 +142,22 @@ def boundary_tokens(sets: DataFrame) -> DataFrame:
     return (
         marked.withColumn("place", F.row_number().over(w.orderBy("df", "token")))
         .withColumn("common", F.count("*").over(w))
+        .withColumn("central", (F.sum("df").over(w) + F.col("n") - F.col("common")) / F.col("n"))
         # tokens that no other node has come first in the order: n - common of them
         .where(F.col("place") <= F.col("common") - least_shared(F.col("n")) + 1)
-        .select("token", "node", "n")
+        .select("token", "node", "n", (F.col("place") + F.col("n") - F.col("common")).alias("pos"), "central")
     )
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y) to x, y, common, total: sizes of the intersection and of the union."""
+    """(x, y) to x, y, common, total: sizes of the intersection and of the union.
+
+    Only the sets of nodes in a pair are moved: few pairs pick them by broadcast.
+    """
+    pairs = written(pairs.select("x", "y").distinct(), "jaccard-pairs")
+    if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
+        asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        sets = sets.join(F.broadcast(asked), "node", "left_semi")
     left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx"))
     right = sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty"))
 
@@ -161,7 +176,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             names=["x", "y", "common", "total"],
         )
 
-    joined = pairs.select("x", "y").distinct().join(left, "x").join(right, "y")
+    joined = pairs.join(left, "x").join(right, "y")
     return map_arrow(joined.select("x", "y", "tx", "ty"), run, "x bigint, y bigint, common bigint, total bigint")
 
 
@@ -178,12 +193,12 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def class_components(sets: DataFrame) -> DataFrame:
     """``sets(node, n, tokens, sketch)`` to (node, component) of every node with a link."""
     regions = written(boundary_tokens(sets), "jaccard-regions")
-    nodes = written(regions.select("node", "n").distinct(), "jaccard-nodes")
-    sets = written(sets.join(nodes.select("node"), "node", "left_semi"), "jaccard-sets")
+    nodes = written(regions.groupBy("node", "n").agg(F.max("central").alias("central")), "jaccard-nodes")
+    sets = written(sets.join(nodes.select("node", "central"), "node"), "jaccard-sets")
 
     # pivots of min-hash regions
-    dealt = sets.select("node", "n", F.posexplode("sketch").alias("which", "region"))
-    pivots = dealt.groupBy("which", "region").agg(F.min(F.struct("node", "n")).alias("p"))
+    dealt = sets.select("node", "n", "central", F.posexplode("sketch").alias("which", "region"))
+    pivots = dealt.groupBy("which", "region").agg(F.max(F.struct("central", "node", "n")).alias("p"))
     size_ok = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
     to_pivot = (
         dealt.join(pivots, ["which", "region"])
@@ -212,7 +227,7 @@ def class_components(sets: DataFrame) -> DataFrame:
         open_ = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
         ranked = placed.join(open_, "token").join(home, "node")
         ranked = written(
-            ranked.withColumn("place", F.row_number().over(W.partitionBy("token").orderBy("node")) - 1), "jaccard-open"
+            ranked.withColumn("place", F.row_number().over(W.partitionBy("token").orderBy(F.desc("central"), "node")) - 1), "jaccard-open"
         )
         p = ranked.where(F.col("place").between(first, first + many - 1))
         if p.isEmpty():
@@ -225,18 +240,23 @@ def class_components(sets: DataFrame) -> DataFrame:
             F.col("place").alias("py"),
             F.col("d").alias("dy"),
             F.col("pivot").alias("qy"),
+            F.col("pos").alias("sy"),
         )
+        # where a token is the first that two sets share, all other shared ones come after it
+        # in both, and links share 4/9 of their sizes' sum
+        after = F.least(F.col("n") - F.col("pos"), F.col("ny") - F.col("sy")) + 1
+        reachable = after * 9 >= (F.col("n") + F.col("ny")) * 4
         window = ~F.coalesce((F.col("pivot") == F.col("qy")) & (F.abs(F.col("d") - F.col("dy")) > 0.2 + 1e-9), F.lit(False))
         pairs = (
             ranked.join(p, "token")
-            .where((F.col("place") > F.col("py")) & (F.col("component") != F.col("cy")) & size_ok(F.col("n"), F.col("ny")) & window)
+            .where((F.col("place") > F.col("py")) & (F.col("component") != F.col("cy")) & size_ok(F.col("n"), F.col("ny")) & reachable & window)
             .select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y"))
         )
         more = written(verified(pairs, sets).where(is_link()).select("x", "y"), "jaccard-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = written(_labelled(nodes.select("node"), links), "jaccard-labels")
-        first, many = first + many, many * 2
+        first, many = first + many, many * GROWTH
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
