@@ -120,32 +120,41 @@ def shingle_table(docs: DataFrame) -> DataFrame:
 
 def not_isolated(prints: DataFrame) -> DataFrame:
     """Nodes that the prefix certificate doesn't clear: node, doc_id (its least)."""
-    entries = prints.where("n_shingles > 0").select("node", F.explode("prefix").alias("token"))
+    some = prints.where("n_shingles > 0 and doc_id is not null")
+    # ids of documents are small numbers and shrink in a shuffle, hashes of sets don't
+    entries = some.select("doc_id", F.explode("prefix").alias("token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    found = entries.join(shared, "token").groupBy("node").agg(F.count("*").alias("found"))
-    # exact copies of a class only add to its count, which clears fewer
-    classes = prints.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")
-    )
+    found = entries.join(shared, "token").groupBy("doc_id").agg(F.count("*").alias("found"))
+    # copies of a set, and rows of one doc_id, only add to a count, which clears fewer
+    classes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     need = F.greatest(F.lit(1), F.floor(least_shared(F.col("n")) / EXTRA))
-    return classes.join(found, "node").where(F.col("found") >= need).select("node", "doc_id")
+    return classes.join(found, "doc_id").where(F.col("found") >= need).select("node", "doc_id")
 
 
 def boundary_tokens(sets: DataFrame) -> DataFrame:
     """token, node, n, pos, central: the prefixes, rarest tokens first, of nodes with enough
     shared tokens. ``pos`` is a token's place among all tokens of its node, ``central`` how
     many nodes have a token of it on average: an original is more central than its copies."""
-    entries = sets.select("node", "n", F.explode("tokens").alias("token"))
+    entries = sets.select("node", F.explode("tokens").alias("token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    marked = entries.join(shared, "token")
     w = W.partitionBy("node")
-    return (
-        marked.withColumn("place", F.row_number().over(w.orderBy("df", "token")))
+    placed = (
+        entries.join(shared, "token")
+        .withColumn("place", F.row_number().over(w.orderBy("df", "token")))
         .withColumn("common", F.count("*").over(w))
-        .withColumn("central", (F.sum("df").over(w) + F.col("n") - F.col("common")) / F.col("n"))
+        .withColumn("held", F.sum("df").over(w))
+    )
+    return (
+        placed.join(sets.select("node", "n"), "node")
         # tokens that no other node has come first in the order: n - common of them
         .where(F.col("place") <= F.col("common") - least_shared(F.col("n")) + 1)
-        .select("token", "node", "n", (F.col("place") + F.col("n") - F.col("common")).alias("pos"), "central")
+        .select(
+            "token",
+            "node",
+            "n",
+            (F.col("place") + F.col("n") - F.col("common")).alias("pos"),
+            ((F.col("held") + F.col("n") - F.col("common")) / F.col("n")).alias("central"),
+        )
     )
 
 
@@ -271,11 +280,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     prints = written(fingerprints(docs), "jaccard-prints")
     picked = written(not_isolated(prints), "jaccard-picked")
     ids = picked.where("doc_id is not null").select("doc_id").distinct()
-    found = shingle_table(picked_rows(docs, ids)).join(picked.select("node"), "node", "left_semi")
-    # a doc_id that stands in several rows brings its class several times
-    repeated = not prints.groupBy("doc_id").count().where("count > 1").isEmpty()
-    sets = written(found.dropDuplicates(["node"]) if repeated else found, "jaccard-candidates")
+    found = shingle_table(picked_rows(docs, ids)).join(picked, "node")
+    # a doc_id that stands in several rows may bring a class several times, and stand for several
+    repeated = not prints.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
+    named = found.dropDuplicates(["node"]).drop("doc_id") if repeated else found.drop("node").withColumnRenamed("doc_id", "node")
+    sets = written(named, "jaccard-candidates")
     labels = class_components(sets).where("component <> node")
+    if not repeated:
+        of = picked.select(F.col("node").alias("hash"), F.col("doc_id").alias("id"))
+        labels = (
+            labels.join(of, labels["node"] == of["id"])
+            .select(F.col("hash").alias("node"), "component")
+            .join(of, F.col("component") == of["id"])
+            .select("node", F.col("hash").alias("component"))
+        )
     own = prints.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
