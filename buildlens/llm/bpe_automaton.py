@@ -24,11 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.shared import Memo, map_arrow, whole
+from buildlens.llm.shared import Memo, whole
 
 #: Words that a Python worker remembers, and states of its automaton before it starts anew.
-MEMO = 500_000
-STATES = 600_000
+MEMO = 160_000
+STATES = 150_000
+#: More than the trie's nodes: a token and a node make one number.
+NODES = 1 << 20
 
 _encoders: dict = {}
 
@@ -76,7 +78,7 @@ class Merges:
                 until, t = rt + 1, self.parts[t][0]
             else:
                 until, p = rp, self.parts[p][1]
-        if len(self.memo) > 4_000_000:
+        if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[key] = ok
         return ok
@@ -117,7 +119,7 @@ class WordAutomaton:
         self.reset()
 
     def reset(self) -> None:
-        start = ((-1, 0),)
+        start = (0,)  # no token before, at the root
         self.ids = {start: 0}
         self.states = [start]
         self.last = [-1]
@@ -125,15 +127,17 @@ class WordAutomaton:
 
     def _step(self, state: int, symbol: int) -> int:
         alive, last = [], -1
-        for before, node in self.states[state]:
+        for pair in self.states[state]:
+            before, node = divmod(pair, NODES)
             to = self.trie.get(node * 512 + symbol)
             if to is None:
                 continue
-            alive.append((before, to))
+            alive.append(pair - node + to)
+            before -= 1
             t = self.token_at.get(to)
             if t is not None and last < 0 and (before < 0 or self.merges.follows(before, t)):
                 last = t
-        alive.append((last, 0))
+        alive.append((last + 1) * NODES)
         key = tuple(alive)
         if key not in self.ids:
             self.ids[key] = len(self.states)
@@ -185,6 +189,11 @@ class WordBpe:
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.memo = Memo(self.word, MEMO)
 
+    def forget(self) -> None:
+        self.memo = Memo(self.word, MEMO)
+        self.automaton.reset()
+        self.automaton.merges.memo.clear()
+
     def normalise(self, text: str) -> str:
         if text.isascii():
             return text.lower()
@@ -210,6 +219,21 @@ class WordBpe:
         return b"".join(ids), " ".join(labels)
 
 
+def _mapped(docs: DataFrame, tokenizer_path: str, fn, schema: str) -> DataFrame:
+    """``fn(encoder, batch)`` over all batches. What the encoder has remembered goes with the
+    task, since Python workers live on and other stages need the memory."""
+
+    def run(batches):
+        enc = word_bpe(tokenizer_path)
+        try:
+            for b in batches:
+                yield from fn(enc, b)
+        finally:
+            enc.forget()
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text")).mapInArrow(run, schema)
+
+
 def word_bpe(path: str) -> WordBpe:
     if path not in _encoders:
         _encoders[path] = WordBpe(path)
@@ -224,31 +248,28 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
     import numpy as np
 
-    def run(batch):
-        enc = word_bpe(tokenizer_path)
-        ids, back = [], []
-        for t in batch.column("text").to_pylist():
-            a, b = enc.encode(t)
-            ids.append(np.frombuffer(a, "<u4").astype(np.int32))
-            back.append(b)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())],
-            names=["doc_id", "ids", "decoded"],
-        )
+    def run(enc, batch):
+        # in parts: ids and labels are several times as long as the texts
+        for lo in range(0, batch.num_rows, 250):
+            part = batch.slice(lo, 250)
+            ids, back = [], []
+            for t in part.column("text"):
+                a, b = enc.encode(t.as_py())
+                ids.append(np.frombuffer(a, "<u4").astype(np.int32))
+                back.append(b)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())],
+                names=["doc_id", "ids", "decoded"],
+            )
 
-    return map_arrow(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text")),
-        run,
-        "doc_id bigint, ids array<int>, decoded string",
-    )
+    return _mapped(docs, tokenizer_path, run, "doc_id bigint, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """As ``encode_documents``, with n_tokens and the SHA-256 of ids and decoded text instead,
     so that no task returns more than a row of fixed size per document."""
 
-    def run(batch):
-        enc = word_bpe(tokenizer_path)
+    def run(enc, batch):
         n, a, b = [], [], []
         for t in batch.column("text").to_pylist():
             ids, back = enc.encode(t)
@@ -260,8 +281,4 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_arrow(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text")),
-        run,
-        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
-    )
+    return _mapped(docs, tokenizer_path, run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
