@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text.
 
-Per language, an interpolated modified Kneser-Ney model of character 4-grams is trained on three
-quarters of the trusted documents; the rest, unseen in training as other documents are,
+Per language, an interpolated modified Kneser-Ney model of character 4-grams, none folded, is
+trained on three quarters of the trusted documents; the rest, unseen in training as other documents are,
 calibrates. A document is kept if its perplexity lies between two quantiles of the
 perplexities of its language's calibrating documents of about its length: text that is less
 predictable than trusted text is noise, text that is far more predictable repeats itself.
@@ -9,79 +9,18 @@ predictable than trusted text is noise, text that is far more predictable repeat
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.kn import Alphabet, count_grams, grams, train_tables
-from buildlens.llm.shared import map_arrow, picked_rows, whole, written
+from buildlens.llm.kn_table import Model, count_grams, perplexities
+from buildlens.llm.shared import picked_rows, whole, written
 
-ORDER = 4
 #: Quantiles of trusted perplexities outside which a document is rejected.
 LOW, HIGH = 0.002, 0.998
 #: Widening of both limits, and the trusted documents that a length band needs for limits of its own.
 SLACK, ENOUGH = 0.01, 150
 
 
-def quality_alphabet() -> Alphabet:
-    """Boundary, a-z, upper case, two groups of other letters, digit, white space, newline,
-    full stop, comma and two groups of other characters: 37 symbols."""
-    t = np.zeros(0x10000, np.uint8)
-    for cp in range(1, 0x10000):
-        c = chr(cp)
-        if "a" <= c <= "z":
-            s = cp - 96
-        elif c.isalpha():
-            s = 27 if c.isupper() else 28 + cp % 2
-        elif c.isdigit():
-            s = 30
-        elif c == "\n":
-            s = 32
-        elif c.isspace():
-            s = 31
-        elif c in ".,":
-            s = 33 + ".,".index(c)
-        else:
-            s = 35 + cp % 2
-        t[cp] = s
-    return Alphabet(37, t, 35)
-
-
-def score_perplexity(docs: DataFrame, shared: Broadcast, alphabet: Alphabet, order: int) -> DataFrame:
-    """(doc_id, lang, text) to (doc_id, lang, n, perplexity) under the broadcast tables; a
-    language without a model is scored by the pool of all, the table of the language ''. An
-    empty text has n = 0 and no perplexity."""
-
-    def run(batch):
-        model = shared.value
-        langs = batch.column("lang").to_pylist()
-        texts = batch.column("text").to_pylist()
-        total = np.zeros(len(texts))
-        n = np.array([len(t) for t in texts], np.int64)
-        by: dict[str, list[int]] = {}
-        for i, lang in enumerate(langs):
-            if n[i]:
-                by.setdefault(lang if lang in model else "", []).append(i)
-        for lang, rows in by.items():
-            logp = model.get(lang)
-            if logp is None:
-                continue
-            for first, code, starts, _ in grams([texts[i] for i in rows], alphabet, order):
-                values = logp[code]
-                values[code % alphabet.size == 0] = 0  # boundaries before each text
-                total[rows[first : first + len(starts)]] = np.add.reduceat(values, starts, dtype=np.float64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ppl = np.exp(-total / n)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"), pa.array(n), pa.array(ppl, pa.float64(), mask=n == 0)],
-            names=["doc_id", "lang", "n", "perplexity"],
-        )
-
-    return map_arrow(docs.select("doc_id", "lang", "text"), run, "doc_id bigint, lang string, n bigint, perplexity double")
-
-
 def band() -> Column:
     """Length band: perplexities of short texts scatter more, so limits are kept by powers of 4."""
     return F.least(F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) / 2), F.lit(7)).cast("int")
@@ -103,25 +42,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, low: float = LOW, high: f
     Repeated rows each give a row; an empty table gives an empty result; other columns are
     ignored.
     """
-    alphabet = quality_alphabet()
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), whole().alias("text")
     )
     calibrates = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)).select("doc_id")
     train = trusted_rows(texts, good.where(~calibrates))
-    own = written(count_grams(train, alphabet, ORDER), "quality-counts")
-    pooled = own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "gram", "n")
-    # half precision: an error of 1 in 2,000 of a log-probability, and half the memory
-    tables = train_tables(own.where("lang <> ''").unionByName(pooled), alphabet, ORDER, np.float16)
-    with_model = [k for k in tables if k]
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-    del tables
-    scores = written(score_perplexity(texts, shared, alphabet, ORDER), "quality-scores")
-    shared.destroy()
+    own = written(count_grams(train), "quality-counts")
+    pooled = own.groupBy("ctx", "w").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "ctx", "w", "n")
+    counts = written(own.where("lang <> ''").unionByName(pooled), "quality-all-counts")
+    with_model = sorted(r["lang"] for r in own.where("lang <> ''").select("lang").distinct().collect())
+    model = F.when(F.col("lang").isin(*with_model), F.col("lang")).otherwise("") if with_model else F.lit("")
+    scores = written(perplexities(texts.withColumn("model", model), Model(counts)), "quality-scores")
     seen = trusted_rows(scores, good.where(calibrates)).where("n > 0")
     q = lambda p: F.percentile_approx("perplexity", F.lit(p), F.lit(100_000))
-    model = F.when(F.col("lang").isin(*with_model), F.col("lang")).otherwise("") if with_model else F.lit("")
     # the fewer documents stand behind a quantile, the less it says about the next one
     wider = 1 + SLACK + 1 / F.sqrt(F.count("*"))
     # every trusted row counts for its language and for the pool, in its band and in all lengths

@@ -411,3 +411,55 @@ def test_pipeline_stages(spark):
     for r in seen[names[4]].collect():
         assert r.ids == lib.encode(text[r.doc_id], add_special_tokens=False).ids
     assert corpus_pipeline.run(spark, d).count() == len(ids[names[4]])
+
+
+# ---- reviewer's findings
+
+
+def brute_kneser_ney(texts, order=4):
+    """ln P of a symbol after a history, by recursion over plain dictionaries."""
+    counts = {order: collections.Counter()}
+    for t in texts:
+        s = [None] * (order - 1) + list(t)
+        for i in range(order - 1, len(s)):
+            counts[order][tuple(s[i - order + 1 : i + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    d = {}
+    for k, c in counts.items():
+        n = [sum(v == x for v in c.values()) for x in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if min(n) else 0
+        d[k] = [0, *[min(max(x - (x + 1) * y * n[x] / n[x - 1], 0.05), x - 0.05) for x in (1, 2, 3)]] if min(n) else [0, 0.5, 0.75, 0.9]
+    contexts = collections.defaultdict(list)
+    for k, c in counts.items():
+        for g, v in c.items():
+            contexts[k, g[:-1]].append(v)
+
+    def p(g, k):
+        if k == 0:
+            return 1 / 0x110000
+        low, seen = p(g[1:], k - 1), contexts.get((k, g[:-1]))
+        if not seen:
+            return low
+        n = counts[k].get(g, 0)
+        return (n - d[k][min(n, 3)] + sum(d[k][min(v, 3)] for v in seen) * low) / sum(seen)
+
+    return lambda t: [np.log(p(tuple(([None] * (order - 1) + list(t))[i : i + order]), order)) for i in range(len(t))]
+
+
+def test_quality_model_keeps_whole_characters(spark):
+    from buildlens.llm.kn_table import Model, count_grams, perplexities
+    from buildlens.llm.shared import written
+
+    rng = random.Random(4)
+    train = ["".join(rng.choices("абвгд еж. Ж日本ab\0😀", k=rng.randint(1, 90))) for _ in range(60)]
+    tried = [*train[:3], "зийк", "жжж日x", "qqq\0", "😀😀", "a", "", "АБВ аб" * 30]
+    counts = written(count_grams(spark.createDataFrame([("ru", t) for t in train], "lang string, text string")), "test-counts")
+    assert counts.select("w").distinct().count() == len(set("".join(train)))
+    df = spark.createDataFrame([(i, "ru", "ru", t) for i, t in enumerate(tried)], "doc_id bigint, lang string, model string, text string")
+    got = {r.doc_id: r.perplexity for r in perplexities(df, Model(counts)).collect()}
+    ln = brute_kneser_ney(train)
+    assert got.pop(8) is None
+    assert got == pytest.approx({i: np.exp(-np.mean(ln(t))) for i, t in enumerate(tried) if t})
+    # unseen letters of the same script were the same two symbols once
+    assert got[3] > 20 * got[0]
