@@ -35,7 +35,8 @@ def simhash_signs(h: np.ndarray) -> np.ndarray:
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1, bitorder="little").reshape(-1, 8).view(np.uint64).ravel()
+    # weights that cancel out leave rounding errors, which hang on where a running sum began
+    return np.packbits(sums > 1e-6, axis=1, bitorder="little").reshape(-1, 8).view(np.uint64).ravel()
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -49,7 +50,9 @@ def shingles_of(h: np.ndarray) -> np.ndarray:
 class Items:
     """The benchmark: shingles, weights, fingerprints, and the block index of each item length."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], whole_benchmark: tuple | None = None):
+        """``whole_benchmark``: where this is only a pass, the number of items in all, and the
+        shingles of this pass's items with the number of items in all that have them."""
         with np.errstate(over="ignore"):
             hashes = [np.zeros(0, np.uint64)] * len(ids)
             for first, h, bounds in words([(t or "").encode() for t in texts], SPACE_OR_MARK):
@@ -62,8 +65,13 @@ class Items:
         # weight: the rarer among items, the heavier; what no item has weighs most
         every, df = np.unique(np.concatenate([np.unique(s) for s in self.shingles]) if kept else np.zeros(0, np.uint64), return_counts=True)
         self.every = every
-        self.weight = np.log1p(len(kept) / df)
-        self.heaviest = float(np.log1p(len(kept))) if kept else 1.0
+        self.count = len(kept)
+        if whole_benchmark is not None:
+            self.count, s, n = whole_benchmark
+            df = n[np.searchsorted(s, every)]
+        self.weight = np.log1p(self.count / df)
+        self.heaviest = float(np.log1p(self.count)) if kept else 1.0
+        self.elsewhere = (np.zeros(0, np.uint64), np.zeros(0))
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(every >> np.uint64(44)).astype(np.int64)] = True
         self.mark = np.array(
@@ -89,12 +97,17 @@ class Items:
             hit[at] = self.every[pos] == s[at]
         return hit
 
+    def read(self, known: tuple[np.ndarray, np.ndarray]) -> None:
+        """Take the next document's shingles that any pass has, sorted, and in how many items."""
+        self.elsewhere = (known[0], np.log1p(self.count / known[1]))
+
     def weights(self, s: np.ndarray) -> np.ndarray:
         w = np.full(len(s), self.heaviest)
-        if len(self.every):
-            pos = np.minimum(np.searchsorted(self.every, s), len(self.every) - 1)
-            hit = self.every[pos] == s
-            w[hit] = self.weight[pos[hit]]
+        for every, weight in ((self.every, self.weight), self.elsewhere):
+            if len(every):
+                pos = np.minimum(np.searchsorted(every, s), len(every) - 1)
+                hit = every[pos] == s
+                w[hit] = weight[pos[hit]]
         return w
 
     def candidates(self, n: int, marks: np.ndarray) -> np.ndarray:
@@ -151,29 +164,67 @@ class Items:
                 pairs = self.candidates(n, marks)
                 nearest = np.argsort(popcount(marks[pairs[:, 0]] ^ self.mark[pairs[:, 1]]), kind="stable")
                 for w, item in pairs[nearest].tolist():
-                    best = found.get(item, (0, 0, 0.0))[2]
-                    if best >= 1 - 1e-12:
+                    at, _, best = found.get(item, (0, 0, 0.0))
+                    if best >= 1 - 1e-12 and starts[w] >= at:
                         continue
                     sim = self.similarity(s[starts[w] : ends[w]], item)
-                    if sim >= SIMILARITY and sim > best:
+                    # of equal windows the first, whatever else the benchmark holds
+                    if sim >= SIMILARITY and (sim > best or (sim == best and starts[w] < at)):
                         found[item] = (int(starts[w]), min(n, len(h)), sim)
         return found
 
 
 def slices(benchmark: DataFrame):
-    """The benchmark in lists of (item_id, text) of at most PASS_BYTES each."""
+    """The benchmark in lists of rows (item_id, text, ...) of at most PASS_BYTES of text each."""
     now: list[tuple] = []
     size = 0
-    for r in benchmark.select("item_id", whole().alias("text")).toLocalIterator():
+    for r in benchmark.toLocalIterator():
         if now and size + len(r["text"]) * 4 > PASS_BYTES:
             yield now
             now, size = [], 0
-        now.append((r["item_id"], r["text"]))
+        now.append((r["item_id"], r["text"], *(pairs(r["known"]) if "known" in r else ())))
         size += len(r["text"]) * 4
     if now:
         yield now
 
 
+def pairs(known: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles and the number of items that have each."""
+    s = np.array([k["s"] for k in known], np.int64).view(np.uint64)
+    n = np.array([k["n"] for k in known], np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+#: A text's identity where its shingles are joined and come back.
+TEXT_KEY = ["h", "crc", "chars"]
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    return texts.select("*", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.length("text").alias("chars"))
+
+
+def text_shingles(texts: DataFrame) -> DataFrame:
+    """The key of each text with each of its distinct shingles."""
+
+    def run(batch):
+        kept = {c: batch.column(c).to_numpy() for c in TEXT_KEY}
+        with np.errstate(over="ignore"):
+            for first, h, bounds in words([t.encode() for t in batch.column("text").to_pylist()], SPACE_OR_MARK):
+                own = [np.unique(shingles_of(h[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                at = np.repeat(np.arange(first, first + len(own)), [len(s) for s in own])
+                arrays = [pa.array(kept[c][at]) for c in TEXT_KEY] + [pa.array(np.concatenate(own).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*TEXT_KEY, "s"])
+
+    return map_arrow(keyed(texts).select(*TEXT_KEY, "text"), run, "h bigint, crc bigint, chars int, s bigint")
+
+
+def with_known(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with a shingle in ``counts(s, n)``, and what it has of it in ``known``."""
+    hits = text_shingles(texts).join(counts, "s").groupBy(TEXT_KEY).agg(F.collect_set(F.struct("s", "n")).alias("known"))
+    return keyed(texts).join(hits, TEXT_KEY).drop(*TEXT_KEY)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: the best window of each document for
     each benchmark item that it holds with a similarity of 0.8 or more.
@@ -182,18 +233,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     part them. An item or text of fewer than five words is one shingle. Null or empty texts
     and items match nothing. Repeated rows each give their pairs; null ids are carried along;
     an empty table on either side gives an empty result; other columns are ignored. The
-    benchmark is held in passes of at most PASS_BYTES, so any size of it works.
+    benchmark is held in passes of at most PASS_BYTES. Shingles are then counted over all
+    passes and joined to the texts, so that passes change no weight, fingerprint or similarity.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double"
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text")).where("text <> ''")
+    items = benchmark.select("item_id", whole().alias("text"))
+    count = None
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) * 4 > PASS_BYTES:
+        items = items.where("text <> ''")
+        rows = items.groupBy("text").agg(F.count("*").alias("rows"))
+        counts = text_shingles(items.select("text").distinct()).join(keyed(rows).select(*TEXT_KEY, "rows"), TEXT_KEY)
+        counts = written(counts.groupBy("s").agg(F.sum("rows").alias("n")), "leak-shingles")
+        items = written(with_known(items, counts), "leak-items")
+        count = items.count()
+        texts = written(with_known(texts, counts), "leak-candidates")
     out = None
-    for some in slices(benchmark):
-        shared = spark.sparkContext.broadcast(some)
+    for some in slices(items):
+        shared = spark.sparkContext.broadcast((count, some))
 
         def run(batch, shared=shared):
             items = _items(shared)
             ids = batch.column("doc_id").to_pylist()
+            known = batch.column("known") if "known" in batch.schema.names else None
             rows: list[tuple] = []
             if not len(items.size):
                 return
@@ -208,6 +271,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         s = shingles_of(own)
                         hits = np.flatnonzero(items.known(s))
                         if len(hits):
+                            if known is not None:
+                                items.read(pairs(known[first + i].as_py()))
                             for item, got in items.matches(own, s, hits).items():
                                 rows.append((ids[first + i], items.ids[item], *got))
             if rows:
@@ -227,9 +292,13 @@ _held: tuple = (None, None)
 def _items(shared) -> Items:
     """The benchmark of a broadcast, built once in each Python worker."""
     global _held
-    rows = shared.value
+    count, rows = shared.value
     if _held[0] is not rows:
-        _held = (rows, Items([r[0] for r in rows], [r[1] for r in rows]))
+        whole_benchmark = None
+        if count is not None:
+            s, at = np.unique(np.concatenate([r[2] for r in rows]), return_index=True)
+            whole_benchmark = (count, s, np.concatenate([r[3] for r in rows])[at])
+        _held = (rows, Items([r[0] for r in rows], [r[1] for r in rows], whole_benchmark))
     return _held[1]
 
 

@@ -463,3 +463,27 @@ def test_quality_model_keeps_whole_characters(spark):
     assert got == pytest.approx({i: np.exp(-np.mean(ln(t))) for i, t in enumerate(tried) if t})
     # unseen letters of the same script were the same two symbols once
     assert got[3] > 20 * got[0]
+
+
+def test_leaks_do_not_depend_on_passes(spark, monkeypatch):
+    from buildlens.llm import decontaminate
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    template = [word() for _ in range(24)]
+    items = [template[:12] + [word() for _ in range(rng.randint(3, 9))] + template[12:] for _ in range(12)] + [[word() for _ in range(30)] for _ in range(6)] + [["two", "words"]]
+    docs = []
+    for item in items * 3:
+        put = list(item)
+        for _ in range(rng.randint(0, 2)):
+            put[rng.choice([0, 1, -1, -2]) % len(put)] = word()
+        docs.append([word() for _ in range(20)] + put + [word() for _ in range(20)] + (put if rng.random() < 0.3 else []))
+    rows = [(i, " ".join(w)) for i, w in enumerate(items)] + [(3, " ".join(items[3])), (98, None), (99, "")]
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    df = docs_of(spark, [(i, " ".join(w)) for i, w in enumerate(docs)] + [(None, " ".join(docs[0])), (1, " ".join(docs[1])), (77, "")])
+    found = lambda: sorted(map(tuple, find_leaks(df, bench).collect()), key=str)
+    want = found()
+    assert len(want) > 20 and any(r[4] < 1 for r in want)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 1500)
+    assert len(list(decontaminate.slices(bench.fillna("", "text")))) > 5
+    assert found() == want
