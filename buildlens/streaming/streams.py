@@ -123,19 +123,66 @@ def dedupe_results(results: DataFrame, late: str = "1 day") -> DataFrame:
     return results.withWatermark("ts", late).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
+def _kept(batch: DataFrame, n: int, path: str) -> DataFrame:
+    """Add micro-batch ``n`` to the events below ``path``; all of them up to ``n``. A batch that runs again replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{path}/micro_batch={n}")
+    return batch.sparkSession.read.schema(batch.schema).parquet(path).where(F.col("micro_batch") <= n).select(batch.columns)
+
+
+def _of_keys(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is (``left_anti``: is not) in ``keys(touched)``; null is a key."""
+    return df.join(keys, F.col(column).eqNullSafe(F.col("touched")), how)
+
+
+def _merged(new: DataFrame, keys: DataFrame, column: str, n: int, table: str) -> None:
+    """Put ``new``, the rows of the touched keys, in the place of their rows in the version before;
+    other keys keep theirs. Versions lie beside ``table``, which gets the newest."""
+    spark = new.sparkSession
+    versions = f"{table.rstrip('/')}-versions"
+    if n > 0:
+        before = spark.read.schema(new.schema).parquet(f"{versions}/version={n - 1}")
+        new = new.unionByName(_of_keys(before, keys, column, "left_anti"))
+    new.write.mode("overwrite").parquet(f"{versions}/version={n}")
+    spark.read.schema(new.schema).parquet(f"{versions}/version={n}").write.mode("overwrite").parquet(table)
+
+
 def abandoned_and_requeued_by_batch(stream: DataFrame, rule, table: str, path: str):
-    """STR-3, STR-6 and STR-7 keep no timer in the stream: each micro-batch is appended to a
-    table of events and the batch rule runs over the keys that the batch touched."""
+    """STR-3 and STR-6 keep no timer in the stream: each micro-batch is added to a table of
+    events, the batch rule runs over the keys that the batch touched, and their rows are merged
+    into ``table``. The first column of the stream is the key, in the rule's result too."""
 
-    def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("append").parquet(path)
-        keys = batch.select(batch.columns[0]).distinct()
-        rule(spark.read.schema(batch.schema).parquet(path).join(keys, batch.columns[0], "left_semi")).write.mode("overwrite").parquet(table)
+    def step(batch: DataFrame, n: int) -> None:
+        key = batch.columns[0]
+        events = _kept(batch, n, path)
+        keys = batch.select(F.col(key).alias("touched")).distinct()
+        _merged(rule(_of_keys(events, keys, key, "left_semi")), keys, key, n, table)
 
     return stream.writeStream.foreachBatch(step)
 
 
+def admissions_by_batch(submits: DataFrame, intervals: DataFrame, grace: int, table: str, path: str):
+    """STR-7 over two streams, ``submits(job_id, system, ts)`` and ``intervals(system, opens,
+    closes)``: both are added to tables of events, and the decisions on all submissions to a
+    system that the batch touched on either side are made anew and merged into ``table``
+    (job_id, system, decision, served_at). A decision can change while intervals still arrive."""
+    both = submits.select(
+        "system", "job_id", "ts", F.lit(None).cast(intervals.schema["opens"].dataType).alias("opens"), F.lit(None).cast(intervals.schema["closes"].dataType).alias("closes"), F.lit(True).alias("submitted")
+    ).unionByName(
+        intervals.select(
+            "system", F.lit(None).cast(submits.schema["job_id"].dataType).alias("job_id"), F.lit(None).cast(submits.schema["ts"].dataType).alias("ts"), "opens", "closes", F.lit(False).alias("submitted")
+        )
+    )
+
+    def rule(events: DataFrame) -> DataFrame:
+        from buildlens.streaming.twins import admissions
+
+        asked = events.where("submitted").select("job_id", "system", "ts")
+        decided = admissions(asked, events.where("not submitted").select("system", "opens", "closes"), grace)
+        return asked.select("system", "job_id").distinct().join(decided, "job_id")
+
+    return abandoned_and_requeued_by_batch(both, rule, table, path)
+
+
 def live_counters(events: DataFrame) -> DataFrame:
     """STR-8: counters in update mode."""
     counted = events.where(F.col("kind").isin(*COUNTERS) & ~((F.col("kind") == "submitted") & F.col("duplicate")))

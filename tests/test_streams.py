@@ -108,3 +108,30 @@ def test_log_tail_resumes(spark, tmp_path):
     assert read() == [(0, "abcd")]
     write("x", [("b", 1, T0, b"efg")])
     assert read() == [(0, "abcd"), (1, "efg")]
+
+
+def test_keys_of_earlier_batches_stay(spark, tmp_path):
+    subs = [(1, at(0), 0, 1), (1, at(5), 1, -1), (None, at(6), 0, -1), (3, at(7), 0, 1), (2, at(6), 0, 1), (2, at(50), 1, -1)]
+    schema = "build_id int, ts timestamp, seq int, change int"
+    q = streams.abandoned_and_requeued_by_batch(replay(spark, tmp_path / "s", subs, schema), lambda df: twins.abandoned(df, 10), f"{tmp_path}/out", f"{tmp_path}/events")
+    q.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r.build_id, r.abandoned_at) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(r.build_id, r.abandoned_at) for r in twins.abandoned(spark.createDataFrame(subs, schema), 10).collect()} and len(got) == 3
+    lost = [(1, at(0), 0, "lost"), (1, at(1), 1, "lost"), (2, at(2), 0, "ran"), (2, at(3), 1, "lost"), (1, at(4), 2, "lost"), (3, at(5), 0, "lost")]
+    schema = "job_id int, ts timestamp, seq int, kind string"
+    q = streams.abandoned_and_requeued_by_batch(replay(spark, tmp_path / "r", lost, schema), lambda df: twins.requeues(df, 30), f"{tmp_path}/out6", f"{tmp_path}/events6")
+    q.option("checkpointLocation", f"{tmp_path}/c6").trigger(availableNow=True).start().awaitTermination(120)
+    cols = ("job_id", "ts", "attempts", "requeued")
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out6"), *cols) == rows_of(twins.requeues(spark.createDataFrame(lost, schema), 30), *cols)
+
+
+def test_admissions_by_batch(spark, tmp_path):
+    asked = [(1, "a", at(0)), (2, "b", at(5)), (3, "a", at(100)), (4, "c", at(7))]
+    there = [("a", at(20), at(60)), ("b", at(0), at(9)), ("d", at(0), at(9)), ("a", at(500), at(600))]
+    submits, intervals = "job_id int, system string, ts timestamp", "system string, opens timestamp, closes timestamp"
+    q = streams.admissions_by_batch(replay(spark, tmp_path / "s", asked, submits, 2), replay(spark, tmp_path / "i", there, intervals, 4), 30, f"{tmp_path}/out", f"{tmp_path}/events")
+    q.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    want = twins.admissions(spark.createDataFrame(asked, submits), spark.createDataFrame(there, intervals), 30)
+    key = lambda df: {(r.job_id, r.decision, r.served_at) for r in df.collect()}
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert key(got) == key(want) and got.count() == 4
