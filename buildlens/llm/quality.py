@@ -3,7 +3,8 @@
 Per language, an interpolated modified Kneser-Ney model of character 4-grams, none folded, is
 trained on three quarters of the trusted documents; the rest, unseen in training as other documents are,
 calibrates. A document is kept if its perplexity lies between two quantiles of the
-perplexities of its language's calibrating documents of about its length: text that is less
+perplexities of its language's calibrating documents of about its length; the fewer those are,
+the more the quantiles lean on those of the language and of all documents: text that is less
 predictable than trusted text is noise, text that is far more predictable repeats itself.
 """
 
@@ -17,7 +18,7 @@ from buildlens.llm.shared import picked_rows, whole, written
 
 #: Quantiles of trusted perplexities outside which a document is rejected.
 LOW, HIGH = 0.002, 0.998
-#: Widening of both limits, and the trusted documents that a length band needs for limits of its own.
+#: Widening of both limits, and the calibrating documents whose quantile counts as much as the wider group's.
 SLACK, ENOUGH = 0.01, 150
 
 
@@ -37,8 +38,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, low: float = LOW, high: f
 
     ``labels(doc_id, quality, toxic)``: a document is trusted where quality is 1 and toxic is
     not 1. A null language is one of its own, scored by the pooled model against the pooled
-    quantiles, as are languages without trusted text. A null or empty text has no perplexity
-    and is rejected. With no trusted text at all nothing can be rejected but empty texts.
+    quantiles, as are languages without trusted text; a language whose trusted text all went
+    into training is judged by the pooled quantiles. A null or empty text has no perplexity
+    and is rejected. With no calibrating text in any language nothing can be rejected but empty texts.
     Repeated rows each give a row; an empty table gives an empty result; other columns are
     ignored.
     """
@@ -56,27 +58,43 @@ def quality_scores(docs: DataFrame, labels: DataFrame, low: float = LOW, high: f
     scores = written(perplexities(texts.withColumn("model", model), Model(counts)), "quality-scores")
     seen = trusted_rows(scores, good.where(calibrates)).where("n > 0")
     q = lambda p: F.percentile_approx("perplexity", F.lit(p), F.lit(100_000))
-    # the fewer documents stand behind a quantile, the less it says about the next one
-    wider = 1 + SLACK + 1 / F.sqrt(F.count("*"))
     # every trusted row counts for its language and for the pool, in its band and in all lengths
     counted = seen.withColumn("model", F.explode(F.array_distinct(F.array(model, F.lit(""))))).withColumn(
         "at", F.explode(F.array(band(), F.lit(-1)))
     )
-    limits = written(
+    stats = written(
         counted.groupBy("model", "at").agg(
-            F.count("*").alias("m"), (q(low) / wider).alias("floor"), (q(high) * wider).alias("ceiling")
+            F.count("*").alias("m"), F.log(q(low)).alias("low"), F.log(q(high)).alias("high"), F.log(q(0.5)).alias("mid")
         ),
         "quality-limits",
     )
-    banded = limits.where((F.col("at") >= 0) & (F.col("m") >= ENOUGH)).select("model", F.col("at").alias("band"), F.col("floor").alias("floor_b"), F.col("ceiling").alias("ceiling_b"))
-    overall = limits.where("at = -1").select("model", F.col("floor").alias("floor_l"), F.col("ceiling").alias("ceiling_l"))
+    # pool, band of the pool, language, band of the language
+    named = lambda df, s: df.select(*[c for c in ("model", "band") if c in df.columns], *[F.col(c).alias(c + s) for c in ("m", "low", "high", "mid")])
+    pool = named(stats.where("model = '' and at = -1").drop("model"), "_p")
+    pool_band = named(stats.where("model = '' and at >= 0").drop("model").withColumnRenamed("at", "band"), "_b")
+    own_all = named(stats.where("model <> '' and at = -1"), "_l")
+    own_band = named(stats.where("model <> '' and at >= 0").withColumnRenamed("at", "band"), "_x")
+    # a language's middle is known from few documents, its outer quantiles are not
+    shift = F.coalesce(F.col("m_l") / (F.col("m_l") + 1) * (F.col("mid_l") - F.col("mid_p")), F.lit(0.0))
+
+    def leaning(own: str, m: str, prior: Column) -> Column:
+        return F.coalesce((F.col(m) * F.col(own) + ENOUGH * prior) / (F.col(m) + ENOUGH), prior)
+
+    def limit(c: str) -> Column:
+        whole_language = leaning(c + "_l", "m_l", F.col(c + "_p") + shift)
+        return F.exp(leaning(c + "_x", "m_x", whole_language + leaning(c + "_b", "m_b", F.col(c + "_p")) - F.col(c + "_p")))
+
+    # the fewer documents stand behind all quantiles, the less they say about the next one
+    wider = 1 + SLACK + 1 / F.sqrt("m_p")
     return (
         scores.withColumn("model", model)
         .withColumn("band", band())
-        .join(banded, ["model", "band"], "left")
-        .join(overall, "model", "left")
-        .withColumn("floor", F.coalesce("floor_b", "floor_l"))
-        .withColumn("ceiling", F.coalesce("ceiling_b", "ceiling_l"))
+        .join(own_band, ["model", "band"], "left")
+        .join(own_all, "model", "left")
+        .join(pool_band, "band", "left")
+        .join(F.broadcast(pool), F.lit(True), "left")
+        .withColumn("floor", limit("low") / wider)
+        .withColumn("ceiling", limit("high") * wider)
         .select(
             "doc_id",
             F.nullif("lang", F.lit("")).alias("lang"),

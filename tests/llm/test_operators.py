@@ -487,3 +487,21 @@ def test_leaks_do_not_depend_on_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PASS_BYTES", 1500)
     assert len(list(decontaminate.slices(bench.fillna("", "text")))) > 5
     assert found() == want
+
+
+@pytest.mark.parametrize("calibrating", [0, 1, 5])
+def test_quality_of_small_languages(spark, calibrating):
+    rng = random.Random(6)
+    text = lambda vocabulary: " ".join(rng.choices(vocabulary, k=60))
+    make = lambda letters: ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(150)]
+    big, small = make("etaoinsr"), make("lmnopqaei")
+    split = {r.id: r.c for r in spark.range(800).selectExpr("id", "pmod(xxhash64(id), 4) = 0 c").collect()}
+    few = [i for i in range(600, 800) if split[i]][:calibrating] + [i for i in range(600, 800) if not split[i]][:6]
+    rows = [(i, text(big), "en") for i in range(600)] + [(i, text(small), "sw") for i in few]
+    rows += [(1000 + i, "".join(rng.choices("bcdfgjkxyzQWX#%é7 ", k=350)), "sw") for i in range(20)] + [(2000 + i, "l" * 350, "sw") for i in range(5)]
+    docs = spark.createDataFrame([(i, t, g, "s", 0, "x", "y", "z") for i, t, g in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(600), *few]], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_scores(docs, labels).collect()}
+    assert all(r.floor is not None for r in got.values())
+    assert not any(r.kept for i, r in got.items() if i >= 1000)
+    assert sum(got[i].kept for i in range(600)) > 580
