@@ -3,13 +3,17 @@
 A keyed Feistel network permutes each validated value within its own format, so equal values
 get equal pseudonyms in every document and the pseudonym passes the validation that found it:
 
-* card numbers of 13 to 19 digits, plain or in groups, that pass the Luhn test: all digits
-  but the last are permuted, the last is the new check digit;
+* card numbers of 13 to 19 digits, plain or in groups of which the first has at least 3 digits,
+  that pass the Luhn test: all digits but the last are permuted, the last is the new check
+  digit, and groups stay; up to two groups more after a card are left as they are;
+* account numbers (IBAN), plain or in groups of four, that pass the mod 97 test: what follows
+  the check digits is permuted, and they are made new;
   numbers that fail the test are no card numbers and stay;
 * telephone numbers (country code kept), social-security-like numbers: digits are permuted;
 * IPv4 addresses with octets of 0 to 255: permuted as 32-bit numbers;
-* calendar dates (year-month-day, or day and month before the year): permuted within blocks
-  of 73,000 days;
+* calendar dates (year first or last, parted by -, / or .; with the year last the day comes
+  first, or the month if that is no date; fields of one digit too): permuted within blocks of
+  73,000 days, in the order they have; zeros before digits as in the date found;
 * e-mail addresses: letters and digits of the local part and of the domain before its last
   label are permuted within their class.
 
@@ -31,10 +35,11 @@ DAY_A, DAY_B, DAY_ZERO = 250, 292, "1900-01-01"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9][./][01][0-9][./](?:19|20)[0-9]{2})(?![0-9/-]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])",
+    "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}|[0-9]{1,2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)(?:19|20)[0-9]{2})(?![0-9/-]|\.[0-9])",
+    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9]|[ -][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "number": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|(?=[0-9](?:[ -]?[0-9]){12})[0-9]{3,}(?:[ -][0-9]+){1,8})(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -119,17 +124,55 @@ def luhn_valid(digits: Column) -> Column:
     return F.pmod(luhn_sum(digits, 0), F.lit(10)) == 0
 
 
+def _refilled(value: Column, marks: Column, what: str) -> Column:
+    """``value`` with its characters of the class ``what`` replaced by those of ``marks``, in order."""
+    at = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), f"[^{what}]", ""))
+    put = lambda i: _let(
+        F.substring(value, i, F.lit(1)), lambda c: F.when(c.rlike(f"[{what}]"), F.substring(marks, at(i), F.lit(1))).otherwise(c)
+    )
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), put), "")
+
+
+def card_of(value: Column) -> Column:
+    """The longest start of a number, at the end of a group, that is a card; null if none is."""
+    one = F.regexp_replace(value, r"[ -][0-9]+\z", "")
+    starts = F.array(value, one, F.regexp_replace(one, r"[ -][0-9]+\z", ""))
+    fits = lambda v: _let(F.regexp_replace(v, "[^0-9]", ""), lambda d: F.length(d).between(13, 19) & luhn_valid(d))
+    return F.get(F.filter(starts, fits), F.lit(0))
+
+
 def _card(value: Column, key: Column) -> Column:
-    """A number with a new check digit in its last place; groups stay."""
-    body = permuted(F.substring(value, F.lit(1), F.length(value) - 1), key)
-    return _let(
-        body,
-        lambda b: F.concat(
-            b, F.pmod(10 - F.pmod(luhn_sum(F.regexp_replace(b, "[^0-9]", ""), 1), F.lit(10)), F.lit(10)).cast("string")
+    """A number with a new check digit in its last place; groups stay, and do not matter."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    body = permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), key)
+    new = lambda b: F.concat(b, F.pmod(10 - F.pmod(luhn_sum(b, 1), F.lit(10)), F.lit(10)).cast("string"))
+    return _let(_let(body, new), lambda d: _refilled(value, d, "0-9"))
+
+
+def mod97(text: Column) -> Column:
+    """The remainder by 97 of digits and letters, where A is 10 and Z is 35."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.length(text)),
+        F.lit(0),
+        lambda r, i: _let(
+            F.ascii(F.substring(text, i, F.lit(1))),
+            lambda c: F.when(c <= 57, F.pmod(r * 10 + c - 48, F.lit(97))).otherwise(F.pmod(r * 100 + c - 55, F.lit(97))),
         ),
     )
 
 
+def iban_valid(value: Column) -> Column:
+    t = F.replace(value, F.lit(" "), F.lit(""))
+    return F.length(t).between(15, 34) & (mod97(F.concat(F.substring(t, F.lit(5), F.length(t)), F.substring(t, 1, 4))) == 1)
+
+
+def _iban(value: Column, key: Column) -> Column:
+    t = F.replace(value, F.lit(" "), F.lit(""))
+    land = F.substring(t, 1, 2)
+    new = lambda b: F.concat(land, F.lpad((98 - mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b)
+    return _let(_let(permuted(F.substring(t, F.lit(5), F.length(t)), key), new), lambda n: _refilled(value, n, "0-9A-Z"))
+
+
 def _ip(value: Column, key: Column) -> Column:
     part = F.split(value, r"\.")
     octet = lambda i: part[i].cast("int")
@@ -146,12 +189,19 @@ def _ip(value: Column, key: Column) -> Column:
     )
 
 
+def _parted(sep: Column, *parts: Column) -> Column:
+    return F.concat(parts[0], sep, parts[1], sep, parts[2])
+
+
 def _date(value: Column, key: Column) -> Column:
-    iso = F.substring(value, 5, 1) == "-"
-    sep = F.substring(value, 3, 1)
-    day = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).otherwise(
-        F.try_to_date(F.translate(value, "/.", "--"), "dd-MM-yyyy")
-    )
+    first = value.rlike(r"\A[0-9]{4}")
+    part = F.split(value, "[./-]")
+    two = lambda i: F.lpad(part[i], 2, "0")
+    sep = F.regexp_extract(value, "[./-]", 0)
+    dated = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd")
+    day_first = dated(part[2], two(1), two(0))
+    day = F.when(first, dated(part[0], two(1), two(2))).otherwise(F.coalesce(day_first, dated(part[2], two(0), two(1))))
+    bare = value.rlike(r"(?<![0-9])[0-9](?![0-9])")
 
     def moved(d: Column) -> Column:
         n = F.datediff(d, F.lit(DAY_ZERO).cast("date"))
@@ -162,14 +212,15 @@ def _date(value: Column, key: Column) -> Column:
                 F.lit(DAY_ZERO).cast("date"), (n - low + p["a"] * DAY_B + p["b"]).cast("int")
             ),
         )
-        return _let(
-            to,
-            lambda t: F.when(iso, F.date_format(t, "yyyy-MM-dd")).otherwise(
-                F.translate(F.date_format(t, "dd-MM-yyyy"), "-", "§")
-            ),
-        )
+        number = lambda t, f: F.when(bare, F.regexp_replace(F.date_format(t, f), r"\A0", "")).otherwise(F.date_format(t, f))
+
+        def shown(t: Column) -> Column:
+            y, m, d = F.date_format(t, "yyyy"), number(t, "MM"), number(t, "dd")
+            return F.when(first, _parted(sep, y, m, d)).when(day_first.isNotNull(), _parted(sep, d, m, y)).otherwise(_parted(sep, m, d, y))
 
-    return F.coalesce(F.replace(_let(day, moved), F.lit("§"), sep), value)
+        return _let(to, shown)
+
+    return F.coalesce(_let(day, moved), value)
 
 
 def _email(value: Column, key: Column) -> Column:
@@ -183,13 +234,13 @@ def _email(value: Column, key: Column) -> Column:
 
 def kind_of(value: Column) -> Column:
     """The kind of a match, by the shape that its pattern allows no other kind to have."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
     return (
         F.when(value.contains("@"), "email")
         .when(value.rlike(r"\A[0-9]{1,3}(\.[0-9]{1,3}){3}\z"), "ip")
-        .when(value.rlike(r"\A([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})\z"), "date")
+        .when(value.rlike(r"\A([0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})\z"), "date")
         .when(value.rlike(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), "ssn")
-        .when(value.rlike(r"\A([0-9]{4}[ -]){3}[0-9]{4}\z|\A[0-9]{13,19}\z"), F.when(luhn_valid(digits), "card").otherwise("plain"))
+        .when(value.rlike(r"\A[A-Z]"), F.when(iban_valid(value), "iban").otherwise("plain"))
+        .when(value.rlike(r"\A[0-9]([ -]?[0-9]){12,}\z"), F.when(card_of(value).isNotNull(), "card").otherwise("plain"))
         .otherwise("phone")
     )
 
@@ -204,7 +255,8 @@ def pseudonym(value: Column, key: Column) -> Column:
             F.when(kind == "email", _email(value, named))
             .when(kind == "ip", _ip(value, named))
             .when(kind == "date", _date(value, named))
-            .when(kind == "card", _card(value, named))
+            .when(kind == "card", _let(card_of(value), lambda c: F.concat(_card(c, named), F.substring(value, F.length(c) + 1, F.length(value)))))
+            .when(kind == "iban", _iban(value, named))
             .when(kind == "plain", value)
             .when(kind == "phone", F.concat(code, permuted(F.substring(value, F.length(code) + 1, F.length(value)), named)))
             .otherwise(permuted(value, named))

@@ -505,3 +505,24 @@ def test_quality_of_small_languages(spark, calibrating):
     assert all(r.floor is not None for r in got.values())
     assert not any(r.kept for i, r in got.items() if i >= 1000)
     assert sum(got[i].kept for i in range(600)) > 580
+
+
+def test_pseudonyms_of_all_groupings_dates_and_accounts(spark):
+    cards = ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "4222 2222 2222 2", "6304 0000 0000 0000 000", "378282246310005"]
+    dates = ["12/25/2020", "03/14/2021", "2020/01/05", "2020.01.05", "1/5/2020", "25-12-2020"]
+    values = [*cards, *dates, "555 123 4567", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "DE89370400440532013000"]
+    kept = ["3782 822463 10006", "13/32/2020", "GB83 WEST 1234 5698 7654 32"]
+    text = "; ".join([*values, *kept, "4539 1488 0343 6467 124"])
+    new = pseudonymise(docs_of(spark, [(1, text)]), "k").first().text.split("; ")
+    for old, put in zip(values, new, strict=False):
+        assert old != put
+        if old != "1/5/2020":
+            assert shape(old) == shape(put)
+    assert new[len(values) : -1] == kept
+    digits = [re.sub("[ -]", "", c) for c in new]
+    assert all(luhn(c) for c in digits[: len(cards)]) and digits[0] == digits[1] == digits[5]
+    assert new[-1] != "4539 1488 0343 6467 124" and new[-1].endswith(" 124") and luhn(digits[-1][:16])
+    assert re.split("[./]", new[8]) == re.split("[./]", new[9])
+    accounts = digits[-len(kept) - 4 : -len(kept) - 1]
+    assert accounts[0] == accounts[1]
+    assert all(int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97 == 1 for a in accounts)
