@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import itertools
 import random
 import re
 import struct
@@ -25,7 +26,7 @@ from buildlens.llm.langid import identify_languages
 from buildlens.llm.pii import pseudonymise
 from buildlens.llm.quality import only_good, quality_scores
 from buildlens.llm.secret_scan import crc_base62, find_spans, scan_secrets
-from buildlens.llm.shared import fresh_path
+from buildlens.llm.shared import fresh_path, written
 from buildlens.llm.token_counts import token_counts
 from buildlens.llm.vector_graph import audit_recall, near_vectors
 
@@ -143,10 +144,28 @@ def test_jaccard_odd(spark):
     assert sorted(r.doc_id for r in one_of_each(docs_of(spark, [(2, "a b c d e f"), (1, "a b c d e f"), (3, None)])).collect()) == [1, 3]
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
+@pytest.mark.parametrize("path", ["up", "shifted", "zigzag", "random"])
+def test_components(spark, path):
+    n = 200
+    nodes = {
+        "up": list(range(1, n + 1)),
+        "shifted": [*range(2, n + 1), 1],
+        "zigzag": [x for i in range(n // 2) for x in (i + 1, n - i)],
+        "random": random.Random(3).sample(range(1, n + 1), n),
+    }[path]
+    edges = [*zip(nodes, nodes[1:], strict=False), (1000, 1001), (7000, 7000), (2000, 2001), (2000, 2001), (2001, 2000)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert got == {**dict.fromkeys(nodes, 1), 1000: 1000, 1001: 1000, 2000: 2000, 2001: 2000}
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    from buildlens.llm import components
+
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, name: made.append(name) or written(df, name))
+    edges = list(itertools.pairwise([*range(2, 401), 1]))
+    connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert len(made) < 25
 
 
 # ---- 3
@@ -378,11 +397,63 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(3).withColumn("vec_id", df["vec_id"] * None)).count() == 3
 
 
-def test_recall_is_audited(spark):
-    df = queries.table(spark, "/root/testdata/check_h", "embeddings")
+def shells(rng, centre, radii):
+    """Unit vectors at the given angles from ``centre``, in random directions."""
+    c = centre / np.linalg.norm(centre)
+    away = rng.normal(size=(len(radii), len(c)))
+    away -= np.outer(away @ c, c)
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    return np.cos(radii)[:, None] * c + np.sin(radii)[:, None] * away
+
+
+def vectors_with_dense_spots(rng):
+    """Two labels: scattered vectors, pairs, a cone of loose near copies, and dense spots that
+    are larger than a cell may be, with outer vectors around them."""
+    parts = [rng.normal(size=(900, 24)), rng.normal(size=(60, 24)).repeat(3, 0) + rng.normal(size=(180, 24)) * 0.12]
+    cone = rng.normal(size=24)
+    parts.append(shells(rng, cone, rng.uniform(0.2, 0.6, 250)))
+    for _ in range(2):
+        parts.append(shells(rng, rng.normal(size=24), np.concatenate([rng.uniform(0, 0.17, 420), rng.uniform(0.19, 0.3, 130)])))
+    x = np.vstack(parts).astype(np.float32).astype(float)
+    return [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+
+
+def test_near_vectors_of_many_cells(spark, monkeypatch):
+    from buildlens.llm import vector_graph
+
+    monkeypatch.setattr(vector_graph, "SHARD", 120)
+    monkeypatch.setattr(vector_graph, "BUCKET", 100)
+    data = vectors_with_dense_spots(np.random.default_rng(5))
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int")
     got = near_vectors(df).cache()
-    assert audit_recall(df, got, 50) >= 0.9
-    assert audit_recall(df, got, 50) <= 1.0
+    found = {r.vec_id: (r.n_links, r.component_id) for r in got.collect()}
+    want = brute_links(data)
+    assert found.keys() == want.keys()
+    assert all(found[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in found.values()) >= 0.97 * sum(n for n, _ in want.values())
+    assert np.mean([found[i][1] == want[i][1] for i in want]) > 0.97
+    recall, false = audit_recall(df, got, 50)
+    assert false == 0
+    assert recall == pytest.approx(sum(found[i][0] for i in want if i % 50 == 0) / sum(want[i][0] for i in want if i % 50 == 0))
+    assert recall >= 0.9
+
+
+def test_dense_spots_and_outer_vectors_count_exactly(spark, monkeypatch):
+    from buildlens.llm import vector_graph
+
+    monkeypatch.setattr(vector_graph, "SHARD", 50)
+    rng = np.random.default_rng(2)
+    x = shells(rng, rng.normal(size=12), np.concatenate([rng.uniform(0, 0.15, 160), rng.uniform(0.19, 0.26, 60)]))
+    rows = [*x.tolist(), *x[:9].tolist()]
+    data = [(i, v, 1) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()} == brute_links(data)
+
+
+def test_vector_rows_that_share_an_id(spark):
+    data = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (3, [0.0, 2.0], 1), (9, [1.0, 0.1], 1), (4, [-1.0, 0.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int")).collect())
+    assert got == [(3, 1, 3), (4, 0, 4), (7, 1, 3), (7, 1, 3), (9, 1, 3)]
 
 
 # ---- pipeline
