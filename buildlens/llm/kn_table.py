@@ -4,8 +4,10 @@ No character is folded: a 4-gram is the three code points before a character, pa
 number of 63 bits, and the character. Counts, probabilities and back-offs are tables that grow
 with the training text; nothing of them is broadcast or collected.
 
-Scoring asks for each n-gram once: chunks of documents list their distinct n-grams, those get
-their log-probability by joins, and each chunk meets its own n-grams again.
+Scoring asks for each n-gram once: the distinct n-grams of the documents, counted out per task
+before any shuffle, are joined to the tables in shards of (language, n-gram). While what comes
+of that has at most BROADCAST_GRAMS rows it goes to every task; beyond, it is joined to chunks
+of documents, each of which meets the n-grams that it has. Both give the same sums.
 """
 
 from __future__ import annotations
@@ -26,9 +28,25 @@ SYMBOLS = 0x110000
 PIECE = 1_000_000
 #: Characters of a chunk of documents, and n-grams that a task holds before it passes them on.
 CHUNK, HELD = 4_000_000, 1_000_000
+#: Scored n-grams (12 bytes each) up to this number are broadcast.
+BROADCAST_GRAMS = 4_000_000
+#: Entries of a look-up table in place of a sort.
+TABLE = 1 << 23
 GRAM = ["lang", "ctx", "w"]
 
 
+def ranked(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, all below ``size``, in order, and the place of each code among them."""
+    if size > TABLE:
+        return np.unique(codes, return_inverse=True)
+    present = np.zeros(size, bool)
+    present[codes] = True
+    kinds = np.flatnonzero(present)
+    rank = np.zeros(size, np.int32)
+    rank[kinds] = np.arange(len(kinds), dtype=np.int32)
+    return kinds, rank[codes]
+
+
 def grams(texts: list[str]):
     """Yield (first text, contexts, characters, inverse, starts) for pieces of ``texts``, none of
     them empty: the distinct n-grams, and for each place of the texts joined the n-gram that ends
@@ -47,29 +65,19 @@ def grams(texts: list[str]):
         for k in range(1, ORDER):
             s[starts - k] = 0
             real[starts - k] = False
-        present = np.zeros(SYMBOLS + 1, bool)
-        present[s] = True
-        known = np.flatnonzero(present)
+        known, symbol = ranked(s, SYMBOLS + 1)
         size = len(known)
-        if size**ORDER < 2**63:
-            rank = np.zeros(SYMBOLS + 1, np.int64)
-            rank[known] = np.arange(size)
-            r = rank[s]
-            code = r.copy()
-            for k in range(1, ORDER):
-                code[k:] += r[:-k] * size**k
-            kinds, inverse = np.unique(code[real], return_inverse=True)
-            w = known[kinds % size]
-            ctx = np.zeros(len(kinds), np.int64)
-            for k in range(1, ORDER):
-                ctx |= known[kinds // size**k % size] << (BITS * (k - 1))
-        else:
-            full = np.zeros(len(s), np.int64)
-            for k in range(1, ORDER):
-                full[k:] |= s[:-k] << (BITS * (k - 1))
-            pairs, inverse = np.unique(np.stack([full[real], s[real]], 1), axis=0, return_inverse=True)
-            ctx, w = pairs[:, 0], pairs[:, 1]
-        yield at, ctx, w, inverse.ravel(), np.cumsum(lengths) - lengths
+        # the n-gram that ends at a place, one symbol longer each time, numbered among its kinds
+        last, history = symbol, known
+        for _ in range(1, ORDER):
+            code = np.zeros(len(s), np.int64)
+            code[1:] = last[:-1].astype(np.int64) * size + symbol[1:]
+            kinds, last = ranked(code, len(history) * size)
+            before, w = history[kinds // size], known[kinds % size]
+            history = (before << BITS) | w
+        del history
+        picked, inverse = ranked(last[real], len(kinds))
+        yield at, before[picked], w[picked], inverse, np.cumsum(lengths) - lengths
         at = upto
 
 
@@ -212,36 +220,69 @@ class Model:
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, model, text) to (doc_id, lang, n, perplexity) under the language ``model``
     of the tables. An empty text has n = 0 and no perplexity."""
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(docs.sparkSession.sparkContext.defaultParallelism * 2, size // CHUNK + 1)
-    rows = docs.select("doc_id", F.col("lang").alias("own"), F.col("model").alias("lang"), "text").withColumn(
-        "chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+    rows = docs.select("doc_id", F.col("lang").alias("own"), F.col("model").alias("lang"), "text")
+    wanted = written(_tallied(rows, ["lang"], False).distinct(), "kn-wanted")
+    known = written(model.log_probabilities(wanted), "kn-known")
+    return _scored_by_broadcast(rows, known) if known.count() <= BROADCAST_GRAMS else _scored_by_chunk(rows, known)
+
+
+RESULT = "doc_id bigint, lang string, n bigint, perplexity double"
+
+
+def _sums(langs: list[str], texts: list[str], known) -> tuple[np.ndarray, np.ndarray]:
+    """Length and sum of log-probabilities of each text; ``known(lang)`` gives sorted n-gram
+    keys of a language and their log-probabilities."""
+    n = np.array([len(t) for t in texts], np.int64)
+    total = np.zeros(len(texts))
+    by: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        if n[i]:
+            by.setdefault(lang, []).append(i)
+    for lang, at in by.items():
+        key, logp = known(lang)
+        for first, ctx, w, inverse, starts in grams([texts[i] for i in at]):
+            values = logp[np.searchsorted(key, keys(ctx, w))]
+            total[at[first : first + len(starts)]] = np.add.reduceat(values[inverse], starts, dtype=np.float64)
+    return n, total
+
+
+def _result(doc_id, own, n: np.ndarray, total: np.ndarray) -> list:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ppl = np.exp(-total / n)
+    return [doc_id, own, pa.array(n), pa.array(ppl, pa.float64(), mask=n == 0)]
+
+
+def _arrays(known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key = keys(known.column("ctx").to_numpy(), known.column("w").to_numpy())
+    order = np.argsort(key)
+    return key[order], known.column("logp").to_numpy()[order].astype(np.float32)
+
+
+def _scored_by_broadcast(rows: DataFrame, known: DataFrame) -> DataFrame:
+    table = known.toArrow()
+    langs = table.column("lang").unique().to_pylist()
+    shared = rows.sparkSession.sparkContext.broadcast(
+        {lang: _arrays(table.filter(pa.compute.equal(table.column("lang"), lang))) for lang in langs}
     )
-    wanted = written(_tallied(rows.repartition("chunk"), ["chunk", "lang"], False), "kn-wanted")
-    known = written(model.log_probabilities(wanted.select(GRAM).distinct()), "kn-known")
-    given = wanted.join(known, GRAM)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                n, total = _sums(b.column("lang").to_pylist(), b.column("text").to_pylist(), shared.value.__getitem__)
+                yield pa.RecordBatch.from_arrays(_result(b.column("doc_id"), b.column("own"), n, total), names=["doc_id", "lang", "n", "perplexity"])
+
+    return rows.mapInArrow(run, RESULT)
+
+
+def _scored_by_chunk(rows: DataFrame, known: DataFrame) -> DataFrame:
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunks = max(rows.sparkSession.sparkContext.defaultParallelism * 2, size // CHUNK + 1)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    given = written(_tallied(rows.repartition("chunk"), ["chunk", "lang"], False), "kn-wanted-by-chunk").join(known, GRAM)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        langs, texts = left.column("lang").to_pylist(), left.column("text").to_pylist()
-        n = np.array([len(t) for t in texts], np.int64)
-        total = np.zeros(len(texts))
-        by: dict[str, list[int]] = {}
-        for i, lang in enumerate(langs):
-            if n[i]:
-                by.setdefault(lang, []).append(i)
-        for lang, at in by.items():
-            mine = right.filter(pa.compute.equal(right.column("lang"), lang))
-            key = keys(mine.column("ctx").to_numpy(), mine.column("w").to_numpy())
-            order = np.argsort(key)
-            key, logp = key[order], mine.column("logp").to_numpy()[order]
-            for first, ctx, w, inverse, starts in grams([texts[i] for i in at]):
-                values = logp[np.searchsorted(key, keys(ctx, w))]
-                total[at[first : first + len(starts)]] = np.add.reduceat(values[inverse], starts)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ppl = np.exp(-total / n)
-        return pa.table(
-            [left.column("doc_id"), left.column("own"), pa.array(n), pa.array(ppl, pa.float64(), mask=n == 0)],
-            names=["doc_id", "lang", "n", "perplexity"],
-        )
-
-    return rows.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(score, "doc_id bigint, lang string, n bigint, perplexity double")
+        of = {lang: _arrays(right.filter(pa.compute.equal(right.column("lang"), lang))) for lang in right.column("lang").unique().to_pylist()}
+        n, total = _sums(left.column("lang").to_pylist(), left.column("text").to_pylist(), of.__getitem__)
+        return pa.table(_result(left.column("doc_id"), left.column("own"), n, total), names=["doc_id", "lang", "n", "perplexity"])
+
+    return rows.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(score, RESULT)

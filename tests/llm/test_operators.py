@@ -529,9 +529,14 @@ def test_quality_model_keeps_whole_characters(spark):
     assert counts.select("w").distinct().count() == len(set("".join(train)))
     df = spark.createDataFrame([(i, "ru", "ru", t) for i, t in enumerate(tried)], "doc_id bigint, lang string, model string, text string")
     got = {r.doc_id: r.perplexity for r in perplexities(df, Model(counts)).collect()}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("buildlens.llm.kn_table.BROADCAST_GRAMS", 0)
+        patch.setattr("buildlens.llm.kn_table.CHUNK", 100)
+        chunked = {r.doc_id: r.perplexity for r in perplexities(df, Model(counts)).collect()}
     ln = brute_kneser_ney(train)
-    assert got.pop(8) is None
-    assert got == pytest.approx({i: np.exp(-np.mean(ln(t))) for i, t in enumerate(tried) if t})
+    assert got.pop(8) is None and chunked.pop(8) is None
+    assert chunked == pytest.approx(got)
+    assert got == pytest.approx({i: np.exp(-np.mean(ln(t))) for i, t in enumerate(tried) if t}, rel=1e-5)
     # unseen letters of the same script were the same two symbols once
     assert got[3] > 20 * got[0]
 
