@@ -1,13 +1,15 @@
 """Main text of web pages from flat text blocks.
 
-A page is cut into text blocks at block-level tags. A block is described by its word count
-and link density, those of the blocks before and after it, and by marks of the elements it
-stands in. A decision tree, trained on the small labelled table below, keeps or drops it.
+A page is cut into text blocks at block-level tags, in one pass. A block is described by its word
+count and link density, those of the blocks before and after it, by marks of the elements it
+stands in, and by how much plain text its container holds. A decision tree, trained on the
+labelled pages that the rule below writes, keeps or drops it.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 
 import numpy as np
@@ -17,36 +19,67 @@ from pyspark.sql import functions as F
 
 from buildlens.llm.shared import map_arrow
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|[^<]+|<",
-    re.S,
-)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template textarea svg math iframe object head title select option button audio video canvas".split())
 _RAW_END = {n: re.compile(rf"</{n}\s*[^>]*>", re.I) for n in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 #: Elements that are followed while open; others end a block and are forgotten.
-FOLLOWED = frozenset("div section article main nav header footer aside form ul ol dl table figure dialog menu fieldset blockquote details".split())
+FOLLOWED = frozenset("div section article main nav header footer aside form ul ol dl table td th figure dialog menu fieldset blockquote details".split())
 BOILER = frozenset("nav footer aside form menu dialog fieldset".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverti[sz]ement|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alerts?|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|teaser|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|copyright|legal|comments?|commentlist|replies|reply|discussion|disqus|responses|widget|toolbar|login|search|skip|rating|complementary|contentinfo|tags)(?:$|[\s_-])",
-    re.I,
+#: Elements whose blocks belong to the container around them.
+LOOSE = frozenset("ul ol dl figure blockquote details".split())
+#: Words of class, id and role that mark a part of a page as something else than its text ...
+OTHER = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices "
+    "notification notifications alert alerts popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations "
+    "teaser teasers comment comments commentlist reply replies discussion disqus responses".split()
+)
+#: ... or as a part of its frame, which may well stand around the text too.
+FRAME = frozenset(
+    "sidebar side menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header copyright legal widget widgets toolbar login search skip rating complementary contentinfo tags".split()
 )
+#: ... or as its text.
+CONTENT = frozenset("content main article post entry story articlebody maincontent".split())
+_STATES = frozenset("has no with without is show hide hidden open closed".split())
 
 Block = tuple[str, list[float]]
-#: Order of the features of a block.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "boiler", "hinted", "heading")
-
-
-def blocks(page: str) -> list[tuple[str, float, float, float, float, float, float]]:
-    """(text, words, link density, in article, in boilerplate element, in hinted element, heading)."""
-    out = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, hinted
+#: Order of the features of a block. ``content``, ``boiler`` and ``hinted``: the nearest marked element
+#: around it is one of text, a boilerplate element, or marked by its names; ``share`` and ``kin``: the part of the page's plain words
+#: that its container holds, and the plain words of the container's other blocks.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "content", "boiler", "hinted", "heading", "share", "kin")
+
+
+def marks_of(names: str) -> tuple[bool, bool, bool]:
+    """Whether the names of an element mark it as other, as frame, as content. Names that tell
+    a state of the page (has-sidebar, page-with-menu, tags-open) mark nothing."""
+    other = frame = content = False
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower().split():
+        parts = re.split(r"[_-]+", name)
+        if not _STATES.isdisjoint(parts):
+            continue
+        odd, edge = not OTHER.isdisjoint(parts), not FRAME.isdisjoint(parts)
+        other, frame = other or odd, frame or edge
+        content = content or not (odd or edge or CONTENT.isdisjoint(parts))
+    return other, frame, content
+
+
+def blocks(page: str) -> list[tuple]:
+    """(text, words, link density, content, boilerplate, hinted, heading, container) of each block.
+    Each character is looked at a bounded number of times, however the markup is broken."""
+    out: list[tuple] = []
+    # name, content, boilerplate, hinted, other, container
+    top = ("", False, False, False, False, 0)
+    stack = [top]
+    open_names: dict[str, int] = {}
     parts: list[str] = []
     linked: list[str] = []
-    in_link = heading = 0
+    in_link = heading = containers = 0
+    endless: set[str] = set()
+    last_end = page.rfind(">")
+    last_quote = {q: page.rfind(q) for q in "\"'"}
 
     def close() -> None:
         nonlocal parts, linked
@@ -55,78 +88,131 @@ def blocks(page: str) -> list[tuple[str, float, float, float, float, float, floa
             if words:
                 n = len(words)
                 dense = min(1.0, len(html.unescape("".join(linked)).split()) / n) if linked else 0.0
-                out.append(
-                    (
-                        " ".join(words),
-                        float(n),
-                        dense,
-                        float(any(x[0] in ("article", "main") for x in stack)),
-                        float(any(x[1] for x in stack)),
-                        float(any(x[2] for x in stack)),
-                        float(heading),
-                    )
-                )
+                out.append((" ".join(words), float(n), dense, *map(float, stack[-1][1:4]), float(heading), stack[-1][5]))
             parts, linked = [], []
 
-    at, find = 0, _TOKEN.match
-    size = len(page)
+    def text(t: str) -> None:
+        parts.append(t)
+        if in_link:
+            linked.append(t)
+
+    def pop(name: str) -> None:
+        if open_names.get(name):
+            while True:
+                gone = stack.pop()[0]
+                open_names[gone] -= 1
+                if gone == name:
+                    return
+
+    at, size = 0, len(page)
     while at < size:
-        m = find(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            text = m[0]
-            if text[0] != "<" or len(text) == 1:
-                parts.append(text)
-                if in_link:
-                    linked.append(text)
-            elif text.startswith("<![CDATA["):
-                parts.append(html.escape(text[9:].removesuffix("]]>"), quote=False))
+        lt = page.find("<", at)
+        if lt != at:
+            text(page[at : lt if lt >= 0 else size])
+            at = lt if lt >= 0 else size
+            continue
+        m = _NAME.match(page, at + 1)
+        if m is None:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = end + 3 if end >= 0 else size
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                parts.append(html.escape(page[at + 9 : end if end >= 0 else size], quote=False))
+                at = end + 3 if end >= 0 else size
+            elif page.startswith(("<!", "<?", "</"), at):
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else size
+            else:
+                text("<")
+                at += 1
             continue
-        name = name.lower()
+        # the tag ends at the first > outside a quoted value
+        here = m.end()
+        if here > last_end:
+            break
+        end = here
+        while True:
+            stop = _STOP.search(page, end)
+            if stop is None:
+                end = size
+                break
+            end = stop.end()
+            if stop[0] == ">":
+                break
+            if page[end - 2 : end - 1] == "=" and last_quote[stop[0]] >= end:
+                end = page.find(stop[0], end) + 1
+        attributes = page[here : end - 1] if end <= size and page[end - 1] == ">" else page[here:end]
+        at = end
+        name = m[0].lower()
+        ends, empty = name[0] == "/", attributes.endswith("/")
+        name = name.lstrip("/")
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m[1] else 1
-            elif name == "img" or name == "input":
+                in_link = 0 if ends else 1
+            elif name in ("img", "input"):
                 parts.append(" ")
             continue
         if name in RAW:
-            if not m[1] and not m[3].endswith("/"):
+            if not ends and not empty:
                 if name not in ("select", "option", "button", "title"):
                     close()
-                end = _RAW_END[name].search(page, at)
-                # an element that is never closed ends with the page, but for a head without an end
-                at = end.end() if end else (at if name in ("head", "option") else size)
+                found = None if name in endless else _RAW_END[name].search(page, at)
+                if found is None:
+                    # an element that is never closed ends with the page, but for a head without an end
+                    endless.add(name)
+                    at = at if name in ("head", "option") else size
+                else:
+                    at = found.end()
             continue
         close()
         in_link = 0
         if name[0] == "h" and name[1:].isdigit():
-            heading = 0 if m[1] else 1
+            heading = 0 if ends else 1
             continue
-        if name in ("p", "br", "li", "td", "tr"):
+        if name in ("p", "br", "li", "tr"):
             heading = 0
         if name not in FOLLOWED:
             continue
         heading = 0
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif not m[3].endswith("/"):
-            inside = any(x[0] in ("article", "main") for x in stack)
-            hints = " ".join(next(filter(None, g), "") for g in _NAMES.findall(m[3])) if m[3] else ""
-            stack.append((name, name in BOILER or (name == "header" and not inside), bool(hints and _HINT.search(hints))))
+        if ends:
+            pop(name)
+            continue
+        if empty:
+            continue
+        if name in ("td", "th") and stack[-1][0] in ("td", "th"):
+            pop(stack[-1][0])
+        _, content, boiler, hinted, strong, container = stack[-1]
+        names = " ".join(next(filter(None, g), "") for g in _NAMES.findall(attributes)) if "=" in attributes else ""
+        other, frame, texts = marks_of(names) if names else (False, False, False)
+        own = name in ("article", "main")
+        if other and not (own and not {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "teaser"} & set(re.split(r"[\s_-]+", names.lower()))):
+            hinted, strong = True, True
+        elif own or (texts and not frame and not other):
+            # what stands around the text as a frame doesn't count in it; what is something else does
+            content, boiler, hinted = True, False, strong
+        elif frame and not own:
+            hinted = True
+        if name in BOILER or (name == "header" and not content):
+            boiler = True
+        if name not in LOOSE:
+            containers += 1
+            container = containers
+        stack.append((name, content, boiler, hinted, strong, container))
+        open_names[name] = open_names.get(name, 0) + 1
     close()
     return out
 
 
 def features(found: list) -> np.ndarray:
     """A row of FEATURES for each block; a page's edge counts as an empty block."""
-    own = np.array([b[1:] for b in found], float).reshape(-1, 6)
+    own = np.array([b[1:7] for b in found], float).reshape(-1, 6)
     edge = np.zeros((1, 2))
     before, after = np.vstack([edge, own[:-1, :2]]), np.vstack([own[1:, :2], edge])
-    return np.hstack([own[:, :2], before[: len(own)], after[: len(own)], own[:, 2:]])
+    at = np.array([b[7] for b in found], np.int64)
+    plain = own[:, 0] * (1 - own[:, 1]) * (own[:, 3] == 0) * (own[:, 4] == 0)
+    held = np.bincount(at, plain, at.max() + 1)[at] if len(at) else plain
+    return np.hstack([own[:, :2], before[: len(own)], after[: len(own)], own[:, 2:], (held / max(1.0, plain.sum()))[:, None], (held - plain)[:, None]])
 
 
 #: The labelled table: pages whose blocks are main text where their element has the mark ``data-m``.
@@ -158,38 +244,90 @@ LABELLED_PAGES = (
     <div class="promo">Order the second edition now and get the first one for half of its price, while there are copies left.</div><p data-m>Do not force it.</p><aside>Tip of the day.</aside><p data-m>When the light stays on for more than a minute the wheel has to be cleaned with warm water and a soft cloth.</p><aside>Readers who liked this page also liked the page on wheels, the page on doors, and the page on lights.</aside>
     <form>Was this page helpful to you?</form><form>Please tell us in a few words what we could do better on this page, and leave your address if you like.</form></article><footer>Printed on paper.</footer><header>The handbook of wheels and doors for those who repair them at home with their own hands.</header>""",
 )
-#: Paragraph lengths of a long labelled article between a page's usual surroundings.
-LABELLED_LENGTHS = (1, 40, 3, 120, 60, 2, 8, 300, 15, 1, 25, 80, 5, 5, 200, 33, 12, 4, 2, 90, 400, 7, 50, 18, 28, 1, 150, 10, 70, 3)
+#: Surroundings of the text in the pages that ``written_pages`` writes.
+FRAMES = (
+    "<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>", "<section class=post-content>{}</section>", "<div class='layout has-sidebar'><article>{}</article></div>",
+    "<div class=page-with-menu><div id=main>{}</div></div>", "<article class='post tags-open related'>{}</article>", "<div>{}</div>", "<section>{}</section>", "{}",
+    "<table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td>{}</td></tr></table>", "<div class=wrapper><div>{}</div></div>", "<div class=sidebar-layout-with-menu>{}</div>",
+)
+#: Elements that hold something else, wherever they stand.
+ASIDES = ("nav", "footer", "aside", "form", "div class=ad", "div class=cookie-notice", "div class=comments", "div id=sidebar", "div class='related-posts'", "section id=share", "div role=navigation", "div class=promo-box")
+
+
+def written_pages(seed: int = 7, many: int = 156) -> list[str]:
+    """Labelled pages by rule: text in each of FRAMES, of paragraphs of 1 to 400 words, with a
+    few links, headings and lists, among ASIDES, lists of links and short lines."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join(["word"] * n)
+    out = []
+    for k in range(many):
+        frame = FRAMES[k % len(FRAMES)]
+        bare = frame == "{}"
+        wrapped = not bare and rng.random() < 0.3
+        most = 60 if rng.random() < 0.2 else 14
+
+        def aside() -> str:
+            tag = rng.choice(ASIDES)
+            n = rng.choice((1, 2, 4, 8, 15, 30, 60, 120, 250))
+            inner = rng.choice((f"<p>{words(n)}</p>", words(n), f"<ul><li><a href=/x>{words(2)}</a><li><a href=/y>{words(3)}</a></ul>"))
+            return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+        def links() -> str:
+            return "<ul>" + "".join(f"<li><a href=/{i}>{words(rng.randint(1, 9))}</a></li>" for i in range(rng.randint(2, 8))) + "</ul>"
+
+        def line() -> str:
+            return f"<div>{words(rng.randint(1, 5))}</div>"
+
+        def paragraph() -> str:
+            n = round(10 ** rng.uniform(0, 2.6))
+            tag = "div" if wrapped else "p"
+            if n > 5 and rng.random() < 0.25:
+                linked = rng.randint(1, max(1, n // 3))
+                return f"<{tag} data-m>{words(n - linked)} <a href=/w>{words(linked)}</a></{tag}>"
+            return f"<{tag} data-m>{words(n)}</{tag}>"
+
+        body = [f"<h1 data-m>{words(rng.randint(2, 9))}</h1>" if rng.random() < 0.7 else f"<h2 data-m><a href=/t>{words(4)}</a></h2>"] if not bare and k % 3 else []
+        body.append(f"<p data-m>{words(rng.randint(20, 200))}</p>")
+        for _ in range(rng.randint(2, most)):
+            body.append(paragraph())
+            r = rng.random()
+            if r < 0.12:
+                body.append(aside())
+            elif r < 0.2:
+                body.append(links())
+            elif r < 0.28 and not bare:
+                body.append("<ul>" + "".join(f"<li data-m>{words(rng.randint(1, 12))}</li>" for _ in range(3)) + "</ul>")
+        body.append(f"<p data-m>{words(rng.randint(15, 120))}</p>")
+        head = "".join(rng.choice((aside, links, aside) if bare else (aside, links, line))() for _ in range(rng.randint(0, 4)))
+        foot = "".join(rng.choice((aside, links, aside) if bare else (aside, links, line))() for _ in range(rng.randint(0, 4)))
+        out.append(head + frame.format("".join(body)) + foot)
+    return out
 
 
-def labelled_article() -> str:
-    body = "".join(f"<p data-m>{'word ' * n}</p>" for n in LABELLED_LENGTHS)
-    around = "".join(
-        f"<{tag}>{'word ' * n}</{tag.split()[0]}>"
-        for n in (26, 65, 180)
-        for tag in ("nav", "footer", "aside", "header", "form", "div class=cookie-notice", "div class=comments", "div id=sidebar")
-    )
-    return f"{around}<div>Page tools</div><article><h1 data-m>A title of six words only</h1>{body}</article><div>Page 2 of 7</div><div>Back to top</div>{around}"
+#: Blocks that a leaf of the tree stands for, at least.
+LEAF = 4
 
 
 class Tree:
     """A binary decision tree by Gini impurity, of bounded depth."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
         self.leaf = float(y.mean()) if len(y) else 0.0
         self.feature = None
-        if depth == 0 or len(y) < 2 or self.leaf in (0.0, 1.0):
+        if depth == 0 or len(y) < 2 * LEAF or self.leaf in (0.0, 1.0):
             return
         best = len(y) * self.leaf * (1 - self.leaf) - 1e-9
         # marks of elements come first: among equal splits the first one is taken
-        for f in (8, 7, 6, 9, 1, 0, 3, 5, 2, 4):
-            for cut in np.unique(x[:, f])[:-1]:
-                low = x[:, f] <= cut
-                a, b = y[low], y[~low]
-                cost = len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())
-                if cost < best:
-                    above = x[~low, f].min()
-                    best, self.feature, self.cut = cost, f, (cut + above) / 2
+        for f in (8, 7, 6, 9, 1, 11, 10, 0, 3, 5, 2, 4):
+            order = np.argsort(x[:, f], kind="stable")
+            v, ones = x[order, f], np.cumsum(y[order])
+            n = np.arange(1, len(y))
+            mean_a, mean_b = ones[:-1] / n, (ones[-1] - ones[:-1]) / (len(y) - n)
+            cost = n * mean_a * (1 - mean_a) + (len(y) - n) * mean_b * (1 - mean_b)
+            cost[(v[1:] == v[:-1]) | (n < LEAF) | (len(y) - n < LEAF)] = np.inf
+            k = int(cost.argmin())
+            if cost[k] < best:
+                best, self.feature, self.cut = float(cost[k]), f, (v[k] + v[k + 1]) / 2
         if self.feature is not None:
             low = x[:, self.feature] <= self.cut
             self.low, self.high = Tree(x[low], y[low], depth - 1), Tree(x[~low], y[~low], depth - 1)
@@ -206,7 +344,7 @@ class Tree:
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of the labelled pages."""
     xs, ys = [], []
-    for page in (*LABELLED_PAGES, labelled_article()):
+    for page in (*LABELLED_PAGES, *written_pages()):
         marked = re.sub(r"(<[^<>]*\bdata-m\b[^<>]*>)", "\\1\u0001", page)
         found = blocks(marked)
         # the mark joins the first word of its block, so counts are as without it
