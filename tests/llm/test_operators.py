@@ -606,6 +606,69 @@ def test_leaks_do_not_depend_on_passes(spark, monkeypatch):
     assert found() == want
 
 
+def near_leaks(rng, items, word, many):
+    """Documents that hold an item with some words changed, one to a few in a row, among others."""
+    docs = []
+    for k in range(many):
+        item = list(items[k % len(items)])
+        for _ in range(rng.randint(0, 1 + len(item) // 25)):
+            at = rng.choice([0, 1, len(item) - 1, rng.randrange(len(item))])
+            item[at] = word()
+        docs.append([word() for _ in range(rng.randint(0, 30))] + item + [word() for _ in range(rng.randint(0, 30))])
+    return docs
+
+
+def test_leaks_are_those_of_all_windows_and_items(spark):
+    from buildlens.llm.decontaminate import SIMILARITY, Items, shingles_of
+    from buildlens.llm.shingles import SPACE_OR_MARK, words
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    items = [[word() for _ in range(n)] for n in (12, 25, 40, 40, 60, 90)] + [["a", "b"]]
+    items.append(items[3][:30] + [word() for _ in range(10)])
+    docs = [*near_leaks(rng, items, word, 160), ["a", "b"], ["A", "b."], ["b", "a"]]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_leaks(docs_of(spark, [(i, " ".join(w)) for i, w in enumerate(docs)]), bench).collect()}
+    index = Items(list(range(len(items))), [" ".join(w) for w in items])
+    want, near = {}, 0
+    with np.errstate(over="ignore"):
+        for d, doc in enumerate(docs):
+            (_, h, _), = words([" ".join(doc).encode()], SPACE_OR_MARK)
+            for i, item in enumerate(items):
+                if len(item) < 5 and len(h) != len(item):
+                    continue
+                n = min(len(item), len(h))
+                best = max(index.similarity(shingles_of(h[k : k + n]), i) for k in range(len(h) - n + 1))
+                near += 0.75 < best < 0.9
+                if best >= SIMILARITY:
+                    want[d, i] = best
+    assert near > 20 and len(want) > 80
+    assert got.keys() == want.keys()
+    assert got == pytest.approx(want)
+
+
+def test_leak_index_prunes_and_loses_nothing_near(monkeypatch):
+    from buildlens.llm import decontaminate
+    from buildlens.llm.decontaminate import RADIUS, Items, distance
+
+    rng = random.Random(2)
+    items = Items(list(range(900)), [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30)) for _ in range(900)])
+    noise = np.random.default_rng(1)
+    marks = noise.integers(0, 2**16, (300, 16), dtype=np.uint16)
+    met = items.met(30, marks)
+    assert len(met) < 0.2 * 300 * 900
+    # fingerprints at every distance up to the radius of one of the items
+    close = items.mark[np.arange(300) % 900].copy()
+    for i, mark in enumerate(close):
+        for bit in noise.choice(256, i % (RADIUS + 4), replace=False):
+            mark[bit // 16] ^= np.uint16(1 << (bit % 16))
+    far = distance(close[:, None], items.mark[None])
+    want = {tuple(p) for p in np.argwhere(far <= RADIUS).tolist()}
+    assert {tuple(p) for p in items.candidates(30, close).tolist()} == want and len(want) > 270
+    monkeypatch.setattr(decontaminate, "MASKS", np.repeat(decontaminate.MASKS, 2))
+    assert {tuple(p) for p in items.candidates(30, close).tolist()} == want
+
+
 @pytest.mark.parametrize("calibrating", [0, 1, 5])
 def test_quality_of_small_languages(spark, calibrating):
     rng = random.Random(6)
