@@ -1,23 +1,35 @@
 """Reference graphs: joins repeated until nothing is left to do.
 
-Only row counts reach the driver. Every round's result is written by ``checkpoint`` to the
-cluster's shared folder, which also cuts the lineage.
+Only emptiness and a round number reach the driver. Each round writes its own front to the
+cluster's shared folder and nothing else; now and then the fronts so far become one table.
 """
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buildlens.sources.shared import written
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder; a temporary one is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+#: Fronts that are kept apart before they become one table.
+FRONTS = 8
+
+
+class Seen:
+    """The fronts of all rounds so far, as one table."""
+
+    def __init__(self, front: DataFrame):
+        self.fronts = [front]
+
+    def add(self, front: DataFrame) -> None:
+        self.fronts.append(front)
+        if len(self.fronts) > FRONTS:
+            self.fronts = [written(self.all(), "fronts")]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.fronts)
 
 
 def first_phase(needs: DataFrame) -> DataFrame:
@@ -27,18 +39,23 @@ def first_phase(needs: DataFrame) -> DataFrame:
 
 def _peel(nodes: DataFrame, edges: DataFrame, up: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Take away, round by round, nodes without a remaining reference (``up``) or referrer:
-    (node, round) of those, and the nodes and edges that are left."""
+    (node, round) of those, and the nodes and edges that are left. After the first round only
+    the other ends of the last front's edges can become free."""
     own, other = ("referrer", "reference") if up else ("reference", "referrer")
-    done, left, links, n = None, nodes, edges, 0
-    while True:
-        busy = links.select(F.col(own).alias("node")).distinct()
-        free = kept(left.join(busy, "node", "left_anti").withColumn("round", F.lit(n)))
-        if free.isEmpty():
-            return (done if done is not None else free), left, links
-        done = free if done is None else done.unionByName(free)
-        left = kept(left.join(free.select("node"), "node", "left_anti"))
-        links = kept(links.join(free.select(F.col("node").alias(other)), other, "left_anti"))
+    busy = edges.select(F.col(own).alias("node")).distinct()
+    front = written(nodes.join(busy, "node", "left_anti").withColumn("round", F.lit(0)), "front")
+    seen, n = Seen(front), 0
+    while not front.isEmpty():
         n += 1
+        near = edges.join(front.select(F.col("node").alias(other)), other, "left_semi").select(F.col(own).alias("node")).distinct()
+        done = seen.all().select(F.col("node").alias(other))
+        held = edges.join(near.select(F.col("node").alias(own)), own, "left_semi").join(done, other, "left_anti").select(F.col(own).alias("node"))
+        front = written(near.join(held, "node", "left_anti").withColumn("round", F.lit(n)), "front")
+        seen.add(front)
+    done = written(seen.all(), "peeled")
+    gone = lambda c: done.select(F.col("node").alias(c))
+    left = nodes.join(gone("node"), "node", "left_anti")
+    return done, left, edges.join(gone("referrer"), "referrer", "left_anti").join(gone("reference"), "reference", "left_anti")
 
 
 def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,7 +73,7 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .join(nodes.select(F.col("node").alias("referrer")), "referrer", "left_semi")
         .join(nodes.select(F.col("node").alias("reference")), "reference", "left_semi")
     )
-    low, left, links = _peel(nodes, kept(own), True)
+    low, left, links = _peel(nodes, written(own, "edges"), True)
     base = low.agg(F.coalesce(F.max("round") + 1, F.lit(0))).first()[0]
     out = low.select("node", F.col("round").alias("level"))
     if left.isEmpty():
@@ -74,21 +91,21 @@ def closure(seeds: DataFrame, edges: DataFrame, known: DataFrame, metadata: Data
     Columns path_id, depth (steps from a seed) and, if ``metadata(path_id)`` is given,
     ``error`` for a path without any; such a path is not followed.
     """
-    spark = seeds.sparkSession
     outside = lambda df: df.distinct().join(known.select("path_id"), "path_id", "left_anti")
-    front = kept(outside(seeds.select("path_id")).withColumn("depth", F.lit(0)))
-    seen = front
+    front = written(outside(seeds.select("path_id")).withColumn("depth", F.lit(0)), "front")
+    found, depth = Seen(front), 0
     links = edges.select("referrer", "reference").distinct()
     while not front.isEmpty():
+        depth += 1
         follow = front if metadata is None else front.join(metadata.select("path_id"), "path_id", "left_semi")
-        depth = F.first("depth") + 1
-        step = follow.join(links, follow["path_id"] == links["referrer"]).groupBy(F.col("reference").alias("path_id")).agg(depth.alias("depth"))
-        front = kept(step.join(known.select("path_id"), "path_id", "left_anti").join(seen.select("path_id"), "path_id", "left_anti"))
-        seen = kept(seen.unionByName(front))
+        step = links.join(follow.select(F.col("path_id").alias("referrer")), "referrer", "left_semi").select(F.col("reference").alias("path_id"))
+        fresh = outside(step).join(found.all().select("path_id"), "path_id", "left_anti")
+        front = written(fresh.withColumn("depth", F.lit(depth)), "front")
+        found.add(front)
+    seen = found.all()
     if metadata is None:
         return seen
     have = metadata.select("path_id", F.lit(False).alias("error")).distinct()
-    del spark
     return seen.join(have, "path_id", "left").withColumn("error", F.coalesce("error", F.lit(True)))
 
 
@@ -130,7 +147,7 @@ def audit_staging(needs: DataFrame, edges: DataFrame) -> DataFrame:
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GRF-5: nodes on or between cycles; none if the graph has no cycle."""
     own = edges.where("referrer <> reference").select("referrer", "reference").distinct()
-    _, left, links = _peel(nodes.select("node").distinct(), kept(own), True)
+    _, left, links = _peel(nodes.select("node").distinct(), written(own, "edges"), True)
     _, knot, _ = _peel(left, links, False)
     return knot
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.functions.network import (
@@ -14,8 +14,9 @@ from buildlens.functions.network import (
     network_bound,
     protocol_fits,
 )
+from buildlens.sources.shared import written
 
-#: Rules up to this number are broadcast and tested against every flow.
+#: Rules up to this number are tested against every flow, one after another.
 BROADCAST_RULES = 1000
 RANGE = "array<struct<start:int,end:int>>"
 
@@ -71,34 +72,44 @@ def decide_flows(flows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """JOIN-7: ``flows(flow_id, proto, ip, port, ...)`` with rule_idx and action of the first
     rule that fits, null and the default where none does.
 
-    Few rules are broadcast and tested one by one. Many are joined by prefix: each flow
-    stands for every prefix length in use, so it meets no rule of another network.
+    Few rules become one array, and each flow takes the first of it that fits: no flow is moved.
+    Of many, those for any or all private destinations, each shape with its first number only,
+    are such an array; the others are joined by prefix: each flow stands for every prefix
+    length in use, so it meets no rule of another network.
     """
     keyed = flows.withColumn("_address", address_key(F.col("ip"))).withColumn("ip_key", canonical_key(F.col("_address"))).drop("_address")
-    fits = protocol_fits(F.col("r_proto"), F.col("proto")) & in_ports(F.col("port"), F.col("port_ranges"))
-    r = rules.withColumnRenamed("proto", "r_proto").withColumnRenamed("action", "r_action")
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+
+    def fits(r: Column) -> Column:
         place = (
-            (F.col("kind") == "any")
-            | ((F.col("kind") == "private") & is_private(F.col("ip_key")))
-            | ((F.col("kind") == "cidr") & in_network(F.col("ip_key"), F.col("lo"), F.col("hi")))
+            (r["kind"] == "any")
+            | ((r["kind"] == "private") & is_private(F.col("ip_key")))
+            | ((r["kind"] == "cidr") & in_network(F.col("ip_key"), r["lo"], r["hi"]))
         )
-        hits = keyed.join(F.broadcast(r), fits & place)
-    else:
-        general = r.where("kind <> 'cidr'")
-        hits = keyed.join(
-            general, fits & ((F.col("kind") == "any") | ((F.col("kind") == "private") & is_private(F.col("ip_key"))))
-        )
-        head = F.floor(F.col("bits") / 4).cast("int")
-        some = r.where("kind = 'cidr'").withColumn("n", head).withColumn("head", F.left("lo", head))
-        lengths = sorted(x["n"] for x in some.select("n").distinct().collect())
-        with_head = keyed.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))) if lengths else keyed.withColumn("n", F.lit(-1))
-        near = with_head.withColumn("head", F.left("ip_key", F.col("n"))).join(some, ["n", "head"])
-        hits = hits.unionByName(near.where(fits & in_network(F.col("ip_key"), F.col("lo"), F.col("hi"))).drop("n", "head"))
-    first = hits.groupBy("flow_id").agg(F.min(F.struct("rule_idx", "r_action")).alias("hit"))
-    return flows.join(first, "flow_id", "left").select(
-        flows["*"], F.col("hit.rule_idx").alias("rule_idx"), F.coalesce("hit.r_action", F.lit(default)).alias("action")
+        return F.coalesce(protocol_fits(r["proto"], F.col("proto")) & place & in_ports(F.col("port"), r["port_ranges"]), F.lit(False))
+
+    def first_of(some: DataFrame) -> DataFrame:
+        held = some.agg(F.array_sort(F.collect_list(F.struct("rule_idx", "action", "kind", "proto", "lo", "hi", "port_ranges")))).scalar()
+        hit = F.get(F.filter("_rules", fits), F.lit(0))
+        return keyed.withColumn("_rules", held).withColumn("_hit", F.struct(hit["rule_idx"].alias("rule_idx"), hit["action"].alias("action"))).drop("_rules")
+
+    answer = [F.col("_hit.rule_idx").alias("rule_idx"), F.coalesce("_hit.action", F.lit(default)).alias("action")]
+    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        return first_of(rules).select(*flows.columns, *answer)
+    general = rules.where("kind <> 'cidr'").groupBy("kind", "proto", "port_ranges").agg(F.min(F.struct("rule_idx", "action")).alias("f"))
+    general = general.select("kind", "proto", "port_ranges", "f.rule_idx", "f.action", F.lit(None).cast("string").alias("lo"), F.lit(None).cast("string").alias("hi"))
+    numbered = written(first_of(general).withColumn("_row", F.monotonically_increasing_id()), "flows")
+    head = F.floor(F.col("bits") / 4).cast("int")
+    some = rules.where("kind = 'cidr'").select(
+        head.alias("n"), F.left("lo", head).alias("head"), *[F.col(c).alias("r_" + c) for c in ("rule_idx", "action", "proto", "lo", "hi", "port_ranges")]
+    )
+    lengths = sorted(x["n"] for x in some.select("n").distinct().collect())
+    asked = numbered.select("_row", "proto", "port", "ip_key", F.explode(F.array(*map(F.lit, lengths))).alias("n")) if lengths else numbered.limit(0).withColumn("n", F.lit(0))
+    near = asked.withColumn("head", F.left("ip_key", F.col("n"))).join(some, ["n", "head"]).where(
+        protocol_fits(F.col("r_proto"), F.col("proto")) & in_ports(F.col("port"), F.col("r_port_ranges")) & in_network(F.col("ip_key"), F.col("r_lo"), F.col("r_hi"))
     )
+    best = near.groupBy("_row").agg(F.min(F.struct(F.col("r_rule_idx").alias("rule_idx"), F.col("r_action").alias("action"))).alias("_net"))
+    either = F.when(F.col("_hit.rule_idx").isNull(), F.col("_net")).when(F.col("_net").isNull(), F.col("_hit")).otherwise(F.least("_hit", "_net"))
+    return numbered.join(best, "_row", "left").withColumn("_hit", either).select(*flows.columns, *answer)
 
 
 def ip_scope(flows: DataFrame) -> DataFrame:

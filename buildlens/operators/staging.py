@@ -144,19 +144,30 @@ def staging_totals(split: DataFrame, path_infos: DataFrame) -> DataFrame:
     )
 
 
-def reassemble(chunks: DataFrame) -> DataFrame:
-    """AGG-8: ``chunks(path_id, seq, chunk, eof)`` joined in order up to the first eof; without
-    an eof the content is incomplete."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "chunk", "eof")))
-    got = chunks.groupBy("path_id").agg(ordered.alias("all"), F.min(F.when(F.col("eof"), F.col("seq"))).alias("end"))
-    kept = F.filter("all", lambda c: F.col("end").isNull() | (c["seq"] <= F.col("end")))
-    return got.withColumn("kept", kept).select(
-        "path_id",
-        F.array_join(F.transform("kept", lambda c: c["chunk"]), "").alias("content"),
-        F.size("kept").cast("bigint").alias("chunks"),
-        F.aggregate("kept", F.lit(0).cast("bigint"), lambda a, c: a + F.octet_length(c["chunk"])).alias("bytes"),
-        F.col("end").isNotNull().alias("complete"),
+#: Bytes up to which the content of a path is put together in one row.
+CONTENT_BYTES = 64 << 20
+
+
+def placed_chunks(chunks: DataFrame) -> DataFrame:
+    """AGG-8: the chunks of ``chunks(path_id, seq, chunk, eof)`` up to their path's first eof, with
+    the ``start`` of each in the content. A path of any size stays in rows."""
+    upto = W.partitionBy("path_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(c.over(upto), F.lit(0))
+    return chunks.select(
+        "path_id", "seq", "chunk", "eof", before(F.sum(F.octet_length("chunk"))).cast("bigint").alias("start"), before(F.count_if("eof")).alias("ended")
+    ).where("ended = 0").drop("ended")
+
+
+def reassemble(chunks: DataFrame, most: int = CONTENT_BYTES) -> DataFrame:
+    """AGG-8: number and bytes of each path's chunks up to its first eof, and their content in
+    order, null beyond ``most`` bytes; without an eof the content is incomplete."""
+    placed = placed_chunks(chunks)
+    sizes = placed.groupBy("path_id").agg(
+        F.count("*").alias("chunks"), F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0)).cast("bigint").alias("bytes"), F.coalesce(F.bool_or("eof"), F.lit(False)).alias("complete")
     )
+    small = placed.join(sizes.where(F.col("bytes") <= most).select("path_id"), "path_id", "left_semi")
+    texts = small.groupBy("path_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda c: c["chunk"]), "").alias("content"))
+    return sizes.join(texts, "path_id", "left").select("path_id", "content", "chunks", "bytes", "complete")
 
 
 def scan_candidates(inputs: DataFrame, outputs: DataFrame, valid: DataFrame | None = None) -> DataFrame:
@@ -180,7 +191,7 @@ def snapshot_race(offer: DataFrame, database: DataFrame, live: DataFrame) -> Dat
     in_database = offer.join(database.select("path_id"), "path_id", "left_semi")
     raced = in_database.join(live.select("path_id"), "path_id", "left_anti").agg((F.count("*") > 0).alias("raced"))
     unknown = offer.join(database.select("path_id").withColumn("known", F.lit(True)).distinct(), "path_id", "left")
-    return unknown.crossJoin(F.broadcast(raced)).select(
+    return unknown.withColumn("raced", raced.scalar()).select(
         "path_id", F.coalesce("known", F.lit(False)).alias("known"), "raced", (F.col("raced") | F.col("known").isNull()).alias("pinned")
     )
 

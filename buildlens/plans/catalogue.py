@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from buildlens.functions import scalars as fn
+from buildlens.functions.network import address_key, canonical_key
 from buildlens.operators import events as ev
 from buildlens.operators import graph, identity, matching, metrics, policy, staging, validate
 from buildlens.plans.views import VIEWS, view, with_views
 from buildlens.sources import readers, sinks
+from buildlens.sources.schemas import WORKER_PAYLOADS
+from buildlens.sources.shared import fresh_path
 from buildlens.streaming import streams, twins
 
 QUERIES: dict = {}
@@ -435,10 +439,14 @@ def extras_seed(spark, d):
     return staging.extras_seed(ids("true"), ids("reference % 3 = 0"), ids("reference % 5 = 0"))
 
 
-@query("SELECT path_id, path_id % 3 <> 0 AS known, true AS raced, true AS pinned FROM store_paths")
+@query("""WITH cases AS (SELECT 'quiet' AS kind, path_id FROM valid_now UNION ALL SELECT 'raced', path_id FROM valid_now WHERE path_id % 11 <> 0),
+  gone AS (SELECT DISTINCT k.kind FROM (SELECT DISTINCT kind FROM cases) k JOIN valid_now v ON NOT EXISTS (SELECT 1 FROM cases c WHERE c.kind = k.kind AND c.path_id = v.path_id))
+  SELECT k.kind, p.path_id, v.path_id IS NOT NULL AS known, g.kind IS NOT NULL AS raced, g.kind IS NOT NULL OR v.path_id IS NULL AS pinned
+  FROM (SELECT DISTINCT kind FROM cases) k JOIN store_paths p ON true LEFT JOIN valid_now v ON v.path_id = p.path_id LEFT JOIN gone g ON g.kind = k.kind""")
 def snapshot_race(spark, d):
-    paths = view(spark, d, "SELECT path_id FROM store_paths")
-    return staging.snapshot_race(paths, view(spark, d, "valid_now"), view(spark, d, "SELECT path_id FROM valid_now WHERE path_id % 11 <> 0"))
+    paths, valid = view(spark, d, "SELECT path_id FROM store_paths"), view(spark, d, "valid_now")
+    quiet = staging.snapshot_race(paths, valid, valid).withColumn("kind", F.lit("quiet"))
+    return quiet.unionByName(staging.snapshot_race(paths, valid, valid.where("path_id % 11 <> 0")).withColumn("kind", F.lit("raced")))
 
 
 @query("SELECT DISTINCT path FROM store_paths WHERE path_id % 2 = 0 OR path_id % 3 = 0")
@@ -615,21 +623,237 @@ def oom_flags(spark, d):
     return readers.oom_flags(view(spark, d, "SELECT event_id FROM events").select(F.col("event_id").alias("build_id"), text.alias("events")))
 
 
-@query("""WITH c AS (SELECT 'builds_' || k || '_total' AS metric, k FROM (SELECT unnest(['submitted', 'dispatched', 'declined', 'requeued', 'failed', 'succeeded']) AS k))
+_METRICS = """WITH c AS (SELECT 'builds_' || k || '_total' AS metric, k FROM (SELECT unnest(['submitted', 'dispatched', 'declined', 'requeued', 'failed', 'succeeded']) AS k))
   SELECT metric, NULL AS worker, NULL AS system, count(l.seq) AS value FROM c LEFT JOIN lifecycle l ON l.kind = k AND NOT (l.kind = 'submitted' AND l.duplicate) GROUP BY metric
   UNION ALL SELECT 'queue_depth', NULL, NULL, (WITH last AS (SELECT job_id, kind, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS n FROM lifecycle) SELECT count(*) FROM last WHERE n = 1 AND kind IN ('submitted', 'requeued'))
   UNION ALL SELECT 'workers_connected', NULL, NULL, count(*) FROM workers
   UNION ALL SELECT 'builder_up', worker_name, system, 1 FROM workers JOIN worker_systems USING (worker_id)
-  UNION ALL SELECT 'workers_for_system', NULL, system, count(*) FROM worker_systems GROUP BY system""")
+  UNION ALL SELECT 'workers_for_system', NULL, system, count(*) FROM worker_systems GROUP BY system"""
+
+
+@query(_METRICS)
 def metrics_table(spark, d):
     life = view(spark, d, "lifecycle")
     depth = ev.queue_depth(life, F.lit("9999-01-01 00:00:00").cast("timestamp_ntz"))
     return metrics.metrics_table(ev.lifecycle_counters(life), depth, registrations(spark, d))
 
 
-@query()
+_NAMES = ", ".join(f"({i}, '{k}', '{text}')" for i, (k, text) in enumerate(metrics.HELP.items()))
+
+
+@query(f"""WITH names(place, metric, text) AS (VALUES {_NAMES}), t AS ({_METRICS}),
+  lines AS (SELECT place, metric, 0 AS part, '# HELP fleet_' || metric || ' ' || text AS line FROM names
+    UNION ALL SELECT place, metric, 1, '# TYPE fleet_' || metric || CASE WHEN metric LIKE '%_total' THEN ' counter' ELSE ' gauge' END FROM names
+    UNION ALL SELECT place, t.metric, 2, 'fleet_' || t.metric || CASE WHEN worker IS NULL AND system IS NULL THEN '' ELSE '{{' ||
+      concat_ws(',', 'worker="' || worker || '"', 'system="' || system || '"') || '}}' END || ' ' || value FROM t JOIN names n ON n.metric = t.metric)
+  SELECT row_number() OVER (ORDER BY place, part, line) AS position, line FROM lines""")
 def metrics_text(spark, d):
-    return metrics.metrics_text(metrics_table(spark, d))
+    # the exposition is as small as the fleet, and its order is part of it
+    text = metrics.metrics_text(metrics_table(spark, d)).withColumn("id", F.monotonically_increasing_id())
+    return text.select(F.row_number().over(W.orderBy("id")).alias("position"), "line")
+
+
+@query("SELECT row_number() OVER (ORDER BY worker_name, system) AS position, worker_name, system FROM (SELECT DISTINCT worker_name, system FROM workers JOIN worker_systems USING (worker_id)) x")
+def export_order(spark, d):
+    rows = metrics.order_export(builder_up(spark, d).repartition(3)).withColumn("id", F.monotonically_increasing_id())
+    return rows.select(F.row_number().over(W.orderBy("id")).alias("position"), "worker_name", "system")
+
+
+# ------------------------------------------------------- sources and sinks
+
+
+def _requests_as_text(spark: SparkSession, d: str) -> str:
+    """Request documents of orders in a folder: every seventh of another version, every eleventh
+    without a builder, every thirteenth cut short."""
+    o = view(spark, d, "SELECT * FROM jobs")
+    n = F.col("job_id")
+    env = F.when(n % 4 == 0, F.create_map(F.lit("NIX_OUTPUT_CHECKED"), F.lit("1"))).otherwise(F.create_map(F.lit("A"), n.cast("string")))
+    doc = F.struct(
+        F.when(n % 7 == 0, 2).otherwise(1).alias("version"),
+        F.when(n % 11 != 0, "/bin/sh").alias("builder"),
+        F.array(F.lit("-c"), n.cast("string")).alias("args"),
+        env.alias("env"),
+        F.lit("/tmp").alias("topTmpDir"),
+        F.lit("/build").alias("tmpDirInSandbox"),
+        F.lit("/nix/store").alias("storeDir"),
+        "system",
+        F.array(F.concat(F.lit("/nix/store/in-"), n.cast("string"))).alias("inputPaths"),
+        F.create_map(F.lit("out"), F.concat(F.lit("/nix/store/out-"), n.cast("string"))).alias("outputs"),
+        F.lit("ignored").alias("unknownKey"),
+    )
+    text = F.to_json(doc)
+    path = fresh_path(spark, "requests")
+    o.select(F.when(n % 13 == 0, F.left(text, F.lit(40))).otherwise(text).alias("value")).write.text(path)
+    return path
+
+
+@query("""SELECT job_id, system, '/bin/sh' AS builder, '/nix/store/in-' || job_id AS inputs, '/nix/store/out-' || job_id AS output, job_id % 4 = 0 AS fixed_output
+  FROM jobs WHERE job_id % 7 <> 0 AND job_id % 11 <> 0 AND job_id % 13 <> 0""")
+def read_requests(spark, d):
+    good, _ = readers.read_requests(spark, _requests_as_text(spark, d))
+    return good.select(F.get("args", F.lit(1)).cast("bigint").alias("job_id"), "system", "builder", F.array_join("input_paths", ",").alias("inputs"), F.col("outputs")["out"].alias("output"), "fixed_output")
+
+
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN job_id % 13 = 0 THEN 'not a request document' WHEN job_id % 11 = 0 THEN 'missing builder' WHEN job_id % 7 = 0 THEN 'unsupported version' END AS reason FROM jobs) x
+  WHERE reason IS NOT NULL GROUP BY reason""")
+def rejected_requests(spark, d):
+    _, bad = readers.read_requests(spark, _requests_as_text(spark, d))
+    return bad.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p.path, count(r.reference) AS n_references, count(q.path) AS n_valid FROM (SELECT * FROM store_paths WHERE path_id % 5 <> 0) p
+  LEFT JOIN refs r ON r.referrer = p.path_id LEFT JOIN (SELECT * FROM store_paths WHERE path_id % 5 <> 0) q ON q.path_id = r.reference GROUP BY p.path""")
+def read_store(spark, d):
+    folder = fresh_path(spark, "store")
+    view(spark, d, "SELECT path_id AS id, path FROM store_paths WHERE path_id % 5 <> 0").write.parquet(f"{folder}/valid_paths")
+    view(spark, d, "refs").write.parquet(f"{folder}/refs")
+    paths, refs = readers.read_store(spark, folder)
+    ends = paths.select(F.col("id").alias("reference"), F.col("path").alias("other"))
+    return (
+        paths.join(refs, paths["id"] == refs["referrer"], "left").join(ends, "reference", "left").groupBy("path").agg(F.count("reference").alias("n_references"), F.count("other").alias("n_valid"))
+    )
+
+
+@query("""SELECT path_id, CASE WHEN path_id % 6 = 0 THEN 'path' WHEN path_id % 10 = 5 THEN 'deriver' WHEN path_id % 7 = 0 THEN 'nar hash' WHEN path_id % 9 = 0 THEN 'references' END AS field,
+  CASE WHEN path_id % 6 <> 0 AND path_id % 10 <> 5 AND path_id % 7 <> 0 AND path_id % 9 <> 0 THEN path || ',' || path || '-x' END AS refs,
+  CASE WHEN path_id % 6 <> 0 AND path_id % 10 <> 5 AND path_id % 7 <> 0 AND path_id % 9 <> 0 AND path_id % 10 <> 0 THEN path END AS deriver FROM store_paths""")
+def normalize_path_infos(spark, d):
+    n, path = F.col("path_id"), F.col("path")
+    raw = view(spark, d, "store_paths").select(
+        "path_id",
+        F.when(n % 6 == 0, F.concat(path, F.lit("/x"))).otherwise(path).alias("store_path"),
+        F.when(n % 7 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.sha2(path, 256))).alias("nar_sha256"),
+        "nar_size",
+        F.array(F.concat(path, F.lit("-x")), path, path, F.when(n % 9 == 0, "relative").otherwise(path)).alias("references"),
+        F.array(F.lit("b"), F.lit("a"), F.lit("b")).alias("signatures"),
+        F.when(n % 10 == 0, "").when(n % 10 == 5, "/etc/passwd").otherwise(path).alias("deriver"),
+        F.lit("").alias("ca"),
+    )
+    good, bad = readers.normalize_path_infos(raw)
+    none = F.lit(None).cast("string")
+    return good.select("path_id", none.alias("field"), F.array_join("references", ",").alias("refs"), "deriver").unionByName(bad.select("path_id", "field", none.alias("refs"), none.alias("deriver")))
+
+
+@query("SELECT 'key-' || s_suppkey AS key, s_suppkey % 3 <> 0 AS trusted FROM supplier")
+def read_trusted_keys(spark, d):
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("key-"), k.cast("string"))
+    line = F.when(k % 3 == 0, F.concat(F.lit("  # "), name)).when(k % 3 == 1, F.concat(F.lit("\t"), name, F.lit("  "))).otherwise(F.concat(name, F.lit("\r")))
+    path = fresh_path(spark, "keys")
+    table = view(spark, d, "SELECT s_suppkey FROM supplier")
+    table.select(line.alias("value")).unionByName(table.select(F.lit("   ").alias("value"))).write.text(path)
+    keys = readers.read_trusted_keys(spark, path).withColumn("trusted", F.lit(True))
+    return table.select(name.alias("key")).join(keys, "key", "left").select("key", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+
+
+@query("""SELECT 'liveness' AS kind, worker_id AS worker, count(*) AS n, NULL AS last_build FROM messages GROUP BY worker_id
+  UNION ALL SELECT 'log_chunk', worker_id, count(*), max('b' || seq) FROM messages WHERE kind = 'log' GROUP BY worker_id
+  UNION ALL SELECT 'build_result', worker_id, count(*), max('b' || seq) FROM messages WHERE kind IN ('result_ok', 'result_failed') GROUP BY worker_id""")
+def demux(spark, d):
+    kind = F.col("kind")
+    build = F.concat(F.lit("b"), F.col("seq").cast("string"))
+    raw = view(spark, d, "messages").select(
+        F.col("worker_id").alias("worker"), "ts", "seq",
+        F.when(kind == "log", "log_chunk").when(kind.startswith("result"), "build_result").when(kind == "request_job", "job_request").otherwise("heartbeat").alias("kind"),
+        F.when(kind == "log", F.struct(build.alias("build_id"), F.lit("x").alias("data"))).alias("log_chunk"),
+        F.when(kind.startswith("result"), F.struct(build.alias("build_id"), F.lit(0).alias("exit_code"), F.lit("").alias("error"))).alias("build_result"),
+    )
+    missing = [F.lit(None).cast(t).alias(k) for k, t in WORKER_PAYLOADS.items() if k not in raw.columns]
+    tables = readers.demux(raw.select("*", *missing))
+    count = lambda k, last: tables[k].groupBy("worker").agg(F.count("*").alias("n"), last.alias("last_build")).select(F.lit(k).alias("kind"), "worker", "n", "last_build")
+    none = F.max(F.lit(None).cast("string"))
+    return count("liveness", none).unionByName(count("log_chunk", F.max("build_id"))).unionByName(count("build_result", F.max("build_id")))
+
+
+@query("SELECT worker_id AS build_id, count(*) AS chunks, cast(sum(strlen('log ' || seq)) AS bigint) AS bytes FROM messages WHERE kind = 'log' GROUP BY worker_id")
+def tail_logs(spark, d):
+    path = fresh_path(spark, "logs")
+    logs = view(spark, d, "SELECT worker_id, seq, ts FROM messages WHERE kind = 'log'")
+    data = F.concat(F.lit("log "), F.col("seq").cast("string")).cast("binary")
+    logs.select(F.col("worker_id").cast("string").alias("build_id"), "seq", F.col("ts").cast("timestamp").alias("ts"), data.alias("data")).repartition(6).write.parquet(path)
+    counted = readers.tail_logs(spark, path, 2).groupBy(F.col("build_id").cast("bigint").alias("build_id"))
+    return streams.drained(counted.agg(F.count("*").alias("chunks"), F.sum(F.octet_length("data")).cast("bigint").alias("bytes")))
+
+
+@query("""SELECT o_orderkey AS build, CASE WHEN o_orderkey % 2 = 0 THEN 'running' ELSE 'finished' END AS phase, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS n_extras, true AS good FROM orders WHERE o_orderkey % 10 < 8
+  UNION ALL SELECT NULL, NULL, NULL, false FROM orders WHERE o_orderkey % 10 >= 8""")
+def read_build_states(spark, d):
+    n = F.col("o_orderkey")
+    extra = F.concat(F.lit(',"extras":[{"store_path":"/p","references":["/q"]},{"store_path":"/q"}]'))
+    head = F.concat(F.lit('{"dedupe_key":"k","build_id":"'), n.cast("string"), F.lit('","phase":'))
+    phase = F.when(n % 2 == 0, F.concat(F.lit('"running"'), F.when(n % 10 == 8, "").otherwise(',"deadline_unix":5'))).otherwise(F.lit('"finished","exit_code":0'))
+    text = F.concat(head, phase, F.when(n % 3 == 0, extra).otherwise(""), F.when(n % 10 == 9, "").otherwise("}"))
+    good, bad = readers.read_build_states(view(spark, d, "SELECT o_orderkey FROM orders").select(text.alias("value")))
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    kept = good.select(F.col("build_id").cast("bigint").alias("build"), "phase", F.size("extras").alias("n_extras"), F.lit(True).alias("good"))
+    return kept.unionByName(bad.select(none("bigint", "build"), none("string", "phase"), none("int", "n_extras"), F.lit(False).alias("good")))
+
+
+@query("SELECT DISTINCT worker_name, system, true AS written, false AS again, true AS changed FROM workers JOIN worker_systems USING (worker_id) WHERE worker_id % 4 <> 0")
+def write_if_changed(spark, d):
+    path = fresh_path(spark, "snapshot")
+    rows = builder_up(spark, d)
+    some = view(spark, d, "SELECT worker_name FROM workers WHERE worker_id % 4 <> 0")
+    told = [sinks.write_if_changed(rows, path), sinks.write_if_changed(rows.repartition(3), path), sinks.write_if_changed(rows.join(some, "worker_name", "left_semi"), path)]
+    return spark.read.schema("worker_name string, system string").json(path).select("*", *[F.lit(t).alias(c) for t, c in zip(told, ("written", "again", "changed"), strict=True)])
+
+
+@query("SELECT path_id, list_last(string_split(path, '/')) AS name FROM store_paths")
+def base_names(spark, d):
+    return view(spark, d, "store_paths").select("path_id", fn.base_name(F.col("path")).alias("name"))
+
+
+@query("SELECT r.job_id, r.path_id FROM requested r WHERE NOT EXISTS (SELECT 1 FROM offers o WHERE o.job_id = r.job_id AND o.path_id = r.path_id)")
+def unexpected_chunks(spark, d):
+    return staging.unexpected_chunks(view(spark, d, "SELECT job_id, path_id FROM requested"), view(spark, d, "offers"))
+
+
+@query("SELECT job_id FROM jobs WHERE job_id NOT IN (SELECT job_id FROM job_features)")
+def dropped_jobs(spark, d):
+    return matching.dropped_jobs(view(spark, d, "SELECT job_id FROM jobs"), view(spark, d, "SELECT DISTINCT job_id FROM job_features"))
+
+
+# version 6 addresses, and version 4 ones mapped into version 6
+_SIX = """SELECT event_id AS flow_id, CASE event_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 17 ELSE 58 END AS proto, cast(event_id % 1024 AS int) AS port, CASE event_id % 7
+  WHEN 0 THEN '::ffff:10.0.0.' || cast(event_id % 256 AS string) WHEN 1 THEN '::ffff:93.184.216.' || cast(event_id % 256 AS string) WHEN 2 THEN '2001:db8::' || cast(event_id % 1000 AS string)
+  WHEN 3 THEN 'fe80::' || cast(event_id % 1000 AS string) WHEN 4 THEN '2001:0DB8:0:0:1::' || cast(event_id % 10 AS string) WHEN 5 THEN '::1' ELSE 'fd00::' || cast(event_id % 1000 AS string) END AS ip FROM events"""
+RULES_SIX = [(0, "allow", "tcp", "2001:db8::/80", ["0-511"]), (1, "deny", "any", "private", []), (2, "allow", "udp", "93.184.216.0/25", []), (3, "allow", "any", "2001:db8:0:0:1::/80", [])]
+
+
+@query(f"""WITH s AS ({_SIX}) SELECT flow_id, ip, flow_id % 7 IN (0, 3, 5, 6) AS private FROM s""")
+def ip_scope_six(spark, d):
+    return policy.ip_scope(view(spark, d, _SIX)).select("flow_id", "ip", "private")
+
+
+@query(f"""WITH s AS ({_SIX}), r AS (SELECT flow_id, CASE WHEN flow_id % 7 = 2 AND proto = 6 AND port <= 511 THEN 0 WHEN flow_id % 7 IN (0, 3, 5, 6) THEN 1
+  WHEN flow_id % 7 = 1 AND proto = 17 AND flow_id % 256 < 128 THEN 2 WHEN flow_id % 7 = 4 THEN 3 END AS rule_idx FROM s)
+  SELECT flow_id, rule_idx, CASE WHEN rule_idx IN (0, 2, 3) THEN 'allow' ELSE 'deny' END AS action FROM r""")
+def policy_decide_six(spark, d):
+    raw = spark.createDataFrame(RULES_SIX, "rule_idx int, action string, proto string, dst string, ports array<string>")
+    return policy.decide_flows(view(spark, d, _SIX), policy.compile_policy(raw)[0], "deny").select("flow_id", "rule_idx", "action")
+
+
+@query(f"""WITH s AS ({_SIX}) SELECT flow_id, CASE flow_id % 7 WHEN 0 THEN '0a0000' || printf('%02x', flow_id % 256) WHEN 1 THEN '5db8d8' || printf('%02x', flow_id % 256)
+  WHEN 2 THEN '20010db8' || repeat('0', 20) || lpad(cast(flow_id % 1000 AS string), 4, '0') WHEN 3 THEN 'fe80' || repeat('0', 24) || lpad(cast(flow_id % 1000 AS string), 4, '0')
+  WHEN 4 THEN '20010db8000000000001' || repeat('0', 11) || cast(flow_id % 10 AS string) WHEN 5 THEN repeat('0', 31) || '1' ELSE 'fd00' || repeat('0', 24) || lpad(cast(flow_id % 1000 AS string), 4, '0') END AS address FROM s""")
+def canonical_addresses(spark, d):
+    return view(spark, d, _SIX).select("flow_id", canonical_key(address_key(F.col("ip"))).alias("address"))
+
+
+@query("""WITH RECURSIVE own AS (SELECT referrer, reference FROM refs WHERE referrer <> reference),
+  known AS (SELECT p_partkey AS path_id FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 8 = 3),
+  seed AS (SELECT p_partkey AS path_id FROM part WHERE p_partkey % 41 = 2 AND p_partkey NOT IN (SELECT path_id FROM known)),
+  walk AS (SELECT path_id, 0 AS depth FROM seed UNION SELECT o.reference, w.depth + 1 FROM walk w JOIN own o ON o.referrer = w.path_id
+    WHERE w.path_id % 9 <> 0 AND o.reference NOT IN (SELECT path_id FROM known)),
+  found AS (SELECT path_id, min(depth) AS depth FROM walk GROUP BY path_id),
+  inside AS (SELECT o.* FROM own o JOIN found a ON a.path_id = o.referrer JOIN found b ON b.path_id = o.reference),
+  climb AS (SELECT path_id AS node, 0 AS level FROM found WHERE path_id NOT IN (SELECT referrer FROM inside) UNION SELECT i.referrer, c.level + 1 FROM climb c JOIN inside i ON i.reference = c.node),
+  levels AS (SELECT node, max(level) AS level FROM climb GROUP BY node)
+  SELECT path_id, depth, path_id % 9 = 0 AS error, level FROM found JOIN levels ON node = path_id""")
+def extras(spark, d):
+    ids = lambda where: view(spark, d, f"SELECT p_partkey AS path_id FROM part WHERE {where}")
+    metadata = view(spark, d, "SELECT reference AS path_id FROM refs WHERE reference % 9 <> 0 UNION SELECT referrer FROM refs WHERE referrer % 9 <> 0")
+    return graph.extras(ids("p_partkey % 41 = 2"), ids("p_partkey % 5 = 0"), ids("p_partkey % 8 = 3"), view(spark, d, "refs"), metadata)
 
 
 # ---------------------------------------------------------------- timeouts
@@ -685,7 +909,7 @@ _LOST = "SELECT worker_id AS job_id, ts, seq, CASE kind WHEN 'result_failed' THE
 
 
 @query(f"""WITH l AS ({_LOST}), n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS attempts FROM l WHERE kind = 'lost')
-  SELECT job_id, ts, attempts, attempts < 3 AS requeued, CASE WHEN attempts < 3 THEN ts + INTERVAL 1 HOURS END AS protected_until FROM n WHERE attempts <= 3""")
+  SELECT job_id, ts, attempts, attempts <= 3 AS requeued, CASE WHEN attempts <= 3 THEN ts + INTERVAL 1 HOURS END AS protected_until FROM n WHERE attempts <= 4""")
 def requeues(spark, d):
     return twins.requeues(view(spark, d, _LOST), 3600)
 
@@ -736,3 +960,17 @@ def live_counters_stream(spark, d):
 def live_log_bytes_stream(spark, d):
     logs = events_stream(spark, d).where("kind = 'log'").selectExpr("worker_id AS build_id", "ts", "bytes")
     return streams.drained(streams.live_log_bytes(logs))
+
+
+_STATES = "SELECT seq % 700 AS dedupe_key, CASE WHEN kind = 'result_ok' THEN 'finished' ELSE 'running' END AS phase, ts AS updated_at, seq AS build_id FROM messages"
+
+
+@query(f"""WITH s AS ({_STATES}), n AS (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY phase = 'finished' DESC, updated_at DESC, build_id DESC) AS n FROM s)
+  SELECT dedupe_key, phase, updated_at, build_id FROM n WHERE n = 1""")
+def latest_state_stream(spark, d):
+    path = fresh_path(spark, "states")
+    states = events_stream(spark, d).selectExpr("seq % 700 AS dedupe_key", "CASE WHEN kind = 'result_ok' THEN 'finished' ELSE 'running' END AS phase", "ts AS updated_at", "seq AS build_id")
+    run = streams.latest_state_stream(states, path).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = run.lastProgress["batchId"]
+    return spark.read.schema(states.schema).parquet(f"{path}/version={last}")

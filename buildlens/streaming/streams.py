@@ -6,8 +6,6 @@ than that are left to the batch twins. ``events.ts`` must be a timestamp with zo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from buildlens.operators.events import COUNTERS
+from buildlens.sources.shared import fresh_path
 
 
 def drained(df: DataFrame) -> DataFrame:
     """The complete result of a streaming aggregation over all that its source has now. Every
     batch replaces the result in the cluster's shared folder; the last one is returned."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "stream")
 
     def step(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/result")

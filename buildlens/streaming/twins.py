@@ -77,11 +77,12 @@ def dedupe_results(results: DataFrame) -> DataFrame:
 
 def requeues(events: DataFrame, grace: int, most: int = 3) -> DataFrame:
     """STR-6: ``events(job_id, ts, seq, kind)`` where ``lost`` is a lost session: attempts after
-    each loss, whether the job was requeued, and until when a sweep spares it."""
+    each loss, whether the job was requeued, and until when a sweep spares it. A job is requeued
+    while it has been less than ``most`` times before; the loss after that fails it."""
     w = W.partitionBy("job_id").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
     lost = events.where(F.col("kind") == "lost").withColumn("attempts", F.count("*").over(w))
-    again = F.col("attempts") < most
-    return lost.where(F.col("attempts") <= most).select(
+    again = F.col("attempts") <= most
+    return lost.where(F.col("attempts") <= most + 1).select(
         "job_id", "ts", "attempts", again.alias("requeued"), F.when(again, F.col("ts") + seconds(grace)).alias("protected_until")
     )
 
