@@ -308,7 +308,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each group stays. Rows
-    that share a doc_id are one document; rows with a null doc_id name nothing and go."""
-    kept = written(jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "jaccard-kept")
-    return picked_rows(docs, kept)
+    """``docs`` without the rows that another one stands for: of each group the one that names it
+    stays. Rows that share a doc_id are one document; rows with a null doc_id stay, since they
+    name no group and none can stand for them."""
+    others = written(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-others")
+    return picked_rows(docs, others, "left_anti")

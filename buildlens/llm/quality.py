@@ -112,6 +112,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, low: float = LOW, high: f
 
 def only_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps. Rows that share a doc_id stay together
-    if one of them is kept; rows with a null doc_id go."""
-    kept = written(quality_scores(docs, labels).where("kept").select("doc_id").distinct(), "quality-kept")
-    return picked_rows(docs, kept.where("doc_id is not null"))
+    if one of them is kept; rows with a null doc_id stay, since no decision can be tied to them."""
+    judged = quality_scores(docs, labels).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    return picked_rows(docs, written(judged.where("not kept").select("doc_id"), "quality-rejected"), "left_anti")

@@ -2,39 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buildlens.sources.shared import fresh_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests, local runs) a temporary folder is set for the session.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found is None and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if found is None:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder, for a table written once."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and
-    survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["Memo", "fresh_path", "map_arrow", "picked_rows", "shared_dir", "whole", "written"]
 
 
 def whole(text: str = "text") -> Column:
