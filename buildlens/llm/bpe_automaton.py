@@ -23,12 +23,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from buildlens.llm.shared import Memo, whole
 
 #: Words that a Python worker remembers, and states of its automaton before it starts anew.
 MEMO = 160_000
 STATES = 150_000
+#: Below this character no version of Unicode since 7.0 has changed classes, case or marks.
+SETTLED = "\u0530"
 #: More than the trie's nodes: a token and a node make one number.
 NODES = 1 << 20
 
@@ -186,7 +189,11 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label.update({i: t for t, i in self.special.items()})
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        rule = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.split = regex.compile(rule["pattern"]["Regex"])
+        # the library's own tables, for characters that its version of Unicode may know otherwise
+        self.library = Tokenizer.from_file(path).normalizer
+        self.library_split = pre_tokenizers.Split(Regex(rule["pattern"]["Regex"]), rule["behavior"].lower(), rule["invert"])
         self.memo = Memo(self.word, MEMO)
 
     def forget(self) -> None:
@@ -194,11 +201,14 @@ class WordBpe:
         self.automaton.reset()
         self.automaton.merges.memo.clear()
 
-    def normalise(self, text: str) -> str:
+    def words(self, text: str) -> list[str]:
+        """The normalised text in pre-split words."""
         if text.isascii():
-            return text.lower()
+            return self.split.findall(text.lower())
+        if max(text) >= SETTLED:
+            return [w for w, _ in self.library_split.pre_tokenize_str(self.library.normalize_str(text))]
         text = unicodedata.normalize("NFC", text)
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return self.split.findall("".join(map(str.lower, text)) if "Σ" in text else text.lower())
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Ids (little-endian unsigned 32-bit) and arc labels of a pre-split word."""
@@ -208,12 +218,12 @@ class WordBpe:
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids and decoded text of a whole text."""
         ids, labels = [], []
-        for k, part in enumerate(self.cut.split(text) if "<|" in text else [text]):
+        for k, part in enumerate(self.cut.split(text) if any(s in text for s in self.special) else [text]):
             if k % 2:
                 ids.append(self.special[part].to_bytes(4, "little"))
                 labels.append(part)
             elif part:
-                for a, b in self.memo.all(self.split.findall(self.normalise(part))):
+                for a, b in self.memo.all(self.words(part)):
                     ids.append(a)
                     labels.append(b)
         return b"".join(ids), " ".join(labels)
