@@ -9,13 +9,15 @@ get equal pseudonyms in every document and the pseudonym passes the validation t
 * account numbers (IBAN), plain or in groups of four, that pass the mod 97 test: what follows
   the check digits is permuted, and they are made new;
   numbers that fail the test are no card numbers and stay;
-* telephone numbers (country code kept), social-security-like numbers: digits are permuted;
+* telephone numbers: the digits after the country code are permuted, and their grouping, which
+  does not matter, stays;
+* social-security-like numbers without a group of zeros only: permuted among those;
 * IPv4 addresses with octets of 0 to 255: permuted as 32-bit numbers;
 * calendar dates (year first or last, parted by -, / or .; with the year last the day comes
-  first, or the month if that is no date; fields of one digit too): permuted within blocks of
-  73,000 days, in the order they have; zeros before digits as in the date found;
+  first, or the month if that is no date; fields of one digit too): permuted among the days of
+  1900 to 2099, in the order they have; zeros before digits as in the date found;
 * e-mail addresses: letters and digits of the local part and of the domain before its last
-  label are permuted within their class.
+  label are permuted within their class; case does not matter and stays.
 
 The network works on strings: a half is shifted character by character, within its class
 (digit, lower-case, upper-case letter), by a stream that SHA-256 makes of the key, the round
@@ -28,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Domain of the date permutation: blocks of 250 * 292 days from 1900-01-01.
-DAY_A, DAY_B, DAY_ZERO = 250, 292, "1900-01-01"
+#: Domain of the date permutation: the 17 * 4297 days from 1900-01-01 to 2099-12-31.
+DAY_A, DAY_B, DAY_ZERO = 17, 4297, "1900-01-01"
 
 #: Java patterns by kind; the first that fits at a place wins.
 PATTERNS = {
@@ -205,12 +207,9 @@ def _date(value: Column, key: Column) -> Column:
 
     def moved(d: Column) -> Column:
         n = F.datediff(d, F.lit(DAY_ZERO).cast("date"))
-        low = F.pmod(n, F.lit(DAY_A * DAY_B))
         to = _let(
-            _numeric(F.floor(low / DAY_B), F.pmod(low, F.lit(DAY_B)), DAY_A, DAY_B, key),
-            lambda p: F.date_add(
-                F.lit(DAY_ZERO).cast("date"), (n - low + p["a"] * DAY_B + p["b"]).cast("int")
-            ),
+            _numeric(F.floor(n / DAY_B), F.pmod(n, F.lit(DAY_B)), DAY_A, DAY_B, key),
+            lambda p: F.date_add(F.lit(DAY_ZERO).cast("date"), (p["a"] * DAY_B + p["b"]).cast("int")),
         )
         number = lambda t, f: F.when(bare, F.regexp_replace(F.date_format(t, f), r"\A0", "")).otherwise(F.date_format(t, f))
 
@@ -223,13 +222,37 @@ def _date(value: Column, key: Column) -> Column:
     return F.coalesce(_let(day, moved), value)
 
 
+def _cased(text: Column, like: Column) -> Column:
+    """``text`` in upper case where ``like``, of the same length, is."""
+    at = lambda c, i: F.substring(c, i, F.lit(1))
+    put = lambda i: F.when(at(like, i).rlike("[A-Z]"), F.upper(at(text, i))).otherwise(at(text, i))
+    return F.when(~like.rlike("[A-Z]"), text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(like)), put), ""))
+
+
 def _email(value: Column, key: Column) -> Column:
     local = F.substring_index(value, "@", 1)
     top = F.substring_index(value, ".", -1)
     host = F.substring(
         value, F.length(local) + 2, F.length(value) - F.length(local) - F.length(top) - F.lit(2)
     )
-    return F.concat(permuted(local, key), F.lit("@"), permuted(host, key), F.lit("."), top)
+    put = lambda part: _let(permuted(F.lower(part), key), lambda p: _cased(p, part))
+    return F.concat(put(local), F.lit("@"), put(host), F.lit("."), top)
+
+
+def _phone(value: Column, key: Column) -> Column:
+    code = F.regexp_extract(value, r"\A(\+[0-9]{1,3}(?=[ .(-])|\+[0-9]|)", 1)
+    rest = F.substring(value, F.length(code) + 1, F.length(value))
+    return _let(permuted(F.regexp_replace(rest, "[^0-9]", ""), key), lambda d: F.concat(code, _refilled(rest, d, "0-9")))
+
+
+def _ssn(value: Column, key: Column) -> Column:
+    part = F.split(value, "-")
+    number = lambda i: part[i].cast("bigint") - 1
+    two = lambda n, wide: F.lpad((n + 1).cast("bigint").cast("string"), wide, "0")
+    return _let(
+        _numeric(number(0), number(1) * 9999 + number(2), 999, 99 * 9999, key),
+        lambda p: F.concat_ws("-", two(p["a"], 3), two(F.floor(p["b"] / 9999), 2), two(F.pmod(p["b"], F.lit(9999)), 4)),
+    )
 
 
 def kind_of(value: Column) -> Column:
@@ -238,7 +261,7 @@ def kind_of(value: Column) -> Column:
         F.when(value.contains("@"), "email")
         .when(value.rlike(r"\A[0-9]{1,3}(\.[0-9]{1,3}){3}\z"), "ip")
         .when(value.rlike(r"\A([0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})\z"), "date")
-        .when(value.rlike(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), "ssn")
+        .when(value.rlike(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), F.when(value.rlike(r"\A(000-|[0-9]{3}-00-|[0-9]{3}-[0-9]{2}-0000)"), "plain").otherwise("ssn"))
         .when(value.rlike(r"\A[A-Z]"), F.when(iban_valid(value), "iban").otherwise("plain"))
         .when(value.rlike(r"\A[0-9]([ -]?[0-9]){12,}\z"), F.when(card_of(value).isNotNull(), "card").otherwise("plain"))
         .otherwise("phone")
@@ -250,7 +273,6 @@ def pseudonym(value: Column, key: Column) -> Column:
 
     def of(kind: Column) -> Column:
         named = F.concat_ws("|", key, kind)
-        code = F.regexp_extract(value, r"\A(\+[0-9]{1,3}(?=[ .(-])|\+[0-9]|)", 1)
         return (
             F.when(kind == "email", _email(value, named))
             .when(kind == "ip", _ip(value, named))
@@ -258,8 +280,8 @@ def pseudonym(value: Column, key: Column) -> Column:
             .when(kind == "card", _let(card_of(value), lambda c: F.concat(_card(c, named), F.substring(value, F.length(c) + 1, F.length(value)))))
             .when(kind == "iban", _iban(value, named))
             .when(kind == "plain", value)
-            .when(kind == "phone", F.concat(code, permuted(F.substring(value, F.length(code) + 1, F.length(value)), named)))
-            .otherwise(permuted(value, named))
+            .when(kind == "phone", _phone(value, named))
+            .otherwise(_ssn(value, named))
         )
 
     return _let(kind_of(value), of)

@@ -1,6 +1,7 @@
 """The ten operators against brute force, the libraries, held-out labels and odd inputs."""
 
 import collections
+import datetime as dt
 import hashlib
 import html
 import itertools
@@ -706,3 +707,36 @@ def test_pseudonyms_of_all_groupings_dates_and_accounts(spark):
     accounts = digits[-len(kept) - 4 : -len(kept) - 1]
     assert accounts[0] == accounts[1]
     assert all(int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97 == 1 for a in accounts)
+
+
+def test_bpe_of_every_character():
+    lib, own = Tokenizer.from_file(WORD), WordBpe(WORD)
+    singles = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(1)
+    pick = lambda: chr(rng.choice([rng.randrange(1, 0x530), rng.randrange(0x300, 0x370), rng.randrange(97, 123)]))
+    mixed = ["".join(pick() for _ in range(12)) for _ in range(8000)] + [a + "x" + b for a, b in zip(singles[::31], singles[7::31], strict=False)]
+    some = [*singles, *mixed, "\u08d3\u1b34", "a\u0558b", "Σας ΟΔΟΣ Σ"]
+    for text, e in zip(some, lib.encode_batch(some, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(text)[0], "<u4").tolist() == e.ids, repr(text)
+
+
+def test_pseudonyms_link_values_however_written(spark):
+    phones = ["+1 415-555-1234", "+1 415 555 1234", "+1 (415) 555-1234", "+1.415.555.1234"]
+    mails = ["bob.x@example.com", "Bob.X@Example.com", "BOB.X@EXAMPLE.COM"]
+    new = pseudonymise(docs_of(spark, [(1, "; ".join(phones + mails))]), "k").first().text.split("; ")
+    assert all(shape(a) == shape(b) and a != b for a, b in zip(phones + mails, new, strict=True))
+    assert len({re.sub("[^0-9]", "", p) for p in new[:4]}) == 1
+    assert len({m.lower() for m in new[4:]}) == 1
+
+
+def test_pseudonyms_of_dates_and_numbers_stay_in_their_range(spark):
+    days = [dt.date(1900, 1, 1) + dt.timedelta(days=7 * k) for k in range(10436)]
+    days += [dt.date(2099, 12, 31) - dt.timedelta(days=k) for k in range(1, 60) if (dt.date(2099, 12, 31) - dt.timedelta(days=k)).toordinal() % 7 != days[0].toordinal() % 7]
+    new = [dt.date.fromisoformat(r.text) for r in pseudonymise(docs_of(spark, [(i, d.isoformat()) for i, d in enumerate(days)]), "k").orderBy("doc_id").collect()]
+    assert len(set(new)) == len(set(days)) and min(new) >= dt.date(1900, 1, 1) and max(new) <= dt.date(2099, 12, 31)
+    numbers = [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 665, 998, 999) for g in (1, 50, 99) for s in (1, 9999)]
+    odd = ["000-12-3456", "123-00-4567", "123-45-0000"]
+    got = [r.text for r in pseudonymise(docs_of(spark, list(enumerate(numbers + odd))), "k").orderBy("doc_id").collect()]
+    assert got[len(numbers) :] == odd and len(set(got)) == len(got)
+    for a, b in zip(numbers, got, strict=False):
+        assert a != b and re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", b) and not re.match(r"000|...-00|......-0000", b)
