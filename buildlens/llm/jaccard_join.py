@@ -311,5 +311,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that another one stands for: of each group the one that names it
     stays. Rows that share a doc_id are one document; rows with a null doc_id stay, since they
     name no group and none can stand for them."""
-    others = written(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-others")
+    named = jaccard_components(docs).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("other"))
+    others = written(named.where("other").select("doc_id"), "jaccard-others")
     return picked_rows(docs, others, "left_anti")
