@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from buildlens.llm.shared import Memo, whole
+from buildlens.llm.shared import Memo, give_back, in_parts, whole
 
 #: Words that a Python worker remembers, and states of its automaton before it starts anew.
 MEMO = 160_000
@@ -192,7 +192,7 @@ class WordBpe:
         rule = spec["pre_tokenizer"]["pretokenizers"][0]
         self.split = regex.compile(rule["pattern"]["Regex"])
         # the library's own tables, for characters that its version of Unicode may know otherwise
-        self.library = Tokenizer.from_file(path).normalizer
+        self.library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})).normalizer
         self.library_split = pre_tokenizers.Split(Regex(rule["pattern"]["Regex"]), rule["behavior"].lower(), rule["invert"])
         self.memo = Memo(self.word, MEMO)
 
@@ -236,10 +236,11 @@ def _mapped(docs: DataFrame, tokenizer_path: str, fn, schema: str) -> DataFrame:
     def run(batches):
         enc = word_bpe(tokenizer_path)
         try:
-            for b in batches:
+            for b in in_parts(batches):
                 yield from fn(enc, b)
         finally:
             enc.forget()
+            give_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text")).mapInArrow(run, schema)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.sources.shared import fresh_path, shared_dir, written
 
-__all__ = ["Memo", "fresh_path", "map_arrow", "picked_rows", "shared_dir", "whole", "written"]
+__all__ = ["Memo", "fresh_path", "give_back", "in_parts", "map_arrow", "picked_rows", "shared_dir", "whole", "written"]
 
 
 def whole(text: str = "text") -> Column:
@@ -27,17 +29,41 @@ def picked_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> Data
     return docs.join(ids, "doc_id", how)
 
 
+#: Rows of a batch that are worked at a time.
+ROWS = 1000
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on from stage to stage, and what an
+    earlier stage has freed would else count against the executor while a later one runs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        # another C library than glibc, which has no such call
+        pass
+
+
+def in_parts(batches):
+    """The batches in slices of at most ROWS rows, without empty ones."""
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` where ``fn`` takes and returns one ``RecordBatch``; empty batches are skipped."""
+    """``mapInArrow`` where ``fn`` takes one non-empty ``RecordBatch`` and returns or yields some."""
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        try:
+            for b in in_parts(batches):
                 out = fn(b)
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 else:
                     yield from out
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
