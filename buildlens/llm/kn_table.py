@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.shared import written
+from buildlens.llm.shared import give_back, in_parts, map_arrow, written
 from buildlens.llm.shingles import mix
 
 ORDER = 4
@@ -25,13 +25,13 @@ BITS = 21
 #: Code points; what no training text has shares the uniform rest of the probability.
 SYMBOLS = 0x110000
 #: Characters that are handled at once; a longer text is handled alone.
-PIECE = 1_000_000
+PIECE = 500_000
 #: Characters of a chunk of documents, and n-grams that a task holds before it passes them on.
-CHUNK, HELD = 4_000_000, 1_000_000
+CHUNK, HELD = 4_000_000, 500_000
 #: Scored n-grams (12 bytes each) up to this number are broadcast.
 BROADCAST_GRAMS = 4_000_000
 #: Entries of a look-up table in place of a sort.
-TABLE = 1 << 23
+TABLE = 1 << 22
 GRAM = ["lang", "ctx", "w"]
 
 
@@ -143,12 +143,16 @@ def _tallied(df: DataFrame, group: list[str], counted: bool) -> DataFrame:
 
     def run(batches):
         tally = Tally()
-        for b in batches:
-            for g, texts in _by_group(b, group).items():
-                tally.add(g, texts)
-                if tally.full():
-                    yield from out(tally)
-        yield from out(tally)
+        try:
+            for b in in_parts(batches):
+                for g, texts in _by_group(b, group).items():
+                    tally.add(g, texts)
+                    if tally.full():
+                        yield from out(tally)
+            yield from out(tally)
+        finally:
+            del tally
+            give_back()
 
     schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", ctx bigint, w int" + (", n bigint" if counted else "")
     return df.select(*group, "text").mapInArrow(run, schema)
@@ -159,6 +163,11 @@ def count_grams(train: DataFrame) -> DataFrame:
     return _tallied(train, ["lang"], True).groupBy(GRAM).agg(F.sum("n").alias("n"))
 
 
+def distinct_grams(docs: DataFrame) -> DataFrame:
+    """(ctx, w) of every n-gram in ``docs(text)``."""
+    return _tallied(docs.select(F.lit("").alias("all"), "text"), ["all"], False).select("ctx", "w").distinct()
+
+
 def _suffix(k: int) -> Column:
     """The last k - 1 symbols of a context: what an n-gram of order k looks back on."""
     return F.col("ctx").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1).cast("bigint"))
@@ -265,13 +274,11 @@ def _scored_by_broadcast(rows: DataFrame, known: DataFrame) -> DataFrame:
         {lang: _arrays(table.filter(pa.compute.equal(table.column("lang"), lang))) for lang in langs}
     )
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                n, total = _sums(b.column("lang").to_pylist(), b.column("text").to_pylist(), shared.value.__getitem__)
-                yield pa.RecordBatch.from_arrays(_result(b.column("doc_id"), b.column("own"), n, total), names=["doc_id", "lang", "n", "perplexity"])
+    def run(batch):
+        n, total = _sums(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), shared.value.__getitem__)
+        return pa.RecordBatch.from_arrays(_result(batch.column("doc_id"), batch.column("own"), n, total), names=["doc_id", "lang", "n", "perplexity"])
 
-    return rows.mapInArrow(run, RESULT)
+    return map_arrow(rows, run, RESULT)
 
 
 def _scored_by_chunk(rows: DataFrame, known: DataFrame) -> DataFrame:

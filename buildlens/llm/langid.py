@@ -1,118 +1,136 @@
 """Language identification by character models.
 
-An interpolated Kneser-Ney model of folded letters per language; a text goes to the language
-with the lowest cross-entropy per character. Models are stored as sorted arrays of n-gram
-hashes (the n-gram's number in the folded alphabet) with their log-probabilities; n-grams
-that a language has not seen share the value of their back-off.
+An interpolated modified Kneser-Ney model of whole letters per language; a text goes to the
+language with the lowest cross-entropy per character. What the models say of the n-grams that
+the documents have is stored in sorted arrays of n-gram hashes, with the log-probability under
+each language; calibration uses training texts that no model has seen.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.kn import Alphabet, count_grams, grams, train_tables
-from buildlens.llm.shared import map_arrow, whole, written
+from buildlens.llm.kn_table import GRAM, Model, count_grams, distinct_grams, grams, keys, perplexities
+from buildlens.llm.shared import map_arrow, written
 
-ORDER = 4
-#: Share of the training texts of a language whose cross-entropy is let pass.
+#: Share of the calibrating texts of a language whose cross-entropy is let pass.
 ACCEPT = 0.999
 #: Characters that count towards the certainty of a prediction.
 CERTAIN = 40
+#: Texts of a language from which on an eighth of them calibrates instead of training.
+ENOUGH = 100
+#: Numbers (4 bytes each) in the arrays that are broadcast; beyond, n-grams are joined to the texts.
+BROADCAST_NUMBERS = 16_000_000
 
 
-def letter_alphabet() -> Alphabet:
-    """a-z in either case, twelve groups of other letters; all else is a boundary: 39 symbols."""
-    t = np.zeros(0x10000, np.uint8)
-    for cp in range(0x10000):
-        c = chr(cp)
-        if c.isalpha():
-            low = c.lower()[0]
-            t[cp] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) * 7 % 12
-    return Alphabet(39, t, 0)
+def letters(text: Column) -> Column:
+    """Lower-case letters and marks of a text, all else as single spaces; null as empty."""
+    return F.trim(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}]+", " ")))
 
 
-def train_models(train: DataFrame) -> dict[str, np.ndarray]:
-    """``train(lang, text)`` to the table of each language."""
-    alphabet = letter_alphabet()
-    counts = written(count_grams(train.where(F.col("lang").isNotNull()), alphabet, ORDER), "langid-counts")
-    return train_tables(counts, alphabet, ORDER)
+def train_models(train: DataFrame) -> Model:
+    """``train(lang, text)`` of letters to the tables of all languages."""
+    return Model(written(count_grams(train), "langid-counts"))
 
 
-def score_languages(docs: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, text, ...) to doc_id, n, lang_pred, entropy, score, and the other columns."""
-    alphabet = letter_alphabet()
-    names = sorted(models)
-    stacked = docs.sparkSession.sparkContext.broadcast(np.stack([models[k] for k in names], 1) if names else None)
+def _log_probabilities(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """(ctx, w) of every n-gram in ``docs`` with its log-probabilities under ``names``, in order."""
+    wanted = written(distinct_grams(docs), "langid-wanted")
+    asked = wanted.withColumn("lang", F.explode(F.array(*map(F.lit, names)))).select(GRAM)
+    rows = model.log_probabilities(asked).groupBy("ctx", "w")
+    return written(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("lang", "logp"))), lambda x: x["logp"].cast("float")).alias("logp")), "langid-known")
+
+
+def _by_broadcast(docs: DataFrame, known: DataFrame, many: int) -> DataFrame:
+    """``docs(text, ...)`` with n and the cross-entropies under ``many`` languages."""
+    table = known.toArrow()
+    key = keys(table.column("ctx").to_numpy(), table.column("w").to_numpy())
+    order = np.argsort(key)
+    logp = table.column("logp").combine_chunks().values.to_numpy().reshape(-1, many)[order]
+    shared = docs.sparkSession.sparkContext.broadcast((key[order], logp))
     rest = [c for c in docs.columns if c != "text"]
-    schema = docs.select(rest).schema.simpleString()[7:-1] + ",n:bigint,lang_pred:string,entropy:double,score:double"
 
     def run(batch):
-        table = stacked.value
+        key, logp = shared.value
         texts = batch.column("text").to_pylist()
-        total = np.zeros((len(texts), max(1, len(names))))
-        n = np.zeros(len(texts), np.int64)
-        rows = np.array([i for i, t in enumerate(texts) if t], np.int64)
-        if len(rows):
-            for first, code, starts, lengths in grams([texts[i] for i in rows], alphabet, ORDER):
-                letter = code % alphabet.size != 0
-                at = rows[first : first + len(starts)]
-                n[at] = np.add.reduceat(letter, starts, dtype=np.int64)
-                if names:
-                    picked = np.flatnonzero(letter)
-                    cum = np.vstack([np.zeros((1, len(names))), np.cumsum(table[code[picked]], 0, dtype=np.float64)])
-                    lo = np.searchsorted(picked, starts)
-                    hi = np.searchsorted(picked, starts + lengths)
-                    total[at] = cum[hi] - cum[lo]
-        n = np.where([t is None or (k == 0) for t, k in zip(texts, n, strict=True)], 0, n)
-        pred, entropy, score = [], np.zeros(len(texts)), np.zeros(len(texts))
-        some = n > 0
-        if names and some.any():
-            h = -total[some] / n[some, None]
-            best = h.argmin(1)
-            entropy[some] = h.min(1)
-            w = np.exp((h.min(1, keepdims=True) - h) * np.minimum(n[some], CERTAIN)[:, None])
-            score[some] = 1 / w.sum(1)
-            picked_names = iter([names[b] for b in best])
-            pred = [next(picked_names) if s else "und" for s in some]
-        else:
-            pred = ["und"] * len(texts)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in rest]
-            + [pa.array(n), pa.array(pred, pa.string()), pa.array(entropy, mask=~some), pa.array(score)],
-            names=[*rest, "n", "lang_pred", "entropy", "score"],
-        )
-
-    return map_arrow(docs, run, schema)
+        n = np.array([len(t) for t in texts], np.int64)
+        total = np.zeros((len(texts), many))
+        at = np.flatnonzero(n)
+        if len(at):
+            for first, ctx, w, inverse, starts in grams([texts[i] for i in at]):
+                place = np.searchsorted(key, keys(ctx, w))
+                for k in range(many):
+                    total[at[first : first + len(starts)], k] = np.add.reduceat(logp[place, k][inverse], starts, dtype=np.float64)
+        per_letter = -total / np.maximum(n, 1)[:, None]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(n), pa.array(list(per_letter), pa.list_(pa.float64()))], names=[*rest, "n", "entropies"])
+
+    return map_arrow(docs.select(*rest, "text"), run, docs.select(rest).schema.simpleString()[7:-1] + ",n:bigint,entropies:array<double>")
+
+
+def _by_join(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """The same for models of any size: every text once for each language."""
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "langid-rows")
+    each = rows.select(F.col("row").alias("doc_id"), F.explode(F.array(*map(F.lit, names))).alias("lang"), "text").withColumn("model", F.col("lang"))
+    found = perplexities(each, model).groupBy(F.col("doc_id").alias("row"), "n").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("lang", "perplexity"))), lambda x: F.log(x["perplexity"])).alias("entropies")
+    )
+    return rows.drop("text").join(found, "row").drop("row")
+
+
+def score_languages(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """``docs`` (text: letters) to its other columns with n, lang_pred, entropy and score."""
+    if not names:
+        empty = F.array().cast("array<double>")
+        judged = docs.withColumns({"n": F.length("text").cast("bigint") * 0, "entropies": empty}).drop("text")
+    else:
+        known = _log_probabilities(docs, model, names)
+        few = known.count() * len(names) <= BROADCAST_NUMBERS
+        judged = _by_broadcast(docs, known, len(names)) if few else _by_join(docs, model, names)
+    judged = judged.withColumn("entropy", F.when(F.col("n") > 0, F.array_min("entropies")))
+    best = F.array_position("entropies", F.col("entropy")).cast("int")
+    weight = F.aggregate("entropies", F.lit(0.0), lambda a, h: a + F.exp((F.col("entropy") - h) * F.least(F.col("n"), F.lit(CERTAIN))))
+    pred = F.when(F.col("n") > 0, F.get(F.array(*map(F.lit, [*names, "und"])), best - 1)).otherwise("und")
+    return judged.withColumns({"lang_pred": pred, "score": F.when(F.col("n") > 0, 1 / weight).otherwise(0.0)}).drop("entropies")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of ``docs(doc_id, text, lang, ...)``.
 
     Rows whose crc32 of the doc_id as text leaves 2 on division by 4 are held out; the others
-    with a language and a text train the models (a null doc_id has the remainder of the empty
-    string, 0). ``rejected`` is true where the cross-entropy exceeds what all but a thousandth
-    of the training texts of the predicted language have; the prediction itself stays. A text
-    that is null or has no letter is ``und`` with score 0. Without any training text every
-    row is ``und``. Equal cross-entropies go to the first language in order of name. Repeated
-    rows each give a row; an empty table gives an empty result; other columns are ignored.
+    with a language and a letter train the models (a null doc_id has the remainder of the empty
+    string, 0), but for an eighth of them in languages with ENOUGH, which calibrates.
+    ``rejected`` is true where the cross-entropy exceeds what all but a thousandth of the
+    calibrating texts of the predicted language have; the prediction itself stays, and nothing
+    is rejected in a language without such texts. A text that is null or has no letter is
+    ``und`` with score 0. Without any training text every row is ``und``. Equal
+    cross-entropies go to the first language in order of name. Repeated rows each give a row;
+    an empty table gives an empty result; other columns are ignored.
     """
-    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    crc = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4))
+    text = letters(F.col("text").cast("string"))
     base = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), F.col("lang").cast("string").alias("lang"), F.col("text")
-    )
-    models = train_models(base.where(~F.col("held_out")).select("lang", "text"))
-    scored = written(
-        score_languages(base.select("doc_id", "held_out", F.col("lang").alias("known"), whole().alias("text")), models), "langid-scores"
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        (crc == 2).alias("held_out"),
+        F.col("lang").cast("string").alias("known"),
+        F.when(text.rlike(r"\p{L}"), text).otherwise("").alias("text"),
     )
+    learned = base.where("not held_out and known is not null and text <> ''")
+    sizes = learned.groupBy("known").count().collect()
+    names = sorted(r["known"] for r in sizes)
+    plenty = [r["known"] for r in sizes if r["count"] >= ENOUGH]
+    calibrates = ~F.col("held_out") & F.col("known").isin(*plenty) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(8)) == 0) if plenty else F.lit(False)
+    base = base.withColumn("calibrates", F.coalesce(calibrates, F.lit(False)))
+    train = base.where("not held_out and not calibrates and known is not null and text <> ''").select(F.col("known").alias("lang"), "text")
+    scored = written(score_languages(base, train_models(train) if names else None, names), "langid-scores")
     limits = (
-        scored.where("not held_out and known is not null and n > 0 and known = lang_pred")
+        scored.where("calibrates and n > 0 and known = lang_pred")
         .groupBy("lang_pred")
         .agg(F.percentile_approx("entropy", F.lit(ACCEPT), F.lit(10_000)).alias("ceiling"))
     )
-    return scored.join(F.broadcast(limits) if len(models) < 1000 else limits, "lang_pred", "left").select(
+    return scored.join(F.broadcast(limits) if len(names) < 1000 else limits, "lang_pred", "left").select(
         "doc_id",
         "held_out",
         "lang_pred",

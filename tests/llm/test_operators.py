@@ -342,6 +342,23 @@ def test_language(spark):
     assert identify_languages(empty_docs(spark)).count() == 0
 
 
+def test_languages_of_other_scripts_and_models_of_any_size(spark, monkeypatch):
+    rng = random.Random(9)
+    scripts = {"ru": "абвгдежзиклмн", "uk": "абвгдежзіїєлм", "el": "αβγδεζηθικλμν", "ja": "あいうえおかきくけこ日本語", "got": "𐌰𐌱𐌲𐌳𐌴𐌵𐌶𐌷"}
+    text = lambda lang: " ".join("".join(rng.choices(scripts[lang], k=rng.randint(2, 7))) for _ in range(12))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(sorted(scripts) * 40)]
+    rows += [(1000, "12 34 !?", "ru"), (1001, None, "el"), (1002, text("ru"), None), (None, text("el"), "el")]
+    docs = spark.createDataFrame([(i, t, g, "s", 0, "x", "y", "z") for i, t, g in rows], DOCS)
+    got = sorted(((r.doc_id is None, r.doc_id, r.lang_pred, round(r.score, 6)) for r in identify_languages(docs).collect()), key=str)
+    named = {i: p for _, i, p, _ in got}
+    assert np.mean([named[i] == g for i, _, g in rows[:-4]]) > 0.97
+    assert named[1000] == named[1001] == "und" and named[1002] == "ru" and named[None] == "el"
+    monkeypatch.setattr("buildlens.llm.langid.BROADCAST_NUMBERS", 0)
+    joined = sorted(((r.doc_id is None, r.doc_id, r.lang_pred, round(r.score, 6)) for r in identify_languages(docs).collect()), key=str)
+    assert [x[:3] for x in joined] == [x[:3] for x in got]
+    assert [x[3] for x in joined] == pytest.approx([x[3] for x in got], abs=1e-4)
+
+
 # ---- 8
 
 
