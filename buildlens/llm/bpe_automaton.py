@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from buildlens.llm.shared import Memo, give_back, in_parts, whole
+from buildlens.llm.shared import Memo, give_back, in_parts, kept, small_batches, whole
 
 #: Words that a Python worker remembers, and states of its automaton before it starts anew.
 MEMO = 160_000
@@ -35,8 +35,6 @@ SETTLED = "\u0530"
 #: More than the trie's nodes: a token and a node make one number.
 NODES = 1 << 20
 
-_encoders: dict = {}
-
 
 def byte_symbols() -> list[str]:
     """The printable stand-in for every byte value, as byte-level BPE writes them."""
@@ -242,13 +240,11 @@ def _mapped(docs: DataFrame, tokenizer_path: str, fn, schema: str) -> DataFrame:
             enc.forget()
             give_back()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text")).mapInArrow(run, schema)
+    return small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text"))).mapInArrow(run, schema)
 
 
 def word_bpe(path: str) -> WordBpe:
-    if path not in _encoders:
-        _encoders[path] = WordBpe(path)
-    return _encoders[path]
+    return kept(("bpe", path), lambda: WordBpe(path))
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:

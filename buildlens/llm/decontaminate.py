@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.shared import map_arrow, picked_rows, whole, written
+from buildlens.llm.shared import kept, map_arrow, picked_rows, whole, written
 from buildlens.llm.shingles import SPACE_OR_MARK, mix, shingle_hashes, whole_hash, words
 
 K = 5
@@ -318,25 +318,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     names=["doc_id", "item_id", "start_word", "n_words", "similarity"],
                 )
 
-        got = map_arrow(texts, run, schema)
+        got = map_arrow(texts, run, schema, keeps=True)
         out = got if out is None else out.unionByName(got)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-_held: tuple = (None, None)
-
-
 def _items(shared) -> Items:
     """The benchmark of a broadcast, built once in each Python worker."""
-    global _held
     count, rows = shared.value
-    if _held[0] is not rows:
+
+    def made() -> tuple:
         whole_benchmark = None
         if count is not None:
             s, at = np.unique(np.concatenate([r[2] for r in rows]), return_index=True)
             whole_benchmark = (count, s, np.concatenate([r[3] for r in rows])[at])
-        _held = (rows, Items([r[0] for r in rows], [r[1] for r in rows], whole_benchmark))
-    return _held[1]
+        # with the rows, whose identity is the key and must not be given to others
+        return rows, Items([r[0] for r in rows], [r[1] for r in rows], whole_benchmark)
+
+    return kept(("items", id(rows)), made)[1]
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.shared import give_back, in_parts, map_arrow, written
+from buildlens.llm.shared import give_back, in_parts, kept, map_arrow, small_batches, written
 from buildlens.llm.shingles import mix
 
 ORDER = 4
@@ -27,7 +27,7 @@ SYMBOLS = 0x110000
 #: Characters that are handled at once; a longer text is handled alone.
 PIECE = 500_000
 #: Characters of a chunk of documents, and n-grams that a task holds before it passes them on.
-CHUNK, HELD = 4_000_000, 500_000
+CHUNK, HELD = 4_000_000, 250_000
 #: Scored n-grams (12 bytes each) up to this number are broadcast.
 BROADCAST_GRAMS = 4_000_000
 #: Entries of a look-up table in place of a sort.
@@ -142,6 +142,7 @@ def _tallied(df: DataFrame, group: list[str], counted: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[*group, "ctx", "w", *(["n"] if counted else [])])
 
     def run(batches):
+        kept()
         tally = Tally()
         try:
             for b in in_parts(batches):
@@ -155,7 +156,7 @@ def _tallied(df: DataFrame, group: list[str], counted: bool) -> DataFrame:
             give_back()
 
     schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", ctx bigint, w int" + (", n bigint" if counted else "")
-    return df.select(*group, "text").mapInArrow(run, schema)
+    return small_batches(df.select(*group, "text")).mapInArrow(run, schema)
 
 
 def count_grams(train: DataFrame) -> DataFrame:

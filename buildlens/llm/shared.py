@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from buildlens.sources.shared import fresh_path, shared_dir, written
 
-__all__ = ["Memo", "fresh_path", "give_back", "in_parts", "map_arrow", "picked_rows", "shared_dir", "whole", "written"]
+__all__ = ["Memo", "fresh_path", "give_back", "in_parts", "kept", "map_arrow", "picked_rows", "shared_dir", "small_batches", "whole", "written"]
 
 
 def whole(text: str = "text") -> Column:
@@ -29,7 +29,8 @@ def picked_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> Data
     return docs.join(ids, "doc_id", how)
 
 
-#: Rows of a batch that are worked at a time.
+#: Rows of a batch that are moved, and worked, at a time. Texts can be long: of Spark's default of
+#: 10,000 in a batch, several copies don't fit beside an executor's heap.
 ROWS = 1000
 
 
@@ -44,6 +45,30 @@ def give_back() -> None:
         pass
 
 
+_kept: dict = {}
+
+
+def kept(key=None, make=None):
+    """What ``make`` builds, kept in this Python worker for the tasks that ask for the same key. A
+    task with another key, or with none, lets it go, so that a worker holds one thing at a time."""
+    if key is None or key not in _kept:
+        if _kept:
+            _kept.clear()
+            give_back()
+        if key is not None:
+            _kept[key] = make()
+    return _kept.get(key)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session batches for Python now have at most ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return df
+
+
 def in_parts(batches):
     """The batches in slices of at most ROWS rows, without empty ones."""
     for b in batches:
@@ -51,10 +76,13 @@ def in_parts(batches):
             yield b.slice(lo, ROWS)
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` where ``fn`` takes one non-empty ``RecordBatch`` and returns or yields some."""
+def map_arrow(df: DataFrame, fn, schema: str, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` where ``fn`` takes one non-empty ``RecordBatch`` and returns or yields some;
+    ``keeps``: it uses what ``kept`` holds."""
 
     def run(batches):
+        if not keeps:
+            kept()
         try:
             for b in in_parts(batches):
                 out = fn(b)
@@ -65,7 +93,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
         finally:
             give_back()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 class Memo:

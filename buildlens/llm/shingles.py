@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes that are handled at once; a longer text is handled alone.
-CHUNK = 1_000_000
+CHUNK = 250_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit value for each byte, an odd multiplier and its inverse modulo 2**64.
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)

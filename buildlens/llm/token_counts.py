@@ -15,13 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.shared import Memo, map_arrow, whole
+from buildlens.llm.shared import Memo, kept, map_arrow, whole
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens bigint"
 #: Pieces whose counts each Python worker remembers.
 MEMO = 800_000
 
-_workers: dict = {}
 _crossing = re.compile(r"\s ")
 
 
@@ -69,12 +68,10 @@ class PieceCounter:
 
 
 def piece_counter(path: str) -> PieceCounter:
-    if path not in _workers:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _workers[path] = PieceCounter(path)
-    return _workers[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return kept(("tokens", path), lambda: PieceCounter(path))
 
 
 def tokenizer_digest(path: str) -> str:
@@ -93,7 +90,7 @@ def encode_misses(misses: DataFrame, path: str, version: str) -> DataFrame:
             names=["tokenizer", "digest", "n_tokens"],
         )
 
-    return map_arrow(misses.select("digest", "text"), run, CACHE_SCHEMA)
+    return map_arrow(misses.select("digest", "text"), run, CACHE_SCHEMA, keeps=True)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 1024) -> DataFrame:
