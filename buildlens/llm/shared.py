@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from buildlens.sources.shared import fresh_path, shared_dir, written
 
-__all__ = ["Memo", "fresh_path", "give_back", "in_parts", "kept", "map_arrow", "picked_rows", "shared_dir", "small_batches", "whole", "written"]
+__all__ = ["Memo", "fresh_path", "give_back", "in_parts", "join_facts", "kept", "map_arrow", "picked_rows", "shared_dir", "small_batches", "whole", "written"]
 
 
 def whole(text: str = "text") -> Column:
@@ -29,6 +29,21 @@ def picked_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> Data
     return docs.join(ids, "doc_id", how)
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) to ``facts``, which has at most one row per key.
+
+    A key with more rows than an even partition's share would land in one task. There are fewer
+    such keys than partitions, so their facts are broadcast and their rows stay where they are;
+    all other rows are shuffled. Rows with a null in the key match nothing. ``rows`` is read
+    several times and should be a written table.
+    """
+    share = rows.count() // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = rows.dropna(subset=key).groupBy(*key).count().where(F.col("count") > max(1, share))
+    hot = F.broadcast(written(often.select(*key), "hot-keys"))
+    few = rows.join(hot, key, "left_semi").join(F.broadcast(facts.join(hot, key, "left_semi")), key, how)
+    return few.unionByName(rows.join(hot, key, "left_anti").join(facts, key, how))
+
+
 #: Rows of a batch that are moved, and worked, at a time. Texts can be long: of Spark's default of
 #: 10,000 in a batch, several copies don't fit beside an executor's heap.
 ROWS = 1000

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.shared import Memo, kept, map_arrow, whole
+from buildlens.llm.shared import Memo, join_facts, kept, map_arrow, whole, written
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens bigint"
 #: Pieces whose counts each Python worker remembers.
@@ -122,8 +122,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
         .groupBy("digest")
         .agg(F.max("n_tokens").alias("n_tokens"))
     )
-    return (
-        keyed.select("doc_id", "n_bytes", "digest")
-        .join(counts, "digest")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = written(keyed.select("doc_id", "n_bytes", "digest"), "token-digests")
+    return join_facts(rows, counts, ["digest"]).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

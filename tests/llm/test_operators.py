@@ -28,7 +28,7 @@ from buildlens.llm.langid import identify_languages
 from buildlens.llm.pii import pseudonymise
 from buildlens.llm.quality import only_good, quality_scores
 from buildlens.llm.secret_scan import crc_base62, find_spans, scan_secrets
-from buildlens.llm.shared import fresh_path, written
+from buildlens.llm.shared import fresh_path, join_facts, written
 from buildlens.llm.token_counts import token_counts
 from buildlens.llm.vector_graph import audit_recall, near_vectors
 
@@ -253,6 +253,24 @@ def test_token_counts(spark, texts):
     assert token_counts(odd_docs(spark), BYTE, cache).count() == len(ODD) + 4
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_facts_of_hot_and_other_keys(spark, how):
+    keys = [7] * 400 + [8] * 300 + [None] * 300 + list(range(20, 220)) + [21] * 3
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id bigint, k bigint")
+    facts = spark.createDataFrame([(k, -k) for k in [7, 9, *range(20, 120)]], "k bigint, v bigint")
+    got = {r.id: (r.k, r.v) for r in join_facts(rows, facts, ["k"], how).collect()}
+    known = {7, *range(20, 120)}
+    assert got == {i: (k, -k if k in known else None) for i, k in enumerate(keys) if how == "left" or k in known}
+    assert join_facts(rows.limit(0), facts, ["k"], how).count() == 0
+
+
+def test_token_counts_of_many_copies(spark):
+    rows = [(i, "one two three" if i % 2 else f"text {i}") for i in range(400)]
+    got = token_counts(docs_of(spark, rows), BYTE, fresh_path(spark, "test-cache")).collect()
+    lib = Tokenizer.from_file(BYTE)
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(lib.encode(t).ids) for i, t in rows}
+
+
 # ---- 5
 
 
