@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from buildlens.llm.components import connected_components
-from buildlens.llm.shared import map_arrow, picked_rows, whole, written
+from buildlens.llm.shared import join_facts, map_arrow, picked_rows, whole, written
 from buildlens.llm.shingles import mix, shingle_sets
 
 #: Links have 100 * intersection >= 80 * union.
@@ -206,11 +206,11 @@ def class_components(sets: DataFrame) -> DataFrame:
     sets = written(sets.join(nodes.select("node", "central"), "node"), "jaccard-sets")
 
     # pivots of min-hash regions
-    dealt = sets.select("node", "n", "central", F.posexplode("sketch").alias("which", "region"))
+    dealt = written(sets.select("node", "n", "central", F.posexplode("sketch").alias("which", "region")), "jaccard-dealt")
     pivots = dealt.groupBy("which", "region").agg(F.max(F.struct("central", "node", "n")).alias("p"))
     size_ok = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
     to_pivot = (
-        dealt.join(pivots, ["which", "region"])
+        join_facts(dealt, pivots, ["which", "region"])
         .where((F.col("node") != F.col("p.node")) & size_ok(F.col("n"), F.col("p.n")))
         .select(F.col("node").alias("x"), F.col("p.node").alias("y"))
     )
@@ -294,14 +294,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .join(of, F.col("component") == of["id"])
             .select("node", F.col("hash").alias("component"))
         )
-    own = prints.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn(
+    labels = written(labels.select("node", "component"), "jaccard-classes")
+    own = join_facts(prints.select("doc_id", "n_shingles", "node"), labels, ["node"], "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     own = written(own, "jaccard-labelled")
-    least = own.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    some = own.where("n_shingles > 0")
+    least = written(some.groupBy("component").agg(F.min("doc_id").alias("least")), "jaccard-least")
     return (
-        own.where("n_shingles > 0")
-        .join(least, "component")
+        join_facts(some, least, ["component"])
         .select("doc_id", "n_shingles", F.col("least").alias("component_id"))
         .unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     )
