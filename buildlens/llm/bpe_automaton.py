@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from buildlens.llm.shared import Memo, give_back, in_parts, kept, small_batches, whole
+from buildlens.llm.shared import Memo, give_back, in_parts, kept, map_arrow, small_batches, whole
 
 #: Words that a Python worker remembers, and states of its automaton before it starts anew.
 MEMO = 160_000
@@ -211,7 +211,12 @@ class WordBpe:
     def word(self, word: str) -> tuple[bytes, str]:
         """Ids (little-endian unsigned 32-bit) and arc labels of a pre-split word."""
         ids = self.automaton.encode(word.encode())
-        return array("I", ids).tobytes(), " ".join(map(self.label.__getitem__, ids))
+        return array("I", ids).tobytes(), self.decode(ids)
+
+    def decode(self, ids: list[int]) -> str:
+        """The arc labels of ``ids``, special tokens included; ids that the file lacks have none."""
+        label = self.label
+        return " ".join([label[i] for i in ids if i in label])
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids and decoded text of a whole text."""
@@ -247,6 +252,23 @@ def word_bpe(path: str) -> WordBpe:
     return kept(("bpe", path), lambda: WordBpe(path))
 
 
+def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, decoded string for every row of ``encoded(doc_id, ids array<int>, ...)``.
+
+    Null or no ids decode to the empty string; null ids and ids that the tokenizer lacks are
+    left out, as the library does with the latter. Repeated rows and null doc_ids each give a
+    row; an empty table gives an empty result; other columns are ignored.
+    """
+
+    def run(batch):
+        enc = word_bpe(tokenizer_path)
+        back = [enc.decode(ids.as_py() or []) for ids in batch.column("ids")]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(back, pa.string())], names=["doc_id", "decoded"])
+
+    rows = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    return map_arrow(rows, run, "doc_id bigint, decoded string", keeps=True)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string for every row of ``docs(doc_id, text, ...)``.
 

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from buildlens.llm import queries
-from buildlens.llm.bpe_automaton import WordBpe, encode_digests, encode_documents
+from buildlens.llm.bpe_automaton import WordBpe, decode_documents, encode_digests, encode_documents
 from buildlens.llm.components import connected_components
 from buildlens.llm.decontaminate import find_leaks, without_leaks
 from buildlens.llm.html_main_text import blocks, extract_main_text, features, labelled_table, main_text, tree, written_pages
@@ -433,6 +433,19 @@ def test_bpe_equals_library(spark, texts):
     assert encode_digests(odd_docs(spark), WORD).count() == len(ODD) + 4 and encode_digests(empty_docs(spark), WORD).count() == 0
 
 
+def test_bpe_decodes_stored_ids(spark, texts):
+    lib = Tokenizer.from_file(WORD)
+    rows = list(enumerate(ODD + texts))
+    stored = written(encode_documents(docs_of(spark, rows), WORD), "test-ids")
+    want = {i: lib.decode(lib.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for i, t in rows}
+    assert {r.doc_id: r.decoded for r in decode_documents(stored.withColumn("decoded", stored.doc_id.cast("string")), WORD).collect()} == want
+    odd = [(1, None), (1, None), (None, []), (2, [320, None, 999_999, 49407, 321])]
+    got = decode_documents(spark.createDataFrame(odd, "doc_id bigint, ids array<int>"), WORD).collect()
+    assert [r.decoded for r in got if r.doc_id != 2] == ["", "", ""]
+    assert [r.decoded for r in got if r.doc_id == 2] == [lib.decode([320, 999_999, 49407, 321], skip_special_tokens=False)]
+    assert decode_documents(stored.limit(0), WORD).count() == 0
+
+
 # ---- 10
 
 
