@@ -3,7 +3,8 @@
 Two documents link when their shingle sets have a Jaccard similarity of 0.8 or more, that is
 a Jaccard distance, which is a metric, of 0.2 or less.
 
-1. Equal sets form one class; a class is named by a 64-bit hash of its set.
+1. Equal sets form one class; a class is named by 128 bits of its set. Sets too small to link
+   with any other than an equal one (fewer than four shingles) are done with that.
 2. Certificate of isolation. With tokens in one global order, sets that share at least
    ceil(0.8 n) of n tokens share l of them among their first n - ceil(0.8 n) + l. Classes
    with fewer tokens in such a prefix that any other document has there too link with
@@ -27,6 +28,8 @@ copies: they are joined to their pivot.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,9 +59,18 @@ def least_shared(n: Column | int):
     return F.floor((n * PERCENT + 99) / 100).cast("bigint")
 
 
-def _class_of(s: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int((mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + mix(np.array([len(s)], np.uint64))[0]).astype(np.int64))
+#: Two values that set the halves of a class's name apart.
+_HALVES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)]
+
+
+def class_name(text: bytes, s: np.ndarray) -> bytes:
+    """The name of a set, 16 bytes: two sums over its tokens. The only token of a set is itself
+    a hash of 64 bits, so the words behind it give the second half there."""
+    if len(s) == 1:
+        only = b" ".join(text.lower().split(None, 5)[:5])
+        return int(s[0]).to_bytes(8, "big") + hashlib.blake2b(only, digest_size=8).digest()
+    size = mix(np.array([len(s)], np.uint64))
+    return b"".join(int((mix(s ^ k).sum(dtype=np.uint64) + size)[0]).to_bytes(8, "big") for k in _HALVES)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -73,25 +85,26 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set), prefix (its least tokens)."""
+    """doc_id, n_shingles, node (name of the set), prefix (its least tokens)."""
 
     def run(batch):
         # in parts, so that a batch of long texts doesn't hold all its shingles at once
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
-            sets = shingle_sets([t.encode() for t in part.column("text").to_pylist()])
+            texts = [t.encode() for t in part.column("text").to_pylist()]
+            sets = shingle_sets(texts)
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array(n, pa.int64()),
-                    pa.array([_class_of(s) for s in sets], pa.int64()),
+                    pa.array(map(class_name, texts, sets), pa.binary()),
                     _lists([s[: k - least_shared(k) + max(1, k // EXTRA)] for s, k in zip(sets, n, strict=True)]),
                 ],
                 names=["doc_id", "n_shingles", "node", "prefix"],
             )
 
-    return map_arrow(_texts(docs), run, "doc_id bigint, n_shingles bigint, node bigint, prefix array<bigint>")
+    return map_arrow(_texts(docs), run, "doc_id bigint, n_shingles bigint, node binary, prefix array<bigint>")
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
@@ -101,13 +114,14 @@ def shingle_table(docs: DataFrame) -> DataFrame:
         with np.errstate(over="ignore"):
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                sets = [s for s in shingle_sets([t.encode() for t in part.column("text").to_pylist()]) if len(s)]
+                texts = [t.encode() for t in part.column("text").to_pylist()]
+                texts, sets = zip(*[p for p in zip(texts, shingle_sets(texts), strict=True) if len(p[1])] or [((), ())])
                 sketch = [
                     np.array([mix(s * np.uint64(2 * k + 3)).min() for k in range(SKETCHES)], np.uint64) for s in sets
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([_class_of(s) for s in sets], pa.int64()),
+                        pa.array(map(class_name, texts, sets), pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         _lists(sets),
                         _lists(sketch),
@@ -115,12 +129,14 @@ def shingle_table(docs: DataFrame) -> DataFrame:
                     names=["node", "n", "tokens", "sketch"],
                 )
 
-    return map_arrow(_texts(docs), run, "node bigint, n bigint, tokens array<bigint>, sketch array<bigint>")
+    return map_arrow(_texts(docs), run, "node binary, n bigint, tokens array<bigint>, sketch array<bigint>")
 
 
 def not_isolated(prints: DataFrame) -> DataFrame:
     """Nodes that the prefix certificate doesn't clear: node, doc_id (its least)."""
-    some = prints.where("n_shingles > 0 and doc_id is not null")
+    # a set of n tokens has a similarity of at most n / (n + 1) with another one
+    can_link = F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * PERCENT
+    some = prints.where(can_link & F.col("doc_id").isNotNull())
     # ids of documents are small numbers and shrink in a shuffle, hashes of sets don't
     entries = some.select("doc_id", F.explode("prefix").alias("token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
@@ -186,7 +202,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         )
 
     joined = pairs.join(left, "x").join(right, "y")
-    return map_arrow(joined.select("x", "y", "tx", "ty"), run, "x bigint, y bigint, common bigint, total bigint")
+    node = sets.schema["node"].dataType.simpleString()
+    return map_arrow(joined.select("x", "y", "tx", "ty"), run, f"x {node}, y {node}, common bigint, total bigint")
 
 
 def is_link() -> Column:
@@ -287,12 +304,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = written(named, "jaccard-candidates")
     labels = class_components(sets).where("component <> node")
     if not repeated:
-        of = picked.select(F.col("node").alias("hash"), F.col("doc_id").alias("id"))
+        of = picked.select(F.col("node").alias("name"), F.col("doc_id").alias("id"))
         labels = (
             labels.join(of, labels["node"] == of["id"])
-            .select(F.col("hash").alias("node"), "component")
+            .select(F.col("name").alias("node"), "component")
             .join(of, F.col("component") == of["id"])
-            .select("node", F.col("hash").alias("component"))
+            .select("node", F.col("name").alias("component"))
         )
     labels = written(labels.select("node", "component"), "jaccard-classes")
     own = join_facts(prints.select("doc_id", "n_shingles", "node"), labels, ["node"], "left").withColumn(

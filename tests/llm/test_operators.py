@@ -23,12 +23,13 @@ from buildlens.llm.bpe_automaton import WordBpe, decode_documents, encode_digest
 from buildlens.llm.components import connected_components
 from buildlens.llm.decontaminate import find_leaks, without_leaks
 from buildlens.llm.html_main_text import blocks, extract_main_text, features, labelled_table, main_text, tree, written_pages
-from buildlens.llm.jaccard_join import jaccard_components, one_of_each
+from buildlens.llm.jaccard_join import class_name, jaccard_components, one_of_each
 from buildlens.llm.langid import identify_languages
 from buildlens.llm.pii import pseudonymise
 from buildlens.llm.quality import only_good, quality_scores
 from buildlens.llm.secret_scan import crc_base62, find_spans, scan_secrets
 from buildlens.llm.shared import fresh_path, join_facts, written
+from buildlens.llm.shingles import shingle_sets
 from buildlens.llm.token_counts import token_counts
 from buildlens.llm.vector_graph import audit_recall, near_vectors
 
@@ -186,6 +187,39 @@ def test_jaccard_odd(spark):
     assert sorted(r.doc_id for r in one_of_each(docs_of(spark, [(2, "a b c d e f"), (1, "a b c d e f"), (3, None)])).collect()) == [1, 3]
 
 
+def test_jaccard_small_sets(spark):
+    """Sets of one to five shingles: of four and five, links need all of the lesser; of fewer, equality."""
+    words = "k l m n o p q r s t".split()
+    texts = [" ".join(words[:n]) for n in range(1, 11)] + [" ".join(words[1:n]) for n in range(6, 11)]
+    texts += ["K\tL  m N", "v v v v v", "v v v v v v v v", "v v v v", "l k", "kl"]
+    rows = [(100 - i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs_of(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_repeated_ids_with_near_texts(spark):
+    """Rows of one doc_id with several texts name classes by their sets alone; each row keeps its own class."""
+    rows = planted_copies(5)
+    plain = {r.doc_id: r.component_id for r in jaccard_components(docs_of(spark, rows)).collect()}
+    again = docs_of(spark, [*rows, (rows[0][0], "q w e r t z u i o p"), (None, rows[1][1])])
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(again).collect()]
+    assert len(got) == len(rows) + 2
+    assert {(i, c) for i, _, c in got if i is not None and i != rows[0][0]} == {(i, c) for i, c in plain.items() if i != rows[0][0]}
+    assert {c for i, n, c in got if i == rows[0][0] and n != 6} == {plain[rows[0][0]]}
+    assert [c for i, _, c in got if i is None] == [plain[rows[1][0]]]
+
+
+def test_jaccard_class_names():
+    texts = [b"a b c d", b"A  b\tc d", b"a b c d e", b"a a a a a a", b"a a a a a", b"a a a a", b"a b c d e f g"]
+    sets = shingle_sets(texts)
+    names = [class_name(t, s) for t, s in zip(texts, sets, strict=True)]
+    assert {len(n) for n in names} == {16}
+    assert names[0] == names[1] and names[3] == names[4]
+    assert len({names[0], names[2], names[3], names[5], names[6]}) == 5
+    # texts whose only tokens collide have different names
+    assert class_name(texts[0], sets[2]) != names[2]
+
+
 @pytest.mark.parametrize("path", ["up", "shifted", "zigzag", "random"])
 def test_components(spark, path):
     n = 200
