@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,13 +49,35 @@ def unexpected_chunks(chunks: DataFrame, requested: DataFrame) -> DataFrame:
     return chunks.join(requested.select("job_id", "path_id"), ["job_id", "path_id"], "left_anti")
 
 
+def _seconds(ts: str, kind: str) -> Column:
+    """A time as whole seconds that keep its order, also for times without a zone in sessions with summer time."""
+    if kind == "timestamp":
+        return F.unix_seconds(ts)
+    return F.date_diff(ts, F.lit("1970-01-01")).cast("bigint") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def path_conflicts(jobs: DataFrame) -> DataFrame:
     """JOIN-8: ``jobs(job_id, key, output, started_at, finished_at)``: pairs of different keys
-    that hold one output path at the same time, the earlier id first."""
-    a, b = jobs.alias("a"), jobs.alias("b")
+    that hold one output path at the same time, the earlier id first. Without a start or an end
+    a job holds nothing.
+
+    Jobs meet by output and slice of time, in the first slice that both touch. A slice is as
+    long as the mean job, so there are at most three entries per job on average, and a popular
+    path is split over its slices.
+    """
+    kind = jobs.schema["started_at"].dataType.typeName()
+    start, end = _seconds("started_at", kind), _seconds("finished_at", kind)
+    timed = jobs.where("started_at is not null and finished_at is not null")
+    timed = timed.select("job_id", "key", "output", "started_at", "finished_at", F.least(start, end).alias("from"), F.greatest(start, end).alias("to"))
+    width = timed.agg(F.greatest(F.lit(1), F.ceil(F.avg(F.col("to") - F.col("from"))).cast("bigint")).alias("width")).first()["width"]
+    cut = timed.withColumn("first", F.floor(F.col("from") / width)).withColumn("last", F.floor(F.col("to") / width))
+    cut = cut.drop("from", "to").withColumn("slice", F.explode(F.sequence("first", "last")))
+    a, b = cut.alias("a"), cut.alias("b")
     return a.join(
         b,
         (F.col("a.output") == F.col("b.output"))
+        & (F.col("a.slice") == F.col("b.slice"))
+        & (F.col("a.slice") == F.greatest("a.first", "b.first"))
         & (F.col("a.key") != F.col("b.key"))
         & (F.col("a.job_id") < F.col("b.job_id"))
         & (F.col("a.started_at") < F.col("b.finished_at"))
@@ -96,21 +118,17 @@ def scan_references(contents: DataFrame, candidates: DataFrame, size: int = 32)
 
 
 def scan_texts(contents: DataFrame, candidates: DataFrame) -> DataFrame:
-    """JOIN-13 for tokens of any characters: a text is cut at the places where the first word
-    of a token can stand, and those windows meet the tokens of that length in an equi-join."""
-    sized = candidates.withColumn("size", F.length("token"))
-    sizes = [r["size"] for r in sized.select("size").distinct().collect()]
-    out = None
-    for n in sizes:
-        some = sized.where(F.col("size") == n)
-        starts = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.length("content") - n + 1, F.lit(1))),
-            lambda i: (i == 1) | F.substring("content", i - 1, F.lit(1)).rlike(r"\s"),
-        )
-        windows = contents.select("content_id", F.explode(F.transform(starts, lambda i: F.substring("content", i, F.lit(n)))).alias("token"))
-        part = windows.distinct().join(some, "token").select("content_id", "item_id").distinct()
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else contents.limit(0).crossJoin(candidates.limit(0)).select("content_id", "item_id")
+    """JOIN-13 for tokens of any characters that stand at the start of a text or after white
+    space. One linear scan takes the text from each such place up to the longest token's length;
+    cut to the lengths that tokens have, it meets them in an equi-join. Null and empty tokens
+    stand nowhere. The driver gets the distinct lengths, which the longest token bounds."""
+    lengths = sorted(n for n in candidates.agg(F.collect_set(F.length("token")).alias("n")).first()["n"] if n > 0)
+    longest = lengths[-1] if lengths else 1
+    places = F.regexp_extract_all("content", F.lit(rf"(?:\A|(?<=\s))(?=([\s\S]{{1,{longest}}}))"), F.lit(1))
+    starts = contents.select("content_id", F.explode(places).alias("start")).distinct()
+    fit = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("start"))
+    windows = starts.select("content_id", F.explode(F.transform(fit, lambda n: F.substring("start", F.lit(1), n))).alias("token"))
+    return windows.distinct().join(candidates, "token").select("content_id", "item_id").distinct()
 
 
 def check_sizes(contents: DataFrame, path_infos: DataFrame) -> DataFrame:

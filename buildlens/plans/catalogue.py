@@ -974,3 +974,39 @@ def latest_state_stream(spark, d):
     run.awaitTermination()
     last = run.lastProgress["batchId"]
     return spark.read.schema(states.schema).parquet(f"{path}/version={last}")
+
+
+def _upserted(spark: SparkSession, name: str, start) -> DataFrame:
+    """The table that ``start(table, events)``, a stream's writer, has made of all its source has now."""
+    path = fresh_path(spark, name)
+    run = start(f"{path}/table", f"{path}/events").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/table")
+
+
+@query()
+def abandoned_stream(spark, d):
+    subs = events_stream(spark, d).where("kind IN ('request_job', 'result_failed')")
+    subs = subs.selectExpr("worker_id AS build_id", "ts", "seq", "CASE kind WHEN 'request_job' THEN 1 ELSE -1 END AS change")
+    rule = lambda events: twins.abandoned(events, 6 * 3600)
+    return _upserted(spark, "abandoned", lambda table, kept: streams.abandoned_and_requeued_by_batch(subs, rule, table, kept))
+
+
+@query()
+def requeues_stream(spark, d):
+    lost = events_stream(spark, d).selectExpr("worker_id AS job_id", "ts", "seq", "CASE kind WHEN 'result_failed' THEN 'lost' ELSE kind END AS kind")
+    rule = lambda events: twins.requeues(events, 3600)
+    return _upserted(spark, "requeues", lambda table, kept: streams.abandoned_and_requeued_by_batch(lost, rule, table, kept))
+
+
+@query()
+def admissions_stream(spark, d):
+    submits = events_stream(spark, d).where("kind = 'log'").selectExpr("seq AS job_id", "worker_id % 40 AS system", "ts")
+    opened = events_stream(spark, d).where("kind = 'request_job'").selectExpr("worker_id % 40 AS system", "ts AS opens", "ts + INTERVAL 1 HOURS AS closes")
+    got = _upserted(spark, "admissions", lambda table, kept: streams.admissions_by_batch(submits, opened, 7200, table, kept))
+    return got.select("job_id", "decision", "served_at")
+
+
+# the streams give the rows of their batch twins
+for _name in ("abandoned", "requeues", "admissions"):
+    ORACLE_SQL[f"{_name}_stream"] = ORACLE_SQL[_name]

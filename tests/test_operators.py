@@ -403,3 +403,37 @@ def test_path_infos_demux_and_added(spark):
 def test_oom_lines(spark):
     df = spark.createDataFrame([("a", "low 0\noom_kill 0"), ("b", "oom_kill 3\n"), ("c", "xoom_kill 3"), ("d", None)], "build_id string, events string")
     assert {r.build_id: r.oom for r in readers.oom_flags(df).collect()} == {"a": False, "b": True, "c": False, "d": False}
+
+
+def test_path_conflicts_equal_all_pairs(spark):
+    """Short, long, pointlike and reversed holds, some far apart, against every pair."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        start = rng.choice([rng.randrange(-500, 500), rng.randrange(100_000)])
+        rows.append((i, rng.randrange(4), rng.randrange(3), start, start + rng.choice([0, 1, 5, 40, 3000, 90_000, -30])))
+    want = sorted(
+        (a[2], a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and a[1] != b[1] and a[3] < b[4] and b[3] < a[4]
+    )
+    jobs = spark.createDataFrame(rows + [(900, 9, 0, None, 5), (901, 9, 0, 5, None)], "job_id int, key int, output int, s bigint, f bigint")
+    for kind in ("timestamp", "timestamp_ntz"):
+        timed = jobs.selectExpr("job_id", "key", "output", f"cast(timestamp_seconds(s) AS {kind}) AS started_at", f"cast(timestamp_seconds(f) AS {kind}) AS finished_at")
+        assert sorted(map(tuple, staging.path_conflicts(timed).collect())) == want and want
+    assert staging.path_conflicts(timed.limit(0)).count() == 0
+
+
+def test_scan_texts_of_many_lengths(spark):
+    text = "ab cd\nabc  d é𝄞x ab"
+    rows = [(1, text), (2, ""), (3, None), (4, "cd"), (5, "xab " * 20_000)]
+    tokens = ["ab", "abc", "b", "cd\nabc", " d", "é𝄞x", "é𝄞", "x", "d", "", None, "xab xab"]
+    want = {
+        (i, k)
+        for i, c in rows
+        for k, t in enumerate(tokens)
+        if c and t and any(c.startswith(t, p) for p in range(len(c)) if p == 0 or c[p - 1] in " \n")
+    }
+    contents = spark.createDataFrame(rows, "content_id int, content string")
+    candidates = spark.createDataFrame(list(enumerate(tokens)), "item_id int, token string")
+    assert sorted(map(tuple, staging.scan_texts(contents, candidates).collect())) == sorted(want)
+    assert len(want) > 8
+    assert staging.scan_texts(contents, candidates.limit(0)).count() == 0
