@@ -27,9 +27,11 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from buildlens.llm.shared import Memo, give_back, in_parts, kept, map_arrow, small_batches, whole
 
-#: Words that a Python worker remembers, and states of its automaton before it starts anew.
+#: Words that a Python worker remembers, states of its automaton before it starts anew, and
+#: answers of the merges that it keeps: bounds of its memory, none of which changes a result.
 MEMO = 160_000
-STATES = 150_000
+STATES = 80_000
+ANSWERS = 20_000
 #: Below this character no version of Unicode since 7.0 has changed classes, case or marks.
 SETTLED = "\u0530"
 #: More than the trie's nodes: a token and a node make one number.
@@ -79,7 +81,7 @@ class Merges:
                 until, t = rt + 1, self.parts[t][0]
             else:
                 until, p = rp, self.parts[p][1]
-        if len(self.memo) > 200_000:
+        if len(self.memo) > ANSWERS:
             self.memo.clear()
         self.memo[key] = ok
         return ok

@@ -72,6 +72,7 @@ def kept(key=None, make=None):
             give_back()
         if key is not None:
             _kept[key] = make()
+            give_back()
     return _kept.get(key)
 
 
