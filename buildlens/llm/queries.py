@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from buildlens.llm.bpe_automaton import encode_digests
 from buildlens.llm.decontaminate import find_leaks
+from buildlens.llm.divergence import source_divergence
 from buildlens.llm.html_main_text import extract_main_text
 from buildlens.llm.jaccard_join import jaccard_components
 from buildlens.llm.langid import identify_languages
@@ -73,6 +74,10 @@ def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_jaccard_join": op2_jaccard_join,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
     "op10_vector_graph": op10_vector_graph,
+    "op11_source_divergence": op11_source_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": r"""WITH RECURSIVE split AS (
@@ -95,4 +101,19 @@ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.shi
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT s.doc_id, len(s.s) AS n_shingles, (SELECT min(y) FROM reach r WHERE r.x = s.doc_id) AS component_id FROM sets s""",
+    "op11_source_divergence": r"""WITH docs AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row FROM documents),
+words AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+terms AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+kept AS (SELECT w.* FROM words w JOIN terms USING (lang, term)),
+sizes AS (SELECT lang, count(*) AS v FROM terms GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT g.lang, g.source, t.term, count(k.row) AS n FROM groups g JOIN terms t ON g.lang = t.lang
+  LEFT JOIN kept k ON k.lang = g.lang AND k.source = g.source AND k.term = t.term GROUP BY ALL),
+shares AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM cells JOIN sizes USING (lang)),
+langs AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q FROM cells JOIN sizes USING (lang) GROUP BY lang, term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+more AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM shares JOIN langs USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (FROM pairs UNION ALL FROM more)) WHERE part = 'pair' OR rank <= 50""",
 }
