@@ -123,8 +123,10 @@ def _runs(hashes: list[np.ndarray], parts: int):
     for sure in (True, False):
         of = (n >= LEAST) == sure
         h, k = own[of], n[of]
+        if not len(h):
+            continue
         part = (h >> shift).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(h) else np.zeros(0, np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(h)], strict=True):
             yield int(part[lo]), sure, 0 if sure else int(k[lo:hi].sum()), pack(h[lo:hi], k[lo:hi])
 
@@ -226,7 +228,7 @@ def _hand_out(parts: int, bits: int):
 
 
 def _summarise(parts: int, least: int):
-    """Rows of whole partitions, in order of part and kind, to (part, bits): the partition's bits of the bitmap."""
+    """Rows of whole partitions, in order of part and kind, to (part, candidates, bits): how many bits of the bitmap's part are set, and that part."""
     width = 1 << (BITMAP - parts)
 
     def bits_of(part, sure, summary):
@@ -234,7 +236,9 @@ def _summarise(parts: int, least: int):
         out = np.zeros(width, bool)
         for h in found:
             out[(h >> np.uint64(64 - BITMAP)).astype(np.int64) - part * width] = True
-        return pa.record_batch([pa.array([part], pa.int32()), pa.array([squeeze(np.packbits(out, bitorder="little"))], pa.binary())], names=["part", "bits"])
+        return pa.record_batch(
+            [pa.array([part], pa.int32()), pa.array([int(out.sum())], pa.int64()), pa.array([squeeze(np.packbits(out, bitorder="little"))], pa.binary())], names=["part", "candidates", "bits"]
+        )
 
     def run(batches):
         at, mass, sure, summary = None, 0, [], None
@@ -259,23 +263,24 @@ def _summarise(parts: int, least: int):
     return run
 
 
-def _count(bitmap, bits: int):
-    """Texts to (lang, phrase, n) of the n-grams whose bit is set, and the words of each language without a phrase."""
+def _count(bitmap, parts: int):
+    """Texts to runs of the n-grams whose bit is set, as rows (part, lang, words, run): phrases
+    with their counts by hash range, and once per language the words that have been read."""
     shift = np.uint64(64 - BITMAP)
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.int64()), ("run", pa.binary())])
 
     def batch(own, words):
-        langs, phrases, counts = [], [], []
+        rows = []
         for lang, counter in own.items():
-            langs += [lang] * len(counter)
-            phrases += counter.keys()
-            counts += counter.values()
-        for lang, n in words.items():
-            langs.append(lang)
-            phrases.append(None)
-            counts.append(n)
-        return pa.record_batch(
-            [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"]
-        )
+            runs = defaultdict(list)
+            for item in counter.items():
+                runs[xxhash.xxh64_intdigest(item[0]) >> (64 - parts)].append(item)
+            for part, items in runs.items():
+                phrases, counts = zip(*items, strict=True)
+                rows.append((part, lang, 0, np.array([len(counts), *counts], np.int64).tobytes() + b"\n".join(phrases)))
+            rows.append((xxhash.xxh64_intdigest(lang) >> (64 - parts), lang, words[lang], b""))
+        columns = zip(*((part, lang, n, len(run).to_bytes(4, "little") + squeeze(run)) for part, lang, n, run in rows), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches):
         table = np.frombuffer(bitmap.value, np.uint8)
@@ -298,13 +303,44 @@ def _count(bitmap, bits: int):
                     if entries >= ENTRIES:
                         yield batch(own, words)
                         own, words, entries = defaultdict(Counter), Counter(), 0
-            if words:
+            if own:
                 yield batch(own, words)
         give_back()
 
     return run
 
 
+def _total(least: int):
+    """Rows of whole (part, lang), together, to (lang, phrase, n) of the phrases that are frequent, and a part of the words without a phrase."""
+
+    def batch(lang, words, own):
+        often = [(p, n) for p, n in own.items() if n >= least]
+        phrases = pa.array([None, *(p for p, _ in often)], pa.binary()).cast(pa.string())
+        return pa.record_batch([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array([words, *(n for _, n in often)], pa.int64())], names=["lang", "phrase", "n"])
+
+    def run(batches):
+        at, words, own = None, 0, defaultdict(int)
+        for b in batches:
+            for part, lang, n, packed in zip(*(b.column(c).to_pylist() for c in ("part", "lang", "words", "run")), strict=True):
+                if (part, lang) != at:
+                    if at is not None:
+                        yield batch(at[1], words, own)
+                    at, words, own = (part, lang), 0, defaultdict(int)
+                words += n
+                size = int.from_bytes(packed[:4], "little")
+                if size:
+                    # a number, so many counts, then phrases, in which there is no line feed
+                    data = unsqueeze(packed[4:], size)
+                    upto = 8 + 8 * int.from_bytes(data[:8], "little")
+                    for phrase, count in zip(data[upto:].split(b"\n"), np.frombuffer(data[8:upto], np.int64).tolist(), strict=True):
+                        own[phrase] += count
+        if at is not None:
+            yield batch(at[1], words, own)
+        give_back()
+
+    return run
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """``docs(lang, text)`` without nulls: (lang, phrase, f) of all n-grams of 1 to WORDS words
     that occur at least ``least`` times in a language, exactly; and (lang, n), its words."""
@@ -318,16 +354,21 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     read = small_batches(docs.select("lang", "text"))
     runs = read.mapInArrow(_hand_out(parts, bits), "part int, kind int, mass bigint, run binary")
     sorted_runs = runs.repartition(1 << parts, "part").sortWithinPartitions("part", "kind")
-    found = written(sorted_runs.mapInArrow(_summarise(parts, least), "part int, bits binary"), "phrase-bits")
+    found = written(sorted_runs.mapInArrow(_summarise(parts, least), "part int, candidates bigint, bits binary"), "phrase-bits")
     # of fixed size in all: the driver gets the bits of each partition
     bitmap = bytearray(1 << (BITMAP - 3))
     width = 1 << (BITMAP - parts - 3)
-    for part, packed in found.toLocalIterator():
+    for part, packed in found.select("part", "bits").toLocalIterator():
         bitmap[part * width : (part + 1) * width] = unsqueeze(packed, width)
+    # of the phrases that pass, at most so many by chance; parts of a few hundred thousand each
+    passing = found.agg(F.coalesce(F.sum("candidates"), F.lit(0))).first()[0]
+    passing += mass * passing >> BITMAP
+    ways = min(MOST_PARTS, math.ceil(math.log2(max(wanted, passing // ENTRIES) + 1)))
     shared = spark.sparkContext.broadcast(bytes(bitmap))
-    counted = read.mapInArrow(_count(shared, bits), "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    table = written(counted.where((F.col("n") >= least) | F.col("phrase").isNull()), "phrases")
-    return table.where("phrase is not null").withColumnRenamed("n", "f"), table.where("phrase is null").select("lang", "n")
+    counted = read.mapInArrow(_count(shared, ways), "part int, lang string, words bigint, run binary").repartition(1 << ways, "part").sortWithinPartitions("part", "lang")
+    table = written(counted.mapInArrow(_total(least), "lang string, phrase string, n bigint"), "phrases")
+    sizes = table.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    return table.where("phrase is not null").withColumnRenamed("n", "f"), sizes
 
 
 def _part(words: str, start, size):

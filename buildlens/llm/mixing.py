@@ -21,7 +21,7 @@ WEIGHTS = (3, 1, 2)
 #: The mix has so many hundredths of the words of all documents, and a source so many times its own words at most.
 PERCENT, MOST_TIMES = 150, 2
 #: Digits of the hash, to the base of 16, and how many of them a histogram takes in.
-DIGITS, STEP = 12, 4
+DIGITS, STEP = 12, 3
 #: Sources up to this number are broadcast, a row of a name and five numbers each.
 BROADCAST_SOURCES = 100_000
 
