@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from buildlens.functions.scalars import EVENT_OVERHEAD
+from buildlens.operators.running import running_sums
 
 REPLAY_CAP = 256 << 20
 MAX_RESENDS, MAX_ATTEMPTS, MAX_RECONNECTS = 3, 3, 30
@@ -62,11 +63,9 @@ def running_jobs(beats: DataFrame) -> DataFrame:
 def replay_accounting(events: DataFrame, cap: int = REPLAY_CAP) -> DataFrame:
     """WIN-1: ``events(build_id, seq, bytes)`` with the running cost and whether the buffer has
     overflowed, for good, once the cost would exceed ``cap``."""
-    w = W.partitionBy("build_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    cost = F.sum(F.col("bytes") + EVENT_OVERHEAD).over(w)
-    return events.withColumn("running", cost).withColumn("overflowed", F.max(F.col("running") > cap).over(w)).withColumn(
-        "backlog", F.when(F.col("overflowed"), 0).otherwise(F.col("running"))
-    )
+    run = running_sums(events, "build_id", "seq", {"running": F.col("bytes") + EVENT_OVERHEAD})
+    # costs are positive, so that a sum over the cap stays there
+    return run.withColumn("overflowed", F.col("running") > cap).withColumn("backlog", F.when(F.col("overflowed"), 0).otherwise(F.col("running")))
 
 
 def late_subscribers(subscriptions: DataFrame, accounting: DataFrame) -> DataFrame:
@@ -87,9 +86,9 @@ def trim_restarts(events: DataFrame) -> DataFrame:
 def credit_ledger(events: DataFrame) -> DataFrame:
     """WIN-5: ``events(session, seq, kind)`` with the running balance: a request adds one, an
     assignment takes one, a resumed assignment nothing; ``ok`` unless it has been below 0."""
-    w = W.partitionBy("session").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     change = F.when(F.col("kind") == "request_job", 1).when(F.col("kind") == "assignment", -1).otherwise(0)
-    return events.withColumn("balance", F.sum(change).over(w)).withColumn("ok", F.min("balance").over(w) >= 0)
+    run = running_sums(events, "session", "seq", {"balance": change}, ("balance",))
+    return run.withColumn("ok", F.col("balance_low") >= 0).drop("balance_low")
 
 
 def backoff(sessions: DataFrame, longest: int = 60) -> DataFrame:

@@ -1,11 +1,14 @@
 """Reference graphs: joins repeated until nothing is left to do.
 
-Only emptiness and a round number reach the driver. Each round writes its own front to the
-cluster's shared folder and nothing else; now and then the fronts so far become one table.
+Only counts reach the driver. Rounds write what they find to the cluster's shared folder; now
+and then the fronts so far become one table. Chains, nodes with one reference and one referrer
+each, are not walked node by node: pointer jumping contracts a chain in the logarithm of its
+length, so that the number of rounds does not follow the depth of long thin graphs.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,6 +18,10 @@ from buildlens.sources.shared import written
 
 #: Fronts that are kept apart before they become one table.
 FRONTS = 8
+#: Rounds over single nodes before chains are contracted, and the share of nodes in chains that makes it worth it.
+RAKES, WORTH = 4, 8
+#: Steps of a closure that are taken one by one.
+STEPS = 8
 
 
 class Seen:
@@ -37,25 +44,99 @@ def first_phase(needs: DataFrame) -> DataFrame:
     return needs.groupBy("path_id").agg(F.min("phase").alias("phase"))
 
 
-def _peel(nodes: DataFrame, edges: DataFrame, up: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Take away, round by round, nodes without a remaining reference (``up``) or referrer:
-    (node, round) of those, and the nodes and edges that are left. After the first round only
-    the other ends of the last front's edges can become free."""
-    own, other = ("referrer", "reference") if up else ("reference", "referrer")
-    busy = edges.select(F.col(own).alias("node")).distinct()
-    front = written(nodes.join(busy, "node", "left_anti").withColumn("round", F.lit(0)), "front")
-    seen, n = Seen(front), 0
-    while not front.isEmpty():
-        n += 1
-        near = edges.join(front.select(F.col("node").alias(other)), other, "left_semi").select(F.col(own).alias("node")).distinct()
-        done = seen.all().select(F.col("node").alias(other))
-        held = edges.join(near.select(F.col("node").alias(own)), own, "left_semi").join(done, other, "left_anti").select(F.col(own).alias("node"))
-        front = written(near.join(held, "node", "left_anti").withColumn("round", F.lit(n)), "front")
-        seen.add(front)
-    done = written(seen.all(), "peeled")
-    gone = lambda c: done.select(F.col("node").alias(c))
-    left = nodes.join(gone("node"), "node", "left_anti")
-    return done, left, edges.join(gone("referrer"), "referrer", "left_anti").join(gone("reference"), "reference", "left_anti")
+def _jump(chain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``chain(node, to, step, base)`` where a node's value is the greater of ``base`` and ``step`` more
+    than the value of ``to``: the same with ``to`` outside of the chain, reached by doubling, and
+    (node, least) of those that only lead round in a circle, with the least node of each."""
+    n = chain.count()
+    at = chain.withColumn("least", F.col("node"))
+    for _ in range(math.ceil(math.log2(max(n, 2))) + 1):
+        further = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("step").alias("step2"), F.col("base").alias("base2"), F.col("least").alias("least2"))
+        joined = at.join(further, "to", "left")
+        at = written(
+            joined.select(
+                "node", F.coalesce("to2", "to").alias("to"), (F.col("step") + F.coalesce("step2", F.lit(0))).alias("step"),
+                F.greatest("base", F.col("base2") + F.col("step")).alias("base"), F.least("least", "least2").alias("least"), F.col("to2").isNotNull().alias("moved"),
+            ),
+            "jumps",
+        )
+        if at.where("moved").isEmpty():
+            break
+    inside = at.select(F.col("node").alias("to"))
+    return at.join(inside, "to", "left_anti").select("node", "to", "step", "base"), at.join(inside, "to", "left_semi").select("node", "least")
+
+
+def _chains(links: DataFrame, own: str, other: str) -> DataFrame:
+    """(node, to, step) of the nodes with one link on either side, ``to`` being the ``other`` end of their ``own`` link."""
+    one = links.groupBy(F.col(own).alias("node")).agg(F.count("*").alias("n"), F.min(other).alias("to"), F.min("weight").alias("step")).where("n = 1 AND node <> to")
+    back = links.groupBy(F.col(other).alias("node")).agg(F.count("*").alias("n")).where("n = 1")
+    return one.join(back.select("node"), "node", "left_semi").select("node", "to", "step")
+
+
+def _named(df: DataFrame, **names: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(n) for n, c in names.items()))
+
+
+def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level) of the nodes from which no cycle is reached: the longest way to a node without
+    references. Nodes without an open reference are taken away, and what they give is kept with
+    their referrers; chains are contracted to one link and get their levels at the end."""
+    live = written(nodes.select("node", F.lit(0).cast("bigint").alias("base")), "live")
+    links = written(edges.select("referrer", "reference", F.lit(1).cast("bigint").alias("weight")), "links")
+    done: Seen | None = None
+    hung: list[DataFrame] = []
+    while True:
+        moved = False
+        for _ in range(RAKES):
+            free = written(live.join(_named(links, node="referrer").distinct(), "node", "left_anti").select("node", F.col("base").alias("level")), "front")
+            if free.isEmpty():
+                break
+            moved = True
+            if done is None:
+                done = Seen(free)
+            else:
+                done.add(free)
+            up = links.join(_named(free, reference="node", level="level"), "reference").groupBy(F.col("referrer").alias("node")).agg(F.max(F.col("level") + F.col("weight")).alias("up"))
+            live = written(live.join(free.select("node"), "node", "left_anti").join(up, "node", "left").select("node", F.greatest("base", "up").alias("base")), "live")
+            links = written(links.join(_named(free, reference="node"), "reference", "left_anti"), "links")
+        n = live.count()
+        chain = written(_chains(links, "referrer", "reference").join(live, "node"), "chains") if n else None
+        if chain is None or chain.count() * WORTH < n or (tied := written(_jump(chain)[0], "tied")).isEmpty():
+            if moved and n:
+                continue
+            break
+        hung.append(tied)
+        # links into a chain lead to its end; what the chain has of its own is kept with the referrer
+        stay = links.join(_named(tied, referrer="node"), "referrer", "left_anti")
+        into = written(stay.join(_named(tied, reference="node", to="to", step="step", own="base"), "reference"), "into")
+        up = into.groupBy(F.col("referrer").alias("node")).agg(F.max(F.col("own") + F.col("weight")).alias("up"))
+        live = written(live.join(tied.select("node"), "node", "left_anti").join(up, "node", "left").select("node", F.greatest("base", "up").alias("base")), "live")
+        ahead = into.select("referrer", F.col("to").alias("reference"), (F.col("weight") + F.col("step")).alias("weight"))
+        kept = stay.join(_named(tied, reference="node"), "reference", "left_anti").select("referrer", "reference", "weight")
+        links = written(kept.unionByName(ahead).groupBy("referrer", "reference").agg(F.max("weight").alias("weight")), "links")
+    if done is None:
+        return live.select("node", F.col("base").alias("level")).limit(0)
+    found = done.all()
+    for tied in reversed(hung):
+        found = written(found.unionByName(tied.join(_named(found, to="node", level="level"), "to").select("node", F.greatest("base", F.col("level") + F.col("step")).alias("level"))), "levels")
+    return written(found, "levels")
+
+
+def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges between ``nodes``, once each and without those from a node to itself."""
+    own = edges.where("referrer <> reference").select("referrer", "reference").distinct()
+    return own.join(_named(nodes, referrer="node"), "referrer", "left_semi").join(_named(nodes, reference="node"), "reference", "left_semi")
+
+
+def _core(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Levels of what reaches no cycle, levels counted from above of what no cycle reaches, and
+    the nodes on or between cycles with their edges."""
+    low = _levels(nodes, edges)
+    left = written(nodes.join(low.select("node"), "node", "left_anti"), "left")
+    links = written(_within(edges, left), "left-edges")
+    high = _levels(left, _named(links, referrer="reference", reference="referrer"))
+    knot = written(left.join(high.select("node"), "node", "left_anti"), "knot")
+    return low, high, knot, written(_within(links, knot), "knot-edges")
 
 
 def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,24 +146,88 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes without references; nodes on or between cycles share one level above those; what
     depends on them comes last, again one level per step.
     """
-    nodes = nodes.select("node").distinct()
-    own = (
-        edges.where("referrer <> reference")
-        .select("referrer", "reference")
-        .distinct()
-        .join(nodes.select(F.col("node").alias("referrer")), "referrer", "left_semi")
-        .join(nodes.select(F.col("node").alias("reference")), "reference", "left_semi")
-    )
-    low, left, links = _peel(nodes, written(own, "edges"), True)
-    base = low.agg(F.coalesce(F.max("round") + 1, F.lit(0))).first()[0]
-    out = low.select("node", F.col("round").alias("level"))
-    if left.isEmpty():
-        return out
-    high, knot, _ = _peel(left, links, False)
-    rounds = high.agg(F.coalesce(F.max("round") + 1, F.lit(0))).first()[0]
-    return out.unionByName(knot.select("node", F.lit(base).alias("level"))).unionByName(
-        high.select("node", (F.lit(base + rounds) - F.col("round")).alias("level"))
-    )
+    nodes = written(nodes.select("node").distinct(), "nodes")
+    low, high, knot, _ = _core(nodes, written(_within(edges, nodes), "edges"))
+    base = low.agg(F.coalesce(F.max("level") + 1, F.lit(0))).first()[0]
+    rounds = high.agg(F.coalesce(F.max("level") + 1, F.lit(0))).first()[0]
+    levels = low.unionByName(knot.select("node", F.lit(base).alias("level"))).unionByName(high.select("node", (F.lit(base + rounds) - F.col("level")).alias("level")))
+    return levels.select("node", F.col("level").cast("int").alias("level"))
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """GRF-5: (node, component, size) for ``nodes(node)``: the least node from which and to which ways
+    lead, and the number of those. Components of more than one node are the cycles of the graph.
+
+    What no cycle reaches, or reaches none, is alone. Of the rest, chains are contracted; then
+    every node takes the least node before it, and the nodes of one such colour that lead back
+    to it are a component. These are taken away and the rest is coloured anew.
+    """
+    nodes = written(nodes.select("node").distinct(), "nodes")
+    _, _, live, links = _core(nodes, written(_within(edges, nodes), "edges"))
+    found: list[DataFrame] = []
+    hung: list[DataFrame] = []
+    while not live.isEmpty():
+        weighted = links.withColumn("weight", F.lit(1).cast("bigint"))
+        ends = {}
+        for side, own, other in (("head", "reference", "referrer"), ("tail", "referrer", "reference")):
+            ends[side], circles = _jump(written(_chains(weighted, own, other).withColumn("base", F.lit(0).cast("bigint")), "chains"))
+        circles = written(circles.select("node", F.col("least").alias("component")), "circles")
+        found.append(circles)
+        tied = written(_named(ends["head"], node="node", head="to").join(_named(ends["tail"], node="node", tail="to"), "node"), "tied")
+        hung.append(tied)
+        gone = tied.select("node").unionByName(circles.select("node"))
+        live = written(live.join(gone, "node", "left_anti"), "live")
+        across = links.join(_named(gone, referrer="node"), "referrer", "left_anti").join(_named(gone, reference="node"), "reference", "left_anti")
+        links = written(across.unionByName(_named(tied, referrer="head", reference="tail")).where("referrer <> reference").distinct(), "links")
+        # the least node before each, itself included
+        colour = written(live.select("node", F.col("node").alias("colour")), "colours")
+        changed = colour
+        while not changed.isEmpty():
+            told = links.join(_named(changed, referrer="node", told="colour"), "referrer").groupBy(F.col("reference").alias("node")).agg(F.min("told").alias("told"))
+            changed = written(told.join(colour, "node").where("told < colour").select("node", F.col("told").alias("colour")), "changed")
+            colour = written(colour.join(_named(changed, node="node", told="colour"), "node", "left").select("node", F.least("colour", "told").alias("colour")), "colours")
+        # and who of a colour leads back to it
+        front = written(colour.where("node = colour"), "front")
+        back = Seen(front)
+        inside = written(links.join(_named(colour, referrer="node", colour="colour"), "referrer").join(_named(colour, reference="node", colour2="colour"), "reference").where("colour = colour2").select("referrer", "reference", "colour"), "coloured")
+        while not front.isEmpty():
+            near = inside.join(_named(front, reference="node"), "reference", "left_semi").select(F.col("referrer").alias("node"), "colour").distinct()
+            front = written(near.join(back.all().select("node"), "node", "left_anti"), "front")
+            back.add(front)
+        whole = written(back.all().select("node", F.col("colour").alias("component")), "whole")
+        found.append(whole)
+        live = written(live.join(whole.select("node"), "node", "left_anti"), "live")
+        links = written(_within(links, live), "links")
+    if not found:
+        return nodes.select("node", F.col("node").alias("component"), F.lit(1).cast("bigint").alias("size"))
+    parts = written(reduce(DataFrame.unionByName, found), "parts")
+    for tied in reversed(hung):
+        # a chain belongs to the component of its ends if that is one
+        ends = tied.join(_named(parts, head="node", a="component"), "head").join(_named(parts, tail="node", b="component"), "tail").where("a = b")
+        parts = written(parts.unionByName(ends.select("node", F.col("a").alias("component"))), "parts")
+    # names that contraction has given may not be the least
+    named = parts.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("size"))
+    known = parts.join(named, "component").select("node", F.col("least").alias("component"), "size")
+    alone = nodes.join(parts.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(1).cast("bigint").alias("size"))
+    return known.unionByName(alone)
+
+
+def _deep(front: DataFrame, links: DataFrame) -> DataFrame:
+    """(path_id, depth) of all that ``links`` reach from ``front(path_id, depth)``, by the shortest way:
+    chains are contracted to one link of their length, and links are followed while depths fall."""
+    weighted = links.withColumn("weight", F.lit(1).cast("bigint"))
+    chain = _chains(weighted, "reference", "referrer").join(_named(front, node="path_id"), "node", "left_anti").withColumn("base", F.lit(0).cast("bigint"))
+    tied = written(_jump(written(chain, "chains"))[0].select("node", "to", "step"), "tied")
+    ends = weighted.join(_named(tied, reference="node"), "reference", "left_anti").join(_named(tied, referrer="node", to="to", step="step"), "referrer", "left")
+    short = written(ends.select(F.coalesce("to", "referrer").alias("referrer"), "reference", (F.col("weight") + F.coalesce("step", F.lit(0))).alias("weight")), "short-links")
+    best = changed = written(_named(front, node="path_id", depth="depth").select("node", F.col("depth").cast("bigint").alias("depth")), "depths")
+    while not changed.isEmpty():
+        told = short.join(_named(changed, referrer="node", depth="depth"), "referrer").groupBy(F.col("reference").alias("node")).agg(F.min(F.col("depth") + F.col("weight")).alias("told"))
+        changed = written(told.join(best, "node", "left").where("depth is null or told < depth").select("node", F.col("told").alias("depth")), "changed")
+        best = written(best.unionByName(changed).groupBy("node").agg(F.min("depth").alias("depth")), "depths")
+    inside = tied.join(_named(best, to="node", depth="depth"), "to").select("node", (F.col("depth") + F.col("step")).alias("depth"))
+    every = best.unionByName(inside).select(F.col("node").alias("path_id"), F.col("depth").cast("int").alias("depth"))
+    return written(every.join(front.select("path_id"), "path_id", "left_anti"), "deep")
 
 
 def closure(seeds: DataFrame, edges: DataFrame, known: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
@@ -95,13 +240,20 @@ def closure(seeds: DataFrame, edges: DataFrame, known: DataFrame, metadata: Data
     front = written(outside(seeds.select("path_id")).withColumn("depth", F.lit(0)), "front")
     found, depth = Seen(front), 0
     links = edges.select("referrer", "reference").distinct()
-    while not front.isEmpty():
+    while depth < STEPS and not front.isEmpty():
         depth += 1
         follow = front if metadata is None else front.join(metadata.select("path_id"), "path_id", "left_semi")
         step = links.join(follow.select(F.col("path_id").alias("referrer")), "referrer", "left_semi").select(F.col("reference").alias("path_id"))
         fresh = outside(step).join(found.all().select("path_id"), "path_id", "left_anti")
         front = written(fresh.withColumn("depth", F.lit(depth)), "front")
         found.add(front)
+    if not front.isEmpty():
+        # what can still be entered, and from where
+        ahead = links.where("referrer <> reference").join(_named(known, reference="path_id"), "reference", "left_anti").join(_named(found.all(), reference="path_id"), "reference", "left_anti")
+        ahead = ahead.join(_named(found.all().where(F.col("depth") < depth), referrer="path_id"), "referrer", "left_anti")
+        if metadata is not None:
+            ahead = ahead.join(_named(metadata, referrer="path_id"), "referrer", "left_semi")
+        found.add(_deep(front, written(ahead, "ahead")))
     seen = found.all()
     if metadata is None:
         return seen
@@ -145,11 +297,8 @@ def audit_staging(needs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """GRF-5: nodes on or between cycles; none if the graph has no cycle."""
-    own = edges.where("referrer <> reference").select("referrer", "reference").distinct()
-    _, left, links = _peel(nodes.select("node").distinct(), written(own, "edges"), True)
-    _, knot, _ = _peel(left, links, False)
-    return knot
+    """GRF-5: nodes on cycles; none if the graph has no cycle."""
+    return strong_components(nodes, edges).where("size > 1").select("node")
 
 
 def open_needs(needs: DataFrame, edges: DataFrame) -> DataFrame:

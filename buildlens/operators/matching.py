@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from buildlens.operators.running import as_of
+
 BASELINE_FEATURES: tuple[str, ...] = ()
 
 
@@ -93,13 +95,15 @@ def expected_deadline(jobs: DataFrame, departures: DataFrame, started_at: Column
     """
     grace = F.make_interval(secs=F.lit(grace_seconds))
     startup = started_at + grace
-    waiting = jobs.join(departures, "system").where(
-        serves() & (F.col("departed_at") <= F.col("submitted_at")) & (F.col("submitted_at") < F.col("departed_at") + grace)
-    )
-    latest = waiting.groupBy("job_id").agg(F.max("departed_at").alias("last"))
-    return jobs.join(latest, "job_id", "left").select(
-        "job_id", F.when(F.col("submitted_at") < startup, startup).otherwise(F.col("last") + grace).alias("deadline")
-    )
+    plain = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    asked = jobs.withColumn("_need", plain("features"))
+    gone = departures.select("system", plain("have").alias("have"), "departed_at")
+    # kinds of needs and of workers are few; departures are told to the needs that they could have served
+    served = asked.select("system", "_need").distinct().join(gone.select("system", "have").distinct(), "system").where(serves("_need"))
+    told = gone.join(served, ["system", "have"]).select("system", "_need", "departed_at")
+    held = as_of(asked, told, ["system", "_need"], "submitted_at", "departed_at", "departed_at")
+    back = F.when(F.col("submitted_at") < F.col("best") + grace, F.col("best") + grace)
+    return held.select("job_id", F.when(F.col("submitted_at") < startup, startup).otherwise(back).alias("deadline"))
 
 
 def resume_matches(jobs: DataFrame, registrations: DataFrame) -> DataFrame:

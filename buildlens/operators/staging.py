@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from buildlens.functions.scalars import is_store_path
+from buildlens.operators.running import as_of, running_sums
 
 
 def split_inputs(offers: DataFrame, valid: DataFrame) -> DataFrame:
@@ -87,17 +91,16 @@ def path_conflicts(jobs: DataFrame) -> DataFrame:
 
 def route(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """JOIN-9: ``messages(seq, build_id, ts)`` with ``routed``: whether the build was
-    registered then, by ``sessions(build_id, opened_at, closed_at)``."""
-    open_then = messages.join(sessions, "build_id").where(F.col("ts").between(F.col("opened_at"), F.col("closed_at")))
-    return messages.join(open_then.select("seq").distinct().withColumn("hit", F.lit(True)), "seq", "left").select(
-        messages["*"], F.coalesce("hit", F.lit(False)).alias("routed")
-    )
+    registered then, by ``sessions(build_id, opened_at, closed_at)``, both ends included."""
+    held = as_of(messages, sessions, ["build_id"], "ts", "opened_at", "closed_at")
+    return held.select(*messages.columns, F.coalesce(F.col("best") >= F.col("ts"), F.lit(False)).alias("routed"))
 
 
 def verify_digests(contents: DataFrame, announced: DataFrame) -> DataFrame:
-    """JOIN-11: ``contents(path_id, content)`` against ``announced(path_id, sha256 hex)``."""
+    """JOIN-11: ``contents(path_id, content)`` against ``announced(path_id, sha256 hex)``. Content that is
+    not there is not right; for paths of any size see ``check_archives``."""
     return contents.select("path_id", F.sha2(F.col("content"), 256).alias("digest")).join(announced, "path_id").select(
-        "path_id", "digest", (F.col("digest") == F.col("sha256")).alias("ok")
+        "path_id", "digest", F.coalesce(F.col("digest") == F.col("sha256"), F.lit(False)).alias("ok")
     )
 
 
@@ -131,16 +134,21 @@ def scan_texts(contents: DataFrame, candidates: DataFrame) -> DataFrame:
     return windows.distinct().join(candidates, "token").select("content_id", "item_id").distinct()
 
 
+def size_state(received: Column, nar_size: Column, complete: Column) -> Column:
+    """JOIN-15: excess is always an error, a complete content must have the whole size, and one
+    of unknown size is no good."""
+    return (
+        F.when(received.isNull() | nar_size.isNull(), "unknown").when(received > nar_size, "excess").when(complete & (received < nar_size), "short").otherwise("ok")
+    )
+
+
 def check_sizes(contents: DataFrame, path_infos: DataFrame) -> DataFrame:
-    """JOIN-15: ``contents(path_id, content, complete)`` against ``nar_size``: excess is always
-    an error, and a complete content must have the whole size."""
+    """JOIN-15: ``contents(path_id, content, complete)``, and ``bytes`` if the content itself may be
+    null, against ``nar_size``."""
     n = F.octet_length("content")
-    return contents.join(path_infos, "path_id").select(
-        "path_id",
-        n.cast("bigint").alias("received"),
-        "nar_size",
-        F.when(n > F.col("nar_size"), "excess").when(F.col("complete") & (n < F.col("nar_size")), "short").otherwise("ok").alias("state"),
-    )
+    n = F.coalesce(n, F.col("bytes")) if "bytes" in contents.columns else n
+    sized = contents.select("path_id", n.cast("bigint").alias("received"), "complete").join(path_infos, "path_id")
+    return sized.select("path_id", "received", "nar_size", size_state(F.col("received"), F.col("nar_size"), F.col("complete")).alias("state"))
 
 
 def orphans(builds: DataFrame, states: DataFrame) -> DataFrame:
@@ -167,27 +175,94 @@ CONTENT_BYTES = 64 << 20
 
 
 def placed_chunks(chunks: DataFrame) -> DataFrame:
-    """AGG-8: the chunks of ``chunks(path_id, seq, chunk, eof)`` up to their path's first eof, with
-    the ``start`` of each in the content. A path of any size stays in rows."""
-    upto = W.partitionBy("path_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    before = lambda c: F.coalesce(c.over(upto), F.lit(0))
-    return chunks.select(
-        "path_id", "seq", "chunk", "eof", before(F.sum(F.octet_length("chunk"))).cast("bigint").alias("start"), before(F.count_if("eof")).alias("ended")
-    ).where("ended = 0").drop("ended")
+    """AGG-8: (path_id, seq, size, eof, start) of the chunks of ``chunks(path_id, seq, chunk, eof)`` up to
+    their path's first eof, with the ``start`` of each in the content. Payloads are not moved,
+    and a path of any number of chunks is summed in many tasks."""
+    sizes = chunks.select("path_id", "seq", F.coalesce(F.octet_length("chunk"), F.lit(0)).cast("bigint").alias("size"), F.coalesce("eof", F.lit(False)).alias("eof"))
+    run = running_sums(sizes, "path_id", "seq", {"upto": F.col("size"), "eofs": F.col("eof").cast("int")})
+    return run.where(F.col("eofs") - F.col("eof").cast("int") == 0).select("path_id", "seq", "size", "eof", (F.col("upto") - F.col("size")).alias("start"))
 
 
 def reassemble(chunks: DataFrame, most: int = CONTENT_BYTES) -> DataFrame:
     """AGG-8: number and bytes of each path's chunks up to its first eof, and their content in
-    order, null beyond ``most`` bytes; without an eof the content is incomplete."""
-    placed = placed_chunks(chunks)
-    sizes = placed.groupBy("path_id").agg(
-        F.count("*").alias("chunks"), F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0)).cast("bigint").alias("bytes"), F.coalesce(F.bool_or("eof"), F.lit(False)).alias("complete")
-    )
-    small = placed.join(sizes.where(F.col("bytes") <= most).select("path_id"), "path_id", "left_semi")
+    order, null beyond ``most`` bytes; without an eof the content is incomplete. Larger ones are
+    checked chunk by chunk (``stream_digests``, ``scan_chunks``)."""
+    sizes = placed_chunks(chunks).groupBy("path_id").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes"), F.bool_or("eof").alias("complete"), F.max("seq").alias("_last"))
+    small = chunks.join(sizes.where(F.col("bytes") <= most).select("path_id", "_last"), "path_id").where(F.col("seq") <= F.col("_last"))
     texts = small.groupBy("path_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda c: c["chunk"]), "").alias("content"))
     return sizes.join(texts, "path_id", "left").select("path_id", "content", "chunks", "bytes", "complete")
 
 
+def _digests(batches):
+    """Rows in the order of (path_id, seq) to a row per path: a SHA-256 state and a count go from batch to batch."""
+    at, state, n, size, ended = None, None, 0, 0, False
+
+    def row():
+        return pa.record_batch(
+            [path, pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([ended]), pa.array([state.hexdigest()])], names=["path_id", "chunks", "bytes", "complete", "sha256"]
+        )
+
+    path = None
+    for b in batches:
+        ids = b.column("path_id")
+        for k, (own, chunk, eof) in enumerate(zip(ids.to_pylist(), b.column("chunk"), b.column("eof").to_pylist(), strict=True)):
+            if state is None or own != at:
+                if state is not None:
+                    yield row()
+                at, path, state, n, size, ended = own, ids.slice(k, 1), hashlib.sha256(), 0, 0, False
+            if ended:
+                continue
+            n, ended = n + 1, bool(eof)
+            if chunk.is_valid:
+                data = chunk.as_buffer()
+                state.update(data)
+                size += len(data)
+    if state is not None:
+        yield row()
+
+
+def stream_digests(chunks: DataFrame) -> DataFrame:
+    """AGG-8, JOIN-11: (path_id, chunks, bytes, complete, sha256) of each path's chunks up to its
+    first eof, whatever their bytes. Chunks are dealt out and sorted by path; one pass carries the digest
+    from row to row, so that no row and no task ever holds a content. Null chunks have no bytes."""
+    held = chunks.select("path_id", "seq", F.col("chunk").cast("binary").alias("chunk"), "eof")
+    kind = chunks.schema["path_id"].dataType.simpleString()
+    # one task per path: a digest has to take its bytes in order
+    return held.repartition("path_id").sortWithinPartitions("path_id", "seq").mapInArrow(_digests, f"path_id {kind}, chunks bigint, bytes bigint, complete boolean, sha256 string")
+
+
+def check_archives(chunks: DataFrame, path_infos: DataFrame) -> DataFrame:
+    """JOIN-11 and JOIN-15 over chunks: ``path_infos(path_id, nar_size, nar_sha256 hex)`` against what
+    has come. A path without any chunk has received nothing and is no good."""
+    got = path_infos.join(stream_digests(chunks), "path_id", "left")
+    received, complete = F.coalesce("bytes", F.lit(0).cast("bigint")), F.coalesce("complete", F.lit(False))
+    state = F.when(F.col("bytes").isNull(), "missing").otherwise(size_state(received, F.col("nar_size"), complete))
+    return got.select("path_id", received.alias("received"), "nar_size", state.alias("state"), (F.coalesce(F.col("sha256") == F.col("nar_sha256"), F.lit(False)) & complete).alias("verified"))
+
+
+def scan_chunks(chunks: DataFrame, candidates: DataFrame, size: int = 32) -> DataFrame:
+    """JOIN-13 over chunks: as ``scan_references`` of each path's content up to its first eof, whose id is
+    ``path_id``. A chunk is scanned where it lies; for what stands across borders, the end of
+    what came before and the start of the chunk are put together, ``size - 1`` characters each.
+    Only those short rows are sorted by path. Bytes count as characters of one byte each."""
+    text = F.col("chunk") if chunks.schema["chunk"].dataType.simpleString() == "string" else F.decode("chunk", "ISO-8859-1")
+    held = chunks.select(F.col("path_id").alias("content_id"), "seq", text.alias("content"), F.coalesce("eof", F.lit(False)).alias("eof"))
+    ends = held.groupBy("content_id").agg(F.min(F.when(F.col("eof"), F.col("seq"))).alias("ended"), F.max("seq").alias("last")).where("last > ended")
+    held = held.join(ends.select("content_id", "ended"), "content_id", "left").where("ended is null or seq <= ended")
+    edge = size - 1
+    short = held.select("content_id", "seq", F.substring("content", 1, edge).alias("head"), F.right("content", F.lit(edge)).alias("tail")).where("head <> ''")
+    # every chunk here has a character at least, so that so many chunks before are enough
+    before = W.partitionBy("content_id").orderBy("seq").rowsBetween(-edge, -1)
+    carried = F.right(F.array_join(F.collect_list("tail").over(before), ""), F.lit(edge))
+    borders = short.select("content_id", F.concat(carried, F.col("head")).alias("content"))
+    return scan_references(held.select("content_id", "content").unionByName(borders), candidates, size)
+
+
+def unscanned(contents: DataFrame) -> DataFrame:
+    """JOIN-13: ids of ``contents(content_id, content)`` that ``scan_references`` can't say anything about."""
+    return contents.where("content is null").select("content_id")
+
+
 def scan_candidates(inputs: DataFrame, outputs: DataFrame, valid: DataFrame | None = None) -> DataFrame:
     """SET-2: distinct paths to scan for; with ``valid`` also all valid ones; unparsable ones go."""
     every = inputs.select("path").unionByName(outputs.select("path"))

@@ -16,7 +16,7 @@ from buildlens.plans.views import VIEWS, view, with_views
 from buildlens.sources import readers, sinks
 from buildlens.sources.schemas import WORKER_PAYLOADS
 from buildlens.sources.shared import fresh_path
-from buildlens.streaming import streams, twins
+from buildlens.streaming import streams, timed, twins
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -591,6 +591,36 @@ def scan_references(spark, d):
     return staging.scan_references(contents, view(spark, d, f"SELECT path_id AS item_id, {part.format('path_id')} AS token FROM store_paths"))
 
 
+@query("SELECT path_id, count(*) AS chunks, cast(sum(strlen(chunk)) AS bigint) AS bytes, true AS complete, sha256(string_agg(chunk, '' ORDER BY seq)) AS sha256 FROM chunks GROUP BY path_id")
+def stream_digests(spark, d):
+    return staging.stream_digests(view(spark, d, "chunks"))
+
+
+@query("""WITH whole AS (SELECT path_id, cast(sum(strlen(chunk)) AS bigint) AS bytes, sha256(string_agg(chunk, '' ORDER BY seq)) AS sha256 FROM chunks GROUP BY path_id),
+  told AS (SELECT path_id, bytes + path_id % 3 - 1 AS nar_size, CASE WHEN path_id % 5 = 0 THEN sha256('other') ELSE sha256 END AS nar_sha256 FROM whole UNION ALL SELECT DISTINCT path_id + 1000000000, 10, sha256('none') FROM chunks WHERE path_id % 7 = 0)
+  SELECT t.path_id, coalesce(w.bytes, 0) AS received, t.nar_size, CASE WHEN w.path_id IS NULL THEN 'missing' WHEN w.bytes > t.nar_size THEN 'excess' WHEN w.bytes < t.nar_size THEN 'short' ELSE 'ok' END AS state,
+  coalesce(w.sha256 = t.nar_sha256, false) AS verified FROM told t LEFT JOIN whole w ON w.path_id = t.path_id""")
+def check_archives(spark, d):
+    chunks = view(spark, d, "chunks")
+    # announced sizes and digests, some of them wrong, of whole contents, and paths of which nothing comes
+    whole = chunks.groupBy("path_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda c: c["chunk"]), "").alias("c"))
+    digest = F.when(F.col("path_id") % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("c", 256))
+    told = whole.select("path_id", (F.octet_length("c") + F.col("path_id") % 3 - 1).cast("bigint").alias("nar_size"), digest.alias("nar_sha256"))
+    none = chunks.where("path_id % 7 = 0").select((F.col("path_id") + 1_000_000_000).alias("path_id"), F.lit(10).cast("bigint").alias("nar_size"), F.sha2(F.lit("none"), 256).alias("nar_sha256")).distinct()
+    return staging.check_archives(chunks, told.unionByName(none))
+
+
+@query("SELECT DISTINCT referrer AS content_id, reference AS item_id FROM refs JOIN store_paths ON path_id = reference WHERE referrer <> reference")
+def scan_chunks(spark, d):
+    part = "translate(md5(cast({} AS string)), 'e', 'z')"
+    whole = view(spark, d, f"SELECT referrer AS path_id, concat_ws(' ', collect_list('/nix/store/' || {part.format('reference')} || '-part')) AS c FROM refs GROUP BY referrer")
+    # chunks of 7, 12 or 50 characters, so that hash parts lie across borders
+    step = "CASE path_id % 3 WHEN 0 THEN 7 WHEN 1 THEN 12 ELSE 50 END"
+    cut = whole.select("path_id", "c", F.expr(step).alias("step")).select("path_id", "c", "step", F.explode(F.expr("sequence(0, length(c) div step)")).alias("seq"))
+    chunks = cut.select("path_id", "seq", F.expr("substring(c, cast(seq * step + 1 AS int), step)").alias("chunk"), F.expr("seq = length(c) div step").alias("eof"))
+    return staging.scan_chunks(chunks, view(spark, d, f"SELECT path_id AS item_id, {part.format('path_id')} AS token FROM store_paths"))
+
+
 _ROUTED = "SELECT seq, seq % 3000 AS build_id, ts FROM messages"
 
 
@@ -856,6 +886,19 @@ def extras(spark, d):
     return graph.extras(ids("p_partkey % 41 = 2"), ids("p_partkey % 5 = 0"), ids("p_partkey % 8 = 3"), view(spark, d, "refs"), metadata)
 
 
+# several cycles joined by ways: circles of 2 to 8 parts, with side ways, ways between neighbours and a tail
+_RINGS = """SELECT p_partkey AS referrer, CASE WHEN p_partkey % 8 = 7 OR p_partkey = (SELECT max(p_partkey) FROM part) THEN p_partkey - p_partkey % 8 ELSE p_partkey + 1 END AS reference FROM part WHERE p_partkey % 24 < 16
+  UNION SELECT p_partkey, p_partkey + 16 FROM part WHERE p_partkey % 48 = 5 UNION SELECT p_partkey, p_partkey + 2 FROM part WHERE p_partkey % 40 = 9 UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 24 >= 16"""
+
+
+@query(f"""WITH RECURSIVE rings AS ({_RINGS}), nodes AS (SELECT p_partkey AS node FROM part), links AS (SELECT DISTINCT referrer, reference FROM rings JOIN nodes a ON a.node = referrer JOIN nodes b ON b.node = reference WHERE referrer <> reference),
+  reach AS (SELECT node AS x, node AS y FROM nodes UNION SELECT x, reference FROM reach JOIN links ON referrer = y),
+  both AS (SELECT a.x AS node, a.y AS other FROM reach a JOIN reach b ON b.x = a.y AND b.y = a.x)
+  SELECT node, min(other) AS component, count(*) AS size FROM both GROUP BY node""")
+def strong_components(spark, d):
+    return graph.strong_components(view(spark, d, "SELECT p_partkey AS node FROM part"), view(spark, d, _RINGS))
+
+
 # ---------------------------------------------------------------- timeouts
 
 
@@ -878,8 +921,12 @@ def abort_reasons(spark, d):
 _SUBS = "SELECT worker_id AS build_id, ts, seq, CASE kind WHEN 'request_job' THEN 1 ELSE -1 END AS change FROM messages WHERE kind IN ('request_job', 'result_failed')"
 
 
-@query(f"""WITH s AS ({_SUBS}), l AS (SELECT *, sum(change) OVER (PARTITION BY build_id ORDER BY ts, seq {_UPTO}) AS listeners, lead(ts) OVER (PARTITION BY build_id ORDER BY ts, seq) AS next FROM s)
-  SELECT build_id, min(ts) AS left_at, min(ts) + INTERVAL 6 HOURS AS abandoned_at FROM l WHERE listeners <= 0 AND (next IS NULL OR next - ts > INTERVAL 6 HOURS) GROUP BY build_id""")
+_GONE = f"""WITH s AS ({_SUBS}), l AS (SELECT *, sum(change) OVER (PARTITION BY build_id ORDER BY ts, seq {_UPTO}) <= 0 AS gone FROM s),
+  r AS (SELECT *, lag(gone) OVER (PARTITION BY build_id ORDER BY ts, seq) AS before, min(CASE WHEN NOT gone THEN ts END) OVER (PARTITION BY build_id ORDER BY ts, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS back FROM l)
+  SELECT build_id, min(ts) AS left_at, min(ts) + INTERVAL 6 HOURS AS abandoned_at FROM r WHERE gone AND NOT coalesce(before, false) AND (back IS NULL OR back - ts > INTERVAL 6 HOURS) AND ts + INTERVAL 6 HOURS <= {{}} GROUP BY build_id"""
+
+
+@query(_GONE.format("(SELECT max(ts) FROM s)"))
 def abandoned(spark, d):
     return twins.abandoned(view(spark, d, _SUBS), 6 * 3600)
 
@@ -932,6 +979,14 @@ def live_log_bytes(spark, d):
     return twins.live_log_bytes(view(spark, d, _LOGS))
 
 
+_RATES = f"WITH l AS ({_LOGS}), b AS (SELECT build_id, cast(sum(bytes) AS bigint) AS bytes, min(ts) AS first_ts, max(ts) AS last_ts FROM l GROUP BY build_id) SELECT *, CASE WHEN last_ts > first_ts THEN bytes / (date_diff('microsecond', first_ts, last_ts) / 1000000) END AS bytes_per_second FROM b"
+
+
+@query(_RATES)
+def log_rate(spark, d):
+    return twins.log_rate(twins.live_log_bytes(view(spark, d, _LOGS)))
+
+
 # ----------------------------------------------------------------- streams
 
 
@@ -984,29 +1039,76 @@ def _upserted(spark: SparkSession, name: str, start) -> DataFrame:
     return spark.read.parquet(f"{path}/table")
 
 
-@query()
-def abandoned_stream(spark, d):
-    subs = events_stream(spark, d).where("kind IN ('request_job', 'result_failed')")
-    subs = subs.selectExpr("worker_id AS build_id", "ts", "seq", "CASE kind WHEN 'request_job' THEN 1 ELSE -1 END AS change")
-    rule = lambda events: twins.abandoned(events, 6 * 3600)
-    return _upserted(spark, "abandoned", lambda table, kept: streams.abandoned_and_requeued_by_batch(subs, rule, table, kept))
-
-
 @query()
 def requeues_stream(spark, d):
     lost = events_stream(spark, d).selectExpr("worker_id AS job_id", "ts", "seq", "CASE kind WHEN 'result_failed' THEN 'lost' ELSE kind END AS kind")
     rule = lambda events: twins.requeues(events, 3600)
-    return _upserted(spark, "requeues", lambda table, kept: streams.abandoned_and_requeued_by_batch(lost, rule, table, kept))
+    return _upserted(spark, "requeues", lambda table, kept: streams.by_batch(lost, rule, table, kept))
 
 
-@query()
+ORACLE_SQL["requeues_stream"] = ORACLE_SQL["requeues"]
+
+#: How far the streams' watermarks stay behind; they announce what is sure by then.
+LATE = "1 hour"
+_SURE = "(SELECT max(ts) - INTERVAL 1 HOURS FROM {})"
+
+
+def _announced(spark: SparkSession, d: str, name: str, make) -> DataFrame:
+    """Rows of a stream with timers, over all that is there, with times as in the tables."""
+    got = timed.settled(lambda own: make(events_stream(own, d).withColumn("ts", F.col("ts").cast("timestamp"))), spark, fresh_path(spark, name))
+    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in got.dtypes if kind == "timestamp"})
+
+
+@query(_GONE.format(_SURE.format("s")))
+def abandoned_stream(spark, d):
+    def make(messages):
+        subs = messages.where("kind IN ('request_job', 'result_failed')")
+        return timed.abandoned(subs.selectExpr("worker_id AS build_id", "ts", "seq", "CASE kind WHEN 'request_job' THEN 1 ELSE -1 END AS change"), 6 * 3600, LATE, 400 * 86_400)
+
+    return _announced(spark, d, "abandoned", make)
+
+
+_DEADLINE = "TIMESTAMP '2024-01-25 00:00:00'"
+
+
+@query(f"""WITH t AS (SELECT *, {_DEADLINE} AS deadline, sum(bytes) OVER (PARTITION BY build_id ORDER BY ts, seq {_UPTO}) AS log_bytes, lead(ts) OVER (PARTITION BY build_id ORDER BY ts, seq) AS next,
+    coalesce(last_value(CASE WHEN bytes > 0 THEN ts END IGNORE NULLS) OVER (PARTITION BY build_id ORDER BY ts, seq {_BEFORE}), first_value(ts) OVER (PARTITION BY build_id ORDER BY ts, seq)) AS heard,
+    coalesce(last_value(CASE WHEN bytes > 0 THEN ts END IGNORE NULLS) OVER (PARTITION BY build_id ORDER BY ts, seq {_UPTO}), first_value(ts) OVER (PARTITION BY build_id ORDER BY ts, seq)) + INTERVAL 120 HOURS AS quiet FROM ticks),
+  r AS (SELECT build_id, ts, 0 AS place, seq, CASE WHEN cancelled THEN 'cancelled' WHEN ts >= deadline THEN 'timed out' WHEN log_bytes > 1048576 THEN 'log size' WHEN ts - heard > INTERVAL 120 HOURS THEN 'silence' END AS reason FROM t
+    UNION ALL SELECT build_id, least(deadline, quiet), 1, seq, CASE WHEN deadline <= quiet THEN 'timed out' ELSE 'silence' END FROM t WHERE next IS NULL OR next > least(deadline, quiet)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY ts, place, seq) AS n FROM r WHERE reason IS NOT NULL AND ts <= {_SURE.format('ticks')}) SELECT build_id, ts, reason FROM n WHERE n = 1""")
+def abort_reasons_stream(spark, d):
+    def make(messages):
+        ticks = messages.selectExpr("worker_id AS build_id", "ts", "seq", "CASE WHEN kind = 'log' THEN bytes ELSE 0 END AS bytes", "seq % 997 = 0 AS cancelled", f"cast({_DEADLINE} AS timestamp) AS deadline")
+        return timed.abort_reasons(ticks, 1 << 20, 120 * 3600, LATE, 400 * 86_400)
+
+    return _announced(spark, d, "aborts", make)
+
+
+@query(f"""WITH s AS ({_SUBMITS}), i AS ({_OPEN}), sure AS (SELECT max(moment) - INTERVAL 1 HOURS AS until FROM (SELECT ts AS moment FROM s UNION ALL SELECT opens AS moment FROM i) m),
+  f AS (SELECT s.job_id, min(greatest(opens, ts)) AS served_at FROM s JOIN i ON s.system = i.system AND closes > ts AND opens <= ts + INTERVAL 2 HOURS GROUP BY s.job_id)
+  SELECT s.job_id, CASE WHEN served_at IS NULL THEN 'declined' WHEN served_at = ts THEN 'now' ELSE 'waits' END AS decision, served_at FROM s LEFT JOIN f ON s.job_id = f.job_id
+  WHERE coalesce(served_at, ts + INTERVAL 2 HOURS) <= (SELECT until FROM sure)""")
 def admissions_stream(spark, d):
-    submits = events_stream(spark, d).where("kind = 'log'").selectExpr("seq AS job_id", "worker_id % 40 AS system", "ts")
-    opened = events_stream(spark, d).where("kind = 'request_job'").selectExpr("worker_id % 40 AS system", "ts AS opens", "ts + INTERVAL 1 HOURS AS closes")
-    got = _upserted(spark, "admissions", lambda table, kept: streams.admissions_by_batch(submits, opened, 7200, table, kept))
-    return got.select("job_id", "decision", "served_at")
+    def make(messages):
+        submits = messages.where("kind = 'log'").selectExpr("seq AS job_id", "worker_id % 40 AS system", "ts")
+        opened = messages.where("kind = 'request_job'").selectExpr("worker_id % 40 AS system", "ts AS opens", "ts + INTERVAL 1 HOURS AS closes")
+        return timed.admissions(submits, opened, 7200, LATE)
+
+    return _announced(spark, d, "admissions", make)
+
+
+@query(f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY worker_id ORDER BY ts) > INTERVAL 12 HOURS THEN 1 ELSE 0 END AS fresh FROM messages),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY worker_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+  SELECT worker_id AS worker, min(ts) AS started, max(ts) AS last_seen, count(*) AS messages FROM s GROUP BY worker_id, session HAVING max(ts) + INTERVAL 12 HOURS <= {_SURE.format('messages')}""")
+def silent_workers_stream(spark, d):
+    return _announced(spark, d, "silent", lambda messages: streams.silent_workers(messages.selectExpr("worker_id AS worker", "ts"), 43_200, LATE))
+
 
+@query(f"SELECT DISTINCT dedupe_key FROM ({_DELIVERED})")
+def dedupe_results_stream(spark, d):
+    def make(messages):
+        results = messages.where("kind IN ('result_ok', 'result_failed')").selectExpr("seq % 700 AS dedupe_key", "ts", "seq")
+        return streams.dedupe_results(results, "400 days").select("dedupe_key")
 
-# the streams give the rows of their batch twins
-for _name in ("abandoned", "requeues", "admissions"):
-    ORACLE_SQL[f"{_name}_stream"] = ORACLE_SQL[_name]
+    return _announced(spark, d, "deliveries", make)

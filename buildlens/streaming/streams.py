@@ -6,12 +6,8 @@ than that are left to the batch twins. ``events.ts`` must be a timestamp with zo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from buildlens.operators.events import COUNTERS
 from buildlens.sources.shared import fresh_path
@@ -48,62 +44,6 @@ def silent_workers(messages: DataFrame, gap: int = 180, late: str | None = None)
     )
 
 
-class _Abort(StatefulProcessor):
-    """Per build: log bytes, time of the last log or first tick, and whether it has ended."""
-
-    def __init__(self, max_bytes: int, max_silence: int):
-        self.max_bytes, self.max_silence = max_bytes, max_silence * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("build", "bytes bigint, heard bigint, ended boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        size, heard, ended = self.state.get() if self.state.exists() else (0, None, False)
-        if ended:
-            return
-        ticks = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        for t in ticks.itertuples():
-            now = pd.Timestamp(t.ts).value // 1000
-            heard = now if heard is None else heard
-            size += int(t.bytes)
-            reason = (
-                "cancelled"
-                if t.cancelled
-                else "timed out"
-                if not pd.isna(t.deadline) and t.ts >= t.deadline
-                else "log size"
-                if 0 < self.max_bytes < size
-                else "silence"
-                if 0 < self.max_silence < now - heard
-                else None
-            )
-            if t.bytes > 0:
-                heard = now
-            if reason:
-                self.state.update((size, heard, True))
-                yield pd.DataFrame({"build_id": [key[0]], "ts": [t.ts], "reason": [reason]})
-                return
-        self.state.update((size, heard, False))
-
-    def close(self) -> None:
-        pass
-
-
-def abort_reasons(ticks: DataFrame, max_bytes: int, max_silence: int, late: str = "1 hour") -> DataFrame:
-    """STR-2: the first reason of each build. Running totals and a strict precedence need state
-    of their own, so this is the one rule with a stateful processor."""
-    return (
-        ticks.withWatermark("ts", late)
-        .groupBy("build_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_Abort(max_bytes, max_silence),
-            outputStructType="build_id bigint, ts timestamp, reason string",
-            outputMode="Append",
-            timeMode="None",
-        )
-    )
-
-
 def expired_results(finished: DataFrame, acks: DataFrame, ttl: int = 300, late: str | None = None) -> DataFrame:
     """STR-4: a left outer interval join; results come out once no acknowledgement can arrive in time."""
     f = finished.withWatermark("finished_at", _late(ttl, late))
@@ -144,8 +84,8 @@ def _merged(new: DataFrame, keys: DataFrame, column: str, n: int, table: str) ->
     spark.read.schema(new.schema).parquet(f"{versions}/version={n}").write.mode("overwrite").parquet(table)
 
 
-def abandoned_and_requeued_by_batch(stream: DataFrame, rule, table: str, path: str):
-    """STR-3 and STR-6 keep no timer in the stream: each micro-batch is added to a table of
+def by_batch(stream: DataFrame, rule, table: str, path: str):
+    """STR-6 needs no timer: each micro-batch is added to a table of
     events, the batch rule runs over the keys that the batch touched, and their rows are merged
     into ``table``. The first column of the stream is the key, in the rule's result too."""
 
@@ -158,29 +98,6 @@ def abandoned_and_requeued_by_batch(stream: DataFrame, rule, table: str, path: s
     return stream.writeStream.foreachBatch(step)
 
 
-def admissions_by_batch(submits: DataFrame, intervals: DataFrame, grace: int, table: str, path: str):
-    """STR-7 over two streams, ``submits(job_id, system, ts)`` and ``intervals(system, opens,
-    closes)``: both are added to tables of events, and the decisions on all submissions to a
-    system that the batch touched on either side are made anew and merged into ``table``
-    (job_id, system, decision, served_at). A decision can change while intervals still arrive."""
-    both = submits.select(
-        "system", "job_id", "ts", F.lit(None).cast(intervals.schema["opens"].dataType).alias("opens"), F.lit(None).cast(intervals.schema["closes"].dataType).alias("closes"), F.lit(True).alias("submitted")
-    ).unionByName(
-        intervals.select(
-            "system", F.lit(None).cast(submits.schema["job_id"].dataType).alias("job_id"), F.lit(None).cast(submits.schema["ts"].dataType).alias("ts"), "opens", "closes", F.lit(False).alias("submitted")
-        )
-    )
-
-    def rule(events: DataFrame) -> DataFrame:
-        from buildlens.streaming.twins import admissions
-
-        asked = events.where("submitted").select("job_id", "system", "ts")
-        decided = admissions(asked, events.where("not submitted").select("system", "opens", "closes"), grace)
-        return asked.select("system", "job_id").distinct().join(decided, "job_id")
-
-    return abandoned_and_requeued_by_batch(both, rule, table, path)
-
-
 def live_counters(events: DataFrame) -> DataFrame:
     """STR-8: counters in update mode."""
     counted = events.where(F.col("kind").isin(*COUNTERS) & ~((F.col("kind") == "submitted") & F.col("duplicate")))

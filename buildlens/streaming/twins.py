@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from buildlens.operators.running import as_of
+
 
 def seconds(n: int) -> Column:
     return F.make_interval(secs=F.lit(n))
@@ -50,15 +52,45 @@ def abort_reasons(ticks: DataFrame, max_bytes: int, max_silence: int) -> DataFra
     return judged.groupBy("build_id").agg(F.min(F.struct("ts", "seq", "reason")).alias("f")).select("build_id", "f.ts", "f.reason")
 
 
-def abandoned(subs: DataFrame, grace: int = 10) -> DataFrame:
+def aborts_by_clock(ticks: DataFrame, max_bytes: int, max_silence: int, until: Column) -> DataFrame:
+    """STR-2 where the clock is watched between ticks too: the first reason of ``abort_reasons``, or
+    the deadline, or the end of ``max_silence`` seconds without a log, whichever comes first; as known
+    at ``until``. A tick at that very moment is looked at first."""
+    w = W.partitionBy("build_id").orderBy("ts", "seq")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    log = F.when(F.col("bytes") > 0, F.col("ts"))
+    quiet = micros(F.col("ts")) - micros(F.coalesce(F.last(log, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.first("ts").over(upto)))
+    reason = F.when(F.col("cancelled"), "cancelled").when(F.col("ts") >= F.col("deadline"), "timed out")
+    ends, out_of_time = F.lit(None).cast(ticks.schema["ts"].dataType), F.col("deadline")
+    if max_bytes > 0:
+        reason = reason.when(F.col("log_bytes") > max_bytes, "log size")
+    if max_silence > 0:
+        reason = reason.when(F.col("quiet") > max_silence * 1_000_000, "silence")
+        ends = F.coalesce(F.last(log, ignorenulls=True).over(upto), F.first("ts").over(upto)) + seconds(max_silence)
+    seen = ticks.withColumns({"log_bytes": F.sum("bytes").over(upto), "quiet": quiet, "ends": ends, "next": F.lead("ts").over(w)})
+    seen = seen.withColumns({"reason": reason, "clock": F.least(out_of_time, F.col("ends"))})
+    by_tick = seen.where("reason is not null").select("build_id", "ts", F.lit(0).alias("order"), "seq", "reason")
+    by_clock = seen.where("next is null or next > clock").select(
+        "build_id", F.col("clock").alias("ts"), F.lit(1).alias("order"), "seq", F.when(F.col("deadline") <= F.coalesce("ends", "deadline"), "timed out").otherwise("silence").alias("reason")
+    )
+    first = by_tick.unionByName(by_clock).where(F.col("ts") <= until).groupBy("build_id").agg(F.min(F.struct("ts", "order", "seq", "reason")).alias("f"))
+    return first.select("build_id", "f.ts", "f.reason")
+
+
+def abandoned(subs: DataFrame, grace: int = 10, until: Column | None = None) -> DataFrame:
     """STR-3: ``subs(build_id, ts, seq, change)`` with +1 and -1 for listeners: the first time
-    that no listener has been there for more than ``grace`` seconds; a return resets the clock."""
+    that no listener has been there for more than ``grace`` seconds; a return resets the clock,
+    a further leave does not. What is not over at ``until``, the last event unless given, is
+    not yet abandoned."""
+    until = subs.agg(F.max("ts")).scalar() if until is None else until
     w = W.partitionBy("build_id").orderBy("ts", "seq")
-    left = F.sum("change").over(w.rowsBetween(W.unboundedPreceding, 0))
-    back = F.lead("ts").over(w)
-    spans = subs.withColumn("listeners", left).withColumn("next", back).where("listeners <= 0")
-    gone = spans.where(F.col("next").isNull() | (micros(F.col("next")) - micros(F.col("ts")) > grace * 1_000_000))
-    return gone.groupBy("build_id").agg(F.min("ts").alias("left_at")).select("build_id", "left_at", (F.col("left_at") + seconds(grace)).alias("abandoned_at"))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    counted = subs.withColumn("listeners", F.sum("change").over(upto))
+    gone = F.col("listeners") <= 0
+    runs = counted.withColumn("run", F.count_if(~gone).over(upto)).withColumn("back", F.min(F.when(~gone, F.col("ts"))).over(w.rowsBetween(1, W.unboundedFollowing)))
+    spans = runs.where(gone).groupBy("build_id", "run").agg(F.min("ts").alias("left_at"), F.max("back").alias("back"))
+    ended = spans.where((F.col("back") > F.col("left_at") + seconds(grace)) | F.col("back").isNull()).where(F.col("left_at") + seconds(grace) <= until)
+    return ended.groupBy("build_id").agg(F.min("left_at").alias("left_at")).select("build_id", "left_at", (F.col("left_at") + seconds(grace)).alias("abandoned_at"))
 
 
 def expired_results(finished: DataFrame, acks: DataFrame, ttl: int = 300) -> DataFrame:
@@ -87,12 +119,16 @@ def requeues(events: DataFrame, grace: int, most: int = 3) -> DataFrame:
     )
 
 
-def admissions(submits: DataFrame, intervals: DataFrame, grace: int) -> DataFrame:
+def admissions(submits: DataFrame, intervals: DataFrame, grace: int, until: Column | None = None) -> DataFrame:
     """STR-7: ``submits(job_id, system, ts)`` against ``intervals(system, opens, closes)`` in
-    which a capable worker is there: served now, waits until it opens within ``grace``, or declined."""
-    near = submits.join(intervals, "system").where((F.col("closes") > F.col("ts")) & (F.col("opens") <= F.col("ts") + seconds(grace)))
-    first = near.groupBy("job_id").agg(F.min(F.greatest("opens", "ts")).alias("served_at"))
-    return submits.join(first, "job_id", "left").select(
+    which a capable worker is there: served now, waits until it opens within ``grace``, or
+    declined. With ``until`` only what has been decided by then. An interval that closes no
+    later than it opens holds nothing."""
+    held = as_of(submits, intervals.where("closes > opens"), ["system"], "ts", "opens", "closes")
+    last = F.col("ts") + seconds(grace)
+    served = F.when(F.col("best") > F.col("ts"), F.col("ts")).when(F.col("next") <= last, F.col("next"))
+    decided = held.withColumn("served_at", served).where(F.lit(True) if until is None else F.coalesce("served_at", last) <= until)
+    return decided.select(
         "job_id",
         F.when(F.col("served_at").isNull(), "declined").when(F.col("served_at") == F.col("ts"), "now").otherwise("waits").alias("decision"),
         "served_at",
@@ -100,5 +136,12 @@ def admissions(submits: DataFrame, intervals: DataFrame, grace: int) -> DataFram
 
 
 def live_log_bytes(messages: DataFrame) -> DataFrame:
-    """STR-9 on a bounded table: bytes, first and last time of each build's log, and bytes a second."""
+    """STR-9 on a bounded table: bytes, first and last time of each build's log. Bytes a second are
+    the one by the span of the others (``log_rate``)."""
     return messages.groupBy("build_id").agg(F.sum("bytes").alias("bytes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def log_rate(logs: DataFrame) -> DataFrame:
+    """STR-9: ``live_log_bytes``, of a table or a stream, with ``bytes_per_second``; null for a log of one moment."""
+    span = (micros(F.col("last_ts")) - micros(F.col("first_ts"))) / 1_000_000
+    return logs.withColumn("bytes_per_second", F.when(span > 0, F.col("bytes") / span))

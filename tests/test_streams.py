@@ -47,17 +47,6 @@ def test_silent_workers(spark, tmp_path):
     assert [r for r in rows_of(got, *cols) if not r[0].startswith("end")] == rows_of(want, *cols)
 
 
-def test_abort_reasons(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rng = random.Random(2)
-    rows = sorted([(rng.randrange(4), at(rng.randrange(900)), i, rng.choice([0, 5, 40]), i == 30, at(800)) for i in range(50)], key=lambda r: r[1])
-    rows = [(b, t, i, n, c, d) for i, (b, t, _, n, c, d) in enumerate(rows)]
-    schema = "build_id bigint, ts timestamp, seq bigint, bytes bigint, cancelled boolean, deadline timestamp"
-    got = drain(streams.abort_reasons(replay(spark, tmp_path, rows, schema), 200, 120), tmp_path, "append", "aborts")
-    want = twins.abort_reasons(spark.createDataFrame(rows, schema), 200, 120)
-    assert rows_of(got, "build_id", "ts", "reason") == rows_of(want, "build_id", "ts", "reason")
-
-
 def test_expired_results(spark, tmp_path):
     done = [(i, at(i * 10)) for i in range(20)] + [(99, END), (100, END + dt.timedelta(days=1))]
     acks = [(i, at(i * 10 + d)) for i, d in ((1, 0), (2, 300), (3, 301), (4, 100))] + [(98, END), (97, END + dt.timedelta(days=1))]
@@ -80,19 +69,13 @@ def test_dedupe_counters_and_logs(spark, tmp_path):
     assert rows_of(logs, "build_id", "bytes") == rows_of(twins.live_log_bytes(batch.withColumnRenamed("dedupe_key", "build_id")), "build_id", "bytes")
 
 
-def test_latest_states_and_touched_keys(spark, tmp_path):
+def test_latest_states(spark, tmp_path):
     rows = [("k1", "running", "a", 1), ("k2", "running", "b", 2), ("k1", "finished", "a", 3), ("k1", "running", "c", 4), ("k2", "running", "d", 5), ("k3", "running", "e", 6)]
     schema = "dedupe_key string, phase string, build_id string, updated_at int"
     q = streams.latest_state_stream(replay(spark, tmp_path, rows, schema), f"{tmp_path}/state").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     newest = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir())
     assert rows_of(spark.read.parquet(f"{tmp_path}/state/version={newest}"), "dedupe_key", "build_id") == [("k1", "a"), ("k2", "d"), ("k3", "e")]
-    subs = [(1, at(0), 0, 1), (1, at(5), 1, -1), (2, at(6), 0, 1), (1, at(40), 2, 1), (2, at(50), 1, 1), (1, at(60), 3, -1)]
-    schema = "build_id int, ts timestamp, seq int, change int"
-    s = streams.abandoned_and_requeued_by_batch(replay(spark, tmp_path / "s", subs, schema), lambda df: twins.abandoned(df, 10), f"{tmp_path}/out", f"{tmp_path}/events")
-    s.option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination(120)
-    want = twins.abandoned(spark.createDataFrame(subs, schema), 10)
-    assert rows_of(spark.read.parquet(f"{tmp_path}/out"), "build_id", "abandoned_at") == rows_of(want, "build_id", "abandoned_at")
 
 
 def test_log_tail_resumes(spark, tmp_path):
@@ -111,27 +94,10 @@ def test_log_tail_resumes(spark, tmp_path):
 
 
 def test_keys_of_earlier_batches_stay(spark, tmp_path):
-    subs = [(1, at(0), 0, 1), (1, at(5), 1, -1), (None, at(6), 0, -1), (3, at(7), 0, 1), (2, at(6), 0, 1), (2, at(50), 1, -1)]
-    schema = "build_id int, ts timestamp, seq int, change int"
-    q = streams.abandoned_and_requeued_by_batch(replay(spark, tmp_path / "s", subs, schema), lambda df: twins.abandoned(df, 10), f"{tmp_path}/out", f"{tmp_path}/events")
-    q.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
-    got = {(r.build_id, r.abandoned_at) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {(r.build_id, r.abandoned_at) for r in twins.abandoned(spark.createDataFrame(subs, schema), 10).collect()} and len(got) == 3
-    lost = [(1, at(0), 0, "lost"), (1, at(1), 1, "lost"), (2, at(2), 0, "ran"), (2, at(3), 1, "lost"), (1, at(4), 2, "lost"), (3, at(5), 0, "lost")]
+    lost = [(1, at(0), 0, "lost"), (1, at(1), 1, "lost"), (2, at(2), 0, "ran"), (None, at(3), 0, "lost"), (2, at(3), 1, "lost"), (1, at(4), 2, "lost"), (3, at(5), 0, "lost")]
     schema = "job_id int, ts timestamp, seq int, kind string"
-    q = streams.abandoned_and_requeued_by_batch(replay(spark, tmp_path / "r", lost, schema), lambda df: twins.requeues(df, 30), f"{tmp_path}/out6", f"{tmp_path}/events6")
+    q = streams.by_batch(replay(spark, tmp_path / "r", lost, schema), lambda df: twins.requeues(df, 30), f"{tmp_path}/out6", f"{tmp_path}/events6")
     q.option("checkpointLocation", f"{tmp_path}/c6").trigger(availableNow=True).start().awaitTermination(120)
     cols = ("job_id", "ts", "attempts", "requeued")
-    assert rows_of(spark.read.parquet(f"{tmp_path}/out6"), *cols) == rows_of(twins.requeues(spark.createDataFrame(lost, schema), 30), *cols)
-
-
-def test_admissions_by_batch(spark, tmp_path):
-    asked = [(1, "a", at(0)), (2, "b", at(5)), (3, "a", at(100)), (4, "c", at(7))]
-    there = [("a", at(20), at(60)), ("b", at(0), at(9)), ("d", at(0), at(9)), ("a", at(500), at(600))]
-    submits, intervals = "job_id int, system string, ts timestamp", "system string, opens timestamp, closes timestamp"
-    q = streams.admissions_by_batch(replay(spark, tmp_path / "s", asked, submits, 2), replay(spark, tmp_path / "i", there, intervals, 4), 30, f"{tmp_path}/out", f"{tmp_path}/events")
-    q.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
-    want = twins.admissions(spark.createDataFrame(asked, submits), spark.createDataFrame(there, intervals), 30)
-    key = lambda df: {(r.job_id, r.decision, r.served_at) for r in df.collect()}
-    got = spark.read.parquet(f"{tmp_path}/out")
-    assert key(got) == key(want) and got.count() == 4
+    key = lambda df: {tuple(r[c] for c in cols) for r in df.collect()}
+    assert key(spark.read.parquet(f"{tmp_path}/out6")) == key(twins.requeues(spark.createDataFrame(lost, schema), 30))
