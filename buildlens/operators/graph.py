@@ -18,8 +18,9 @@ from buildlens.sources.shared import written
 
 #: Fronts that are kept apart before they become one table.
 FRONTS = 8
-#: Rounds over single nodes before chains are contracted, and the share of nodes in chains that makes it worth it.
-RAKES, WORTH = 4, 8
+#: Levels that are taken away one by one; beyond them, rounds before chains are contracted again, and
+#: the share of nodes in chains that makes it worth it.
+PEELS, RAKES, WORTH = 16, 4, 8
 #: Steps of a closure that are taken one by one.
 STEPS = 8
 
@@ -48,7 +49,7 @@ def _jump(chain: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``chain(node, to, step, base)`` where a node's value is the greater of ``base`` and ``step`` more
     than the value of ``to``: the same with ``to`` outside of the chain, reached by doubling, and
     (node, least) of those that only lead round in a circle, with the least node of each."""
-    n = chain.count()
+    n = open_ = chain.count()
     at = chain.withColumn("least", F.col("node"))
     for _ in range(math.ceil(math.log2(max(n, 2))) + 1):
         further = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("step").alias("step2"), F.col("base").alias("base2"), F.col("least").alias("least2"))
@@ -56,11 +57,15 @@ def _jump(chain: DataFrame) -> tuple[DataFrame, DataFrame]:
         at = written(
             joined.select(
                 "node", F.coalesce("to2", "to").alias("to"), (F.col("step") + F.coalesce("step2", F.lit(0))).alias("step"),
-                F.greatest("base", F.col("base2") + F.col("step")).alias("base"), F.least("least", "least2").alias("least"), F.col("to2").isNotNull().alias("moved"),
+                F.greatest("base", F.col("base2") + F.col("step")).alias("base"), F.least("least", "least2").alias("least"),
+                F.col("to2").isNotNull().alias("moved"), (F.col("least2") < F.col("least")).alias("lower"),
             ),
             "jumps",
         )
-        if at.where("moved").isEmpty():
+        # distances to an end have no gaps: if no node has come to one, only circles are left, and they are
+        # through when their least node stays
+        before, (open_, lower) = open_, at.agg(F.count_if("moved"), F.count_if("lower")).first()
+        if open_ == 0 or open_ == before and lower == 0:
             break
     inside = at.select(F.col("node").alias("to"))
     return at.join(inside, "to", "left_anti").select("node", "to", "step", "base"), at.join(inside, "to", "left_semi").select("node", "least")
@@ -77,46 +82,63 @@ def _named(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(F.col(c).alias(n) for n, c in names.items()))
 
 
+def _peeled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """PEELS rounds of taking away nodes without a remaining reference: (node, level) of those, and
+    the nodes and edges that are left. Only fronts are written; after the first round only
+    referrers of the last front can become free."""
+    front = written(nodes.join(_named(edges, node="referrer").distinct(), "node", "left_anti").withColumn("level", F.lit(0).cast("bigint")), "front")
+    seen, n = Seen(front), 0
+    while n < PEELS and not front.isEmpty():
+        n += 1
+        near = edges.join(_named(front, reference="node"), "reference", "left_semi").select(F.col("referrer").alias("node")).distinct()
+        held = edges.join(_named(near, referrer="node"), "referrer", "left_semi").join(_named(seen.all(), reference="node"), "reference", "left_anti")
+        front = written(near.join(_named(held, node="referrer"), "node", "left_anti").withColumn("level", F.lit(n).cast("bigint")), "front")
+        seen.add(front)
+    done = written(seen.all(), "peeled")
+    left = written(nodes.join(done.select("node"), "node", "left_anti"), "left")
+    return done, left, edges.join(_named(done, reference="node"), "reference", "left_anti")
+
+
 def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level) of the nodes from which no cycle is reached: the longest way to a node without
-    references. Nodes without an open reference are taken away, and what they give is kept with
-    their referrers; chains are contracted to one link and get their levels at the end."""
-    live = written(nodes.select("node", F.lit(0).cast("bigint").alias("base")), "live")
-    links = written(edges.select("referrer", "reference", F.lit(1).cast("bigint").alias("weight")), "links")
-    done: Seen | None = None
+    references. Some rounds take nodes away one level at a time. Of a graph that is deeper,
+    chains are contracted to one link and get their levels at the end, in turn with rounds that take
+    away nodes without an open reference and keep what these give with their referrers."""
+    done, left, links = _peeled(nodes, edges)
+    # all that is left lies above all that is done
+    above = done.agg(F.coalesce(F.max("level") + 1, F.lit(0)).cast("bigint")).first()[0]
+    if left.isEmpty() or above <= PEELS:
+        return done
+    live = written(left.select("node", F.lit(above).cast("bigint").alias("base")), "live")
+    links = written(links.select("referrer", "reference", F.lit(1).cast("bigint").alias("weight")), "links")
+    more = Seen(done)
     hung: list[DataFrame] = []
-    while True:
+    moved = True
+    while moved:
         moved = False
+        n = live.count()
+        chain = written(_chains(links, "referrer", "reference").join(live, "node"), "chains")
+        if n and chain.count() * WORTH >= n and not (tied := written(_jump(chain)[0], "tied")).isEmpty():
+            moved = True
+            hung.append(tied)
+            # links into a chain lead to its end; what the chain has of its own is kept with the referrer
+            stay = links.join(_named(tied, referrer="node"), "referrer", "left_anti")
+            into = written(stay.join(_named(tied, reference="node", to="to", step="step", own="base"), "reference"), "into")
+            up = into.groupBy(F.col("referrer").alias("node")).agg(F.max(F.col("own") + F.col("weight")).alias("up"))
+            live = written(live.join(tied.select("node"), "node", "left_anti").join(up, "node", "left").select("node", F.greatest("base", "up").alias("base")), "live")
+            ahead = into.select("referrer", F.col("to").alias("reference"), (F.col("weight") + F.col("step")).alias("weight"))
+            kept = stay.join(_named(tied, reference="node"), "reference", "left_anti").select("referrer", "reference", "weight")
+            links = written(kept.unionByName(ahead).groupBy("referrer", "reference").agg(F.max("weight").alias("weight")), "links")
         for _ in range(RAKES):
             free = written(live.join(_named(links, node="referrer").distinct(), "node", "left_anti").select("node", F.col("base").alias("level")), "front")
             if free.isEmpty():
                 break
             moved = True
-            if done is None:
-                done = Seen(free)
-            else:
-                done.add(free)
+            more.add(free)
             up = links.join(_named(free, reference="node", level="level"), "reference").groupBy(F.col("referrer").alias("node")).agg(F.max(F.col("level") + F.col("weight")).alias("up"))
             live = written(live.join(free.select("node"), "node", "left_anti").join(up, "node", "left").select("node", F.greatest("base", "up").alias("base")), "live")
             links = written(links.join(_named(free, reference="node"), "reference", "left_anti"), "links")
-        n = live.count()
-        chain = written(_chains(links, "referrer", "reference").join(live, "node"), "chains") if n else None
-        if chain is None or chain.count() * WORTH < n or (tied := written(_jump(chain)[0], "tied")).isEmpty():
-            if moved and n:
-                continue
-            break
-        hung.append(tied)
-        # links into a chain lead to its end; what the chain has of its own is kept with the referrer
-        stay = links.join(_named(tied, referrer="node"), "referrer", "left_anti")
-        into = written(stay.join(_named(tied, reference="node", to="to", step="step", own="base"), "reference"), "into")
-        up = into.groupBy(F.col("referrer").alias("node")).agg(F.max(F.col("own") + F.col("weight")).alias("up"))
-        live = written(live.join(tied.select("node"), "node", "left_anti").join(up, "node", "left").select("node", F.greatest("base", "up").alias("base")), "live")
-        ahead = into.select("referrer", F.col("to").alias("reference"), (F.col("weight") + F.col("step")).alias("weight"))
-        kept = stay.join(_named(tied, reference="node"), "reference", "left_anti").select("referrer", "reference", "weight")
-        links = written(kept.unionByName(ahead).groupBy("referrer", "reference").agg(F.max("weight").alias("weight")), "links")
-    if done is None:
-        return live.select("node", F.col("base").alias("level")).limit(0)
-    found = done.all()
+    found = more.all()
     for tied in reversed(hung):
         found = written(found.unionByName(tied.join(_named(found, to="node", level="level"), "to").select("node", F.greatest("base", F.col("level") + F.col("step")).alias("level"))), "levels")
     return written(found, "levels")
@@ -133,6 +155,8 @@ def _core(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     the nodes on or between cycles with their edges."""
     low = _levels(nodes, edges)
     left = written(nodes.join(low.select("node"), "node", "left_anti"), "left")
+    if left.isEmpty():
+        return low, low.limit(0), left, edges.limit(0)
     links = written(_within(edges, left), "left-edges")
     high = _levels(left, _named(links, referrer="reference", reference="referrer"))
     knot = written(left.join(high.select("node"), "node", "left_anti"), "knot")

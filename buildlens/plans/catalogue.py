@@ -893,8 +893,8 @@ _RINGS = """SELECT p_partkey AS referrer, CASE WHEN p_partkey % 8 = 7 OR p_partk
 
 @query(f"""WITH RECURSIVE rings AS ({_RINGS}), nodes AS (SELECT p_partkey AS node FROM part), links AS (SELECT DISTINCT referrer, reference FROM rings JOIN nodes a ON a.node = referrer JOIN nodes b ON b.node = reference WHERE referrer <> reference),
   reach AS (SELECT node AS x, node AS y FROM nodes UNION SELECT x, reference FROM reach JOIN links ON referrer = y),
-  both AS (SELECT a.x AS node, a.y AS other FROM reach a JOIN reach b ON b.x = a.y AND b.y = a.x)
-  SELECT node, min(other) AS component, count(*) AS size FROM both GROUP BY node""")
+  pairs AS (SELECT a.x AS node, a.y AS other FROM reach a JOIN reach b ON b.x = a.y AND b.y = a.x)
+  SELECT node, min(other) AS component, count(*) AS size FROM pairs GROUP BY node""")
 def strong_components(spark, d):
     return graph.strong_components(view(spark, d, "SELECT p_partkey AS node FROM part"), view(spark, d, _RINGS))
 
