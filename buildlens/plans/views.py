@@ -51,7 +51,6 @@ VIEWS = {
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "staged": """SELECT seq, worker_id AS build_id, seq % 4 AS path_id, seq % 13 <> 0 AS requested,
         CASE kind WHEN 'heartbeat' THEN 'metadata' WHEN 'log' THEN 'chunk' WHEN 'request_job' THEN 'path_end' WHEN 'result_ok' THEN 'result' ELSE CASE WHEN seq % 2 = 0 THEN 'output' ELSE 'closed' END END AS kind FROM messages""",
-    "departures": """SELECT f.worker_id AS worker, f.system, s_suppkey, (SELECT min(o_orderdate) FROM orders) + INTERVAL 1 DAYS * 1 AS departed_at FROM supplier JOIN worker_systems f ON f.worker_id = s_suppkey""",
     "ticks": """SELECT worker_id AS build_id, ts, seq, CASE WHEN kind = 'log' THEN bytes ELSE 0 END AS bytes, seq % 997 = 0 AS cancelled FROM messages""",
 }
 
