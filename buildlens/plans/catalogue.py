@@ -512,6 +512,16 @@ def replay_accounting(spark, d):
     return ev.replay_accounting(view(spark, d, _REPLAY), 2 << 20)
 
 
+_WATCHED = "SELECT worker_id AS build_id, seq FROM messages WHERE kind = 'request_job'"
+
+
+@query(f"""WITH r AS (SELECT *, sum(bytes + 64) OVER (PARTITION BY build_id ORDER BY seq {_UPTO}) AS running FROM ({_REPLAY})),
+  o AS (SELECT build_id, min(seq) AS over_at FROM r WHERE running > 65536 GROUP BY build_id)
+  SELECT s.build_id, s.seq, o.over_at, coalesce(s.seq >= o.over_at, false) AS rejected FROM ({_WATCHED}) s LEFT JOIN o ON o.build_id = s.build_id""")
+def late_subscribers(spark, d):
+    return ev.late_subscribers(view(spark, d, _WATCHED), ev.replay_accounting(view(spark, d, _REPLAY), 1 << 16))
+
+
 _CHUNKED = "SELECT worker_id AS build_id, seq % 3 AS path_id, seq, CASE kind WHEN 'log' THEN 'chunk' WHEN 'result_failed' THEN 'restart' ELSE kind END AS kind FROM messages"
 
 
@@ -1112,3 +1122,13 @@ def dedupe_results_stream(spark, d):
         return streams.dedupe_results(results, "400 days").select("dedupe_key")
 
     return _announced(spark, d, "deliveries", make)
+
+
+@query(f"""WITH f AS ({_FINISHED}), a AS ({_ACKS}) SELECT result_id, finished_at FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.result_id = f.result_id AND acked_at >= finished_at AND acked_at <= finished_at + INTERVAL 12 HOURS)
+  AND finished_at + INTERVAL 12 HOURS <= least((SELECT max(finished_at) FROM f), (SELECT max(acked_at) FROM a)) - INTERVAL 1 HOURS""")
+def expired_results_stream(spark, d):
+    def make(messages):
+        finished = messages.where("kind = 'result_ok'").selectExpr("worker_id AS result_id", "ts AS finished_at")
+        return streams.expired_results(finished, messages.where("kind = 'heartbeat'").selectExpr("worker_id AS result_id", "ts AS acked_at"), 43_200, LATE)
+
+    return _announced(spark, d, "expired", make)
