@@ -1,5 +1,6 @@
 """The ten operators against brute force, the libraries, held-out labels and odd inputs."""
 
+import base64
 import collections
 import datetime as dt
 import hashlib
@@ -27,7 +28,7 @@ from buildlens.llm.jaccard_join import class_name, jaccard_components, one_of_ea
 from buildlens.llm.langid import identify_languages
 from buildlens.llm.pii import pseudonymise
 from buildlens.llm.quality import only_good, quality_scores
-from buildlens.llm.secret_scan import crc_base62, find_spans, scan_secrets
+from buildlens.llm.secret_scan import crc_base62, find_spans, jwt_header, scan_secrets
 from buildlens.llm.shared import fresh_path, join_facts, written
 from buildlens.llm.shingles import shingle_sets
 from buildlens.llm.token_counts import token_counts
@@ -504,6 +505,32 @@ def brute_links(rows):
     return {i: (links[i], find(i)) for i, _, _ in rows}
 
 
+def test_long_hostile_texts_are_scanned_in_linear_time():
+    """Runs of keyword hits that never become a match, over 1 MB each."""
+    signed = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=") + ".eyJhIjoxfQ.sig"
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode().rstrip("=") + ".eyJhIjoxfQ.sig"
+    hostile = ["eyJ" * 350_000, "EYJeyJ" * 170_000, "eyJeyJ." * 150_000, "token" * 200_000, "token " * 170_000, "token" + " " * 1_000_000, "akia" * 250_000, "ghp_" * 250_000, "0a" * 15 + " x" * 500_000]
+    for text in hostile:
+        begun = time.monotonic()
+        find_spans(text)
+        assert time.monotonic() - begun < 10, text[:10]
+    # after a run without a dot, and after a header too deep to read, the next token is still found
+    n = len(signed)
+    assert find_spans("eyJ" * 1000 + " " + signed) == [("jwt", 3001, 3001 + n)]
+    assert find_spans("EYJeyJ EYJ" + signed) == [("jwt", 10, 10 + n)]
+    assert find_spans(deep + " " + signed) == [("jwt", len(deep) + 1, len(deep) + 1 + n)]
+
+
+def test_jwt_spans_equal_the_plain_pattern():
+    rng = random.Random(5)
+    pattern = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+    head = base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", ".", "a", head, "EYJ", " ", "-"]) for _ in range(rng.randrange(25)))
+        want = [("jwt", m.start(), m.end()) for m in pattern.finditer(text) if jwt_header(m[1])]
+        assert [s for s in find_spans(text) if s[0] == "jwt"] == want, text
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(1)
     rows = []
