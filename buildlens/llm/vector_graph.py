@@ -3,21 +3,23 @@
 1. Equal vectors form one class with a multiplicity, so any number of copies costs one row.
 2. Cells. The classes of one label and dimension are dealt to the cells of sampled pivots, and
    cells above ``SHARD`` again, until they are small: a tree of Voronoi cells without a bound
-   on their number. A class has one home, the cell of its nearest pivots, and lies besides in
-   those cells whose pivot is nearly as near.
+   on their number. A class has one home, the cells of its nearest pivots, and lies besides in
+   every cell whose border it is near to, at each level, as a guest as well. The middle of a link
+   is half the link angle from both its ends, so both lie in the cell of the middle (``reach``).
 3. Graph. Each cell is built into a flat graph: classes are added in random order, a greedy
    search from the medoids on the graph so far gives the candidates, and robust pruning keeps
    an edge only where no kept neighbour lies much nearer to its end.
-4. Union. The lists that a class has in several cells are joined: the part of a list that lies
-   near enough to hold a common link, and leads out of a cell, is added to that cell with the
-   vectors at its ends.
-5. Search. Every class is searched once, in its home: greedily from the medoids, then, once
+4. Union. The lists that a class has in several cells are joined: the linked ends of a list that
+   leads out of a cell are added to that cell.
+5. Search. Every class is searched in each of its cells: greedily from the medoids, then, once
    within range, by expanding every vector in range. All links are verified by cosine in
-   double precision; a link holds wherever it is found and counts once.
+   double precision; a link holds wherever it is found and counts once. Links of two classes
+   with one home are counted there.
 
 A cell above ``SHARD`` that has a single pivot is one dense spot. Vectors within half the link
 angle of its centre are linked with each other for certain (the angle is a metric), which is
-counted without a look at pairs; the others of that cell are compared with it in blocks.
+counted without a look at pairs; the others of that cell are compared with it in blocks. So are
+cells that a split would copy more than it parts them.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ THRESHOLD = 0.93
 SHARD, BUCKET = 1500, 5000
 #: Pivots that a cell is split by, at most, and sampled classes for each of them.
 PIVOTS, SAMPLED = 64, 4
-#: Cells that a class may lie in at each split, and the loss of cosine up to which it does.
-OVERLAP, MARGIN = 2, 0.05
+#: Standard deviations of a link's half across a border, were its direction random, up to which a class is a guest.
+SPREAD = 2.5
 #: Edges kept by pruning and at most held, candidates that pruning looks at, and its slack.
 DEGREE, WIDTH, POOL, ALPHA = 14, 28, 40, 1.2
 #: Width of the beam, vectors a step expands, starts of a search, classes for each medoid.
@@ -46,8 +48,8 @@ BEAM, STEP, STARTS, PER_MEDOID = 16, 2, 3, 100
 #: Vectors added or searched at a time.
 BATCH = 256
 HALF = float(np.cos(np.arccos(THRESHOLD) / 2) + 1e-9)
-#: Ends of a list further from its class than twice the link angle cannot share a link with it.
-NEAR = float(np.cos(2 * np.arccos(THRESHOLD)) - 1e-6)
+#: Ends of a list that other cells of its class are given: those linked with it. What else shares a link with it lies there by reach.
+NEAR = THRESHOLD - 1e-6
 
 
 def usable(v: Column) -> Column:
@@ -63,6 +65,13 @@ def unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def reach(dim: int) -> float:
+    """How far from a border, as a sine, the end of a link may lie whose middle is beyond it: half
+    the link angle at most, and in many dimensions hardly ever more than ``SPREAD`` times its
+    part along one of them. Links that cross a border further than that can be lost."""
+    return float(np.sin(np.arccos(THRESHOLD) / 2)) * min(1.0, SPREAD / np.sqrt(dim))
+
+
 # ------------------------------------------------------------------- one graph
 
 
@@ -256,7 +265,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 # ----------------------------------------------------------------- tables of cells
 
-BUILT = "shard bigint, cls bigint, copies bigint, home boolean, embedding array<double>, medoid boolean, ends array<bigint>"
+BUILT = "shard bigint, cls bigint, copies bigint, base bigint, embedding array<double>, medoid boolean, ends array<bigint>"
 FOUND = "cls bigint, links bigint, root bigint, other bigint, copies bigint, copies_other bigint"
 
 
@@ -277,21 +286,22 @@ def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     near = np.einsum("ij,ij->i", x[u], x[v]) >= NEAR if len(u) else np.zeros(0, bool)
     shards = [set(s) for s in pdf["shards"]]
     out = [(s, a, b) for a, b in zip(u[near], v[near], strict=True) for s in shards[a] - shards[b]]
-    cols = ["shard", "cls", "copies", "home", "embedding", "medoid", "ends"]
+    cols = ["shard", "cls", "copies", "base", "embedding", "medoid", "ends"]
     if not out:
         return here[cols]
     there = pdf.iloc[[b for _, _, b in out]].assign(
-        shard=[s for s, _, _ in out], home=False, medoid=False, ends=[[cls[a]] for _, a, _ in out]
+        shard=[s for s, _, _ in out], medoid=False, ends=[[cls[a]] for _, a, _ in out]
     )
     return pd.concat([here[cols], there[cols]], ignore_index=True)
 
 
 def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of the classes at home in one cell of the joined graph: a row for each with the
-    links within and its root, and a row for each link that leads to a class at home elsewhere."""
-    pdf = pdf.sort_values(["cls", "home", "medoid"], ascending=[True, False, False], kind="stable")
+    """Links in one cell of the joined graph: a row for each class at home here with the links
+    among those and its root, and a row for each link of two classes with different homes."""
+    pdf = pdf.sort_values(["cls", "medoid"], ascending=[True, False], kind="stable")
     one = pdf.drop_duplicates("cls").reset_index(drop=True)
-    cls, copies, home = one["cls"].to_numpy(), one["copies"].to_numpy(), one["home"].to_numpy()
+    cls, copies, base = one["cls"].to_numpy(), one["copies"].to_numpy(), one["base"].to_numpy()
+    home = base == one["shard"].iloc[0]
     x = unit(one["embedding"])
     n = len(one)
     sizes = pdf["ends"].map(len).to_numpy()
@@ -304,8 +314,8 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     lists[a, np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)] = b
     medoids = np.flatnonzero(one["medoid"].to_numpy())
     asked = np.flatnonzero(home)
-    if n > 1 and len(asked):
-        q, v = verified(x, *range_search(x.astype(np.float32), lists, medoids, asked, THRESHOLD))
+    if n > 1:
+        q, v = verified(x, *range_search(x.astype(np.float32), lists, medoids, np.arange(n), THRESHOLD))
     else:
         q = v = np.zeros(0, np.int64)
     # a link found from either end holds for both
@@ -315,7 +325,8 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     inside = home[q] & home[v]
     links = np.bincount(q[inside], copies[v[inside]], n).astype(np.int64)
     own = pd.DataFrame({"cls": cls[asked], "links": links[asked], "root": cls[root[asked]]})
-    q, v = q[home[q] & ~home[v]], v[home[q] & ~home[v]]
+    apart = (base[q] != base[v]) & (q < v)
+    q, v = q[apart], v[apart]
     out = pd.DataFrame({"cls": cls[q], "links": 0, "root": cls[root[q]], "other": cls[v], "copies": copies[q], "copies_other": copies[v]})
     return pd.concat([own, out], ignore_index=True).reindex(columns=["cls", "links", "root", "other", "copies", "copies_other"]).astype(dict.fromkeys(("other", "copies", "copies_other"), "Int64"))
 
@@ -339,20 +350,20 @@ def pick_pivots(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def deal(key: tuple, members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-    """A bucket of a cell's classes to the cells of its pivots. A class at home goes to the
-    nearest, its new home, and to those that are nearly as near; a guest to the nearest."""
+    """A bucket of a cell's classes to the cells of its pivots: each class to the nearest, which is
+    the new home of one at home, and to all whose border with that is within reach."""
     if not len(members):
         return members.assign(place=0, near=0.0)[DEALT]
     p = np.array([list(v) for v in pivots["pivots"].iloc[0]], np.float64)
-    s = unit(members["embedding"]) @ p.T
-    order = np.argsort(-s, axis=1, kind="stable")[:, :OVERLAP]
-    best = np.take_along_axis(s, order, 1)
-    parts = []
-    for k in range(order.shape[1]):
-        rows = np.ones(len(members), bool) if k == 0 else members["home"].to_numpy() & (best[:, k] >= best[:, 0] - MARGIN)
-        some = members[rows].assign(place=order[rows, k], near=best[rows, k])
-        parts.append(some if k == 0 else some.assign(home=False))
-    return pd.concat(parts, ignore_index=True)[DEALT]
+    x = unit(members["embedding"])
+    s = x @ p.T
+    first = s.argmax(1)
+    rows = np.arange(len(members))
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))
+    near = s[rows, first][:, None] - s <= reach(x.shape[1]) * apart[first]
+    near[rows, first] = True
+    row, place = np.nonzero(near)
+    return members.iloc[row].assign(place=place, near=s[row, place], home=members["home"].to_numpy()[row] & (place == first[row]))[DEALT]
 
 
 DEALT = ["cell", "cls", "copies", "home", "embedding", "place", "near"]
@@ -382,7 +393,15 @@ def cells_of(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         left = big.withColumn("bucket", F.pmod(F.xxhash64("cls"), buckets).cast("int")).drop("m", "least", "wanted")
         right = pivots.join(large, "cell").select("cell", F.explode(F.sequence(F.lit(0), buckets - 1)).alias("bucket"), "pivots")
         dealt = left.groupBy("cell", "bucket").cogroup(right.groupBy("cell", "bucket")).applyInPandas(deal, DEALT_TYPES)
-        dealt = written(dealt.join(pivots.select("cell", (F.size("pivots") == 1).alias("single")), "cell"), "vector-dealt")
+        dealt = written(dealt.join(pivots.select("cell", F.size("pivots").alias("parts")), "cell"), "vector-dealt")
+        # split further, n rows would become n ** (log r / log(parts / r)) times as many, r being the copies
+        # of a row by this split; comparing blocks costs n times n. Beyond r * r = parts that is less
+        fruitless = (F.pow(F.col("rows") / F.col("m"), 2) > F.col("parts")) & (F.col("parts") > 1)
+        stuck = written(dealt.groupBy("cell", "parts").agg(F.count("*").alias("rows")).join(large, "cell").where(fruitless).select("cell"), "vector-stuck")
+        if not stuck.isEmpty():
+            dense.append(big.join(stuck, "cell", "left_semi").select("cell", "cls", "copies", "home", "embedding", F.lit(-1.0).alias("near")))
+            dealt = dealt.join(stuck, "cell", "left_anti")
+        dealt = dealt.withColumn("single", F.col("parts") == 1).drop("parts")
         spots = dealt.where("single")
         if not spots.isEmpty():
             dense.append(spots.drop("single", "place"))
@@ -402,6 +421,7 @@ def compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = ask["cls"].to_numpy(), has["cls"].to_numpy()
         s &= ~((has["near"].to_numpy() < HALF)[None, :] & (a[:, None] >= b[None, :]))
         ha, hb = ask["home"].to_numpy(), has["home"].to_numpy()
+        ba, bb = ask["base"].to_numpy(), has["base"].to_numpy()
         ca, cb = ask["copies"].to_numpy(), has["copies"].to_numpy()
         inside = (s & ha[:, None] & hb[None, :]).astype(np.float64)
         i, j = np.nonzero(s)
@@ -409,7 +429,7 @@ def compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         root = cls[_roots(len(cls), at[i], at[len(a) + j])]
         out.append(pd.DataFrame({"cls": a, "links": (inside @ cb).astype(np.int64), "root": root[at[: len(a)]]}))
         out.append(pd.DataFrame({"cls": b, "links": (ca @ inside).astype(np.int64), "root": root[at[len(a) :]]}))
-        i, j = np.nonzero(s & (ha[:, None] != hb[None, :]))
+        i, j = np.nonzero(s & (ba[:, None] != bb[None, :]))
         out.append(pd.DataFrame({"cls": a[i], "links": 0, "root": b[j], "other": b[j], "copies": ca[i], "copies_other": cb[j]}))
     cols = ["cls", "links", "root", "other", "copies", "copies_other"]
     got = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=cols)
@@ -428,7 +448,7 @@ def dense_links(spots: DataFrame) -> DataFrame:
         F.ceil(F.count_if(outer) / SHARD).alias("asking"), F.ceil(F.count("*") / SHARD).alias("having")
     )
     placed = spots.join(blocks.where("asking > 0"), "cell").withColumn("h", F.xxhash64("cls"))
-    kept = ["cell", "cls", "copies", "home", "embedding", "near"]
+    kept = ["cell", "cls", "copies", "home", "base", "embedding", "near"]
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - F.lit(1).cast("bigint")))
     ask = placed.where(outer).select(*kept, F.lit(True).alias("asks"), F.pmod("h", F.col("asking")).alias("i"), upto("having").alias("j"))
     has = placed.select(*kept, F.lit(False).alias("asks"), upto("asking").alias("i"), F.pmod("h", F.col("having")).alias("j"))
@@ -461,9 +481,12 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     if not clash.isEmpty():
         return _with_clashes(base, good)
     small, dense = cells_of(classes)
+    homes = small if dense is None else small.select("cell", "cls", "home").unionByName(dense.select("cell", "cls", "home"))
+    homes = homes.where("home").select("cls", F.col("cell").alias("base"))
+    dense = None if dense is None else dense.join(homes, "cls")
     where = small.groupBy("cls").agg(F.collect_set("cell").alias("shards"))
     built = written(
-        small.withColumnRenamed("cell", "shard").join(where, "cls").groupBy("shard").applyInPandas(build_shard, BUILT), "vector-graph"
+        small.withColumnRenamed("cell", "shard").join(where, "cls").join(homes, "cls").groupBy("shard").applyInPandas(build_shard, BUILT), "vector-graph"
     )
     found = built.groupBy("shard").applyInPandas(search_shard, FOUND)
     found = written(found if dense is None else found.unionByName(dense_links(dense)), "vector-links")
