@@ -601,21 +601,6 @@ def test_dense_spots_and_outer_vectors_count_exactly(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()} == brute_links(data)
 
 
-@pytest.mark.parametrize("shard", [1500, 300, 100])
-def test_links_between_many_small_cells_are_found(spark, monkeypatch, shard):
-    """9,000 scattered vectors without any clusters, where most links cross a border at some level."""
-    from buildlens.llm import vector_graph
-
-    monkeypatch.setattr(vector_graph, "SHARD", shard)
-    x = np.random.default_rng(0).normal(size=(9000, 8))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = np.concatenate([(unit[k : k + 1000] @ unit.T >= 0.93).sum(1) - 1 for k in range(0, len(x), 1000)])
-    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
-    found = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
-    got = np.array([found[i] for i in range(len(x))])
-    assert (got <= want).all() and got.sum() >= 0.98 * want.sum()
-
-
 def test_vector_rows_that_share_an_id(spark):
     data = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (3, [0.0, 2.0], 1), (9, [1.0, 0.1], 1), (4, [-1.0, 0.0], 1)]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int")).collect())
