@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from buildlens.llm.kn_table import GRAM, Model, count_grams, distinct_grams, grams, keys, perplexities
 from buildlens.llm.shared import map_arrow, written
 
-#: Share of the calibrating texts of a language whose cross-entropy is let pass.
-ACCEPT = 0.999
+#: Share of the calibrating texts of a language whose cross-entropy is let pass, and the standard
+#: deviations above their mean that are let pass at least. Of few texts the latter are taken wider
+#: (``WIDER`` / (texts - 1) times more, about as a prediction interval is); of one, nothing follows.
+ACCEPT, DEVIATIONS, WIDER = 0.999, 3.09, 4
+#: One in this number of the training texts of a language calibrates instead, at any number of texts.
+CALIBRATES = 8
 #: Characters that count towards the certainty of a prediction.
 CERTAIN = 40
-#: Texts of a language from which on an eighth of them calibrates instead of training.
-ENOUGH = 100
 #: Numbers (4 bytes each) in the arrays that are broadcast; beyond, n-grams are joined to the texts.
 BROADCAST_NUMBERS = 16_000_000
 
@@ -101,10 +103,11 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
     Rows whose crc32 of the doc_id as text leaves 2 on division by 4 are held out; the others
     with a language and a letter train the models (a null doc_id has the remainder of the empty
-    string, 0), but for an eighth of them in languages with ENOUGH, which calibrates.
-    ``rejected`` is true where the cross-entropy exceeds what all but a thousandth of the
-    calibrating texts of the predicted language have; the prediction itself stays, and nothing
-    is rejected in a language without such texts. A text that is null or has no letter is
+    string, 0), but for an eighth of them by hash of id and text, which calibrates. A language
+    whose texts would all calibrate trains on them. ``rejected`` is true where the cross-entropy
+    exceeds both what all but a thousandth of the calibrating texts of the predicted language
+    have and their mean by a number of standard deviations that falls smoothly with the number of
+    texts; the prediction itself stays, and with fewer than two such texts there is no limit. A text that is null or has no letter is
     ``und`` with score 0. Without any training text every row is ``und``. Equal
     cross-entropies go to the first language in order of name. Repeated rows each give a row;
     an empty table gives an empty result; other columns are ignored.
@@ -118,17 +121,23 @@ def identify_languages(docs: DataFrame) -> DataFrame:
         F.when(text.rlike(r"\p{L}"), text).otherwise("").alias("text"),
     )
     learned = base.where("not held_out and known is not null and text <> ''")
-    sizes = learned.groupBy("known").count().collect()
+    aside = F.pmod(F.xxhash64("doc_id", "text"), F.lit(CALIBRATES)) == 0
+    # a language is learned even if the hash sets all its texts aside
+    sizes = learned.groupBy("known").agg(F.count_if(~aside).alias("others")).collect()
     names = sorted(r["known"] for r in sizes)
-    plenty = [r["known"] for r in sizes if r["count"] >= ENOUGH]
-    calibrates = ~F.col("held_out") & F.col("known").isin(*plenty) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(8)) == 0) if plenty else F.lit(False)
+    bare = [r["known"] for r in sizes if not r["others"]]
+    calibrates = ~F.col("held_out") & aside & F.col("known").isNotNull() & ~F.col("known").isin(*bare)
     base = base.withColumn("calibrates", F.coalesce(calibrates, F.lit(False)))
     train = base.where("not held_out and not calibrates and known is not null and text <> ''").select(F.col("known").alias("lang"), "text")
     scored = written(score_languages(base, train_models(train) if names else None, names), "langid-scores")
     limits = (
         scored.where("calibrates and n > 0 and known = lang_pred")
         .groupBy("lang_pred")
-        .agg(F.percentile_approx("entropy", F.lit(ACCEPT), F.lit(10_000)).alias("ceiling"))
+        .agg(
+            F.percentile_approx("entropy", F.lit(ACCEPT), F.lit(10_000)).alias("most"),
+            (F.avg("entropy") + DEVIATIONS * (1 + F.try_divide(F.lit(WIDER), F.count("*") - 1)) * F.stddev_samp("entropy")).alias("wide"),
+        )
+        .select("lang_pred", F.when(F.col("wide").isNotNull(), F.greatest("most", "wide")).alias("ceiling"))
     )
     return scored.join(F.broadcast(limits) if len(names) < 1000 else limits, "lang_pred", "left").select(
         "doc_id",

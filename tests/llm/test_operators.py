@@ -10,6 +10,7 @@ import random
 import re
 import struct
 import time
+import zlib
 
 import duckdb
 import numpy as np
@@ -412,6 +413,47 @@ def test_languages_of_other_scripts_and_models_of_any_size(spark, monkeypatch):
     assert [x[3] for x in joined] == pytest.approx([x[3] for x in got], abs=1e-4)
 
 
+def test_languages_against_brute_cross_entropies(spark):
+    """Predictions, scores and the texts set aside, recomputed from plain dictionaries."""
+    from buildlens.llm.langid import CERTAIN, score_languages, train_models
+
+    rng = random.Random(3)
+    letters_of = {"aa": "abcdefgh ", "bb": "efghijkl ", "cc": "aeiou жя "}
+    text = lambda g: " ".join("".join(rng.choices(letters_of[g], k=rng.randint(1, 40))).split())
+    train = [(g, t) for g in letters_of for t in (text(g) for _ in range(25)) if t]
+    tried = ["", "zzz", "aeiou", "ж я", *(text(g) for g in letters_of for _ in range(12)), "efgh " * 200 + "efgh"]
+    names = sorted(letters_of)
+    model = train_models(spark.createDataFrame(train, "lang string, text string"))
+    df = spark.createDataFrame(list(enumerate(tried)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in score_languages(df, model, names).collect()}
+    ln = {g: brute_kneser_ney([t for h, t in train if h == g]) for g in names}
+    for i, t in enumerate(tried):
+        if not t:
+            assert (got[i].lang_pred, got[i].score, got[i].n) == ("und", 0.0, 0)
+            continue
+        h = np.array([-np.mean(ln[g](t)) for g in names])
+        assert got[i].n == len(t) and got[i].lang_pred == names[int(h.argmin())]
+        assert got[i].entropy == pytest.approx(h.min(), rel=1e-5)
+        assert got[i].score == pytest.approx(1 / np.exp((h.min() - h) * min(len(t), CERTAIN)).sum(), rel=1e-3)
+
+
+def test_languages_are_calibrated_alike_at_any_size(spark):
+    """One text more never turns the rejection of a language on: 99 and 100 texts behave alike, few texts have a wide limit."""
+    rng = random.Random(5)
+    text = lambda k: " ".join("".join(rng.choices("abcdefghijklm", k=rng.randint(2, 7))) for _ in range(k))
+    many = [text(60) for _ in range(400)]
+    trained = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    strange = (90_000, "日本語テキスト言語判定" * 20, None)
+    outcome = {}
+    for n in (1, 2, 99, 100, 101, 400):
+        rows = [(i, many[k], "en") for k, i in enumerate(trained[:n])] + [strange]
+        got = identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+        assert {r.lang_pred for r in got} == {"en"} and len(got) == n + 1
+        outcome[n] = {r.doc_id for r in got if r.rejected}
+    assert outcome[1] == set()
+    assert outcome[99] == outcome[100] == outcome[101] == outcome[400] == {90_000}
+
+
 # ---- 8
 
 
