@@ -13,10 +13,10 @@ from buildlens.functions.network import address_key, canonical_key
 from buildlens.operators import events as ev
 from buildlens.operators import graph, identity, matching, metrics, policy, staging, validate
 from buildlens.plans.views import VIEWS, view, with_views
-from buildlens.sources import readers, sinks
+from buildlens.sources import logtail, readers, sinks
 from buildlens.sources.schemas import WORKER_PAYLOADS
 from buildlens.sources.shared import fresh_path
-from buildlens.streaming import streams, timed, twins
+from buildlens.streaming import gauges, streams, timed, twins, upserts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1035,25 +1035,18 @@ _STATES = "SELECT seq % 700 AS dedupe_key, CASE WHEN kind = 'result_ok' THEN 'fi
 def latest_state_stream(spark, d):
     path = fresh_path(spark, "states")
     states = events_stream(spark, d).selectExpr("seq % 700 AS dedupe_key", "CASE WHEN kind = 'result_ok' THEN 'finished' ELSE 'running' END AS phase", "ts AS updated_at", "seq AS build_id")
-    run = streams.latest_state_stream(states, path).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = run.lastProgress["batchId"]
-    return spark.read.schema(states.schema).parquet(f"{path}/version={last}")
-
-
-def _upserted(spark: SparkSession, name: str, start) -> DataFrame:
-    """The table that ``start(table, events)``, a stream's writer, has made of all its source has now."""
-    path = fresh_path(spark, name)
-    run = start(f"{path}/table", f"{path}/events").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    upserts.latest_state_stream(states, f"{path}/table").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return upserts.upserted(spark, f"{path}/table", states.schema)
 
 
 @query()
 def requeues_stream(spark, d):
     lost = events_stream(spark, d).selectExpr("worker_id AS job_id", "ts", "seq", "CASE kind WHEN 'result_failed' THEN 'lost' ELSE kind END AS kind")
     rule = lambda events: twins.requeues(events, 3600)
-    return _upserted(spark, "requeues", lambda table, kept: streams.by_batch(lost, rule, table, kept))
+    path = fresh_path(spark, "requeues")
+    run = upserts.by_batch(lost, rule, f"{path}/table", f"{path}/events").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return upserts.upserted(spark, f"{path}/table", rule(spark.createDataFrame([], lost.schema)).schema)
 
 
 ORACLE_SQL["requeues_stream"] = ORACLE_SQL["requeues"]
@@ -1132,3 +1125,39 @@ def expired_results_stream(spark, d):
         return streams.expired_results(finished, messages.where("kind = 'heartbeat'").selectExpr("worker_id AS result_id", "ts AS acked_at"), 43_200, LATE)
 
     return _announced(spark, d, "expired", make)
+
+
+@query("""WITH l AS (SELECT worker_id AS build_id, strlen('log ' || seq || chr(10)) AS n FROM messages WHERE kind = 'log')
+  SELECT build_id, cast(sum(n) AS bigint) AS bytes, cast(sum(n) AS bigint) AS upto FROM l GROUP BY build_id""")
+def tail_growing_logs_stream(spark, d):
+    """Logs are read when a part of their lines is there, and again when all are, from the byte on at which the first run ended."""
+    path = fresh_path(spark, "growing")
+    lines = view(spark, d, "SELECT worker_id AS build_id, seq, 'log ' || cast(seq AS string) || chr(10) AS data FROM messages WHERE kind = 'log'")
+    half = lines.groupBy("build_id").agg(F.percentile_approx("seq", 0.5).alias("half"))
+    for there in (lines.join(half, "build_id").where("seq <= half").drop("half"), lines):
+        logtail.write_logs(there, f"{path}/logs")
+        new = logtail.tail_growing_logs(spark, f"{path}/logs").select("build_id", "at", F.octet_length("data").alias("n"))
+        new.writeStream.format("parquet").option("path", f"{path}/read").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema("build_id string, at bigint, n int").parquet(f"{path}/read")
+    return read.groupBy(F.col("build_id").cast("bigint").alias("build_id")).agg(F.sum("n").cast("bigint").alias("bytes"), F.max(F.col("at") + F.col("n")).alias("upto"))
+
+
+_SESSIONS = "SELECT worker_id AS session, ts, seq, 'w' || cast(worker_id % 50 AS string) AS worker_name, worker_id % 2 = 0 AS arm, kind <> 'result_failed' AS open FROM messages"
+
+
+@query(f"""WITH j AS (SELECT kind, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS n FROM lifecycle),
+  t AS ({_SESSIONS}), o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, seq DESC) AS n FROM t),
+  s AS (SELECT session, worker_name, 'x86_64-linux' AS system FROM o WHERE n = 1 AND open UNION ALL SELECT session, worker_name, 'aarch64-linux' FROM o WHERE n = 1 AND open AND arm),
+  g AS (SELECT 'queue_depth' AS metric, NULL AS worker, NULL AS system, count(*) AS value FROM j WHERE n = 1 AND kind IN ('submitted', 'requeued')
+    UNION ALL SELECT 'workers_connected', NULL, NULL, count(*) FROM o WHERE n = 1 AND open
+    UNION ALL SELECT DISTINCT 'builder_up', worker_name, system, 1 FROM s
+    UNION ALL SELECT 'workers_for_system', NULL, system, count(*) FROM s GROUP BY system)
+  SELECT metric, worker, system, cast(value AS bigint) AS value FROM g WHERE value > 0""")
+def live_gauges_stream(spark, d):
+    def entities(own):
+        messages = events_stream(own, d)
+        systems = F.when(F.col("open"), F.when(F.col("arm"), F.array(F.lit("x86_64-linux"), F.lit("aarch64-linux"))).otherwise(F.array(F.lit("x86_64-linux"))))
+        sessions = messages.selectExpr(*_projection(_SESSIONS)).withColumn("systems", systems)
+        return gauges.job_rows(messages.selectExpr(*_projection(VIEWS["lifecycle"]))).unionByName(gauges.session_rows(sessions))
+
+    return gauges.live_gauges(entities, spark, fresh_path(spark, "gauges"))

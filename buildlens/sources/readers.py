@@ -99,7 +99,8 @@ def demux(df: DataFrame) -> dict[str, DataFrame]:
 def tail_logs(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """SRC-7: a stream of log chunks from files as they arrive. The checkpoint of the query
     that reads it holds the accepted offset: a batch that fails does not advance it, and a
-    restarted query goes on after the last one that didn't. A build without a log yields nothing."""
+    restarted query goes on after the last one that didn't. A build without a log yields nothing.
+    Logs that grow within one file are ``logtail.tail_growing_logs``."""
     return spark.readStream.schema(LOG_CHUNK).option("maxFilesPerTrigger", max_files).parquet(path)
 
 

@@ -61,43 +61,6 @@ def dedupe_results(results: DataFrame, late: str = "1 day") -> DataFrame:
     return results.withWatermark("ts", late).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
-def _kept(batch: DataFrame, n: int, path: str) -> DataFrame:
-    """Add micro-batch ``n`` to the events below ``path``; all of them up to ``n``. A batch that runs again replaces itself."""
-    batch.write.mode("overwrite").parquet(f"{path}/micro_batch={n}")
-    return batch.sparkSession.read.schema(batch.schema).parquet(path).where(F.col("micro_batch") <= n).select(batch.columns)
-
-
-def _of_keys(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
-    """The rows of ``df`` whose ``column`` is (``left_anti``: is not) in ``keys(touched)``; null is a key."""
-    return df.join(keys, F.col(column).eqNullSafe(F.col("touched")), how)
-
-
-def _merged(new: DataFrame, keys: DataFrame, column: str, n: int, table: str) -> None:
-    """Put ``new``, the rows of the touched keys, in the place of their rows in the version before;
-    other keys keep theirs. Versions lie beside ``table``, which gets the newest."""
-    spark = new.sparkSession
-    versions = f"{table.rstrip('/')}-versions"
-    if n > 0:
-        before = spark.read.schema(new.schema).parquet(f"{versions}/version={n - 1}")
-        new = new.unionByName(_of_keys(before, keys, column, "left_anti"))
-    new.write.mode("overwrite").parquet(f"{versions}/version={n}")
-    spark.read.schema(new.schema).parquet(f"{versions}/version={n}").write.mode("overwrite").parquet(table)
-
-
-def by_batch(stream: DataFrame, rule, table: str, path: str):
-    """STR-6 needs no timer: each micro-batch is added to a table of
-    events, the batch rule runs over the keys that the batch touched, and their rows are merged
-    into ``table``. The first column of the stream is the key, in the rule's result too."""
-
-    def step(batch: DataFrame, n: int) -> None:
-        key = batch.columns[0]
-        events = _kept(batch, n, path)
-        keys = batch.select(F.col(key).alias("touched")).distinct()
-        _merged(rule(_of_keys(events, keys, key, "left_semi")), keys, key, n, table)
-
-    return stream.writeStream.foreachBatch(step)
-
-
 def live_counters(events: DataFrame) -> DataFrame:
     """STR-8: counters in update mode."""
     counted = events.where(F.col("kind").isin(*COUNTERS) & ~((F.col("kind") == "submitted") & F.col("duplicate")))
@@ -107,19 +70,3 @@ def live_counters(events: DataFrame) -> DataFrame:
 def live_log_bytes(messages: DataFrame) -> DataFrame:
     """STR-9: size and time span of each build's log in update mode."""
     return messages.groupBy("build_id").agg(F.sum("bytes").alias("bytes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-
-
-def latest_state_stream(stream: DataFrame, path: str):
-    """STR-10: newest state per key, upserted batch by batch into versions of a table below
-    ``path``; the newest version is the result. A cancel flag counts once and never for a
-    build that has finished, since finished states come first in SNK-4."""
-    from buildlens.sources.sinks import latest_states
-
-    def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        merged = batch
-        if n > 0:
-            merged = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={n - 1}"))
-        latest_states(merged).write.mode("overwrite").parquet(f"{path}/version={n}")
-
-    return stream.writeStream.foreachBatch(step)

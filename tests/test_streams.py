@@ -6,8 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 from buildlens.operators.events import lifecycle_counters
+from buildlens.sources import logtail
 from buildlens.sources.readers import tail_logs
-from buildlens.streaming import streams, twins
+from buildlens.streaming import gauges, streams, twins, upserts
 
 T0 = dt.datetime(2024, 1, 1)
 #: A last event, so late that it moves the watermark past all others.
@@ -69,13 +70,113 @@ def test_dedupe_counters_and_logs(spark, tmp_path):
     assert rows_of(logs, "build_id", "bytes") == rows_of(twins.live_log_bytes(batch.withColumnRenamed("dedupe_key", "build_id")), "build_id", "bytes")
 
 
+STATES = "dedupe_key string, phase string, build_id string, updated_at int"
+
+
 def test_latest_states(spark, tmp_path):
-    rows = [("k1", "running", "a", 1), ("k2", "running", "b", 2), ("k1", "finished", "a", 3), ("k1", "running", "c", 4), ("k2", "running", "d", 5), ("k3", "running", "e", 6)]
-    schema = "dedupe_key string, phase string, build_id string, updated_at int"
-    q = streams.latest_state_stream(replay(spark, tmp_path, rows, schema), f"{tmp_path}/state").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    newest = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir())
-    assert rows_of(spark.read.parquet(f"{tmp_path}/state/version={newest}"), "dedupe_key", "build_id") == [("k1", "a"), ("k2", "d"), ("k3", "e")]
+    rows = [("k1", "running", "a", 1), ("k2", "running", "b", 2), ("k1", "finished", "a", 3), ("k1", "running", "c", 4), ("k2", "running", "d", 5), (None, "running", "e", 6)]
+    stream = replay(spark, tmp_path, rows, STATES)
+    upserts.latest_state_stream(stream, f"{tmp_path}/state").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    got = upserts.upserted(spark, f"{tmp_path}/state", stream.schema)
+    assert {(r.dedupe_key, r.build_id) for r in got.collect()} == {("k1", "a"), ("k2", "d"), (None, "e")}
+
+
+def test_a_batch_writes_only_the_buckets_that_it_touches(spark, tmp_path):
+    table = f"{tmp_path}/table"
+    df = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    read = lambda **kw: {(r.k, r.v) for r in upserts.upserted(spark, table, df([]).schema, **kw).collect()}
+    first = df([(k, "old") for k in range(200)])
+    upserts.put(first, "k", upserts.touched_buckets(first, "k"), table, 0)
+    one = upserts.touched_buckets(df([(7, "")]), "k")
+    others = {k for (k, _) in read(buckets=one)}
+    assert len(one) == 1 and 7 in others and len(others) < 20
+    for _ in range(2):  # a batch that runs again replaces itself
+        upserts.put(df([(k, "new" if k == 7 else "old") for k in others]), "k", one, table, 1)
+        assert sorted(p.name for p in (tmp_path / "table" / "version=1").iterdir() if p.is_dir()) == [f"bucket={one[0]}"]
+        assert read() == {(k, "new" if k == 7 else "old") for k in range(200)}
+    # an unfinished version is not seen, and a bucket without rows stays without them
+    upserts.put(df([]), "k", one, table, 2)
+    assert read() == {(k, "old") for k in set(range(200)) - others} and read(before=2) == {(k, "new" if k == 7 else "old") for k in range(200)}
+    (tmp_path / "table" / "version=2" / "_SUCCESS").unlink()
+    assert (7, "new") in read()
+    # of each bucket two finished versions stay
+    for n in (3, 4):
+        upserts.put(df([(7, str(n))]), "k", one, table, n)
+    held = upserts.versions(spark, table)
+    assert held[one[0]] == [4, 3] and all(v == [0] for b, v in held.items() if b != one[0])
+
+
+def test_a_growing_log_yields_only_new_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(logtail, "CHUNK", 4)
+    logs = tmp_path / "logs"
+
+    def log(build, data):
+        (logs / build).mkdir(parents=True, exist_ok=True)
+        with open(logs / build / "build.log", "ab") as f:
+            f.write(data)
+
+    def read(refuse=False):
+        new = []
+
+        def step(batch, _):
+            rows = batch.orderBy("build_id", "at").collect()
+            if refuse:
+                raise ValueError("refused")
+            new.extend((r.build_id, r.at, bytes(r.data)) for r in rows)
+
+        q = logtail.tail_growing_logs(spark, f"file://{logs}").writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(120)
+        except Exception as e:
+            assert refuse and "refused" in str(e)
+        return {b: (min(a for n, a, _ in new if n == b), b"".join(d for n, _, d in new if n == b)) for b in {n for n, _, _ in new}}
+
+    (logs / "none").mkdir(parents=True)
+    log("a", b"first line\nsec\xff")
+    log("empty", b"")
+    assert read() == {"a": (0, b"first line\nsec\xff")}
+    log("a", b"ond\n")
+    log("b", b"x")
+    assert read(refuse=True) == {}
+    log("a", b"third")
+    assert read() == {"a": (15, b"ond\n"), "b": (0, b"x")}  # the refused batch again, as it was
+    assert read() == {"a": (19, b"third")}
+    assert read() == {}
+
+
+def test_long_logs_are_cut_in_tasks(monkeypatch):
+    monkeypatch.setattr(logtail, "PIECE", 10)
+    monkeypatch.setattr(logtail, "TASK", 25)
+    monkeypatch.setattr(logtail, "FILES", 3)
+    start, end = {"a": 5, "b": 7, "short": 9}, {"a": 48, "b": 7, "c": 3, "d": 1, "e": 1, "f": 1, "g": 1, "short": 4}
+    tasks = [t.pieces for t in logtail.packed(start, end)]
+    assert all(len(t) <= 3 and sum(hi - lo for _, lo, hi in t) <= 25 for t in tasks)
+    pieces = [p for t in tasks for p in t]
+    assert {b: sum(hi - lo for n, lo, hi in pieces if n == b) for b in end} == {"a": 43, "b": 0, "c": 3, "d": 1, "e": 1, "f": 1, "g": 1, "short": 0}
+    assert max(hi - lo for _, lo, hi in pieces) == 10
+
+
+def test_gauges_take_back_what_no_longer_holds(spark, tmp_path):
+    """Micro-batches one after the other; events within and across them out of order."""
+    schema = "session string, ts timestamp, seq int, worker_name string, systems array<string>"
+    rows = [("s1", at(0), 0, "w", ["x", "x", "y"]), ("s2", at(1), 1, "w", ["x"]), ("s3", at(2), 2, "v", None)]
+    rows += [("s3", at(1), 9, "v", ["z"]), ("s1", at(5), 3, "w", ["y"]), ("s4", at(5), 4, "u", [])]
+    rows += [("s2", at(9), 6, "w", None), ("s2", at(8), 5, "w", ["q"]), ("s4", at(9), 7, "u", ["x"])]
+    replay(spark, tmp_path / "s", rows, schema)
+    jobs = [(1, at(0), 0, "submitted"), (2, at(0), 1, "submitted"), (3, at(1), 2, "requeued"), (2, at(3), 4, "dispatched"), (2, at(2), 3, "requeued"), (4, at(400 * 86_400), 9, "succeeded")]
+    replay(spark, tmp_path / "j", jobs, "job_id int, ts timestamp, seq int, kind string")
+
+    def entities(own):
+        read = lambda part, s: own.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{part}/in/*")
+        return gauges.session_rows(read("s", schema)).unionByName(gauges.job_rows(read("j", "job_id int, ts timestamp, seq int, kind string")))
+
+    got = gauges.live_gauges(entities, spark, f"{tmp_path}/g")
+    assert {(r.metric, r.worker, r.system, r.value) for r in got.collect()} == {
+        ("queue_depth", None, None, 2), ("workers_connected", None, None, 2), ("builder_up", "w", "y", 1), ("builder_up", "u", "x", 1),
+        ("workers_for_system", None, "y", 1), ("workers_for_system", None, "x", 1),
+    }
+    changed = spark.read.schema(gauges.CHANGE).parquet(f"{tmp_path}/g/changes")
+    assert changed.where("change < 0").count() > 0
 
 
 def test_log_tail_resumes(spark, tmp_path):
@@ -96,8 +197,9 @@ def test_log_tail_resumes(spark, tmp_path):
 def test_keys_of_earlier_batches_stay(spark, tmp_path):
     lost = [(1, at(0), 0, "lost"), (1, at(1), 1, "lost"), (2, at(2), 0, "ran"), (None, at(3), 0, "lost"), (2, at(3), 1, "lost"), (1, at(4), 2, "lost"), (3, at(5), 0, "lost")]
     schema = "job_id int, ts timestamp, seq int, kind string"
-    q = streams.by_batch(replay(spark, tmp_path / "r", lost, schema), lambda df: twins.requeues(df, 30), f"{tmp_path}/out6", f"{tmp_path}/events6")
+    q = upserts.by_batch(replay(spark, tmp_path / "r", lost, schema), lambda df: twins.requeues(df, 30), f"{tmp_path}/out6", f"{tmp_path}/events6")
     q.option("checkpointLocation", f"{tmp_path}/c6").trigger(availableNow=True).start().awaitTermination(120)
     cols = ("job_id", "ts", "attempts", "requeued")
     key = lambda df: {tuple(r[c] for c in cols) for r in df.collect()}
-    assert key(spark.read.parquet(f"{tmp_path}/out6")) == key(twins.requeues(spark.createDataFrame(lost, schema), 30))
+    want = twins.requeues(spark.createDataFrame(lost, schema), 30)
+    assert key(upserts.upserted(spark, f"{tmp_path}/out6", want.schema)) == key(want)
