@@ -1142,11 +1142,11 @@ def tail_growing_logs_stream(spark, d):
     return read.groupBy(F.col("build_id").cast("bigint").alias("build_id")).agg(F.sum("n").cast("bigint").alias("bytes"), F.max(F.col("at") + F.col("n")).alias("upto"))
 
 
-_SESSIONS = "SELECT worker_id AS session, ts, seq, 'w' || cast(worker_id % 50 AS string) AS worker_name, worker_id % 2 = 0 AS arm, kind <> 'result_failed' AS open FROM messages"
+_CONNECTED = "SELECT worker_id AS session, ts, seq, 'w' || cast(worker_id % 50 AS string) AS worker_name, worker_id % 2 = 0 AS arm, kind <> 'result_failed' AS open FROM messages"
 
 
 @query(f"""WITH j AS (SELECT kind, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS n FROM lifecycle),
-  t AS ({_SESSIONS}), o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, seq DESC) AS n FROM t),
+  t AS ({_CONNECTED}), o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, seq DESC) AS n FROM t),
   s AS (SELECT session, worker_name, 'x86_64-linux' AS system FROM o WHERE n = 1 AND open UNION ALL SELECT session, worker_name, 'aarch64-linux' FROM o WHERE n = 1 AND open AND arm),
   g AS (SELECT 'queue_depth' AS metric, NULL AS worker, NULL AS system, count(*) AS value FROM j WHERE n = 1 AND kind IN ('submitted', 'requeued')
     UNION ALL SELECT 'workers_connected', NULL, NULL, count(*) FROM o WHERE n = 1 AND open
@@ -1157,7 +1157,7 @@ def live_gauges_stream(spark, d):
     def entities(own):
         messages = events_stream(own, d)
         systems = F.when(F.col("open"), F.when(F.col("arm"), F.array(F.lit("x86_64-linux"), F.lit("aarch64-linux"))).otherwise(F.array(F.lit("x86_64-linux"))))
-        sessions = messages.selectExpr(*_projection(_SESSIONS)).withColumn("systems", systems)
+        sessions = messages.selectExpr(*_projection(_CONNECTED)).withColumn("systems", systems)
         return gauges.job_rows(messages.selectExpr(*_projection(VIEWS["lifecycle"]))).unionByName(gauges.session_rows(sessions))
 
     return gauges.live_gauges(entities, spark, fresh_path(spark, "gauges"))
