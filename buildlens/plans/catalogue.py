@@ -674,7 +674,7 @@ _METRICS = """WITH c AS (SELECT 'builds_' || k || '_total' AS metric, k FROM (SE
 @query(_METRICS)
 def metrics_table(spark, d):
     life = view(spark, d, "lifecycle")
-    depth = ev.queue_depth(life, F.lit("9999-01-01 00:00:00").cast("timestamp_ntz"))
+    depth = ev.queue_depth(life, F.lit("2200-01-01 00:00:00").cast("timestamp_ntz"))
     return metrics.metrics_table(ev.lifecycle_counters(life), depth, registrations(spark, d))
 
 
@@ -1056,9 +1056,10 @@ LATE = "1 hour"
 _SURE = "(SELECT max(ts) - INTERVAL 1 HOURS FROM {})"
 
 
-def _announced(spark: SparkSession, d: str, name: str, make) -> DataFrame:
-    """Rows of a stream with timers, over all that is there, with times as in the tables."""
-    got = timed.settled(lambda own: make(events_stream(own, d).withColumn("ts", F.col("ts").cast("timestamp"))), spark, fresh_path(spark, name))
+def _announced(spark: SparkSession, d: str, name: str, make, end: str | None = None) -> DataFrame:
+    """Rows of a stream with timers, over all that is there, with times as in the tables; with an
+    ``end``, ``make`` also gets the moments that move the clock."""
+    got = timed.settled(lambda own, *moments: make(events_stream(own, d).withColumn("ts", F.col("ts").cast("timestamp")), *moments), spark, fresh_path(spark, name), end)
     return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in got.dtypes if kind == "timestamp"})
 
 
@@ -1088,17 +1089,18 @@ def abort_reasons_stream(spark, d):
     return _announced(spark, d, "aborts", make)
 
 
-@query(f"""WITH s AS ({_SUBMITS}), i AS ({_OPEN}), sure AS (SELECT max(moment) - INTERVAL 1 HOURS AS until FROM (SELECT ts AS moment FROM s UNION ALL SELECT opens AS moment FROM i) m),
-  f AS (SELECT s.job_id, min(greatest(opens, ts)) AS served_at FROM s JOIN i ON s.system = i.system AND closes > ts AND opens <= ts + INTERVAL 2 HOURS GROUP BY s.job_id)
-  SELECT s.job_id, CASE WHEN served_at IS NULL THEN 'declined' WHEN served_at = ts THEN 'now' ELSE 'waits' END AS decision, served_at FROM s LEFT JOIN f ON s.job_id = f.job_id
-  WHERE coalesce(served_at, ts + INTERVAL 2 HOURS) <= (SELECT until FROM sure)""")
+@query()
 def admissions_stream(spark, d):
-    def make(messages):
+    def make(messages, moments):
         submits = messages.where("kind = 'log'").selectExpr("seq AS job_id", "worker_id % 40 AS system", "ts")
         opened = messages.where("kind = 'request_job'").selectExpr("worker_id % 40 AS system", "ts AS opens", "ts + INTERVAL 1 HOURS AS closes")
-        return timed.admissions(submits, opened, 7200, LATE)
+        return timed.admissions(submits, opened, 7200, LATE, moments=moments)
+
+    # the table is all there is, so that what the watermark leaves open at its end is decided as well
+    return _announced(spark, d, "admissions", make, "2200-01-01 00:00:00")
+
 
-    return _announced(spark, d, "admissions", make)
+ORACLE_SQL["admissions_stream"] = ORACLE_SQL["admissions"]
 
 
 @query(f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY worker_id ORDER BY ts) > INTERVAL 12 HOURS THEN 1 ELSE 0 END AS fresh FROM messages),

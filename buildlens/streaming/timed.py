@@ -19,6 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Ways in which the submissions to one system are dealt out; its intervals go to each.
 WAYS = 8
+#: A stream in which only the time passes.
+MOMENTS = "ts timestamp"
 
 
 def with_timers(spark: SparkSession) -> SparkSession:
@@ -287,11 +289,11 @@ def abort_reasons(ticks: DataFrame, max_bytes: int, max_silence: int, late: str
     return got.select("build_id", F.timestamp_micros("at").alias("ts"), "reason")
 
 
-def admissions(submits: DataFrame, intervals: DataFrame, grace: int, late: str = "10 seconds", ways: int = WAYS) -> DataFrame:
+def admissions(submits: DataFrame, intervals: DataFrame, grace: int, late: str = "10 seconds", ways: int = WAYS, moments: DataFrame | None = None) -> DataFrame:
     """STR-7: ``submits(job_id, system, ts)`` and ``intervals(system, opens, closes)`` to (job_id,
     decision, served_at): at once where a worker is there, when one comes within ``grace``
     seconds, or declined when that time is over. A system's submissions are dealt out in
-    ``ways``, so that one with most of them is no single state."""
+    ``ways``, so that one with most of them is no single state. ``moments(ts)`` only move the clock."""
     asked = submits.select(
         "system", F.pmod(F.xxhash64("job_id"), F.lit(ways)).alias("way"), _micros("ts").alias("at"), F.lit(1).cast("bigint").alias("rank"), F.col("job_id").cast("bigint").alias("job"), F.lit(None).cast("bigint").alias("closes")
     )
@@ -299,13 +301,29 @@ def admissions(submits: DataFrame, intervals: DataFrame, grace: int, late: str =
         "system", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ways - 1).cast("bigint"))).alias("way"), _micros("opens").alias("at"), F.lit(0).cast("bigint").alias("rank"), F.lit(None).cast("bigint").alias("job"), _micros("closes").alias("closes")
     )
     schema = f"system {submits.schema['system'].dataType.simpleString()}, way bigint, job_id bigint, decision string, served_at bigint"
-    got = _timed(asked.unionByName(there), late, ["system", "way"], Admissions(grace), schema)
+    rows = asked.unionByName(there)
+    if moments is not None:
+        # an interval of no system that closes as it opens
+        none = {c: F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes}
+        rows = rows.unionByName(moments.select(none["system"], F.lit(0).cast("bigint").alias("way"), _micros("ts").alias("at"), F.lit(0).cast("bigint").alias("rank"), none["job"], _micros("ts").alias("closes")))
+    got = _timed(rows, late, ["system", "way"], Admissions(grace), schema)
     return got.select("job_id", "decision", F.timestamp_micros("served_at").alias("served_at"))
 
 
-def settled(df: Callable[[SparkSession], DataFrame], spark: SparkSession, path: str) -> DataFrame:
-    """What a stream, made in the session it is given, has announced of all that its sources have now."""
-    made = df(with_timers(spark))
-    run = made.writeStream.format("parquet").option("path", f"{path}/result").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
+def settled(df: Callable[..., DataFrame], spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """What a stream, made in the session it is given, has announced of all that its sources have now.
+    With ``end``, a time behind every deadline (before 2262, for pandas), nothing more is to come: ``df`` also gets a stream
+    of moments, which has that one when the sources have been read, so that the rest is announced too."""
+    own = with_timers(spark)
+    if end is not None:
+        ends = f"{path}/moments"
+        spark.createDataFrame([], MOMENTS).write.parquet(ends)
+        made = df(own, own.readStream.schema(MOMENTS).parquet(ends))
+    else:
+        made = df(own)
+    run = made.writeStream.format("parquet").option("path", f"{path}/result").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    run.start().awaitTermination()
+    if end is not None:
+        spark.range(1).select(F.lit(end).cast("timestamp").alias("ts")).write.mode("append").parquet(ends)
+        run.start().awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{path}/result")

@@ -130,3 +130,18 @@ def test_twins_at_the_end_of_what_is_known(spark):
     subs = spark.createDataFrame([(1, at(0), 0, 1), (1, at(5), 1, -1), (1, at(7), 2, -1), (2, at(12), 0, 1)], SUBS)
     assert twins.abandoned(subs, 10).collect() == []
     assert [tuple(r) for r in twins.abandoned(subs, 10, F.lit(at(15))).collect()] == [(1, at(5), at(15))]
+
+
+def test_admissions_without_more_to_come_are_all_decided(spark, tmp_path):
+    rows = [(1, "a", at(0), None, None), (None, "a", None, at(20), at(60)), (2, "a", at(58), None, None), (3, "a", at(60), None, None), (4, "b", at(70), None, None)]
+    spark.createDataFrame(rows, ASKED).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+
+    def make(own, moments=None):
+        df = own.readStream.schema(ASKED).parquet(f"{tmp_path}/in/*")
+        return timed.admissions(df.where("ts is not null"), df.where("opens is not null"), 30, "60 seconds", 2, moments)
+
+    key = lambda df: sorted((r.job_id, r.decision, str(r.served_at)) for r in df.collect())
+    assert len(key(timed.settled(make, spark, f"{tmp_path}/open"))) < 4
+    every = spark.createDataFrame(rows, ASKED)
+    want = twins.admissions(every.where("ts is not null").select("job_id", "system", "ts"), every.where("opens is not null").select("system", "opens", "closes"), 30)
+    assert key(timed.settled(make, spark, f"{tmp_path}/ended", "2200-01-01 00:00:00")) == key(want) and want.count() == 4
