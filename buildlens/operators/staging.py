@@ -120,18 +120,26 @@ def scan_references(contents: DataFrame, candidates: DataFrame, size: int = 32)
     )
 
 
-def scan_texts(contents: DataFrame, candidates: DataFrame) -> DataFrame:
+#: Bytes of tokens up to which every task gets them all.
+TOKEN_BYTES = 32 << 20
+
+
+def scan_texts(contents: DataFrame, candidates: DataFrame, most: int = TOKEN_BYTES) -> DataFrame:
     """JOIN-13 for tokens of any characters that stand at the start of a text or after white
     space. One linear scan takes the text from each such place up to the longest token's length;
-    cut to the lengths that tokens have, it meets them in an equi-join. Null and empty tokens
-    stand nowhere. The driver gets the distinct lengths, which the longest token bounds."""
-    lengths = sorted(n for n in candidates.agg(F.collect_set(F.length("token")).alias("n")).first()["n"] if n > 0)
+    cut to the lengths that tokens have, it meets them in an equi-join. Tokens of up to TOKEN_BYTES
+    in all go to the texts, so that only what is found is shuffled; more meet the distinct windows. Null and empty
+    tokens stand nowhere. The driver gets the distinct lengths, which the longest token bounds."""
+    told = candidates.where("token <> ''").select("item_id", "token")
+    size = told.agg(F.collect_set(F.length("token")).alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")).first()
+    lengths = sorted(size["n"])
     longest = lengths[-1] if lengths else 1
-    places = F.regexp_extract_all("content", F.lit(rf"(?:\A|(?<=\s))(?=([\s\S]{{1,{longest}}}))"), F.lit(1))
-    starts = contents.select("content_id", F.explode(places).alias("start")).distinct()
+    places = F.array_distinct(F.regexp_extract_all("content", F.lit(rf"(?:\A|(?<=\s))(?=([\s\S]{{1,{longest}}}))"), F.lit(1)))
+    starts = contents.select("content_id", F.explode(places).alias("start"))
     fit = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("start"))
     windows = starts.select("content_id", F.explode(F.transform(fit, lambda n: F.substring("start", F.lit(1), n))).alias("token"))
-    return windows.distinct().join(candidates, "token").select("content_id", "item_id").distinct()
+    met = windows.join(F.broadcast(told), "token") if size["bytes"] <= most else windows.distinct().join(told, "token")
+    return met.select("content_id", "item_id").distinct()
 
 
 def size_state(received: Column, nar_size: Column, complete: Column) -> Column:

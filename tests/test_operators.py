@@ -437,3 +437,15 @@ def test_scan_texts_of_many_lengths(spark):
     assert sorted(map(tuple, staging.scan_texts(contents, candidates).collect())) == sorted(want)
     assert len(want) > 8
     assert staging.scan_texts(contents, candidates.limit(0)).count() == 0
+
+
+def test_scan_texts_shuffles_what_it_finds_only(spark, capsys):
+    contents = spark.createDataFrame([(1, "ab cd ef\nab cd"), (1, "xy"), (2, "abcd"), (3, None), (4, "")], "content_id int, content string")
+    candidates = spark.createDataFrame([(7, "ab c"), (8, "ef\nab"), (9, "xy"), (9, "xy"), (10, ""), (11, None), (12, "cde")], "item_id int, token string")
+    want = [(1, 7), (1, 8), (1, 9)]
+    staging.scan_texts(contents, candidates).explain()
+    plan = capsys.readouterr().out
+    # texts meet the tokens before anything is shuffled
+    assert "BroadcastHashJoin" in plan and plan.count("hashpartitioning") == 1
+    assert values(staging.scan_texts(contents, candidates), "content_id", "item_id") == want
+    assert values(staging.scan_texts(contents, candidates, most=0), "content_id", "item_id") == want
