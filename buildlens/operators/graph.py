@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buildlens.operators.staging import dealt, extras_seed
 from buildlens.sources.shared import written
 
 #: Fronts that are kept apart before they become one table.
@@ -302,8 +303,6 @@ def pin_plan(offer: DataFrame, valid_paths: DataFrame, refs: DataFrame) -> DataF
 
 def extras(references: DataFrame, inputs: DataFrame, outputs: DataFrame, edges: DataFrame, metadata: DataFrame) -> DataFrame:
     """GRF-4: what outputs reference beyond inputs and outputs, closed and in order of levels."""
-    from buildlens.operators.staging import extras_seed
-
     known = inputs.select("path_id").unionByName(outputs.select("path_id"))
     found = closure(extras_seed(references, inputs, outputs), edges, known, metadata)
     levels = topo_levels(found.select(F.col("path_id").alias("node")), edges)
@@ -325,8 +324,9 @@ def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return strong_components(nodes, edges).where("size > 1").select("node")
 
 
-def open_needs(needs: DataFrame, edges: DataFrame) -> DataFrame:
-    """GRF-5: ``needs(build, path_id)``: references of needed paths that the build doesn't need."""
-    want = needs.select("build", F.col("path_id").alias("referrer")).join(edges.where("referrer <> reference"), "referrer")
-    have = needs.select("build", F.col("path_id").alias("reference"))
-    return want.select("build", "reference").distinct().join(have, ["build", "reference"], "left_anti")
+def open_needs(needs: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """GRF-5: ``needs(build, path_id)``: references of needed paths that the build doesn't need. Needs,
+    and what they lead to, are in ``parts`` partitions if given."""
+    want = dealt(needs.select("build", F.col("path_id").alias("referrer")), parts, "referrer").join(edges.where("referrer <> reference"), "referrer")
+    have = dealt(needs.select("build", F.col("path_id").alias("reference")), parts, "build", "reference")
+    return dealt(want.select("build", "reference"), parts, "build", "reference").distinct().join(have, ["build", "reference"], "left_anti")

@@ -29,7 +29,12 @@ def split_inputs(offers: DataFrame, valid: DataFrame) -> DataFrame:
     )
 
 
-def check_requested(offers: DataFrame, requested: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` in so many partitions by ``keys``; without ``parts`` Spark places it as the session says."""
+    return df if parts is None else df.repartition(parts, *keys)
+
+
+def check_requested(offers: DataFrame, requested: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """JOIN-4: ``requested(job_id, pos, path_id)`` to the accepted paths, each at its first
     position, and the jobs that are rejected for a path that wasn't offered."""
     bad = requested.join(offers.select("job_id", "path_id"), ["job_id", "path_id"], "left_anti").select("job_id").distinct()

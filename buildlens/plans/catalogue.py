@@ -12,7 +12,7 @@ from buildlens.functions import scalars as fn
 from buildlens.functions.network import address_key, canonical_key
 from buildlens.operators import events as ev
 from buildlens.operators import graph, identity, matching, metrics, policy, staging, validate
-from buildlens.plans.views import VIEWS, view, with_views
+from buildlens.plans.views import VIEWS, parts, view, with_views
 from buildlens.sources import logtail, readers, sinks
 from buildlens.sources.schemas import WORKER_PAYLOADS
 from buildlens.sources.shared import fresh_path
@@ -459,7 +459,7 @@ def scan_candidates(spark, d):
 @query("""SELECT build, reference FROM (SELECT DISTINCT p.build, r.reference FROM phased p JOIN refs r ON r.referrer = p.path_id WHERE r.referrer <> r.reference) x
   WHERE NOT EXISTS (SELECT 1 FROM phased q WHERE q.build = x.build AND q.path_id = x.reference)""")
 def open_needs(spark, d):
-    return graph.open_needs(view(spark, d, "phased"), view(spark, d, "refs"))
+    return graph.open_needs(view(spark, d, "phased"), view(spark, d, "refs"), parts(spark, d))
 
 
 # ------------------------------------------------------------------ events

@@ -82,9 +82,23 @@ def with_views(sql: str) -> str:
     return head + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views) + (f",\n{own}" if own != sql else f"\n{sql}")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view, or a query over views and tables, on Spark."""
+#: Views that take the distinct rows of ``lineitem``, and rows that one task gets of it there.
+DISTINCT, ROWS = ("offers", "holders"), 1 << 18
+
+
+def parts(spark: SparkSession, sf_dir: str, table: str = "lineitem") -> int:
+    """Partitions for the rows of a table, which grow with it, so that what a task holds does not; never fewer
+    than the session's own. Rows are counted from the files' footers."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str, deal: str = "l_orderkey") -> DataFrame:
+    """A view, or a query over views and tables, on Spark. Where views take distinct rows of ``lineitem``, it is first dealt
+    out by ``deal``; so distinct rows, and joins by just those columns, need no further exchange."""
     if re.fullmatch(r"\w+", sql):
         sql = f"SELECT * FROM {sql}"
-    parts = [f"{n} AS ({VIEWS[n]})" if n in VIEWS else f"{n} AS (SELECT * FROM parquet.`{sf_dir}/{n}.parquet`)" for n in _used(sql)]
-    return spark.sql("WITH " + ",\n".join(parts) + f"\n{sql}")
+    used = _used(sql)
+    hints = {"lineitem": f"/*+ REPARTITION({parts(spark, sf_dir)}, {deal}) */ "} if any(v in used for v in DISTINCT) else {}
+    heads = [f"{n} AS ({VIEWS[n]})" if n in VIEWS else f"{n} AS (SELECT {hints.get(n, '')}* FROM parquet.`{sf_dir}/{n}.parquet`)" for n in used]
+    return spark.sql("WITH " + ",\n".join(heads) + f"\n{sql}")
