@@ -65,14 +65,14 @@ def _seconds(ts: str, kind: str) -> Column:
     return F.date_diff(ts, F.lit("1970-01-01")).cast("bigint") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
-def path_conflicts(jobs: DataFrame) -> DataFrame:
+def path_conflicts(jobs: DataFrame, parts: int | None = None) -> DataFrame:
     """JOIN-8: ``jobs(job_id, key, output, started_at, finished_at)``: pairs of different keys
     that hold one output path at the same time, the earlier id first. Without a start or an end
     a job holds nothing.
 
     Jobs meet by output and slice of time, in the first slice that both touch. A slice is as
     long as the mean job, so there are at most three entries per job on average, and a popular
-    path is split over its slices.
+    path is split over its slices, of which there are ``parts`` partitions if given.
     """
     kind = jobs.schema["started_at"].dataType.typeName()
     start, end = _seconds("started_at", kind), _seconds("finished_at", kind)
@@ -80,7 +80,7 @@ def path_conflicts(jobs: DataFrame) -> DataFrame:
     timed = timed.select("job_id", "key", "output", "started_at", "finished_at", F.least(start, end).alias("from"), F.greatest(start, end).alias("to"))
     width = timed.agg(F.greatest(F.lit(1), F.ceil(F.avg(F.col("to") - F.col("from"))).cast("bigint")).alias("width")).first()["width"]
     cut = timed.withColumn("first", F.floor(F.col("from") / width)).withColumn("last", F.floor(F.col("to") / width))
-    cut = cut.drop("from", "to").withColumn("slice", F.explode(F.sequence("first", "last")))
+    cut = dealt(cut.drop("from", "to").withColumn("slice", F.explode(F.sequence("first", "last"))), parts, "output", "slice")
     a, b = cut.alias("a"), cut.alias("b")
     return a.join(
         b,

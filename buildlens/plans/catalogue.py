@@ -288,7 +288,7 @@ def inflight_groups(spark, d):
 @query("""SELECT a.output, a.job_id AS job_a, b.job_id AS job_b FROM holders a JOIN holders b ON a.output = b.output AND a.key <> b.key AND a.job_id < b.job_id
   AND a.started_at < b.finished_at AND b.started_at < a.finished_at""")
 def path_conflicts(spark, d):
-    return staging.path_conflicts(view(spark, d, "holders"))
+    return staging.path_conflicts(view(spark, d, "holders"), parts(spark, d))
 
 
 @query("""WITH r AS (SELECT o_custkey AS dedupe_key, o_orderkey AS build_id, o_orderdate AS assigned_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
