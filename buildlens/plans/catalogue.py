@@ -188,6 +188,13 @@ def expected_deadline(spark, d):
 
 # ----------------------------------------------------------------- staging
 
+#: The deal of ``lineitem`` (``views.view``) for joins by job and path, and the columns of these.
+_PAIRS, _PAIR = "l_orderkey, l_partkey", ("job_id", "path_id")
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "claims").repartition(parts(spark, d), "path_id")
+
 
 @query("""WITH first AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY submitted_at, job_id) AS n FROM claims)
   SELECT f.job_id, f.path_id, CASE WHEN v.path_id IS NOT NULL THEN 'valid' WHEN n = 1 THEN 'missing' ELSE 'deferred' END AS state FROM first f LEFT JOIN valid_now v ON f.path_id = v.path_id""")
@@ -213,7 +220,7 @@ def check_requested(spark, d):
 @query("""SELECT coalesce(a.job_id, b.job_id) AS job_id, coalesce(a.path_id, b.path_id) AS path_id,
   CASE WHEN b.job_id IS NULL THEN 'missing' WHEN a.job_id IS NULL THEN 'unrequested' ELSE 'ok' END AS state FROM offers a FULL JOIN reported b ON a.job_id = b.job_id AND a.path_id = b.path_id""")
 def reconcile_outputs(spark, d):
-    return staging.reconcile_outputs(view(spark, d, "offers"), view(spark, d, "reported"))
+    return staging.reconcile_outputs(view(spark, d, "offers", _PAIRS), view(spark, d, "reported", _PAIRS).repartition(parts(spark, d), *_PAIR))
 
 
 @query("SELECT path_id, min(phase) AS phase FROM phased GROUP BY path_id")
