@@ -852,7 +852,7 @@ def base_names(spark, d):
 
 @query("SELECT r.job_id, r.path_id FROM requested r WHERE NOT EXISTS (SELECT 1 FROM offers o WHERE o.job_id = r.job_id AND o.path_id = r.path_id)")
 def unexpected_chunks(spark, d):
-    return staging.unexpected_chunks(view(spark, d, "SELECT job_id, path_id FROM requested"), view(spark, d, "offers"))
+    return staging.unexpected_chunks(view(spark, d, "SELECT job_id, path_id FROM requested").repartition(parts(spark, d), *_PAIR), view(spark, d, "offers", _PAIRS))
 
 
 @query("SELECT job_id FROM jobs WHERE job_id NOT IN (SELECT job_id FROM job_features)")
