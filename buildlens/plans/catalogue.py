@@ -199,7 +199,7 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH first AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY submitted_at, job_id) AS n FROM claims)
   SELECT f.job_id, f.path_id, CASE WHEN v.path_id IS NOT NULL THEN 'valid' WHEN n = 1 THEN 'missing' ELSE 'deferred' END AS state FROM first f LEFT JOIN valid_now v ON f.path_id = v.path_id""")
 def missing_split(spark, d):
-    return staging.split_inputs(view(spark, d, "claims"), view(spark, d, "valid_now"))
+    return staging.split_inputs(_claims(spark, d), view(spark, d, "valid_now"))
 
 
 @query("""WITH first AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY submitted_at, job_id) AS n FROM claims),
@@ -207,7 +207,7 @@ def missing_split(spark, d):
   SELECT s.job_id, count(*) AS offered, count_if(missing) AS missing, cast(coalesce(sum(CASE WHEN missing THEN nar_size END), 0) AS bigint) AS bytes_to_move
   FROM state s LEFT JOIN store_paths p ON s.path_id = p.path_id GROUP BY s.job_id""")
 def staging_totals(spark, d):
-    split = staging.split_inputs(view(spark, d, "claims"), view(spark, d, "valid_now"))
+    split = staging.split_inputs(_claims(spark, d), view(spark, d, "valid_now"))
     return staging.staging_totals(split, view(spark, d, "store_paths").select("path_id", "nar_size"))
 
 
