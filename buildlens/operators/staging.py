@@ -38,7 +38,7 @@ def check_requested(offers: DataFrame, requested: DataFrame, parts: int | None =
     """JOIN-4: ``requested(job_id, pos, path_id)`` to the accepted paths, each at its first
     position, and the jobs that are rejected for a path that wasn't offered."""
     bad = requested.join(offers.select("job_id", "path_id"), ["job_id", "path_id"], "left_anti").select("job_id").distinct()
-    good = requested.join(bad, "job_id", "left_anti").groupBy("job_id", "path_id").agg(F.min("pos").alias("pos"))
+    good = requested.join(dealt(bad, parts, "job_id"), "job_id", "left_anti").groupBy("job_id", "path_id").agg(F.min("pos").alias("pos"))
     return good, bad
 
 

@@ -214,7 +214,8 @@ def staging_totals(spark, d):
 @query("""WITH bad AS (SELECT DISTINCT r.job_id FROM requested r WHERE NOT EXISTS (SELECT 1 FROM offers o WHERE o.job_id = r.job_id AND o.path_id = r.path_id))
   SELECT job_id, path_id, min(pos) AS pos FROM requested WHERE job_id NOT IN (SELECT job_id FROM bad) GROUP BY job_id, path_id""")
 def check_requested(spark, d):
-    return staging.check_requested(view(spark, d, "offers"), view(spark, d, "requested"))[0]
+    n = parts(spark, d)
+    return staging.check_requested(view(spark, d, "offers", _PAIRS), view(spark, d, "requested").repartition(n, *_PAIR), n)[0]
 
 
 @query("""SELECT coalesce(a.job_id, b.job_id) AS job_id, coalesce(a.path_id, b.path_id) AS path_id,
