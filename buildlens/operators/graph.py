@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.operators.staging import dealt, extras_seed
-from buildlens.sources.shared import written
+from buildlens.sources import shared
 
 #: Fronts that are kept apart before they become one table.
 FRONTS = 8
@@ -26,6 +26,12 @@ PEELS, RAKES, WORTH = 16, 4, 8
 STEPS = 8
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` in the shared folder, to be joined by shuffles: over many rounds, sides that are just small enough to
+    be broadcast would send the driver more than the whole graph."""
+    return shared.written(df, name).hint("merge")
+
+
 class Seen:
     """The fronts of all rounds so far, as one table."""
 

@@ -110,3 +110,10 @@ def test_deep_closures(spark, monkeypatch, seed):
         front = {b for a, b in edges if a in front - without and b not in known and b not in depth}
         depth |= dict.fromkeys(front, k)
     assert {r.path_id: (r.depth, r.error) for r in got.collect()} == {i: (v, i in without) for i, v in depth.items()}
+
+
+def test_rounds_send_the_driver_no_sides(spark, capsys):
+    some = graph.written(spark.range(5).withColumnRenamed("id", "node"), "some")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        some.join(graph._named(graph.written(some, "other"), node="node").distinct(), "node", how).explain()
+    assert "Broadcast" not in capsys.readouterr().out
