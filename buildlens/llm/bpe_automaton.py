@@ -6,16 +6,16 @@ the arc b after a. Whether token t may follow token p is therefore settled by un
 gadgets in reverse order of rank (``Merges.follows``); a token sequence is the encoding of
 its word exactly when each token may follow the one before it.
 
-``WordAutomaton`` determinises this over base symbols. A state holds, for every token that is
-still being spelled, the token before it and the place in the trie of tokens. One transition
-per symbol; transitions are tabulated when first needed. The state reached after a prefix
-names the last token of that prefix's encoding, so a word's tokens are read off backwards.
+``WordAutomaton`` finds the path whose arcs spell a word. Just one path spells a prefix, as a
+prefix has one encoding; so a place of the word from which the end cannot be reached is never
+entered again, and a word takes steps in proportion to its length. The tokens are the path's arcs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 
@@ -25,17 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from buildlens.llm.shared import Memo, give_back, in_parts, kept, map_arrow, small_batches, whole
+from buildlens.llm.shared import give_back, in_parts, kept, map_arrow, small_batches, whole
 
-#: Words that a Python worker remembers, states of its automaton before it starts anew, and
-#: answers of the merges that it keeps: bounds of its memory, none of which changes a result.
+#: Words that a Python worker remembers, and answers of the merges that it keeps: bounds of its
+#: memory, none of which changes a result.
 MEMO = 160_000
-STATES = 80_000
-ANSWERS = 20_000
+ANSWERS = 100_000
 #: Below this character no version of Unicode since 7.0 has changed classes, case or marks.
 SETTLED = "\u0530"
-#: More than the trie's nodes: a token and a node make one number.
-NODES = 1 << 20
+#: More than the ids: two tokens make one number.
+IDS = 1 << 24
+#: Bytes of a token's beginning by which its possible lengths are looked up.
+HEAD = 4
 
 
 def byte_symbols() -> list[str]:
@@ -60,11 +61,11 @@ class Merges:
             if c not in self.parts:
                 self.parts[c] = pair
                 self.made[c] = r
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}
 
     def follows(self, p: int, t: int) -> bool:
         """Whether an arc t leaves the state that p enters, after all gadgets."""
-        key = (p, t)
+        key = p * IDS + t
         if (got := self.memo.get(key)) is not None:
             return got
         until = len(self.rank) + 1
@@ -90,89 +91,97 @@ class Merges:
 class WordAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list, end: str):
         self.merges = Merges(vocab, merges)
-        reachable = set(self.merges.parts)
         symbols = byte_symbols()
-        self.symbols = {}
-        for b, s in enumerate(symbols):
-            self.symbols[b] = vocab[s]
-            self.symbols[b + 256] = vocab[s + end]
-        reachable |= set(self.symbols.values())
-        spelled: dict[int, list[int]] = {}
-        inverse = {v: k for k, v in self.symbols.items()}
-
-        def spell(t: int) -> list[int]:
+        first = {vocab[s]: bytes([b]) for b, s in enumerate(symbols)}
+        last = {vocab[s + end]: bytes([b]) for b, s in enumerate(symbols)}
+        spelled = first | last
+
+        def spell(t: int) -> bytes:
             if t not in spelled:
-                spelled[t] = [inverse[t]] if t in inverse else spell(self.merges.parts[t][0]) + spell(self.merges.parts[t][1])
+                spelled[t] = b"".join(map(spell, self.merges.parts[t]))
             return spelled[t]
 
-        self.trie: dict[int, int] = {}  # node * 512 + symbol -> node
-        self.token_at: dict[int, int] = {}
-        self.size: dict[int, int] = {}
-        nodes = 1
-        for t in sorted(reachable):
-            node = 0
-            for s in spell(t):
-                key = node * 512 + s
-                if key not in self.trie:
-                    self.trie[key] = nodes
-                    nodes += 1
-                node = self.trie[key]
-            self.token_at[node] = t
-            self.size[t] = len(spelled[t])
-        self.reset()
-
-    def reset(self) -> None:
-        start = (0,)  # no token before, at the root
-        self.ids = {start: 0}
-        self.states = [start]
-        self.last = [-1]
-        self.table: dict[int, int] = {}
-
-    def _step(self, state: int, symbol: int) -> int:
-        alive, last = [], -1
-        for pair in self.states[state]:
-            before, node = divmod(pair, NODES)
-            to = self.trie.get(node * 512 + symbol)
-            if to is None:
-                continue
-            alive.append(pair - node + to)
-            before -= 1
-            t = self.token_at.get(to)
-            if t is not None and last < 0 and (before < 0 or self.merges.follows(before, t)):
-                last = t
-        alive.append((last + 1) * NODES)
-        key = tuple(alive)
-        if key not in self.ids:
-            self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.last.append(last)
-        self.table[state * 512 + symbol] = got = self.ids[key]
-        return got
+        def ends(t: int) -> bool:
+            while t in self.merges.parts:
+                t = self.merges.parts[t][1]
+            return t in last
+
+        for t in self.merges.parts:
+            spell(t)
+        #: Tokens by what they spell: those within a word, and those with the end mark.
+        self.inner = {w: t for t, w in spelled.items() if not ends(t)}
+        self.final = {w: t for t, w in spelled.items() if ends(t)}
+        #: Lengths of tokens, longest first, by the bytes with which they begin.
+        sizes: dict[bytes, set[int]] = {}
+        for w in spelled.values():
+            sizes.setdefault(w[:HEAD], set()).add(len(w))
+        for w in sizes:
+            sizes[w] = sizes[w].union(*(sizes.get(w[:k], ()) for k in range(1, len(w))))
+        self.sizes = {w: tuple(sorted(found, reverse=True)) for w, found in sizes.items()}
+
+    def lengths(self, head: bytes) -> tuple[int, ...]:
+        """The lengths that a token which begins like ``head`` can have."""
+        while head not in self.sizes:
+            head = head[:-1]
+        return self.sizes[head]
 
     def encode(self, word: bytes) -> list[int]:
         """Token ids of one pre-split word; its last byte carries the end mark."""
         if not word:
             return []
-        if len(self.states) > STATES:
-            self.reset()
-        table, state, path = self.table, 0, []
-        final = len(word) - 1
-        for b in word[:-1]:
-            try:
-                state = table[state * 512 + b]
-            except KeyError:
-                state = self._step(state, b)
-            path.append(state)
-        b = word[final] + 256
-        to = table.get(state * 512 + b)
-        path.append(self._step(state, b) if to is None else to)
-        out, at = [], final
-        while at >= 0:
-            t = self.last[path[at]]
-            out.append(t)
-            at -= self.size[t]
-        out.reverse()
-        return out
+        n = len(word)
+        inner, final, sizes, memo, follows = self.inner, self.final, self.sizes, self.merges.memo, self.merges.follows
+        path: list[int] = []
+        places: list[int] = []
+        closed: set[int] = set()
+        at, before, limit = 0, -1, n
+        while at < n:
+            # the longest arc that is left to try from here
+            head = word[at : at + HEAD]
+            for size in sizes.get(head) or self.lengths(head):
+                to = at + size
+                if size > limit or to > n or to in closed:
+                    continue
+                t = final.get(word[at:]) if to == n else inner.get(word[at:to])
+                if t is None:
+                    continue
+                if before < 0:
+                    break
+                ok = memo.get(before * IDS + t)
+                if follows(before, t) if ok is None else ok:
+                    break
+            else:
+                closed.add(at)
+                limit = at - places[-1] - 1
+                at = places.pop()
+                path.pop()
+                before = path[-1] if path else -1
+                continue
+            path.append(t)
+            places.append(at)
+            at, before, limit = to, t, n
+        return path
+
+
+class Remembered(dict):
+    """What ``make`` gives for the words asked for since ``keep`` last found ``size / 2`` of them,
+    and, while they are asked for again, for those before."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.half, self.old = make, size // 2, {}
+
+    def keep(self) -> None:
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str):
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        self[word] = got
+        return got
 
 
 class WordBpe:
@@ -191,20 +200,21 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         rule = spec["pre_tokenizer"]["pretokenizers"][0]
         self.split = regex.compile(rule["pattern"]["Regex"])
+        # the same rule for ASCII alone, in half the time
+        self.split_ascii = re.compile(rule["pattern"]["Regex"].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII)
         # the library's own tables, for characters that its version of Unicode may know otherwise
         self.library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})).normalizer
         self.library_split = pre_tokenizers.Split(Regex(rule["pattern"]["Regex"]), rule["behavior"].lower(), rule["invert"])
-        self.memo = Memo(self.word, MEMO)
+        self.memo = Remembered(self.word, MEMO)
 
     def forget(self) -> None:
-        self.memo = Memo(self.word, MEMO)
-        self.automaton.reset()
+        self.memo = Remembered(self.word, MEMO)
         self.automaton.merges.memo.clear()
 
     def words(self, text: str) -> list[str]:
         """The normalised text in pre-split words."""
         if text.isascii():
-            return self.split.findall(text.lower())
+            return self.split_ascii.findall(text.lower())
         if max(text) >= SETTLED:
             return [w for w, _ in self.library_split.pre_tokenize_str(self.library.normalize_str(text))]
         text = unicodedata.normalize("NFC", text)
@@ -227,10 +237,11 @@ class WordBpe:
             if k % 2:
                 ids.append(self.special[part].to_bytes(4, "little"))
                 labels.append(part)
-            elif part:
-                for a, b in self.memo.all(self.words(part)):
-                    ids.append(a)
-                    labels.append(b)
+            elif part and (words := self.words(part)):
+                self.memo.keep()
+                a, b = zip(*map(self.memo.__getitem__, words), strict=True)
+                ids += a
+                labels += b
         return b"".join(ids), " ".join(labels)
 
 
