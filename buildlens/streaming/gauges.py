@@ -11,13 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROW = "struct<gauge:string,worker:string,system:string>"
 CHANGE = "gauge string, worker string, system string, change bigint"
+#: Rows of a task that are looked through at a time for the newest of each entity.
+AT_ONCE = 1 << 17
+STEP = Row("gauge", "worker", "system", "change")
 #: How long after its event an entity that stands for nothing is remembered, so that earlier events change nothing.
 REMEMBER_MS = 7 * 86_400_000
 
@@ -30,17 +34,13 @@ class Standing(StatefulProcessor):
         self.handle = handle
         self.newest = handle.getValueState("newest", "at bigint, rank bigint, gauges array<string>, workers array<string>, systems array<string>, timer bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.newest.get() if self.newest.exists() else None
-        newest = None
-        for df in rows:
-            r = df.sort_values(["at", "rank"], kind="stable").iloc[-1]
-            if newest is None or (r["at"], r["rank"]) > (newest["at"], newest["rank"]):
-                newest = r
-        at, rank = int(newest["at"]), int(newest["rank"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.newest.get()
+        newest = max(rows, key=lambda r: (r.at, r.rank))
+        at, rank = newest.at, newest.rank
         if held is not None and (at, rank) <= (held[0], held[1]):
             return
-        columns = [[None if pd.isna(v) else v for v in newest[c]] for c in ("gauges", "workers", "systems")]
+        columns = [newest.gauges, newest.workers, newest.systems]
         now = set(zip(*columns, strict=True))
         was = set(zip(*held[2:5], strict=True)) if held is not None else set()
         if held is not None and held[5] is not None:
@@ -50,11 +50,12 @@ class Standing(StatefulProcessor):
             timer = max(at // 1000 + REMEMBER_MS, timerValues.getCurrentWatermarkInMs() + 1)
             self.handle.registerTimer(timer)
         self.newest.update((at, rank, *columns, timer))
-        out = [(*r, -1) for r in was - now] + [(*r, 1) for r in now - was]
-        if out:
-            yield pd.DataFrame(out, columns=["gauge", "worker", "system", "change"])
+        for r in was - now:
+            yield STEP(*r, -1)
+        for r in now - was:
+            yield STEP(*r, 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.newest.clear()
         yield from ()
 
@@ -92,11 +93,37 @@ def _entities(df: DataFrame, kind: str, name: Column, rows: Column) -> DataFrame
     return stands.select("entity", "at", "rank", *(F.col(f"rows.{c}").alias(f"{c}s") for c in ("gauge", "worker", "system")))
 
 
+def _newest(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The rows without those that another row of the same entity comes behind."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("entity", "at", "rank")])
+    entity = rows["entity"].take(order)
+    last = pa.chunked_array([*pc.not_equal(entity[:-1], entity[1:]).chunks, pa.array([True])])
+    return rows.take(order.filter(last)).combine_chunks().to_batches()[0]
+
+
+def _newest_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(h.num_rows for h in held) >= AT_ONCE:
+            held = [_newest(held)]
+            if held[0].num_rows >= AT_ONCE // 2:
+                yield held.pop()
+    if held:
+        yield _newest(held)
+
+
 def changes(entities: DataFrame, late: str = "7 days") -> DataFrame:
     """What ``job_rows`` and ``session_rows`` (one, or their union) change in the gauges. Events later
     than ``late`` are left out."""
-    held = entities.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", late)
-    return held.groupBy("entity").transformWithStateInPandas(statefulProcessor=Standing(), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime")
+    # what is older than another row of its entity changes nothing, and is left out before rows are shuffled and
+    # taken one by one; the newest are also those that are late last, so that the watermark does the same
+    newest = entities.mapInArrow(_newest_of_task, entities.schema)
+    held = newest.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", late)
+    return held.groupBy("entity").transformWithState(statefulProcessor=Standing(), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime")
 
 
 def added_up(changed: DataFrame) -> DataFrame:

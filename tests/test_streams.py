@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from buildlens.operators.events import lifecycle_counters
@@ -203,3 +204,19 @@ def test_keys_of_earlier_batches_stay(spark, tmp_path):
     key = lambda df: {tuple(r[c] for c in cols) for r in df.collect()}
     want = twins.requeues(spark.createDataFrame(lost, schema), 30)
     assert key(upserts.upserted(spark, f"{tmp_path}/out6", want.schema)) == key(want)
+
+
+def test_gauges_pass_on_the_newest_row_of_each_entity(spark, monkeypatch):
+    """Each row that reaches the state costs a conversion of its own, so older ones of a task are left out before."""
+    rows = [(f"job:{k % 7}", k, 0, ["queue_depth"], [None], [None]) for k in range(1000)] + [("job:3", 2000, 1, [], [], []), ("job:3", 2000, 0, ["queue_depth"], [None], [None])]
+    schema = "entity string, at bigint, rank bigint, gauges array<string>, workers array<string>, systems array<string>"
+    batch = pa.RecordBatch.from_pylist([dict(zip(("entity", "at", "rank", "gauges", "workers", "systems"), r, strict=True)) for r in rows])
+    want = {r[0]: r for r in sorted(rows, key=lambda r: r[1:3])}
+    for size in (1 << 17, 100, 4):
+        monkeypatch.setattr(gauges, "AT_ONCE", size)
+        parts = [batch.slice(k, 90) for k in range(0, len(rows), 90)]
+        got = [r for b in gauges._newest_of_task(iter(parts)) for r in b.to_pylist()]
+        assert len(got) == 7 if size > 100 else len(got) < 100
+        assert {r["entity"]: tuple(r.values()) for r in sorted(got, key=lambda r: (r["at"], r["rank"]))} == want
+    assert list(gauges._newest_of_task(iter([batch.slice(0, 0)]))) == []
+    assert "MapInArrow" in gauges.changes(spark.createDataFrame(rows, schema))._jdf.queryExecution().toString()
