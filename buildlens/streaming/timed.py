@@ -9,16 +9,18 @@ have milliseconds. All need the RocksDB state store (``with_timers``).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Ways in which the submissions to one system are dealt out; its intervals go to each.
 WAYS = 8
+#: Waiting rows of a key that are stored as one entry of its state.
+PACK = 10_000
 #: A stream in which only the time passes.
 MOMENTS = "ts timestamp"
 
@@ -38,7 +40,8 @@ def _milli(micros: int) -> int:
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key in the order of (at, rank), and one timer at a time.
+    """Rows of a key in the order of (at, rank), and one timer at a time. Waiting rows are stored by
+    column, up to PACK in an entry, since each entry has a cost of its own, as each call to the state has.
 
     Subclasses say which ``columns`` a row has, beginning with ``at`` and ``rank``, how they are
     stored (``stored``) and what is kept per key (``kept``, ``new``). ``take`` gets the kept
@@ -54,7 +57,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.stored)
+        self.waiting = handle.getListState("waiting", re.sub(r"(\w+) (\w+)", r"\1 array<\2>", self.stored))
         self.value = handle.getValueState("kept", self.kept + ", timer bigint")
 
     def take(self, kept: list, row: tuple) -> list[tuple]:
@@ -67,9 +70,15 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def _load(self) -> tuple[list, int | None]:
-        *kept, timer = self.value.get() if self.value.exists() else (*self.new, None)
+        *kept, timer = self.value.get() or (*self.new, None)
         return kept, timer
 
+    def _waiting(self) -> list[tuple]:
+        return [row for entry in self.waiting.get() for row in zip(*entry, strict=True)]
+
+    def _packed(self, rows: list[tuple]) -> list[tuple]:
+        return [tuple(map(list, zip(*rows[k : k + PACK], strict=True))) for k in range(0, len(rows), PACK)]
+
     def _set_timer(self, kept: list, timer: int | None, row_at: int | None) -> None:
         moments = [m for m in (row_at, self.next_moment(kept)) if m is not None]
         wanted = _milli(min(moments)) if moments else None
@@ -86,19 +95,19 @@ class InOrder(StatefulProcessor):
         else:
             self.value.update((*kept, timer))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # whole numbers come as floats where a column has nulls
-        plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) else v
-        fresh = [tuple(map(plain, r)) for df in rows for r in df[list(self.columns)].astype(object).itertuples(index=False)]
-        self.waiting.appendList(fresh)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        found = list(rows)
+        places = [found[0].__fields__.index(c) for c in self.columns]
+        fresh = [tuple(r[i] for i in places) for r in found]
+        self.waiting.appendList(self._packed(fresh))
         kept, timer = self._load()
         first = min(r[0] for r in fresh)
         self._set_timer(kept, timer, first if timer is None else min(first, timer * 1000))
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get() if self.waiting.exists() else [], key=lambda r: r[:2])
+        rows = sorted(self._waiting(), key=lambda r: r[:2])
         kept, _ = self._load()
         found: list[tuple] = []
         due = [r for r in rows if r[0] <= upto]
@@ -107,14 +116,15 @@ class InOrder(StatefulProcessor):
             found += self.take(kept, row)
         found += self.pass_time(kept, upto)
         later = rows[len(due) :]
-        if later:
-            self.waiting.put(later)
-        else:
+        if later and due:
+            self.waiting.put(self._packed(later))
+        elif due:
             self.waiting.clear()
         # the timer that has fired is gone
         self._set_timer(kept, None, later[0][0] if later else None)
-        if found:
-            yield pd.DataFrame([(*key, *row) for row in found], columns=list(self.out))
+        made = Row(*self.out)
+        for row in found:
+            yield made(*key, *row)
 
     def close(self) -> None:
         pass
@@ -220,8 +230,8 @@ class Admissions(InOrder):
         self.jobs = handle.getListState("jobs", "at bigint, job bigint")
 
     def _load(self):
-        reach, timer = self.value.get() if self.value.exists() else (None, None)
-        return [reach, list(self.jobs.get()) if self.jobs.exists() else []], timer
+        reach, timer = self.value.get() or (None, None)
+        return [reach, list(self.jobs.get())], timer
 
     def _save(self, kept, timer):
         if kept[1]:
@@ -262,7 +272,7 @@ def _micros(c: str) -> Column:
 
 def _timed(rows: DataFrame, late: str, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
     held = rows.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", late)
-    return held.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return held.groupBy(*keys).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def _times(*names: str) -> dict[str, Column]:

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from buildlens.streaming import timed, twins
@@ -145,3 +146,45 @@ def test_admissions_without_more_to_come_are_all_decided(spark, tmp_path):
     every = spark.createDataFrame(rows, ASKED)
     want = twins.admissions(every.where("ts is not null").select("job_id", "system", "ts"), every.where("opens is not null").select("system", "opens", "closes"), 30)
     assert key(timed.settled(make, spark, f"{tmp_path}/ended", "2200-01-01 00:00:00")) == key(want) and want.count() == 4
+
+
+def test_waiting_rows_are_stored_many_to_an_entry():
+    """Each entry of the state, and each call to it, has a cost of its own."""
+
+    class State:
+        def __init__(self):
+            self.held, self.calls = [], 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.held)
+
+        def appendList(self, entries):
+            self.calls += 1
+            self.held += entries
+
+        def clear(self):
+            self.calls += 1
+            self.held = []
+
+    class Value(State):
+        def get(self):
+            self.calls += 1
+            return self.held[-1] if self.held else None
+
+        def exists(self):
+            self.calls += 1
+            return bool(self.held)
+
+        def update(self, value):
+            self.calls += 1
+            self.held = [value]
+
+    rule = timed.Aborts(0, 0, 60)
+    rule.waiting, rule.value, timers = State(), Value(), []
+    rule.handle = type("Handle", (), {"registerTimer": lambda _, t: timers.append(t), "deleteTimer": lambda _, t: timers.remove(t)})()
+    tick = Row("build_id", "at", "rank", "bytes", "cancelled", "deadline")
+    rows = [tick(1, 1_000_000 - k, k, None if k % 2 else k, False, None) for k in range(25_000)]
+    assert list(rule.handleInputRows((1,), iter(rows), None)) == []
+    assert len(rule.waiting.held) == 3 and timers == [976] and rule.waiting.calls + rule.value.calls <= 3
+    assert sorted(rule._waiting()) == sorted((r.at, r.rank, r.bytes, r.cancelled, r.deadline) for r in rows)
